@@ -21,16 +21,32 @@ def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"))
 
 
+def op6_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import fit_quality, quality_scores
+
+    docs = table(spark, sf_dir, "documents")
+    return quality_scores(docs, fit_quality(docs, table(spark, sf_dir, "labels")))
+
+
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix
 
     return mix(table(spark, sf_dir, "documents"))
 
 
+def op10_toxicity_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import fit_toxicity, toxicity_scores
+
+    docs = table(spark, sf_dir, "documents")
+    return toxicity_scores(docs, fit_toxicity(docs, table(spark, sf_dir, "labels")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op5_simhash_dedup": op5_simhash_dedup,
+    "op6_quality_crf": op6_quality_crf,
     "op9_source_mixing": op9_source_mixing,
+    "op10_toxicity_crf": op10_toxicity_crf,
 }
 
 #: DuckDB SQL for the queries that SQL can express; the others are tested against brute force.
