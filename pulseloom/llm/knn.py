@@ -91,15 +91,15 @@ def _solve(dim: int, k: int):
     def run(key: tuple[pa.Scalar, ...], queries: pa.Table, rows: pa.Table) -> pa.Table:
         out_q, out_v, out_s = [], [], []
         if queries.num_rows and rows.num_rows:
-            qid, rid = queries.column("id").to_numpy(), rows.column("id").to_numpy()
+            qid, rid = queries.column("q_id").to_numpy(), rows.column("id").to_numpy()
             r = _matrix(rows.column("v").combine_chunks(), dim)
             order = np.argsort(rid, kind="stable")
             rid, r = rid[order], r[order]
-            q_all = _matrix(queries.column("v").combine_chunks(), dim)
+            q_all = _matrix(queries.column("q_v").combine_chunks(), dim)
             exact = dim * (np.abs(r).max(initial=0) or 1) * (np.abs(q_all).max(initial=0) or 1) < 2**53
             if not exact:
                 whole = np.array(rows.column("v").to_pylist(), object).reshape(len(rid), dim)[order]
-                q_whole = np.array(queries.column("v").to_pylist(), object).reshape(len(qid), dim)
+                q_whole = np.array(queries.column("q_v").to_pylist(), object).reshape(len(qid), dim)
             for s in range(0, len(qid), 256):
                 score = q_all[s : s + 256] @ r.T if exact else np.array(q_whole[s : s + 256] @ whole.T, object)
                 for i, q in enumerate(qid[s : s + 256]):
@@ -152,9 +152,10 @@ def top_k(vectors: DataFrame, is_query, k: int = K, pivots: int = PIVOTS) -> Dat
         rows = placed.join(F.broadcast(met.select("grp", "cell", "n", "qblocks")), "cell").withColumn("block", cut(BLOCK, "n"))
         rows = rows.select("id", "v", "grp", "cell", "block", F.explode(F.sequence(F.lit(0), F.col("qblocks").cast("int") - 1)).alias("qblock"))
         asked = queries.withColumnRenamed("cell", "grp").join(F.broadcast(met.select("grp", "cell", "nq", "blocks")), "grp").withColumn("qblock", cut(QUERY_BLOCK, "nq"))
-        asked = asked.select("id", "v", "grp", "cell", F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1)).alias("block"), "qblock")
+        renamed = [F.col(c).alias(f"q_{c}") for c in ("id", "v", "grp", "cell", "qblock")]
+        asked = asked.select(*renamed, F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1)).alias("q_block"))
         by = ["grp", "cell", "block", "qblock"]
-        solved = asked.groupBy(*by).cogroup(rows.groupBy(*by)).applyInArrow(_solve(dim, k), "query_id long, vec_id long, score long")
+        solved = asked.groupBy(*[f"q_{c}" for c in by]).cogroup(rows.groupBy(*by)).applyInArrow(_solve(dim, k), "query_id long, vec_id long, score long")
         every = solved if every is None else every.unionByName(solved)
     if every is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")

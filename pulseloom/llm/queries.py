@@ -22,6 +22,13 @@ def op2_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets(table(spark, sf_dir, "documents"))
 
 
+def op3_byte_gru_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import fit_languages, languages
+
+    docs = table(spark, sf_dir, "documents")
+    return languages(docs, fit_languages(docs))
+
+
 def op4_voronoi_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .knn import integer_vectors, top_k
 
@@ -69,6 +76,7 @@ def op10_toxicity_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_secret_ownership": op2_secret_ownership,
+    "op3_byte_gru_langid": op3_byte_gru_langid,
     "op4_voronoi_knn": op4_voronoi_knn,
     "op5_simhash_dedup": op5_simhash_dedup,
     "op6_quality_crf": op6_quality_crf,
