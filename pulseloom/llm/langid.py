@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import fold, slices
 
 FOLDS, HELD_OUT = 4, 2
-WINDOW, HIDDEN, EMBED = 64, 12, 12
+WINDOW, HIDDEN, EMBED = 64, 8, 8
 PER_LANG, WINDOWS, MAX_CHARS, MAX_DOCS = 150, 8, 20_000, 4000
 ROUNDS, BATCH, RATE = 160, 256, 0.02
 _BLOCK = 2048
