@@ -131,12 +131,31 @@ def links(prints: DataFrame, max_bits: int = 3) -> DataFrame:
     return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_link(max_bits), "u long, v long")
 
 
+def _roots(prints: DataFrame, max_bits: int) -> DataFrame:
+    """(fp, root) for every distinct fingerprint: the least fingerprint (as a signed long) its links reach."""
+    groups = components(links(prints, max_bits)).withColumnRenamed("node", "fp")
+    return prints.select("fp").distinct().join(groups, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
+
+
 def simhash_components(docs: DataFrame, text: str = "text", id_col: str = "doc_id", words: int = 3, max_bits: int = 3) -> DataFrame:
     """Per document: fingerprint (16 hexadecimal digits) and the smallest doc_id its links reach."""
     prints = materialize(fingerprints(docs, text, id_col, words))
-    groups = components(links(prints, max_bits))
-    first = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    rooted = first.join(groups.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    rooted = prints.groupBy("fp").agg(F.min("doc_id").alias("first")).join(_roots(prints, max_bits), "fp")
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     by_print = rooted.join(least, "root").select("fp", "component_id")
     return prints.join(by_print, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def drop_near_duplicates(docs: DataFrame, words: int = 3, max_bits: int = 3) -> DataFrame:
+    """One document of each component, with all its columns: that of the smallest doc_id (null last)."""
+    text = F.col("text").cast("string")
+    keyed = docs.select(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", F.xxhash64(text).alias("hash")).alias("key"), text.alias("text"))
+    prints = materialize(fingerprints(keyed, "text", "key", words))
+    first = prints.groupBy("fp").agg(F.min("doc_id").alias("key")).join(_roots(prints, max_bits), "fp")
+    kept = materialize(first.groupBy("root").agg(F.min("key").alias("key")).select("key.doc_id", "key.hash"))
+    here = [F.col("_id").eqNullSafe(F.col("doc_id")), F.col("_hash") == F.xxhash64(text)]
+    out = docs.join(kept.select(F.col("doc_id").alias("_id"), F.col("hash").alias("_hash")), here, "left_semi")
+    # a kept row may itself be there several times
+    if prints.select("doc_id.*").groupBy("doc_id", "hash").count().filter("count > 1").join(kept, ["doc_id", "hash"]).limit(1).count():
+        out = out.withColumn("_hash", F.xxhash64(text)).dropDuplicates(["doc_id", "_hash"]).drop("_hash")
+    return out
