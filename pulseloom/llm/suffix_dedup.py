@@ -35,14 +35,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions
-
 #: A perfect difference set modulo 91.
 PERIOD = 91
 COVER = (0, 1, 3, 9, 27, 49, 56, 61, 77, 81)
 
 #: Bits of a sample's name (a false tie costs work, not correctness) and of a suffix's.
 SAMPLE_BITS, SUFFIX_BITS = 40, 64
+#: Bytes of text for each part, and for each bucket (which then holds a name for each byte at most).
+PART_BYTES, BUCKET_BYTES = 12 << 20, 8 << 20
 #: Bytes of text hashed at a time.
 WORK = 1 << 19
 
@@ -294,12 +294,13 @@ def _merged(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return np.stack([starts[first], np.maximum.reduceat(ends, first)], axis=1)
 
 
-def repeated_bytes(docs: DataFrame, length: int = 200, text: str = "text", id_col: str = "doc_id") -> DataFrame:
+def repeated_bytes(docs: DataFrame, length: int = 200, text: str = "text", id_col: str = "doc_id", part_bytes: int = PART_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """Per document: bytes, bytes removed, maximal removed runs and the digest of what is left."""
-    spark = docs.sparkSession
-    n_parts = partitions(spark)
-    n_buckets = 4 * n_parts
     raw = F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary")
+    # tasks are sized by bytes: what a part or a bucket holds does not depend on the cluster
+    total = int(docs.agg(F.sum(F.length(raw).cast("long"))).first()[0] or 0)
+    n_parts = max(1, -(-total // part_bytes))
+    n_buckets = max(1, -(-total // bucket_bytes))
     dealt = docs.select(raw.alias("raw")).filter(F.length("raw") >= length).mapInArrow(_deal(n_parts, 16 << 20), _PART_SQL)
     parts = dealt.repartition(n_parts, "part")
 
