@@ -1,10 +1,467 @@
-"""Registered queries over the driver's tables, with DuckDB SQL for the same rows."""
+"""Registered queries over the driver's tables, with DuckDB SQL for the same rows.
+
+The tables stand in for the engine's inputs: ``events`` for scored posts, prints and minute bars (its naive times are market time),
+``conversations`` for posts with comments, ``documents`` for texts, ``pages`` for web pages. Rounding is half-even, as in the
+contract; dashboard values are rounded half up.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import labels, parse, sentiment, text, timefn
+from ..operators import bars, extensions, hourly_index, incremental, posts, series, validate
+from ..sources import html as html_source
+from ..sources import posts as post_source
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+#: Direction of an event seen as a post, and a small lexicon that fires on the driver's texts.
+DIRECTIONS = {"purchase": "positive", "error": "negative", "view": "neutral", "click": "mixed", "signup": "unrelated"}
+LEXICON = sentiment.Lexicon(positive=("the ", "ion", "bull"), negative=("ing", "der ", "short", "ing"), neutral=("que", "neutral"))
+
+
+def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[name] = f
+        if sql:
+            ORACLE_SQL[name] = sql
+        return f
+
+    return add
+
+
+def t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def stamp(c: Column) -> Column:
+    return F.concat(F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss"), F.lit(timefn.OFFSET))
+
+
+def ntz(c: str = "ts") -> Column:
+    return F.col(c).cast("timestamp_ntz")
+
+
+def event_posts(spark: SparkSession, d: str) -> DataFrame:
+    e = t(spark, d, "events")
+    direction = None
+    for k, v in DIRECTIONS.items():
+        arm = F.col("event_type") == k
+        direction = F.when(arm, v) if direction is None else direction.when(arm, v)
+    return e.select("event_id", ntz().alias("ts"), direction.alias("direction"), (F.col("user_id") % 5).alias("comment_count"), F.get_json_object("props", "$.k").cast("bigint").alias("k"))
+
+
+def event_ticks(spark: SparkSession, d: str) -> DataFrame:
+    return t(spark, d, "events").select(F.col("event_id").alias("pos"), ntz().alias("ts"), F.col("event_type").alias("instrument_id"), F.col("value").alias("price"))
+
+
+def tick_bars(spark: SparkSession, d: str) -> DataFrame:
+    """Hourly bars over all events, in order of time and id."""
+    ticks = event_ticks(spark, d)
+    return bars.hourly_ohlc(ticks.select("ts", "pos", *[F.col("price").alias(c) for c in ("open", "high", "low", "close")], F.lit(None).cast("double").alias("volume")), [], order=("pos",), session=False)
+
+
+def event_index(spark: SparkSession, d: str) -> DataFrame:
+    # whole-number confidences sum the same in any order
+    return hourly_index.hourly_index(event_posts(spark, d), timefn.hour_of(F.col("ts")), confidence="k")
+
+
+_STAMP = "strftime({0}, '%Y-%m-%dT%H:%M:%S+09:00')"
+_POSTS = """posts AS (
+  SELECT event_id, ts, CASE event_type WHEN 'purchase' THEN 'positive' WHEN 'error' THEN 'negative' WHEN 'view' THEN 'neutral' WHEN 'click' THEN 'mixed' WHEN 'signup' THEN 'unrelated' END AS direction,
+    user_id % 5 AS comment_count, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events)"""
+_INDEX = f"""{_POSTS}, g AS (
+  SELECT date_trunc('hour', ts) AS hour, count(*) AS post_count, CAST(sum(comment_count) AS BIGINT) AS comment_count,
+    count(*) FILTER (direction <> 'unrelated') AS n, sum(CASE direction WHEN 'positive' THEN 1.0::DOUBLE WHEN 'negative' THEN -1.0::DOUBLE WHEN 'unrelated' THEN NULL ELSE 0.0::DOUBLE END) AS total,
+    count(*) FILTER (direction = 'positive') AS pos, count(*) FILTER (direction = 'negative') AS neg, CAST(sum(k) FILTER (direction <> 'unrelated') AS BIGINT) AS conf FROM posts GROUP BY 1),
+idx AS (
+  SELECT hour, round_even(greatest(0.0::DOUBLE, least(100.0::DOUBLE, (total / nullif(n, 0) + 1.0::DOUBLE) * 50.0::DOUBLE)), 2) AS sentiment_index, n > 0 AS has_sentiment,
+    coalesce(round_even(pos::DOUBLE / nullif(n, 0), 4), 0.0) AS positive_ratio, coalesce(round_even(neg::DOUBLE / nullif(n, 0), 4), 0.0) AS negative_ratio,
+    coalesce(round_even((n - pos - neg)::DOUBLE / nullif(n, 0), 4), 0.0) AS neutral_ratio, post_count, comment_count, n AS analyzed_post_count,
+    coalesce(round_even(conf::DOUBLE / nullif(n, 0) * least(1.0::DOUBLE, n / 10.0::DOUBLE), 4), 0.0) AS confidence FROM g)"""
+_BARS = """bars AS (
+  SELECT date_trunc('hour', ts) AS hour, round_even(arg_min(value, (ts, event_id)), 4) AS open, round_even(max(value), 4) AS high, round_even(min(value), 4) AS low, round_even(arg_max(value, (ts, event_id)), 4) AS close,
+    CASE WHEN arg_min(value, (ts, event_id)) = 0 THEN 0.0 ELSE round_even((arg_max(value, (ts, event_id)) - arg_min(value, (ts, event_id))) / arg_min(value, (ts, event_id)) * 100, 4) END AS change_rate FROM events GROUP BY 1)"""
+_JOINED = f"""{_INDEX}, {_BARS}, joined AS (
+  SELECT b.hour, b.close, round_even(b.close / (SELECT CASE WHEN arg_min(close, hour) = 0 THEN 1.0 ELSE arg_min(close, hour) END FROM bars) * 100.0, 2) AS market_normalized, b.change_rate AS market_change_rate,
+    CASE WHEN i.has_sentiment THEN i.sentiment_index END AS sentiment_index, coalesce(i.has_sentiment, false) AS has_sentiment, coalesce(i.post_count, 0) AS post_count,
+    CASE WHEN i.has_sentiment THEN i.confidence ELSE 0.0 END AS confidence, coalesce(i.comment_count, 0) AS comment_count, coalesce(i.analyzed_post_count, 0) AS analyzed_post_count
+  FROM bars b LEFT JOIN idx i ON b.hour = i.hour AND i.hour >= (SELECT min(hour) + INTERVAL 6 HOUR FROM idx))"""
+
+
+def _shown(df: DataFrame) -> DataFrame:
+    return df.select(stamp(F.col("hour")).alias("timestamp"), *[c for c in df.columns if c != "hour"])
+
+
+@query("hourly_index", f"WITH {_INDEX} SELECT {_STAMP.format('hour')} AS timestamp, * EXCLUDE (hour) FROM idx")
+def q_index(spark: SparkSession, d: str) -> DataFrame:
+    return _shown(event_index(spark, d))
+
+
+@query("hourly_ohlc_ticks", f"WITH {_BARS} SELECT {_STAMP.format('hour')} AS timestamp, open, high, low, close, change_rate FROM bars")
+def q_ticks(spark: SparkSession, d: str) -> DataFrame:
+    return _shown(tick_bars(spark, d).drop("volume", "is_partial"))
+
+
+@query(
+    "ohlc_input_order",
+    f"""WITH r AS (SELECT event_type AS instrument_id, date_trunc('minute', ts) AS ts, value, event_id FROM events),
+one AS (SELECT instrument_id, ts, arg_max(value, event_id) AS price, min(event_id) AS ord FROM r GROUP BY 1, 2)
+SELECT {_STAMP.format("date_trunc('hour', ts)")} AS timestamp, instrument_id, round_even(arg_min(price, ord), 2) AS open, round_even(max(price), 2) AS high, round_even(min(price), 2) AS low, round_even(arg_max(price, ord), 2) AS close,
+  CASE WHEN arg_min(price, ord) = 0 THEN 0.0 ELSE round_even((arg_max(price, ord) - arg_min(price, ord)) / arg_min(price, ord) * 100, 4) END AS change_rate FROM one GROUP BY date_trunc('hour', ts), instrument_id""",
+)
+def q_order(spark: SparkSession, d: str) -> DataFrame:
+    e = event_ticks(spark, d).withColumn("ts", F.date_trunc("MINUTE", "ts").cast("timestamp_ntz"))
+    rows = e.select(F.lit("tick").alias("kind"), "ts", "instrument_id", F.lit("").alias("symbol"), "price", *[F.lit(None).cast("double").alias(c) for c in ("open", "high", "low", "close")], F.lit("index").alias("asset_type"), F.lit("").alias("file"), "pos")
+    out, _ = bars.hourly_from_rows(rows)
+    return out.select("timestamp", "instrument_id", "open", "high", "low", "close", "change_rate")
+
+
+_MINUTES = """m AS (SELECT date_trunc('minute', ts) AS ts, arg_min(value, (ts, event_id)) AS open, max(value) AS high, min(value) AS low, arg_max(value, (ts, event_id)) AS close,
+  CASE WHEN count(*) FILTER (event_type = 'error') = 0 THEN count(*)::DOUBLE END AS volume FROM events GROUP BY 1)"""
+
+
+def minute_bars(spark: SparkSession, d: str) -> DataFrame:
+    e = t(spark, d, "events").withColumn("ts", ntz())
+    at = F.struct("ts", "event_id")
+    return e.groupBy(F.date_trunc("MINUTE", "ts").cast("timestamp_ntz").alias("minute")).agg(
+        F.min_by("value", at).alias("open"), F.max("value").alias("high"), F.min("value").alias("low"), F.max_by("value", at).alias("close"),
+        F.when(F.count_if(F.col("event_type") == "error") == 0, F.count(F.lit(1)).cast("double")).alias("volume"),
+    ).withColumnRenamed("minute", "ts")
+
+
+@query(
+    "hourly_ohlc_session",
+    f"""WITH {_MINUTES} SELECT {_STAMP.format("date_trunc('hour', ts)")} AS timestamp, round_even(arg_min(open, ts), 4) AS open, round_even(max(high), 4) AS high, round_even(min(low), 4) AS low, round_even(arg_max(close, ts), 4) AS close,
+  CASE WHEN count(volume) = count(*) THEN round_even(sum(volume), 4) END AS volume, CASE WHEN arg_min(open, ts) = 0 THEN 0.0 ELSE round_even((arg_max(close, ts) - arg_min(open, ts)) / arg_min(open, ts) * 100, 4) END AS change_rate, hour(date_trunc('hour', any_value(ts))) = 15 AS is_partial
+FROM m WHERE hour(ts) * 60 + minute(ts) >= 540 AND hour(ts) * 60 + minute(ts) < 930 GROUP BY date_trunc('hour', ts)""",
+)
+def q_session(spark: SparkSession, d: str) -> DataFrame:
+    return _shown(bars.hourly_ohlc(minute_bars(spark, d), []))
+
+
+@query(
+    "keep_last_dedup",
+    """SELECT event_type, strftime(date_trunc('minute', ts), '%Y-%m-%d %H:%M:%S') AS minute, arg_max(value, event_id) AS value, max(event_id) AS last_id, min(event_id) AS first_id FROM events GROUP BY event_type, date_trunc('minute', ts)""",
+)
+def q_keep_last(spark: SparkSession, d: str) -> DataFrame:
+    e = t(spark, d, "events").select("event_type", F.date_format(F.date_trunc("MINUTE", ntz()), "yyyy-MM-dd HH:mm:ss").alias("minute"), "value", "event_id", F.col("event_id").alias("last_id"))
+    kept = bars.keep_last(e, ["event_type", "minute"], ["event_id"])
+    return kept.select("event_type", "minute", "value", "last_id", F.col("ord.event_id").alias("first_id"))
+
+
+def _upsert(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    e = t(spark, d, "events").select("event_type", F.date_format(F.date_trunc("MINUTE", ntz()), "yyyy-MM-dd HH:mm").alias("minute"), "value", F.col("event_id").alias("seq"), (F.col("event_id") % 7).cast("string").alias("observed_at"))
+    fresh = e.withColumns({"value": F.col("value") + 1, "observed_at": F.when(F.col("seq") % 3 == 0, "9").otherwise(F.col("observed_at"))})
+    return bars.merge_newest(e.filter("seq % 2 = 0"), fresh, ["event_type", "minute"])
+
+
+_UPSERT = """b AS (SELECT event_type, strftime(ts, '%Y-%m-%d %H:%M') AS minute, value, event_id AS seq, (event_id % 7)::VARCHAR AS observed_at, 0 AS side FROM events WHERE event_id % 2 = 0
+  UNION ALL SELECT event_type, strftime(ts, '%Y-%m-%d %H:%M'), value + 1, event_id, CASE WHEN event_id % 3 = 0 THEN '9' ELSE (event_id % 7)::VARCHAR END, 1 FROM events)"""
+
+
+@query("merge_newest_wins", f"WITH {_UPSERT} SELECT event_type, minute, value, seq, observed_at FROM b QUALIFY row_number() OVER (PARTITION BY event_type, minute ORDER BY observed_at DESC, side, seq) = 1")
+def q_merge(spark: SparkSession, d: str) -> DataFrame:
+    return _upsert(spark, d)[0].select("event_type", "minute", "value", "seq", "observed_at")
+
+
+@query(
+    "merge_replaced_count",
+    f"WITH {_UPSERT}, w AS (SELECT observed_at, max(observed_at) OVER (PARTITION BY event_type, minute ORDER BY side, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best FROM b) SELECT count(*) AS replaced FROM w WHERE observed_at > best",
+)
+def q_replaced(spark: SparkSession, d: str) -> DataFrame:
+    return _upsert(spark, d)[1]
+
+
+def joined(spark: SparkSession, d: str) -> DataFrame:
+    """Bars joined to an index that starts six hours late, so that all three cases occur."""
+    index = event_index(spark, d)
+    start = index.agg((F.min("hour") + F.make_interval(hours=F.lit(6))).alias("_from"))
+    late = index.crossJoin(F.broadcast(start)).filter("hour >= _from").drop("_from")
+    b = tick_bars(spark, d).select("hour", "close", "change_rate")
+    return hourly_index.join_market(b, late, ["hour"])
+
+
+@query("market_sentiment_join", f"WITH {_JOINED} SELECT {_STAMP.format('hour')} AS timestamp, * EXCLUDE (hour) FROM joined")
+def q_join(spark: SparkSession, d: str) -> DataFrame:
+    return _shown(joined(spark, d))
+
+
+@query("rebase_first_close", f"WITH {_BARS} SELECT {_STAMP.format('hour')} AS timestamp, floor(close / (SELECT arg_min(close, hour) FROM bars) * 10000 + 0.5) / 100 AS rebased FROM bars")
+def q_rebase(spark: SparkSession, d: str) -> DataFrame:
+    return _shown(series.rebase(tick_bars(spark, d).select("hour", "close"), "close", ["hour"]).select("hour", "rebased"))
+
+
+for _p, _h in series.PERIODS.items():
+
+    def _period(spark: SparkSession, d: str, period: str = _p) -> DataFrame:
+        return _shown(series.period_filter(tick_bars(spark, d).select("hour", "close"), F.col("hour"), period))
+
+    query(f"period_{_p}", f"WITH {_BARS} SELECT {_STAMP.format('hour')} AS timestamp, close FROM bars WHERE hour >= (SELECT max(hour) FROM bars) - INTERVAL {_h} HOUR")(_period)
+
+
+@query(
+    "divergence_points",
+    f"""WITH {_JOINED}, f AS (SELECT *, row_number() OVER (ORDER BY hour) - 1 AS x FROM joined WHERE hour >= (SELECT max(hour) FROM joined) - INTERVAL 168 HOUR)
+SELECT {_STAMP.format('hour')} AS timestamp, x, sentiment_index, market_change_rate FROM f WHERE sentiment_index IS NOT NULL AND market_change_rate <> 0 AND (CASE WHEN sentiment_index >= 50 THEN 1 ELSE -1 END) <> sign(market_change_rate)""",
+)
+def q_divergence(spark: SparkSession, d: str) -> DataFrame:
+    f = series.period_filter(joined(spark, d), F.col("hour"), "7d")
+    return _shown(series.divergence(f, "hour").select("hour", "x", "sentiment_index", "market_change_rate"))
+
+
+@query(
+    "lag_change",
+    f"""WITH {_JOINED}, w AS (SELECT hour, sentiment_index AS a, lag(sentiment_index) OVER (ORDER BY hour) AS b FROM joined)
+SELECT {_STAMP.format('hour')} AS timestamp, floor((a - b) * 10 + 0.5) / 10 AS change FROM w""",
+)
+def q_lag(spark: SparkSession, d: str) -> DataFrame:
+    return _shown(series.change(joined(spark, d).select("hour", "sentiment_index"), "hour", "sentiment_index").select("hour", "change"))
+
+
+@query(
+    "chart_series",
+    f"""WITH {_JOINED}, f AS (SELECT * FROM joined WHERE hour >= (SELECT max(hour) FROM joined) - INTERVAL 24 HOUR)
+SELECT strftime(hour, '%Y-%m-%dT%H:%M') AS label, sentiment_index, floor(market_normalized / (SELECT arg_min(market_normalized, hour) FROM f) * 10000 + 0.5) / 100 AS market_value FROM f""",
+)
+def q_chart(spark: SparkSession, d: str) -> DataFrame:
+    j = joined(spark, d).withColumn("timestamp", stamp(F.col("hour")))
+    return series.chart_series(j, F.col("hour"), "24h", order=["hour"]).select("label", "sentiment_index", "market_value")
+
+
+@query(
+    "label_bands",
+    f"""WITH {_JOINED} SELECT {_STAMP.format('hour')} AS timestamp, CASE WHEN sentiment_index IS NULL THEN '데이터 없음' WHEN sentiment_index >= 75 THEN '매우 긍정' WHEN sentiment_index >= 60 THEN '긍정' WHEN sentiment_index > 40 THEN '중립' WHEN sentiment_index > 25 THEN '부정' ELSE '강한 부정' END AS label,
+  CASE WHEN sentiment_index >= 60 THEN 'up' WHEN sentiment_index <= 40 THEN 'down' ELSE 'flat' END AS class FROM joined""",
+)
+def q_labels(spark: SparkSession, d: str) -> DataFrame:
+    j = joined(spark, d)
+    return _shown(j.select("hour", labels.sentiment_label(F.col("sentiment_index")).alias("label"), labels.sentiment_class(F.col("sentiment_index")).alias("class")))
+
+
+def _hits(words: tuple[str, ...]) -> str:
+    return " + ".join(f"contains(low, '{w}')::INT" for w in words)
+
+
+_SENT = f"""c AS (SELECT doc_id, text, lower(text) AS low FROM documents),
+h AS (SELECT doc_id, low, ('0x' || substr(md5(text), 1, 8))::BIGINT AS h, {_hits(LEXICON.positive)} AS p, {_hits(LEXICON.negative)} AS n, {_hits(LEXICON.neutral)} AS u FROM c),
+k AS (SELECT *, p + n + u AS total, CASE WHEN p + n + u = 0 THEN 'unrelated' WHEN p > n AND p > u THEN 'positive' WHEN n > p AND n > u THEN 'negative' WHEN p > 0 AND n > 0 THEN 'mixed' ELSE 'neutral' END AS direction FROM h),
+s AS (SELECT *, CASE WHEN total = 0 THEN 0.0::DOUBLE ELSE round_even(greatest(-1.0::DOUBLE, least(1.0::DOUBLE, (CASE direction WHEN 'positive' THEN p::DOUBLE / total WHEN 'negative' THEN -(n::DOUBLE / total) WHEN 'mixed' THEN (p - n)::DOUBLE / total ELSE 0.0::DOUBLE END) + ((h % 100)::DOUBLE / 1000.0::DOUBLE - 0.05::DOUBLE))), 4) END AS score FROM k)"""
+
+
+@query(
+    "lexicon_sentiment",
+    f"""WITH {_SENT} SELECT doc_id, direction, score, CASE WHEN total = 0 THEN 0.33 ELSE round_even(p::DOUBLE / total, 4) END::DOUBLE AS positive, CASE WHEN total = 0 THEN 0.33 ELSE round_even(n::DOUBLE / total, 4) END::DOUBLE AS negative, CASE WHEN total = 0 THEN 0.33 ELSE round_even(u::DOUBLE / total, 4) END::DOUBLE AS neutral,
+  direction = 'positive' AND n > 0 AND h % 10 < 2 AS sarcasm, CAST(greatest(0, least(100, round_even((score + 1.0::DOUBLE) * 50, 0))) AS INT) AS fear_greed, CASE WHEN total = 0 THEN 0.3 ELSE round_even(least(0.95::DOUBLE, 0.5::DOUBLE + total / 10.0::DOUBLE), 4) END::DOUBLE AS confidence FROM s""",
+)
+def q_sentiment(spark: SparkSession, d: str) -> DataFrame:
+    out = sentiment.analyze(t(spark, d, "documents").select("doc_id", "text"), F.col("text"), LEXICON)
+    return out.select("doc_id", "direction", "score", "positive", "negative", "neutral", "sarcasm", "fear_greed", "confidence")
+
+
+@query("md5_jitter", "SELECT doc_id, ('0x' || substr(md5(text), 1, 8))::BIGINT AS number, (('0x' || substr(md5(text), 1, 8))::BIGINT % 100)::DOUBLE / 1000.0::DOUBLE - 0.05::DOUBLE AS jitter FROM documents")
+def q_jitter(spark: SparkSession, d: str) -> DataFrame:
+    n = sentiment.text_number(F.col("text"))
+    return t(spark, d, "documents").select("doc_id", n.alias("number"), ((n % 100) / 1000.0 - 0.05).alias("jitter"))
+
+
+@query(
+    "market_targets",
+    """WITH c AS (SELECT doc_id, lower(text) AS low FROM documents), x AS (SELECT doc_id, concat_ws(',', CASE WHEN contains(low, '코스피') OR contains(low, 'kospi') OR contains(low, 'kospidaq') THEN 'KOSPI' END, CASE WHEN contains(low, '코스닥') OR contains(low, 'kosdaq') THEN 'KOSDAQ' END,
+  CASE WHEN contains(low, '나스닥') OR contains(low, 'nasdaq') OR contains(low, 'nas') THEN 'NASDAQ' END, CASE WHEN contains(low, '비트코인') OR contains(low, 'bitcoin') OR contains(low, 'btc') OR contains(low, 'crypto') THEN 'CRYPTO' END) AS s FROM c) SELECT doc_id, CASE WHEN s = '' THEN 'KOSPI' ELSE s END AS targets FROM x""",
+)
+def q_targets(spark: SparkSession, d: str) -> DataFrame:
+    return t(spark, d, "documents").select("doc_id", F.array_join(sentiment.market_targets(F.lower("text")), ",").alias("targets"))
+
+
+_SIGNED = """CASE event_id % 7 WHEN 0 THEN '+' || v WHEN 1 THEN '-' || v WHEN 2 THEN '--' || v WHEN 3 THEN ' ' || v || ' ' WHEN 4 THEN '+-' || v WHEN 5 THEN '' ELSE v END"""
+
+
+@query(
+    "parse_signed_price",
+    f"""WITH e AS (SELECT event_id, CAST(CAST(round(value * 100) AS BIGINT) AS VARCHAR) AS v FROM events), s AS (SELECT event_id, {_SIGNED} AS s FROM e),
+p AS (SELECT event_id, trim(s) AS s, TRY_CAST(trim(s) AS DOUBLE) AS f FROM s) SELECT event_id, CASE WHEN length(s) - length(replace(replace(s, '+', ''), '-', '')) <= 1 AND abs(f) > 0 THEN abs(f) END AS price, CASE WHEN length(s) - length(replace(replace(s, '+', ''), '-', '')) <= 1 AND f >= 0 THEN f END AS quantity FROM p""",
+)
+def q_price(spark: SparkSession, d: str) -> DataFrame:
+    v = F.round(F.col("value") * 100).cast("bigint").cast("string")
+    k = F.col("event_id") % 7
+    s = F.when(k == 0, F.concat(F.lit("+"), v)).when(k == 1, F.concat(F.lit("-"), v)).when(k == 2, F.concat(F.lit("--"), v)).when(k == 3, F.concat(F.lit(" "), v, F.lit(" "))).when(k == 4, F.concat(F.lit("+-"), v)).when(k == 5, "").otherwise(v)
+    return t(spark, d, "events").select("event_id", parse.price_magnitude(s).alias("price"), parse.nonnegative_number(s).alias("quantity"))
+
+
+@query(
+    "parse_counts",
+    "SELECT doc_id, CASE WHEN doc_id % 3 = 2 THEN NULL ELSE (CASE WHEN doc_id % 3 = 0 THEN n_chars ELSE -n_chars END) END AS signed, CASE WHEN doc_id % 3 = 2 THEN NULL WHEN doc_id % 3 = 0 THEN n_chars WHEN n_chars = 0 THEN 0 END AS nonnegative, n_chars AS digits FROM documents",
+)
+def q_counts(spark: SparkSession, d: str) -> DataFrame:
+    n = F.format_number(F.col("n_chars"), 0)
+    k = F.col("doc_id") % 3
+    s = F.when(k == 0, F.concat(F.lit("조회 "), n)).when(k == 1, F.concat(F.lit("-"), n)).otherwise(F.concat(F.lit("x"), n))
+    return t(spark, d, "documents").select("doc_id", parse.signed_int(s).alias("signed"), parse.nonnegative_int(s).alias("nonnegative"), parse.digits_int(s).alias("digits"))
+
+
+@query(
+    "normalize_ts",
+    f"""SELECT event_id, CASE WHEN event_id % 8 = 7 THEN NULL ELSE {_STAMP.format("date_trunc('second', CASE event_id % 8 WHEN 1 THEN ts + INTERVAL 9 HOUR WHEN 2 THEN date_trunc('minute', ts) WHEN 3 THEN ts + INTERVAL 4 HOUR WHEN 5 THEN date_trunc('day', ts) ELSE ts END)")} END AS timestamp FROM events""",
+)
+def q_normalize(spark: SparkSession, d: str) -> DataFrame:
+    ts, k = ntz(), F.col("event_id") % 8
+    f = lambda p: F.date_format(ts, p)
+    s = (
+        F.when(k == 0, f("yyyy-MM-dd'T'HH:mm:ss")).when(k == 1, F.concat(f("yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z"))).when(k == 2, f("yyyy/MM/dd HH:mm")).when(k == 3, F.concat(f("yyyy-MM-dd HH:mm:ss"), F.lit("+05:00")))
+        .when(k == 4, f("yyyyMMddHHmmss")).when(k == 5, f("yyyy-MM-dd")).when(k == 6, f("yyyyMMdd HHmmss")).otherwise(f("HH:mm"))
+    )
+    return t(spark, d, "events").select("event_id", timefn.iso(timefn.kst(s)).alias("timestamp"))
+
+
+_CLOSED = ", ".join(f"DATE '{x}'" for x in timefn.CLOSED)
+
+
+@query("trading_days", f"SELECT CAST(d AS DATE) AS day FROM range(DATE '2026-01-01', DATE '2027-01-01', INTERVAL 1 DAY) r(d) WHERE isodow(d) < 6 AND CAST(d AS DATE) NOT IN ({_CLOSED})")
+def q_days(spark: SparkSession, d: str) -> DataFrame:
+    return incremental.trading_days(spark, "2026-01-01", "2026-12-31")
+
+
+_M = "(hour(ts) * 60 + minute(ts))"
+
+
+@query("session_filter", f"SELECT event_id, {_STAMP.format(chr(34) + 'h' + chr(34))} AS bucket, hour(ts) = 15 AS is_partial, {_M} >= 920 AS auction FROM (SELECT *, date_trunc('hour', ts) AS h FROM events) WHERE {_M} >= 540 AND {_M} < 930 AND isodow(ts) < 6")
+def q_session_filter(spark: SparkSession, d: str) -> DataFrame:
+    ts = F.col("ts")
+    e = t(spark, d, "events").withColumn("ts", ntz()).filter(timefn.in_session(ts) & (F.weekday(ts) < 5))
+    return e.select("event_id", stamp(timefn.session_bucket(ts)).alias("bucket"), timefn.is_partial(ts).alias("is_partial"), timefn.in_closing_auction(ts).alias("auction"))
+
+
+_NAMES = " OR ".join(f"contains(identity, '{n}')" for n in bars.INDEX_NAMES)
+
+
+@query(
+    "identity_filter",
+    f"""WITH c AS (SELECT c_custkey, CASE c_custkey % 6 WHEN 0 THEN '' WHEN 1 THEN 'KOSPI200' WHEN 2 THEN '005930' ELSE c_name END AS i, CASE c_custkey % 4 WHEN 0 THEN '' WHEN 1 THEN 'kospi' ELSE c_mktsegment END AS s, CASE c_custkey % 5 WHEN 0 THEN ' Index' WHEN 1 THEN 'stock' ELSE NULL END AS a FROM customer),
+x AS (SELECT *, upper(trim(concat_ws(' ', i, s))) AS identity FROM c) SELECT c_custkey, CASE WHEN lower(trim(a)) IN ('index') THEN true WHEN lower(trim(a)) IN ('stock') THEN false WHEN identity = '' THEN true ELSE {_NAMES} END AS is_index FROM x""",
+)
+def q_identity(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("c_custkey")
+    c = t(spark, d, "customer").select(
+        "c_custkey", F.when(k % 6 == 0, "").when(k % 6 == 1, "KOSPI200").when(k % 6 == 2, "005930").otherwise(F.col("c_name")).alias("i"),
+        F.when(k % 4 == 0, "").when(k % 4 == 1, "kospi").otherwise(F.col("c_mktsegment")).alias("s"), F.when(k % 5 == 0, " Index").when(k % 5 == 1, "stock").alias("a"),
+    )
+    return c.select("c_custkey", bars.is_index(F.col("i"), F.col("s"), F.col("a")).alias("is_index"))
+
+
+_STRICT = """r AS (SELECT event_id, CASE WHEN event_id % 11 = 0 THEN 'provider' WHEN event_id % 13 = 0 THEN 'instrument' WHEN value < 20 THEN 'ohlc' END AS reject_reason FROM events)"""
+
+
+def _strict(spark: SparkSession, d: str) -> DataFrame:
+    v, k = F.col("value"), F.col("event_id")
+    e = t(spark, d, "events").select(
+        "event_id", F.when(k % 11 == 0, "other").otherwise("broker").alias("provider"), F.lit("index").alias("asset_type"), F.lit("real").alias("data_mode"), F.when(k % 13 == 0, "1001").otherwise("001").alias("instrument_id"),
+        F.lit("kospi").alias("symbol"), F.lit("KOSPI").alias("market"), v.alias("open"), F.when(v < 20, v - 1).otherwise(v + 1).alias("high"), (v - 1).alias("low"), v.alias("close"),
+    )
+    return validate.index_records(e, "broker")
+
+
+@query("strict_contract_rejects", f"WITH {_STRICT} SELECT event_id, reject_reason FROM r")
+def q_strict(spark: SparkSession, d: str) -> DataFrame:
+    return _strict(spark, d).select("event_id", "reject_reason")
+
+
+@query("row_counters", f"WITH {_STRICT} SELECT count(*) AS received, count(*) FILTER (reject_reason IS NULL) AS accepted, count(reject_reason) AS rejected FROM r")
+def q_counters(spark: SparkSession, d: str) -> DataFrame:
+    return validate.counters(_strict(spark, d))
+
+
+@query("content_hash", "SELECT doc_id, 'sha256:' || sha256(doc_id::VARCHAR || chr(31) || source || chr(31) || trim(regexp_replace(nfc_normalize(text), '\\s+', ' ', 'g'))) AS content_hash FROM documents")
+def q_hash(spark: SparkSession, d: str) -> DataFrame:
+    return t(spark, d, "documents").select("doc_id", text.content_hash(F.col("doc_id"), F.col("source"), F.col("text"), F.expr("cast(array() as array<string>)")).alias("content_hash"))
+
+
+@query("canonical_url", "SELECT page_id, regexp_extract(url, '^([^?#]*)', 1) || '?document_srl=' || (1000000 + page_id)::VARCHAR AS canonical, (1000000 + page_id)::VARCHAR AS document_id FROM pages")
+def q_url(spark: SparkSession, d: str) -> DataFrame:
+    srl = (1000000 + F.col("page_id")).cast("string")
+    bare = F.regexp_replace("url", "#.*", "")
+    u = F.concat(bare, F.when(F.contains(bare, F.lit("?")), "&").otherwise("?"), F.lit("page=3&document_srl="), srl, F.lit("&document_srl=7#top"))
+    return t(spark, d, "pages").select("page_id", parse.canonical_url(u, "https://site.example").alias("canonical"), parse.document_id(u).alias("document_id"))
+
+
+@query("comments_rollup", "SELECT conv_id, count(*) FILTER (turn > 0) AS comments, md5(concat_ws(' ', '', coalesce(max(text) FILTER (turn = 0), ''), coalesce(string_agg(coalesce(text, ''), ' ' ORDER BY turn, text) FILTER (turn > 0), ''))) AS digest FROM conversations GROUP BY conv_id")
+def q_rollup(spark: SparkSession, d: str) -> DataFrame:
+    th = post_source.threads(t(spark, d, "conversations"))
+    return th.select("conv_id", F.size("comments").cast("long").alias("comments"), F.md5(sentiment.full_text(F.lit(""), F.col("body"), F.col("comments")).cast("binary")).alias("digest"))
+
+
+@query("incremental_plan", "SELECT strftime(greatest(DATE '2024-01-01', CAST(max(ts) - INTERVAL 8 HOUR AS DATE)), '%Y-%m-%d') AS effective_from FROM (SELECT date_trunc('hour', ts) AS ts FROM events)")
+def q_plan(spark: SparkSession, d: str) -> DataFrame:
+    latest = incremental.latest_timestamp(_shown(tick_bars(spark, d).select("hour")))
+    return spark.createDataFrame([(incremental.effective_from("2024-01-01", "2026-12-31", latest),)], "effective_from string")
+
+
+@query("topk_select", "SELECT page_id, post_id, title FROM (SELECT page_id, page_id::VARCHAR AS post_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title FROM pages) WHERE title <> '' AND NOT contains(lower(title), 'notice') AND NOT contains(lower(title), 'ad ') AND NOT contains(title, '공지') AND NOT contains(title, '광고') ORDER BY page_id LIMIT 5")
+def q_topk(spark: SparkSession, d: str) -> DataFrame:
+    p = t(spark, d, "pages").select("page_id", F.col("page_id").cast("string").alias("post_id"), F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"))
+    return posts.select_posts(p, 5, "page_id")
+
+
+@query("html_titles", "SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title FROM pages")
+def q_titles(spark: SparkSession, d: str) -> DataFrame:
+    return t(spark, d, "pages").select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"))
+
+
+@query("html_links")
+def q_links(spark: SparkSession, d: str) -> DataFrame:
+    return html_source._parse(t(spark, d, "pages").select("page_id", "html"), html_source.board_list, ["page_id"]).select("page_id", "pos", "url", "title")
+
+
+@query("greedy_dedup")
+def q_greedy(spark: SparkSession, d: str) -> DataFrame:
+    p = t(spark, d, "documents").select(F.col("doc_id").alias("pos"), (F.col("doc_id") % 97 * 1000 + F.floor(F.col("doc_id") / 3) % 10).cast("string").alias("post_id"), F.concat(F.lit("/"), (F.col("doc_id") / 2).cast("long")).alias("url"), F.md5("text").alias("content_hash"))
+    return posts.greedy_dedup(p).select("pos", "dropped_by")
+
+
+@query(
+    "http_status",
+    "SELECT page_id, CASE WHEN s IS NULL THEN 'network_error' WHEN s BETWEEN 200 AND 299 THEN (CASE WHEN contains(lower(substr(html, 1, 2000)), 'captcha') THEN 'captcha' ELSE 'ok' END) WHEN s IN (401, 403) THEN 'forbidden' WHEN s IN (404, 410) THEN 'deleted' WHEN s = 429 THEN 'rate_limited' WHEN s BETWEEN 500 AND 599 THEN 'server_error' ELSE 'client_error' END AS status FROM (SELECT page_id, html, CASE WHEN page_id % 9 = 0 THEN NULL ELSE 200 + (page_id % 400) END AS s FROM pages)",
+)
+def q_status(spark: SparkSession, d: str) -> DataFrame:
+    s = F.when(F.col("page_id") % 9 != 0, 200 + F.col("page_id") % 400)
+    return t(spark, d, "pages").select("page_id", parse.http_status(s, F.col("html")).alias("status"))
+
+
+@query("pipeline_summary", f"WITH {_POSTS} SELECT count(*) AS posts, CAST(sum(comment_count) AS BIGINT) AS comments, round_even(sum(k)::DOUBLE / count(*), 4) AS mean_confidence, {_STAMP.format('min(ts)')} AS first_seen, {_STAMP.format('max(ts)')} AS last_seen FROM posts")
+def q_summary(spark: SparkSession, d: str) -> DataFrame:
+    p = event_posts(spark, d)
+    return p.agg(F.count(F.lit(1)).alias("posts"), F.sum("comment_count").alias("comments"), F.bround(F.sum("k") / F.count(F.lit(1)), 4).alias("mean_confidence"), stamp(F.min("ts")).alias("first_seen"), stamp(F.max("ts")).alias("last_seen"))
+
+
+@query("ext_macro_f1", """WITH p AS (SELECT quality AS t, toxic AS g FROM labels), k AS (SELECT t AS k FROM p UNION SELECT g FROM p), s AS (SELECT k, (SELECT count(*) FROM p WHERE t = k) AS pos, (SELECT count(*) FROM p WHERE t = k AND g = k) AS hit, (SELECT count(*) FROM p WHERE g = k) AS said FROM k)
+SELECT round_even(sum(hit)::DOUBLE / sum(pos), 6) AS accuracy, round_even(avg(CASE WHEN pos + said = 0 THEN 0.0::DOUBLE ELSE 2.0::DOUBLE * hit / (pos + said) END), 6) AS macro_f1 FROM s""")
+def q_f1(spark: SparkSession, d: str) -> DataFrame:
+    return extensions.ext_macro_f1(t(spark, d, "labels"), "quality", "toxic")
+
+
+@query("ext_forward_change", f"WITH {_BARS} SELECT {_STAMP.format('a.hour')} AS timestamp, round_even((b.close - a.close) / nullif(a.close, 0) * 100, 4) AS change_60m FROM bars a LEFT JOIN bars b ON b.hour = a.hour + INTERVAL 1 HOUR")
+def q_forward(spark: SparkSession, d: str) -> DataFrame:
+    return _shown(extensions.ext_forward_change(tick_bars(spark, d).select("hour", "close"), "hour", "close", (60,)).select("hour", "change_60m"))
+
+
+@query("ext_as_of", f"WITH {_BARS} SELECT e.event_id, b.close AS last_close FROM events e ASOF LEFT JOIN bars b ON e.ts >= b.hour + INTERVAL 1 HOUR")
+def q_asof(spark: SparkSession, d: str) -> DataFrame:
+    # partitioned by day so that no task holds the series; the first hours of a day look back through the day before's close
+    right = tick_bars(spark, d).select((F.col("hour") + F.make_interval(hours=F.lit(1))).alias("ts"), "close")
+    left = t(spark, d, "events").select("event_id", ntz().alias("ts"))
+    day = F.to_date("ts")
+    carry = right.groupBy(day.alias("day")).agg(F.max_by("close", "ts").alias("c"))
+    from pyspark.sql import Window
+
+    days = left.select(day.alias("day")).distinct().join(carry, "day", "full").withColumn("close", F.last("c", ignorenulls=True).over(Window.orderBy("day").rowsBetween(Window.unboundedPreceding, -1)))
+    edges = days.filter("close is not null").select(F.col("day").cast("timestamp_ntz").alias("ts"), "day", "close")
+    # an edge never beats a bar at the same instant
+    edges = edges.join(right.select("ts"), "ts", "left_anti")
+    r = right.withColumn("day", day).unionByName(edges.select("ts", "close", "day"))
+    return extensions.ext_as_of(left.withColumn("day", day), r, ["day"], "ts", "close", "last_close").select("event_id", "last_close")
