@@ -45,7 +45,7 @@ def source_targets(sizes: DataFrame, max_repeats: int = 3) -> DataFrame:
     level = F.when(left > 0, (F.col("total") - taken) / left).otherwise(0.0)
     w = w.withColumn("target", F.when(F.col("full"), F.col("cap")).otherwise(level * F.col("weight")))
     running = Window.orderBy("skey")
-    w = w.withColumn("hi", F.sum("target").over(running) / F.col("total"))
+    w = w.withColumn("hi", F.coalesce(F.try_divide(F.sum("target").over(running), F.col("total")), F.lit(0.0)))
     w = w.withColumn("lo", F.coalesce(F.lag("hi").over(running), F.lit(0.0)))
     w = w.withColumn("hi", F.when(F.row_number().over(Window.orderBy(F.col("skey").desc())) == 1, 2.0).otherwise(F.col("hi")))
     return w.select("skey", "source_size", "target", "lo", "hi")
