@@ -17,6 +17,7 @@ classes every score is the share of label 1 (or 0.5); repeated rows come out onc
 from __future__ import annotations
 
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -51,11 +52,17 @@ class Model:
         y = np.array([r[0] for r in rows], np.int64)
         if len(set(y.tolist())) < 2:
             return
-        docs = [_WORD.findall(t.lower()) for _, t in rows]
         n = np.bincount(y, minlength=2)
+        # texts are split again in each pass, and clean texts count only what toxic ones have: the driver's memory stays small
         seen = (Counter(), Counter())
-        for label, words in zip(y.tolist(), docs, strict=True):
-            seen[label].update({f for w in set(words) for f in traits(w)})
+        for label in (1, 0):
+            for k, t in rows:
+                if k == label:
+                    own = {f for w in set(_WORD.findall(t.lower())) for f in traits(w)}
+                    seen[label].update(own if label else own & seen[1].keys())
+            if label:
+                for f in [f for f, c in seen[1].items() if c < min_docs]:
+                    del seen[1][f]
         found = []
         for f, a in seen[1].items():
             b = seen[0][f]
@@ -66,16 +73,19 @@ class Model:
         self.lexicon = {f: i for i, (_, f) in enumerate(sorted(found)[:traits_kept])}
         size = len(self.lexicon)
         # sparse evidence: positions and traits that fire there
-        pos, trait, lengths, labels, at = [], [], [], [], 0
-        for label, words in zip(y.tolist(), docs, strict=True):
+        pos, trait, lengths, sizes, at = array("q"), array("q"), [], [], 0
+        labels = array("b")
+        for label, t in rows:
+            words = _WORD.findall(t.lower())
             for w in words:
                 own = [self.lexicon[f] for f in traits(w) if f in self.lexicon]
-                pos += [at] * len(own)
-                trait += own
+                pos.extend([at] * len(own))
+                trait.extend(own)
                 labels.append(int(bool(own) and label == 1))
                 at += 1
             whole, rest = divmod(len(words), _SEGMENT)
             lengths += [_SEGMENT] * whole + [rest] * bool(rest)
+            sizes.append(len(words))
         pos, trait = np.array(pos, np.int64), np.array(trait, np.int64)
         labels, lengths = np.array(labels, np.int64), np.array(lengths, np.int64)
         hit = np.zeros(at)
@@ -93,7 +103,7 @@ class Model:
             return np.concatenate([np.bincount(trait, g[pos], minlength=size), [g @ before, g @ after, g.sum()]])
 
         self.w, self.trans = crf.fit(unary, back, size + 3, labels, lengths, rounds=60, rate=0.25, ridge=1e-7)
-        by_doc = np.array([len(d) for d in docs], np.int64)
+        by_doc = np.array(sizes, np.int64)
         p = crf.marginals(unary(self.w), by_doc, self.trans)
         x = self.document(p, by_doc)
         rates = np.bincount(y, minlength=2) / len(y)
