@@ -31,7 +31,7 @@ def js_round(value: Column, digits: int = 0) -> Column:
 
 def change_text(now: Column, before: Column) -> Column:
     delta = js_round(now - before, 1)
-    shown = F.concat(F.when(delta > 0, "+").otherwise(""), F.format_string("%.1f", delta))
+    shown = F.concat(F.when(delta > 0, "+").otherwise(""), F.when(delta.isNotNull(), F.format_string("%.1f", delta)))
     return F.concat(F.lit(CHANGE), F.coalesce(shown, F.lit(DASH)))
 
 

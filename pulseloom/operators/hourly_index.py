@@ -27,7 +27,8 @@ def hourly_index(posts: DataFrame, hour: Column, direction: str = "direction", c
     share = lambda c: F.coalesce(F.bround(c / n, 4), F.lit(0.0))
     return g.select(
         "hour",
-        F.bround(F.greatest(F.lit(0.0), F.least(F.lit(100.0), (F.col("total") / n + 1.0) * 50.0)), 2).alias("sentiment_index"),
+        # greatest and least pass over NULL
+        F.when(F.col("analyzed") > 0, F.bround(F.greatest(F.lit(0.0), F.least(F.lit(100.0), (F.col("total") / n + 1.0) * 50.0)), 2)).alias("sentiment_index"),
         (F.col("analyzed") > 0).alias("has_sentiment"),
         share(F.col("pos")).alias("positive_ratio"), share(F.col("neg")).alias("negative_ratio"), share(F.col("analyzed") - F.col("pos") - F.col("neg")).alias("neutral_ratio"),
         "post_count", "comment_count", F.col("analyzed").alias("analyzed_post_count"),

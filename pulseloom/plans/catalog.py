@@ -81,7 +81,7 @@ _INDEX = f"""{_POSTS}, g AS (
     count(*) FILTER (direction <> 'unrelated') AS n, sum(CASE direction WHEN 'positive' THEN 1.0::DOUBLE WHEN 'negative' THEN -1.0::DOUBLE WHEN 'unrelated' THEN NULL ELSE 0.0::DOUBLE END) AS total,
     count(*) FILTER (direction = 'positive') AS pos, count(*) FILTER (direction = 'negative') AS neg, CAST(sum(k) FILTER (direction <> 'unrelated') AS BIGINT) AS conf FROM posts GROUP BY 1),
 idx AS (
-  SELECT hour, round_even(greatest(0.0::DOUBLE, least(100.0::DOUBLE, (total / nullif(n, 0) + 1.0::DOUBLE) * 50.0::DOUBLE)), 2) AS sentiment_index, n > 0 AS has_sentiment,
+  SELECT hour, CASE WHEN n > 0 THEN round_even(greatest(0.0::DOUBLE, least(100.0::DOUBLE, (total / nullif(n, 0) + 1.0::DOUBLE) * 50.0::DOUBLE)), 2) END AS sentiment_index, n > 0 AS has_sentiment,
     coalesce(round_even(pos::DOUBLE / nullif(n, 0), 4), 0.0) AS positive_ratio, coalesce(round_even(neg::DOUBLE / nullif(n, 0), 4), 0.0) AS negative_ratio,
     coalesce(round_even((n - pos - neg)::DOUBLE / nullif(n, 0), 4), 0.0) AS neutral_ratio, post_count, comment_count, n AS analyzed_post_count,
     coalesce(round_even(conf::DOUBLE / nullif(n, 0) * least(1.0::DOUBLE, n / 10.0::DOUBLE), 4), 0.0) AS confidence FROM g)"""

@@ -8,9 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.sentiment import create_provider, full_text
-from ..functions.timefn import hour_of, kst
+from ..functions.timefn import hour_of, iso, kst
 from ..operators.hourly_index import hourly_index, join_market, overnight
-from ..sinks import dashboard_payload, records, to_contract, write_json
+from ..sinks import METHODOLOGY, dashboard_payload, records, to_contract, write_json
 from ..sources import html, market_files, posts
 from ..sources.posts import effective_time
 
@@ -87,12 +87,12 @@ def run(spark: SparkSession, c: Config, output: str | None = None) -> dict:
     b = bars.withColumn("hour", hour_of(kst(F.col("timestamp"))))
     joined = join_market(b, index, ["instrument_id", "symbol", "timestamp"]).orderBy("instrument_id", "symbol", "timestamp")
     shown = joined.select("timestamp", "market", "instrument_id", "symbol", "sentiment_index", "has_sentiment", "market_normalized", "market_change_rate", "post_count", "confidence", "data_mode", "comment_count", "analyzed_post_count")
-    total = summary(scored, bars, index, shown) | {"communitySource": c.community, "provider": c.sentiment, "lastUpdated": c.as_of}
+    total = summary(scored, bars, index, shown) | {"communitySource": c.community, "provider": c.sentiment, "lastUpdated": c.as_of, "methodologyVersion": METHODOLOGY}
     rows = records(to_contract(shown))
     payload = dashboard_payload(rows, None, total)
     if output:
         write_json(spark, payload, f"{output}/api/data.json")
-        whole = {"marketRecords": records(to_contract(bars)), "indices": records(to_contract(index.drop("hour").withColumn("timestamp", F.date_format(index["hour"], "yyyy-MM-dd'T'HH:mm:ss+09:00")))), "joined": rows, "overnight": overnight()["overnight"], "summary": total}
+        whole = {"marketRecords": records(to_contract(bars)), "indices": records(to_contract(index.withColumn("timestamp", iso(F.col("hour"))).drop("hour"))), "joined": rows, "overnight": overnight()["overnight"], "summary": total}
         write_json(spark, whole, f"{output}/pipeline_output.json")
     scored.unpersist()
     index.unpersist()

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .schemas import camel
 
+METHODOLOGY = "hourly-index-v1"
 UNAVAILABLE = {"status": "unavailable", "reason": "real_session_data_not_available"}
 
 
@@ -83,7 +84,7 @@ def records(df: DataFrame) -> list[dict]:
     return [json.loads(r[0]) for r in df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"})).collect()]
 
 
-def dashboard_payload(joined: list[dict], overnight: dict | None = None, summary: dict | None = None, methodology: str = "hourly-index-v1") -> dict:
+def dashboard_payload(joined: list[dict], overnight: dict | None = None, summary: dict | None = None, methodology: str = METHODOLOGY) -> dict:
     """Payload of the dashboard; what the caller gives is never overwritten, what is missing gets defaults."""
     s = {"methodologyVersion": methodology, "dataMode": "unavailable", "provider": ""}
     if joined:

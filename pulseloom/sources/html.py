@@ -240,7 +240,8 @@ def _parse(pages: DataFrame, parser: Callable[[str], list[dict]], keep: list[str
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [x.split(" ")[0] for x in re.split(r", (?=\w+ )", POST)]
         for b in batches:
-            rows = [(*own, i, *(p[c] for c in names)) for own, html in zip(b[keep].itertuples(index=False), b["html"], strict=True) for i, p in enumerate(parser(html))]
+            kept = b[keep].itertuples(index=False) if keep else [()] * len(b)
+            rows = [(*own, i, *(p[c] for c in names)) for own, html in zip(kept, b["html"], strict=True) for i, p in enumerate(parser(html))]
             yield pd.DataFrame(rows, columns=[*keep, "pos", *names])
 
     kept = ", ".join(f"`{c}` {pages.schema[c].dataType.simpleString()}" for c in keep)

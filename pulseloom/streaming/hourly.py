@@ -21,7 +21,7 @@ def ext_stream_index(posts: DataFrame, ts: str = "ts", late: str = "8 hours") ->
     g = p.groupBy(F.window("_t", "1 hour")).agg(F.count(F.lit(1)).alias("post_count"), F.count("_s").alias("analyzed_post_count"), F.avg("_s").alias("mean"), F.avg(F.when(F.col("_s").isNotNull(), F.col("confidence"))).alias("conf"))
     n = F.col("analyzed_post_count")
     return g.select(
-        F.col("window.start").alias("hour"), "post_count", "analyzed_post_count", F.bround(F.greatest(F.lit(0.0), F.least(F.lit(100.0), (F.col("mean") + 1) * 50)), 2).alias("sentiment_index"),
+        F.col("window.start").alias("hour"), "post_count", "analyzed_post_count", F.when(n > 0, F.bround(F.greatest(F.lit(0.0), F.least(F.lit(100.0), (F.col("mean") + 1) * 50)), 2)).alias("sentiment_index"),
         F.coalesce(F.bround(F.col("conf") * F.least(F.lit(1.0), n / float(FULL_SAMPLE)), 4), F.lit(0.0)).alias("confidence"),
     )
 
