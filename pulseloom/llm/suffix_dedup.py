@@ -199,50 +199,45 @@ class Part:
         self.starts = np.concatenate([[0], np.cumsum(self.sizes)])
         self.data = np.frombuffer(b"".join(text[k] for k in self.keys), np.uint8)
 
-    def spans(self) -> Iterator[tuple[int, int]]:
-        """Runs of documents of about WORK bytes: first and last-but-one."""
-        a = 0
-        while a < len(self.keys):
-            b = max(a + 1, int(np.searchsorted(self.starts, self.starts[a] + WORK, side="right")) - 1)
-            yield a, b
-            a = b
-
-    def names(self, a: int, b: int) -> Names:
-        n = int(self.starts[b] - self.starts[a])
-        if not hasattr(self, "powers") or len(self.powers[0][0]) < n + 1:
-            self.powers = _powers(max(n + 1, 2 * WORK))
-        return Names(self.data[self.starts[a] : self.starts[b]], self.powers)
+    def chunks(self, length: int) -> Iterator[tuple[int, int, Names]]:
+        """Runs of WORK offsets of the part, and names of what starts in them; a long document spans many."""
+        total = len(self.data)
+        powers = _powers(min(total, WORK + length) + 1)
+        for lo in range(0, total, WORK):
+            hi = min(lo + WORK, total)
+            yield lo, hi, Names(self.data[lo : min(hi + length, total)], powers)
 
     def samples(self, length: int) -> tuple[np.ndarray, np.ndarray]:
         """Offsets of the cover samples in the part, and their names."""
         tied = length - PERIOD + 1
+        cover = np.array(COVER)
         where, what = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
-        for a, b in self.spans():
-            base = int(self.starts[a])
+        for lo, hi, names in self.chunks(length):
             rows = []
-            for d in range(a, b):
-                room = int(self.sizes[d]) - tied
-                if room >= 0:
-                    p = (np.arange(0, room + 1, PERIOD)[:, None] + np.array(COVER)).ravel()
-                    rows.append(p[p <= room] + int(self.starts[d]))
+            first = int(np.searchsorted(self.starts, lo, side="right")) - 1
+            for d in range(first, int(np.searchsorted(self.starts, hi))):
+                s = int(self.starts[d])
+                a, b = max(lo - s, 0), min(hi - s, int(self.sizes[d]) - tied + 1)
+                if a < b:
+                    p = (np.arange(a - a % PERIOD, b, PERIOD)[:, None] + cover).ravel()
+                    rows.append(p[(p >= a) & (p < b)] + s)
             if rows:
                 at = np.concatenate(rows)
                 where.append(at)
-                what.append(self.names(a, b).at(at - base, tied) >> np.uint64(64 - SAMPLE_BITS))
+                what.append(names.at(at - lo, tied) >> np.uint64(64 - SAMPLE_BITS))
         return np.concatenate(where), np.concatenate(what)
 
     def suffixes(self, runs: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
         """Offsets in the runs (start, end pairs) and the names of the strings that start there."""
         where, what = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
-        for a, b in self.spans():
-            lo, hi = int(self.starts[a]), int(self.starts[b])
-            i, j = np.searchsorted(runs[:, 0], [lo, hi])
+        for lo, hi, names in self.chunks(length):
+            i, j = int(np.searchsorted(runs[:, 1], lo, side="right")), int(np.searchsorted(runs[:, 0], hi))
             if i < j:
-                r = runs[i:j]
-                n = r[:, 1] - r[:, 0]
-                at = np.repeat(r[:, 0] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(int(n.sum()))
+                first, last = np.maximum(runs[i:j, 0], lo), np.minimum(runs[i:j, 1], hi)
+                n = last - first
+                at = np.repeat(first - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(int(n.sum()))
                 where.append(at)
-                what.append(self.names(a, b).at(at - lo, length))
+                what.append(names.at(at - lo, length))
         return np.concatenate(where), np.concatenate(what)
 
 

@@ -59,6 +59,20 @@ def test_repeated_bytes(spark):
     for part_bytes, bucket_bytes in ((12 << 20, 8 << 20), (2000, 3000)):
         got = {r.doc_id: tuple(r)[1:] for r in repeated_bytes(d, part_bytes=part_bytes, bucket_bytes=bucket_bytes).collect()}
         assert [got[i] for i in range(len(texts))] == want
+    # documents and runs that span several chunks of work
+    from pulseloom.llm import suffix_dedup
+
+    rows = [(t or "").encode() for t in sorted(set(texts) - {None})]
+    table = suffix_dedup._rows([(0, b"".join(hashlib.md5(r).digest() for r in rows), np.ones(len(rows), "<i8").tobytes(), np.array([len(r) for r in rows], "<i8").tobytes(), __import__("zstandard").compress(b"".join(rows)))], suffix_dedup._PART_FIELDS)
+    work, seen = suffix_dedup.WORK, []
+    try:
+        for suffix_dedup.WORK in (work, 97):
+            p = suffix_dedup.Part(table)
+            runs = np.array([[p.starts[d], p.starts[d + 1] - 199] for d in range(len(rows)) if p.sizes[d] >= 200])
+            seen.append([x.tolist() for x in (*p.samples(200), *p.suffixes(runs, 200))])
+    finally:
+        suffix_dedup.WORK = work
+    assert seen[0] == seen[1]
     twice = docs(spark, texts[1], texts[1], ids=[5, 5])
     assert [r.n_removed for r in repeated_bytes(twice).collect()] == [w[1] for w in removed([texts[1]] * 2)]
     assert repeated_bytes(d.limit(0)).count() == 0
