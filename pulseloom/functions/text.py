@@ -14,8 +14,9 @@ def _compose(s: pd.Series) -> pd.Series:
 
 
 def _nfc(text: Column) -> Column:
-    # made on use: workers import this module without a session
-    return F.pandas_udf(_compose, "string")(text)
+    # made on use: workers import this module without a session. Texts below U+0300 are composed
+    # already: they stay in the JVM, and the worker gets NULL for them.
+    return F.coalesce(F.pandas_udf(_compose, "string")(F.when(text.rlike("[^\\x00-\u02FF]"), text)), text)
 
 
 def tidy(text: Column) -> Column:

@@ -12,6 +12,8 @@ OFFSET = "+09:00"
 _OFFSET_MINUTES = 540
 
 _DASHED = r"^(\d{4}-\d{2}-\d{2})(?:[T ](\d{2})(?::?(\d{2})(?::?(\d{2})(?:[.,](\d{1,6})\d*)?)?)?(Z|[+-]\d{2}(?::?\d{2})?)?)?$"
+_USUAL = r"^\d{4}-\d{2}-\d{2}(?:[T ]\d{2}:\d{2}(?::\d{2}(?:[.,]\d{1,6})?)?(?:Z|[+-]\d{2}:?\d{2})?)?$"
+_SUFFIX = r"[T ]\d{2}:[^Z+-]*(Z|[+-]\d{2}:?\d{2})$"
 _SLASHED = r"^(\d{4})[/-](\d{1,2})[/-](\d{1,2}) (\d{1,2}):(\d{1,2})(?::(\d{1,2}))?$"
 _PLAIN = r"^(\d{4})(\d{2})(\d{2})(?:[T ]?(\d{2})(\d{2})(\d{2}))?$"
 
@@ -42,14 +44,21 @@ def kst(value: Column) -> Column:
     moved = F.when(zone == "", local).otherwise(local + F.make_interval(mins=F.lit(_OFFSET_MINUTES) - minutes))
     slashed = _ntz(F.concat_ws("-", part(_SLASHED, 1), F.lpad(part(_SLASHED, 2), 2, "0"), F.lpad(part(_SLASHED, 3), 2, "0")), part(_SLASHED, 4), part(_SLASHED, 5), part(_SLASHED, 6))
     plain = _ntz(F.concat_ws("-", part(_PLAIN, 1), part(_PLAIN, 2), part(_PLAIN, 3)), part(_PLAIN, 4), part(_PLAIN, 5), part(_PLAIN, 6))
-    return F.when(text.rlike(_DASHED), moved).when(text.rlike(_SLASHED), slashed).when(text.rlike(_PLAIN), plain)
+    # the usual shapes go through one cast; the other forms are taken apart
+    suffix = F.regexp_extract(text, _SUFFIX, 1)
+    naive = F.replace(F.substr(text, F.lit(1), F.length(text) - F.length(suffix)), F.lit(","), F.lit(".")).try_cast("timestamp_ntz")
+    sign = F.when(F.substring(suffix, 1, 1) == "-", -1).otherwise(1)
+    shift = F.when(suffix == "Z", 0).otherwise(sign * (F.substring(suffix, 2, 2).try_cast("int") * 60 + F.substring(suffix, -2, 2).try_cast("int")))
+    usual = F.when(suffix == "", naive).otherwise(naive + F.make_interval(mins=F.lit(_OFFSET_MINUTES) - shift))
+    return F.when(text.rlike(_USUAL), usual).when(text.rlike(_DASHED), moved).when(text.rlike(_SLASHED), slashed).when(text.rlike(_PLAIN), plain)
 
 
 def iso(ts: Column) -> Column:
     """ISO text with the offset; microseconds only where there are any."""
-    whole = F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss")
-    micros = F.date_format(ts, "SSSSSS")
-    return F.concat(F.when(micros == "000000", whole).otherwise(F.concat(whole, F.lit("."), micros)), F.lit(OFFSET))
+    text = ts.cast("timestamp_ntz").cast("string")
+    fraction = F.substr(text, F.lit(20))
+    whole = F.replace(F.substring(text, 1, 19), F.lit(" "), F.lit("T"))
+    return F.concat(whole, F.when(fraction == "", "").otherwise(F.rpad(fraction, 7, "0")), F.lit(OFFSET))
 
 
 def hour_of(ts: Column) -> Column:

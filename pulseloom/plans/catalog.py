@@ -41,7 +41,7 @@ def t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def stamp(c: Column) -> Column:
-    return F.concat(F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss"), F.lit(timefn.OFFSET))
+    return timefn.iso(c)
 
 
 def ntz(c: str = "ts") -> Column:
