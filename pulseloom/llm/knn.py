@@ -5,12 +5,12 @@ summaries are kept: the largest distance of a member from the pivot, and the k +
 By Cauchy-Schwarz a member x of a cell with pivot p has q.p - |q| |x - p| <= q.x <= q.p + |q| |x - p|.
 The left side, over the cells' nearest members, bounds a query's k-th best score from
 below; a cell whose right side is under that bound holds nothing for it. The bounds are taken
-per query group (the queries of a cell): a cell goes to a group only if some
+per query group (the queries of neighbouring cells): a cell goes to a group only if some
 query of the group needs it. Cells and groups are cut into blocks of bounded size, so a cell that holds a third of
 all rows is solved in many tasks; each block keeps its k best per query, and a last ranking merges them.
 
 Every vector with finite components is indexed, scores are exact 64-bit integers, ties go to the smaller id. Defined
-cases: null vectors, and those with null or non-finite components, take no part; vectors pair with those of their own
+cases: null vectors, and those with null or non-finite components (or integers beyond 64 bits), take no part; vectors pair with those of their own
 length only; empty vectors score 0 with one another; repeated ids are rows of their own (a query meets every row with another id); an empty table
 gives no rows.
 """
@@ -28,7 +28,7 @@ from .common import materialize
 
 K, PIVOTS = 5, 64
 #: Rows of a block of candidates, and of queries.
-BLOCK, QUERY_BLOCK = 8192, 1024
+BLOCK, QUERY_BLOCK = 8192, 8192
 _SLACK = 1e-6
 
 
@@ -36,7 +36,7 @@ def integer_vectors(vectors: DataFrame, id_col: str = "vec_id", vector: str = "e
     """(id, v array<long>) of the rows that take part."""
     v = F.col(vector)
     ok = v.isNotNull() & F.forall(v, lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False)))
-    return vectors.filter(ok).select(F.col(id_col).cast("long").alias("id"), F.transform(v, lambda x: F.floor(x.cast("double") * scale).cast("long")).alias("v")).filter("id is not null")
+    return vectors.filter(ok).select(F.col(id_col).cast("long").alias("id"), F.transform(v, lambda x: F.floor(x.cast("double") * scale).try_cast("long")).alias("v")).filter("id is not null and forall(v, x -> x is not null)")
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
@@ -87,6 +87,17 @@ def _needed(queries: DataFrame, pivots: np.ndarray, summary: dict[int, tuple[flo
     return [(r[0], r[1]) for r in queries.mapInArrow(run, "grp int, cell int").distinct().collect()]
 
 
+def _groups(pivots: np.ndarray, asked: dict[int, int]) -> dict[int, int]:
+    """Query group of each cell: neighbouring cells share one until it has a block of queries, for a row goes out once per group."""
+    out, group, filled = {}, 0, 0
+    for c in sorted(asked, key=lambda c: float(pivots[c] @ pivots[0])):
+        if filled and filled + asked[c] > QUERY_BLOCK:
+            group, filled = group + 1, 0
+        out[c] = group
+        filled += asked[c]
+    return out
+
+
 def _solve(dim: int, k: int):
     def run(key: tuple[pa.Scalar, ...], queries: pa.Table, rows: pa.Table) -> pa.Table:
         out_q, out_v, out_s = [], [], []
@@ -138,20 +149,22 @@ def top_k(vectors: DataFrame, is_query, k: int = K, pivots: int = PIVOTS) -> Dat
         w = Window.partitionBy("cell").orderBy("dist", "id")
         nearest = placed.select("cell", "dist", "id").withColumn("r", F.row_number().over(w)).filter(F.col("r") <= k + 1)
         near = {r["cell"]: sorted(r["d"]) for r in nearest.groupBy("cell").agg(F.collect_list("dist").alias("d")).collect()}
-        totals = placed.groupBy("cell").agg(F.max("dist").alias("far"), F.count(F.lit(1)).alias("n")).collect()
+        totals = placed.groupBy("cell").agg(F.max("dist").alias("far"), F.count(F.lit(1)).alias("n"), F.count(F.when(is_query, 1)).alias("nq")).collect()
         summary = {r["cell"]: (r["far"], near[r["cell"]]) for r in totals}
         queries = placed.filter(is_query)
         pairs = _needed(queries, p, summary, dim, k)
         if not pairs:
             continue
-        met = spark.createDataFrame(pairs, "grp int, cell int")
+        sizes = {r["cell"]: (r["n"], r["nq"]) for r in totals}
+        group = _groups(p, {c: nq for c, (_, nq) in sizes.items() if nq})
+        asks = {g: sum(sizes[c][1] for c in group if group[c] == g) for g in set(group.values())}
+        rows_of = [(g, c, sizes[c][0], asks[g], -(-sizes[c][0] // BLOCK), -(-asks[g] // QUERY_BLOCK)) for g, c in sorted({(group[g], c) for g, c in pairs})]
+        met = spark.createDataFrame(rows_of, "grp int, cell int, n long, nq long, blocks int, qblocks int")
+        grouped = spark.createDataFrame(sorted(group.items()), "cell int, grp int")
         cut = lambda size, column: F.pmod(F.xxhash64("id"), F.greatest(F.lit(1), F.ceil(F.col(column) / size))).cast("int")
-        sizes = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(is_query, 1)).alias("nq"))
-        met = met.join(sizes.select("cell", "n"), "cell").join(sizes.select(F.col("cell").alias("grp"), "nq"), "grp")
-        met = met.select("grp", "cell", "n", "nq", F.ceil(F.col("n") / BLOCK).alias("blocks"), F.ceil(F.col("nq") / QUERY_BLOCK).alias("qblocks"))
         rows = placed.join(F.broadcast(met.select("grp", "cell", "n", "qblocks")), "cell").withColumn("block", cut(BLOCK, "n"))
         rows = rows.select("id", "v", "grp", "cell", "block", F.explode(F.sequence(F.lit(0), F.col("qblocks").cast("int") - 1)).alias("qblock"))
-        asked = queries.withColumnRenamed("cell", "grp").join(F.broadcast(met.select("grp", "cell", "nq", "blocks")), "grp").withColumn("qblock", cut(QUERY_BLOCK, "nq"))
+        asked = queries.join(F.broadcast(grouped), "cell").drop("cell").join(F.broadcast(met.select("grp", "cell", "nq", "blocks")), "grp").withColumn("qblock", cut(QUERY_BLOCK, "nq"))
         renamed = [F.col(c).alias(f"q_{c}") for c in ("id", "v", "grp", "cell", "qblock")]
         asked = asked.select(*renamed, F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1)).alias("q_block"))
         by = ["grp", "cell", "block", "qblock"]
