@@ -433,10 +433,10 @@ def q_status(spark: SparkSession, d: str) -> DataFrame:
     return t(spark, d, "pages").select("page_id", parse.http_status(s, F.col("html")).alias("status"))
 
 
-@query("pipeline_summary", f"WITH {_POSTS} SELECT count(*) AS posts, CAST(sum(comment_count) AS BIGINT) AS comments, round_even(sum(k)::DOUBLE / count(*), 4) AS mean_confidence, {_STAMP.format('min(ts)')} AS first_seen, {_STAMP.format('max(ts)')} AS last_seen FROM posts")
+@query("pipeline_summary", f"WITH {_POSTS} SELECT count(*) AS posts, CAST(sum(comment_count) AS BIGINT) AS comments, round_even(sum(k)::DOUBLE / count(*), 4) AS mean_confidence, {_STAMP.format("date_trunc('second', min(ts))")} AS first_seen, {_STAMP.format("date_trunc('second', max(ts))")} AS last_seen FROM posts")
 def q_summary(spark: SparkSession, d: str) -> DataFrame:
     p = event_posts(spark, d)
-    return p.agg(F.count(F.lit(1)).alias("posts"), F.sum("comment_count").alias("comments"), F.bround(F.sum("k") / F.count(F.lit(1)), 4).alias("mean_confidence"), stamp(F.min("ts")).alias("first_seen"), stamp(F.max("ts")).alias("last_seen"))
+    return p.agg(F.count(F.lit(1)).alias("posts"), F.sum("comment_count").alias("comments"), F.bround(F.sum("k") / F.count(F.lit(1)), 4).alias("mean_confidence"), stamp(F.date_trunc("SECOND", F.min("ts"))).alias("first_seen"), stamp(F.date_trunc("SECOND", F.max("ts"))).alias("last_seen"))
 
 
 @query("ext_macro_f1", """WITH p AS (SELECT quality AS t, toxic AS g FROM labels), k AS (SELECT t AS k FROM p UNION SELECT g FROM p), s AS (SELECT k, (SELECT count(*) FROM p WHERE t = k) AS pos, (SELECT count(*) FROM p WHERE t = k AND g = k) AS hit, (SELECT count(*) FROM p WHERE g = k) AS said FROM k)
