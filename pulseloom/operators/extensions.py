@@ -61,3 +61,39 @@ def ext_as_of(left: DataFrame, right: DataFrame, by: list[str], ts: str, value:
     both = left.withColumns({"_v": F.lit(None).cast(right.schema[value].dataType), "_r": F.lit(1)}).unionByName(right.select(*by, ts, F.col(value).alias("_v"), F.lit(0).alias("_r")), allowMissingColumns=True)
     w = Window.partitionBy(*by).orderBy(ts, "_r").rowsBetween(Window.unboundedPreceding, 0)
     return both.withColumn(out, F.last("_v", ignorenulls=True).over(w)).filter("_r = 1").drop("_v", "_r")
+
+
+def ext_retain(rows: DataFrame, seen: str, kind: str, as_of: Column, days: dict[str, int]) -> DataFrame:
+    """Rows whose kind's days of retention have not passed; kinds without a limit stay."""
+    limit = F.create_map(*[F.lit(x) for k, v in days.items() for x in (k, v)])
+    return rows.filter(F.coalesce(F.col(seen) >= as_of - F.make_interval(days=F.try_element_at(limit, F.col(kind))), F.lit(True)))
+
+
+def ext_pseudonym(source: Column, author: Column, secret: bytes) -> Column:
+    """HMAC-SHA256 of source and author in hexadecimal, composed of built-in digests; the padded keys are made on the driver."""
+    import hashlib
+
+    key = (hashlib.sha256(secret).digest() if len(secret) > 64 else secret).ljust(64, b"\0")
+    inner, outer = (F.lit(bytes(k ^ pad for k in key)) for pad in (0x36, 0x5C))
+    message = F.concat(source, author).cast("binary")
+    return F.sha2(F.concat(outer, F.unhex(F.sha2(F.concat(inner, message), 256))), 256)
+
+
+def ext_status(sample: Column, least: int) -> Column:
+    """Whether a sample is large enough to show."""
+    return F.when(F.coalesce(sample, F.lit(0)) < least, "INSUFFICIENT_DATA").otherwise("OK")
+
+
+def ext_tickers(mentions: DataFrame, alias: str, dictionary: DataFrame) -> DataFrame:
+    """Ticker of each mention by a dictionary (alias, ticker); left to the optimizer, which broadcasts a small one."""
+    return mentions.join(dictionary.select(F.col("alias").alias(alias), "ticker").dropDuplicates([alias]), alias, "left")
+
+
+def ext_quality_ratios(posts: DataFrame, content: str, confidence: str, author: str, low: float = 0.5) -> DataFrame:
+    """Shares of duplicates and of low confidence, and the largest share of one contributor; counted per key before anything meets."""
+    total = posts.agg(F.count(F.lit(1)).alias("posts"), F.count_if(F.col(confidence) < low).alias("weak"))
+    distinct = posts.groupBy(content).agg(F.count(F.lit(1)).alias("n")).agg(F.count(F.lit(1)).alias("kinds"))
+    most = posts.groupBy(author).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("most"))
+    one = total.crossJoin(F.broadcast(distinct)).crossJoin(F.broadcast(most))
+    n = F.col("posts")
+    return one.select("posts", F.bround(1 - F.try_divide("kinds", n), 6).alias("duplicate_share"), F.bround(F.try_divide("weak", n), 6).alias("low_confidence_share"), F.bround(F.try_divide("most", n), 6).alias("max_contribution"))

@@ -465,3 +465,61 @@ def q_asof(spark: SparkSession, d: str) -> DataFrame:
     edges = edges.join(right.select("ts"), "ts", "left_anti")
     r = right.withColumn("day", day).unionByName(edges.select("ts", "close", "day"))
     return extensions.ext_as_of(left.withColumn("day", day), r, ["day"], "ts", "close", "last_close").select("event_id", "last_close")
+
+
+@query(
+    "bar_times",
+    f"""WITH e AS (SELECT event_id, event_id % 6 AS k, date_trunc('second', ts) AS ts FROM events)
+SELECT event_id, CASE k WHEN 1 THEN 'other_date' WHEN 4 THEN 'invalid' ELSE 'target' END AS status,
+  CASE WHEN k IN (0, 2) THEN {_STAMP.format('ts')} WHEN k = 3 THEN {_STAMP.format("date_trunc('minute', ts)")} END AS timestamp FROM e""",
+)
+def q_bar_times(spark: SparkSession, d: str) -> DataFrame:
+    ts, k = F.col("ts"), F.col("event_id") % 6
+    f = lambda p: F.date_format(ts, p)
+    tm = F.when(k < 2, f("yyyyMMddHHmmss")).when(k == 2, f("HHmmss")).when(k == 3, f("HHmm")).when(k == 4, F.concat(f("HHmm"), F.lit(" "))).otherwise("2561")
+    day = F.date_format(F.when(k == 1, F.date_add(ts, 1)).otherwise(F.to_date(ts)), "yyyyMMdd")
+    e = t(spark, d, "events").select("event_id", ntz().alias("ts"))
+    return e.select("event_id", timefn.bar_time_status(tm, day).alias("status"), timefn.iso(timefn.bar_time(tm, day)).alias("timestamp"))
+
+
+@query("absolute_datetimes", f"SELECT event_id, CASE event_id % 4 WHEN 0 THEN {_STAMP.format('ts')} WHEN 1 THEN strftime(ts, '%Y-%m-%dT%H:%M:%SZ') END AS published_at FROM events")
+def q_absolute(spark: SparkSession, d: str) -> DataFrame:
+    ts, k = ntz(), F.col("event_id") % 4
+    local = F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss")
+    s = F.when(k == 0, F.concat(local, F.lit(timefn.OFFSET))).when(k == 1, F.concat(local, F.lit("Z"))).when(k == 2, local).otherwise("3분 전")
+    return t(spark, d, "events").select("event_id", timefn.absolute_datetime(s).alias("published_at"))
+
+
+@query("html_escape", "SELECT page_id, md5(replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;')) AS digest FROM pages")
+def q_escape(spark: SparkSession, d: str) -> DataFrame:
+    return t(spark, d, "pages").select("page_id", F.md5(parse.html_escape(F.col("html")).cast("binary")).alias("digest"))
+
+
+@query("effective_time", "SELECT event_id, coalesce(nullif(CASE WHEN event_id % 3 = 0 THEN event_type ELSE '' END, ''), nullif(CASE WHEN event_id % 3 = 1 THEN props END, ''), 'now') AS effective FROM events")
+def q_effective(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("event_id") % 3
+    e = post_source.effective_time(F.when(k == 0, F.col("event_type")).otherwise(""), F.when(k == 1, F.col("props")), F.lit("now"))
+    return t(spark, d, "events").select("event_id", e.alias("effective"))
+
+
+@query(
+    "interpretation",
+    f"""WITH {_JOINED} SELECT {_STAMP.format('hour')} AS timestamp, CASE WHEN sentiment_index IS NOT NULL THEN format('현재 심리지수는 {{:.1f}}로 {{}} 구간입니다. 오늘 분석 표본은 {{}}건, 평균 신뢰도는 50%입니다.', sentiment_index, CASE WHEN sentiment_index >= 75 THEN '매우 긍정' WHEN sentiment_index >= 60 THEN '긍정' WHEN sentiment_index > 40 THEN '중립' WHEN sentiment_index > 25 THEN '부정' ELSE '강한 부정' END, analyzed_post_count)
+  WHEN post_count > 0 THEN post_count::VARCHAR || '개의 게시글이 수집되었으나, 아직 심리 분석 결과가 없습니다. 분석이 완료되면 여기에 해석이 표시됩니다.' ELSE '아직 심리 데이터가 없습니다. 파이프라인이 데이터를 생성하면 여기에 해석이 표시됩니다.' END AS sentence FROM joined WHERE coalesce(round_even(sentiment_index * 10, 4) % 5 <> 0, true)""",
+)
+def q_interpretation(spark: SparkSession, d: str) -> DataFrame:
+    i = F.col("sentiment_index")
+    # values half way between two printed digits are left to the unit tests: printing rounds them differently
+    j = joined(spark, d).filter(F.coalesce(F.bround(i * 10, 4) % 5 != 0, F.lit(True)))
+    return _shown(j.select("hour", labels.interpretation(i, F.col("post_count"), F.col("analyzed_post_count"), F.lit(0.5), F.lit(False)).alias("sentence")))
+
+
+@query("latest_rows", f"WITH {_JOINED} SELECT {_STAMP.format('hour')} AS timestamp, sentiment_index FROM joined ORDER BY hour DESC LIMIT 2")
+def q_latest(spark: SparkSession, d: str) -> DataFrame:
+    return _shown(series.latest(joined(spark, d).select("hour", "sentiment_index"), "hour", 2))
+
+
+@query("ext_quality_ratios", "SELECT count(*) AS posts, round_even(1 - count(DISTINCT md5(text))::DOUBLE / count(*), 6) AS duplicate_share, round_even(count(*) FILTER (n_chars < 100)::DOUBLE / count(*), 6) AS low_confidence_share, round_even((SELECT max(n) FROM (SELECT count(*) AS n FROM documents GROUP BY source))::DOUBLE / count(*), 6) AS max_contribution FROM documents")
+def q_quality(spark: SparkSession, d: str) -> DataFrame:
+    p = t(spark, d, "documents").select(F.md5("text").alias("h"), F.when(F.col("n_chars") < 100, 0.1).otherwise(0.9).alias("c"), "source")
+    return extensions.ext_quality_ratios(p, "h", "c", "source")

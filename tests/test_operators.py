@@ -172,3 +172,19 @@ def test_extensions(spark):
     p = spark.createDataFrame([(0, 0), (0, 1), (1, 1), (1, 1)], "t int, g int")
     r = extensions.ext_macro_f1(p, "t", "g").first()
     assert (r.accuracy, r.macro_f1) == (0.75, round((2 / 3 + 0.8) / 2, 6))
+
+
+def test_documented_extensions(spark):
+    import hashlib
+    import hmac
+
+    d = spark.createDataFrame([("site", "누구"), ("s", None)], "s string, a string")
+    for secret in (b"key", b"k" * 100):
+        got = d.select(extensions.ext_pseudonym(F.col("s"), F.col("a"), secret)).collect()
+        assert [r[0] for r in got] == [hmac.new(secret, "site누구".encode(), hashlib.sha256).hexdigest(), None]
+    rows = [(datetime(2026, 8, d), k) for d in (1, 20) for k in ("raw", "derived")]
+    kept = extensions.ext_retain(spark.createDataFrame(rows, "t timestamp_ntz, k string"), "t", "k", F.to_timestamp_ntz(F.lit("2026-08-21 00:00:00")), {"raw": 7})
+    assert sorted((r.t.day, r.k) for r in kept.collect()) == [(1, "derived"), (20, "derived"), (20, "raw")]
+    assert [r[0] for r in spark.range(2, 5).select(extensions.ext_status(F.col("id"), 4)).collect()] == ["INSUFFICIENT_DATA", "INSUFFICIENT_DATA", "OK"]
+    m = extensions.ext_tickers(spark.createDataFrame([("삼전",), ("x",)], "a string"), "a", spark.createDataFrame([("삼전", "005930")], "alias string, ticker string"))
+    assert sorted((r.a, r.ticker) for r in m.collect()) == [("x", None), ("삼전", "005930")]
