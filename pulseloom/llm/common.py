@@ -29,7 +29,7 @@ def shared_dir(spark: SparkSession) -> str:
         if current:
             return current.rsplit("/", 1)[0]
         where = "file://" + tempfile.mkdtemp(prefix="pulseloom-")
-        spark.conf.set("spark.checkpoint.dir", where)
+        spark.sparkContext.setCheckpointDir(where)
     return where
 
 

@@ -16,6 +16,7 @@ classes every score is the share of label 1 (or 0.5); repeated rows come out onc
 
 from __future__ import annotations
 
+import math
 import re
 from array import array
 from collections import Counter
@@ -42,10 +43,17 @@ def traits(word: str) -> list[str]:
     return [word, *[word[:k] + "*" for k in range(3, min(8, len(word)) + 1)]]
 
 
+def _surprise(a: int, n1: int, b: int, n0: int) -> float:
+    """Likelihood-ratio statistic of a of n1 against b of n0; a bound on it holds against many candidates."""
+    share = (a + b) / (n1 + n0)
+    cells = ((a, n1 * share), (n1 - a, n1 * (1 - share)), (b, n0 * share), (n0 - b, n0 * (1 - share)))
+    return 2 * sum(k * math.log(k / e) for k, e in cells if k)
+
+
 class Model:
     """Lexicon (trait to weight), transitions, neighbour weights and the document's curve."""
 
-    def __init__(self, rows: list[tuple[int, str]], counts: dict[int, int], min_docs: int = 3, min_odds: float = 2.0, traits_kept: int = 20_000):
+    def __init__(self, rows: list[tuple[int, str]], counts: dict[int, int], min_docs: int = 3, min_odds: float = 1.5, min_surprise: float = 20.0, traits_kept: int = 20_000):
         total = sum(counts.values())
         self.base = counts.get(1, 0) / total if total else 0.5
         self.lexicon: dict[str, int] | None = None
@@ -67,9 +75,8 @@ class Model:
         for f, a in seen[1].items():
             b = seen[0][f]
             odds = np.log((a + 0.5) / (n[1] + 1)) - np.log((b + 0.5) / (n[0] + 1))
-            spread = np.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))
-            if a >= min_docs and odds - 2 * spread > 0 and odds > min_odds:
-                found.append((-(odds - 2 * spread), f))
+            if odds > min_odds and (g := _surprise(a, int(n[1]), b, int(n[0]))) >= min_surprise:
+                found.append((-g, f))
         self.lexicon = {f: i for i, (_, f) in enumerate(sorted(found)[:traits_kept])}
         size = len(self.lexicon)
         # sparse evidence: positions and traits that fire there
@@ -122,10 +129,10 @@ class Model:
         some = lengths > 0
         if some.any():
             first = (np.cumsum(lengths) - lengths)[some]
-            strong = np.where(p > 0.05, p, 0)  # else the background of a very long text adds up
+            strong = np.where(p > 0.3, p, 0)  # else the background of a very long text adds up
             sums[some] = np.add.reduceat(strong, first)
             most[some] = np.maximum.reduceat(p, first)
-        return np.column_stack([np.log1p(sums), np.log1p(100 * sums / np.maximum(lengths, 1)), most])
+        return np.column_stack([np.log1p(sums), np.log1p(100 * sums / (lengths + 10)), most])
 
     def evidence(self, docs: list[list[str]], cache: dict[str, float]) -> tuple[np.ndarray, np.ndarray]:
         """Scores of all tokens of the documents, NaN-free, and the documents' lengths."""
