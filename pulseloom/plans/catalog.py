@@ -505,12 +505,12 @@ def q_effective(spark: SparkSession, d: str) -> DataFrame:
 @query(
     "interpretation",
     f"""WITH {_JOINED} SELECT {_STAMP.format('hour')} AS timestamp, CASE WHEN sentiment_index IS NOT NULL THEN format('현재 심리지수는 {{:.1f}}로 {{}} 구간입니다. 오늘 분석 표본은 {{}}건, 평균 신뢰도는 50%입니다.', sentiment_index, CASE WHEN sentiment_index >= 75 THEN '매우 긍정' WHEN sentiment_index >= 60 THEN '긍정' WHEN sentiment_index > 40 THEN '중립' WHEN sentiment_index > 25 THEN '부정' ELSE '강한 부정' END, analyzed_post_count)
-  WHEN post_count > 0 THEN post_count::VARCHAR || '개의 게시글이 수집되었으나, 아직 심리 분석 결과가 없습니다. 분석이 완료되면 여기에 해석이 표시됩니다.' ELSE '아직 심리 데이터가 없습니다. 파이프라인이 데이터를 생성하면 여기에 해석이 표시됩니다.' END AS sentence FROM joined WHERE coalesce(round_even(sentiment_index * 10, 4) % 5 <> 0, true)""",
+  WHEN post_count > 0 THEN post_count::VARCHAR || '개의 게시글이 수집되었으나, 아직 심리 분석 결과가 없습니다. 분석이 완료되면 여기에 해석이 표시됩니다.' ELSE '아직 심리 데이터가 없습니다. 파이프라인이 데이터를 생성하면 여기에 해석이 표시됩니다.' END AS sentence FROM joined WHERE coalesce(round_even(sentiment_index * 100, 0) % 10 <> 5, true)""",
 )
 def q_interpretation(spark: SparkSession, d: str) -> DataFrame:
     i = F.col("sentiment_index")
     # values half way between two printed digits are left to the unit tests: printing rounds them differently
-    j = joined(spark, d).filter(F.coalesce(F.bround(i * 10, 4) % 5 != 0, F.lit(True)))
+    j = joined(spark, d).filter(F.coalesce(F.bround(i * 100, 0) % 10 != 5, F.lit(True)))
     return _shown(j.select("hour", labels.interpretation(i, F.col("post_count"), F.col("analyzed_post_count"), F.lit(0.5), F.lit(False)).alias("sentence")))
 
 
