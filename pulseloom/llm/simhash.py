@@ -146,16 +146,27 @@ def simhash_components(docs: DataFrame, text: str = "text", id_col: str = "doc_i
     return prints.join(by_print, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, words: int = 3, max_bits: int = 3) -> DataFrame:
-    """One document of each component, with all its columns: that of the smallest doc_id (null last)."""
+def row_keys(docs: DataFrame) -> DataFrame:
+    """(key, text): keys order the rows by doc_id (null last) and the hash of the text."""
+    text = F.col("text").cast("string")
+    return docs.select(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", F.xxhash64(text).alias("hash")).alias("key"), text.alias("text"))
+
+
+def keep_rows(docs: DataFrame, rows: DataFrame, kept: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose (doc_id, hash) is in ``kept``, once each; ``rows`` has those of all."""
     text = F.col("text").cast("string")
-    keyed = docs.select(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", F.xxhash64(text).alias("hash")).alias("key"), text.alias("text"))
-    prints = materialize(fingerprints(keyed, "text", "key", words))
-    first = prints.groupBy("fp").agg(F.min("doc_id").alias("key")).join(_roots(prints, max_bits), "fp")
-    kept = materialize(first.groupBy("root").agg(F.min("key").alias("key")).select("key.doc_id", "key.hash"))
     here = [F.col("_id").eqNullSafe(F.col("doc_id")), F.col("_hash") == F.xxhash64(text)]
-    out = docs.join(kept.select(F.col("doc_id").alias("_id"), F.col("hash").alias("_hash")), here, "left_semi")
+    named = kept.select(F.col("doc_id").alias("_id"), F.col("hash").alias("_hash"))
+    out = docs.join(named, here, "left_semi")
     # a kept row may itself be there several times
-    if prints.select("doc_id.*").groupBy("doc_id", "hash").count().filter("count > 1").join(kept, ["doc_id", "hash"]).limit(1).count():
+    if rows.groupBy("doc_id", "hash").count().filter("count > 1").join(named, F.expr("_id <=> doc_id and _hash = hash")).limit(1).count():
         out = out.withColumn("_hash", F.xxhash64(text)).dropDuplicates(["doc_id", "_hash"]).drop("_hash")
     return out
+
+
+def drop_near_duplicates(docs: DataFrame, words: int = 3, max_bits: int = 3) -> DataFrame:
+    """One document of each component, with all its columns: that of the smallest doc_id (null last)."""
+    prints = materialize(fingerprints(row_keys(docs), "text", "key", words))
+    first = prints.groupBy("fp").agg(F.min("doc_id").alias("key")).join(_roots(prints, max_bits), "fp")
+    kept = materialize(first.groupBy("root").agg(F.min("key").alias("key")).select("key.doc_id", "key.hash"))
+    return keep_rows(docs, prints.select("doc_id.*"), kept)

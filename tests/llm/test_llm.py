@@ -236,6 +236,53 @@ def test_links_find_every_pair(spark):
         assert all(find(a) == find(b) for b in signed if ((a ^ b) & (1 << 64) - 1).bit_count() <= 3)
 
 
+def test_similar_texts(spark, sf):
+    import corpus_pipeline
+    from pulseloom.llm.common import table
+    from pulseloom.llm.similar import drop_similar
+
+    def five(t):
+        w = re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+    def firsts(texts):
+        """The least id of each component of pairs of similarity 0.8 or more."""
+        sets, root = {i: five(t) for i, t in texts.items()}, {i: i for i in texts}
+
+        def find(i):
+            while root[i] != i:
+                i = root[i]
+            return i
+
+        for a in sorted(sets):
+            for b in sorted(sets):
+                if b < a and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8:
+                    x, y = find(a), find(b)
+                    root[max(x, y)] = min(x, y)
+        return sorted(i for i in root if find(i) == i)
+
+    rng = random.Random(21)
+    texts = []
+    for n in (8, 30, 60, 120, 300, 2000):
+        base = words(rng, n, 5000).split()
+        for edits in (0, 0, 1, 2, 4, 8, n // 50, n // 40, n // 20):
+            copy = list(base)
+            for at in rng.sample(range(n), min(n, edits)):
+                copy[at] = "zz"
+            texts.append(" ".join(copy))
+    texts += [None, "", " \t", "One two", "one\x0bTWO", "one", texts[40].upper()]
+    d = docs(spark, *texts)
+    want = firsts(dict(enumerate(texts)))
+    for size in (16 << 20, 3000):
+        got = drop_similar(d.unionByName(d.limit(4)), group_bytes=size)
+        assert sorted(r.doc_id for r in got.collect()) == want and got.columns == d.columns
+    null = docs(spark, "a b c", "A b  c", "q r s", "q r s", ids=[None, 4, None, None])
+    assert sorted(str(r.doc_id) for r in drop_similar(null).collect()) == ["4", "None"]
+    table_docs = table(spark, sf, "documents")
+    whole = {r.doc_id: r.text for r in table_docs.select("doc_id", "text").collect()}
+    assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, table_docs, sf).collect()) == firsts(whole)
+
+
 # ---------------------------------------------------------------- classifiers
 
 
