@@ -1,9 +1,9 @@
 """Exact top-k inner products by a Voronoi join.
 
 Components become the integers floor(256 * x). Pivots cut the space into cells; of each cell two bounded
-summaries are kept: the largest distance of a member from the pivot, and the k + 1 least distances.
+summaries are kept: the largest distance of a member from the pivot, and the k + 1 ids nearest to it with their distances.
 By Cauchy-Schwarz a member x of a cell with pivot p has q.p - |q| |x - p| <= q.x <= q.p + |q| |x - p|.
-The left side, over the cells' nearest members, bounds a query's k-th best score from
+The left side, over the cells' nearest members of other ids than the query's, bounds its k-th best score from
 below; a cell whose right side is under that bound holds nothing for it. The bounds are taken
 per query group (the queries of neighbouring cells): a cell goes to a group only if some
 query of the group needs it. Cells and groups are cut into blocks of bounded size, so a cell that holds a third of
@@ -59,12 +59,12 @@ def _assign(pivots: np.ndarray, dim: int):
     return run
 
 
-def _needed(queries: DataFrame, pivots: np.ndarray, summary: dict[int, tuple[float, list[float]]], dim: int, k: int) -> list[tuple[int, int]]:
+def _needed(queries: DataFrame, pivots: np.ndarray, summary: dict[int, tuple[float, list[tuple[float, int]]]], dim: int, k: int) -> list[tuple[int, int]]:
     """(group, cell) pairs: the cells that some query of the group needs; at most PIVOTS squared."""
     cells = np.array(sorted(summary))
     far = np.array([summary[c][0] for c in cells])
-    near = [(i, d) for i, c in enumerate(cells) for d in summary[c][1]]
-    at, gap = np.array([i for i, _ in near]), np.array([d for _, d in near])
+    near = [(i, d, x) for i, c in enumerate(cells) for d, x in summary[c][1]]
+    at, gap, ids = np.array([i for i, _, _ in near]), np.array([d for _, d, _ in near]), np.array([x for _, _, x in near], np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = set()
@@ -75,8 +75,9 @@ def _needed(queries: DataFrame, pivots: np.ndarray, summary: dict[int, tuple[flo
                 size = np.sqrt((q * q).sum(1))[:, None]
                 dot = q @ pivots[cells].T
                 low = dot[:, at] - size * gap
-                # the query itself may be among the k + 1 best
-                floor = np.partition(low, low.shape[1] - k - 1, axis=1)[:, low.shape[1] - k - 1] if low.shape[1] > k else np.full(len(q), -np.inf)
+                # rows of the query's own id are no neighbours, however many there are
+                low[part.column(0).to_numpy()[:, None] == ids] = -np.inf
+                floor = np.partition(low, low.shape[1] - k, axis=1)[:, low.shape[1] - k] if low.shape[1] >= k else np.full(len(q), -np.inf)
                 high = dot + size * far
                 slack = _SLACK * (np.abs(high) + size * far + 1)
                 for i, j in zip(*np.nonzero(high + slack >= floor[:, None]), strict=True):
@@ -146,9 +147,10 @@ def top_k(vectors: DataFrame, is_query, k: int = K, pivots: int = PIVOTS) -> Dat
         chosen = own.groupBy("v").agg(F.min("id").alias("id")).orderBy(F.xxhash64("id"), "id").limit(pivots).select("v").collect()
         p = np.array([list(r[0]) for r in chosen], np.float64).reshape(len(chosen), dim)
         placed = materialize(own.mapInArrow(_assign(p, dim), "id long, v array<bigint>, cell int, dist double"))
+        # one row an id: with k + 1 ids, k are left whichever the query's is
         w = Window.partitionBy("cell").orderBy("dist", "id")
-        nearest = placed.select("cell", "dist", "id").withColumn("r", F.row_number().over(w)).filter(F.col("r") <= k + 1)
-        near = {r["cell"]: sorted(r["d"]) for r in nearest.groupBy("cell").agg(F.collect_list("dist").alias("d")).collect()}
+        nearest = placed.groupBy("cell", "id").agg(F.min("dist").alias("dist")).withColumn("r", F.row_number().over(w)).filter(F.col("r") <= k + 1)
+        near = {r["cell"]: sorted((d["dist"], d["id"]) for d in r["d"]) for r in nearest.groupBy("cell").agg(F.collect_list(F.struct("dist", "id")).alias("d")).collect()}
         totals = placed.groupBy("cell").agg(F.max("dist").alias("far"), F.count(F.lit(1)).alias("n"), F.count(F.when(is_query, 1)).alias("nq")).collect()
         summary = {r["cell"]: (r["far"], near[r["cell"]]) for r in totals}
         queries = placed.filter(is_query)

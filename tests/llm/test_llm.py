@@ -171,6 +171,19 @@ def test_top_k(spark):
     assert knn.top_k(knn.integer_vectors(d.limit(0)), F.col("id") % 50 == 0).count() == 0
 
 
+def test_top_k_of_repeated_ids(spark):
+    from pulseloom.llm import knn
+
+    # copies of the query lie on its pivot; its neighbours lie in another cell
+    rows = [(0, [8.0, 0.0])] * 8 + [(i, [float(i), 8.0 + i]) for i in range(1, 5)] * 2 + [(9, [-5.0, 1.0]), (10, [-6.0, 1.0]), (11, [-7.0, 0.0])]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    best = sorted((-sum(int(256 * a) * int(256 * b) for a, b in zip(v, x, strict=True)), i) for j, v in rows if j == 0 for i, x in rows if i != 0)[:5]
+    want = sorted((0, n + 1, i, -s) for n, (s, i) in enumerate(best))
+    for pivots in (3, 8):
+        got = knn.top_k(knn.integer_vectors(d), F.col("id") == 0, pivots=pivots).collect()
+        assert sorted(map(tuple, got)) == want
+
+
 # ---------------------------------------------------------------- SimHash
 
 
