@@ -8,8 +8,10 @@ schedule holds each source in its share. Slots are ranked per source; rank r tak
 modulo the source's number of blocks, where the blocks cut the source's documents, laid
 end to end in shuffled order, into equal runs of words.
 
-The schedule has at most ``slots`` slots whatever the corpus (a block is a 2**-17th of it by default), so
-a source's words are within a few blocks of its target. Positions in a source's stream come
+The schedule has at most ``slots`` slots whatever the corpus (a block is a 2**-17th of it by default). A
+slot counts where its block lies within the source's target; the words from there up to the target, all of
+them for a source that got no slot, follow in the stream's order. A source's words are its target,
+rounded to a word. Positions in a source's stream come
 from prefix sums over a hash order in three levels, so that no task holds a whole source.
 
 Defined cases: a null text has size 0; documents of size 0 take 0; a null source is a source, last in
@@ -105,7 +107,12 @@ def mix(docs: DataFrame, text: str = "text", id_col: str = "doc_id", source: str
     targets = materialize(source_targets(sizes, max_repeats))
     total = int(targets.agg(F.sum("source_size")).first()[0] or 0)
     size = block_size(total, slots)
-    uses = schedule(targets, total, slots, max_repeats).groupBy("skey", "block").agg(F.count(F.lit(1)).alias("times"))
+    goal = F.floor(F.col("target") + 0.5)
+    reach = F.col("epoch") * F.col("source_size") + F.least((F.col("block") + 1) * size, "source_size")
+    dealt = materialize(schedule(targets, total, slots, max_repeats).join(targets, "skey").withColumn("reach", reach).filter(F.col("reach") <= goal).select("skey", "block", "reach"))
+    uses = dealt.groupBy("skey", "block").agg(F.count(F.lit(1)).alias("times"))
+    ends = dealt.groupBy("skey").agg(F.max("reach").alias("reach"))
+    targets = targets.join(ends, "skey", "left").withColumns({"reach": F.coalesce("reach", F.lit(0)), "goal": goal})
     placed = stream_positions(sizes)
     end = F.col("start") + F.col("size")
     whole = placed.filter("size > 0").withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / size), F.floor((end - 1) / size))))
@@ -113,4 +120,10 @@ def mix(docs: DataFrame, text: str = "text", id_col: str = "doc_id", source: str
     got = whole.withColumn("piece", piece).join(uses, ["skey", "block"], "left")
     got = got.groupBy("skey", "start", "doc_id", "source", "size").agg(F.sum(F.col("piece") * F.coalesce("times", F.lit(0))).cast("long").alias("taken"))
     none = sizes.filter("size = 0").select("skey", F.lit(0).cast("long").alias("start"), "doc_id", "source", "size", F.lit(0).cast("long").alias("taken"))
-    return got.unionByName(none).join(targets, "skey").select("doc_id", "source", "size", "source_size", "target", "taken")
+    # what the slots leave of the target: the words from ``reach`` to ``goal``, epoch by epoch
+    rest = F.lit(0)
+    for epoch in range(max_repeats):
+        at = F.col("start") + epoch * F.col("source_size")
+        rest = rest + F.greatest(F.lit(0), F.least("goal", at + F.col("size")) - F.greatest("reach", at))
+    taken = (F.col("taken") + rest).cast("long").alias("taken")
+    return got.unionByName(none).join(targets, "skey").select("doc_id", "source", "size", "source_size", "target", taken)

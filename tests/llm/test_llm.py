@@ -496,6 +496,21 @@ def test_mix(spark):
     assert mix(twice).count() == 2 * len(texts) and mix(d.limit(0)).count() == 0 and mix(d.filter("text is null")).first().taken == 0
 
 
+def test_mix_meets_targets_of_small_sources(spark):
+    from pulseloom.llm.mixing import mix
+
+    rng = random.Random(15)
+    rows = [("big", 3000) for _ in range(20)] + [(f"s{i:02}", rng.randrange(1, 30)) for i in range(40) for _ in range(2)]
+    d = docs(spark, *["w " * n for _, n in rows], sources=[s for s, _ in rows])
+    for slots in (7, 50, 1 << 17):
+        by, target = collections.Counter(), {}
+        for r in mix(d, slots=slots).collect():
+            assert 0 <= r.taken <= 3 * r.size
+            by[r.source] += r.taken
+            target[r.source] = r.target
+        assert by == {s: math.floor(t + 0.5) for s, t in target.items()}
+
+
 # ---------------------------------------------------------------- registered queries
 
 
