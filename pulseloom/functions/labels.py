@@ -29,6 +29,20 @@ def js_round(value: Column, digits: int = 0) -> Column:
     return F.floor(value * k + 0.5) / k
 
 
+def one_digit(value: Column) -> Column:
+    """A number from 0 up with one digit, as C, Python and DuckDB print it: by the exact binary value, exact halves to even."""
+    whole = F.floor(value).cast("double")
+    rest = value - whole
+    # tenths + error are exactly ten times the rest, so a half that came of rounding is told from a true one
+    tenths = rest * 8 + rest * 2
+    part = tenths - rest * 8
+    error = (rest * 8 - (tenths - part)) + (rest * 2 - part)
+    low = F.floor(tenths)
+    up = (tenths - low > 0.5) | (tenths - low == 0.5) & ((error > 0) | (error == 0) & (low % 2 == 1))
+    digit = low + F.when(up, 1).otherwise(0)
+    return F.format_string("%d.%d", (whole + F.floor(digit / 10)).cast("long"), (digit % 10).cast("long"))
+
+
 def change_text(now: Column, before: Column) -> Column:
     delta = js_round(now - before, 1)
     shown = F.concat(F.when(delta > 0, "+").otherwise(""), F.when(delta.isNotNull(), F.format_string("%.1f", delta)))
@@ -41,7 +55,7 @@ def is_sample(data_mode: Column) -> Column:
 
 def interpretation(index: Column, posts: Column, analyzed: Column, confidence: Column, sample: Column, name: str = "심리지수") -> Column:
     """The day's sentence: from the index, or else what is missing."""
-    head = F.format_string(f"현재 {name}는 %.1f로 %s 구간입니다.", index.cast("double"), sentiment_label(index))
+    head = F.format_string(f"현재 {name}는 %s로 %s 구간입니다.", one_digit(index.cast("double")), sentiment_label(index))
     size = F.format_string("오늘 분석 표본은 %d건, 평균 신뢰도는 %d%%입니다.", analyzed.cast("long"), js_round(F.coalesce(confidence, F.lit(0.0)) * 100).cast("long"))
     note = F.lit("현재 화면은 샘플 데이터로 구조 검증용입니다. 실제 시장 데이터로 오인하지 마세요.")
     full = F.concat_ws(" ", head, F.when(analyzed > 0, size), F.when(sample, note))

@@ -509,9 +509,7 @@ def q_effective(spark: SparkSession, d: str) -> DataFrame:
 )
 def q_interpretation(spark: SparkSession, d: str) -> DataFrame:
     i = F.col("sentiment_index")
-    # values half way between two printed digits are left to the unit tests: printing rounds them differently
-    j = joined(spark, d).filter(F.coalesce(F.bround(i * 100, 0) % 10 != 5, F.lit(True)))
-    return _shown(j.select("hour", labels.interpretation(i, F.col("post_count"), F.col("analyzed_post_count"), F.lit(0.5), F.lit(False)).alias("sentence")))
+    return _shown(joined(spark, d).select("hour", labels.interpretation(i, F.col("post_count"), F.col("analyzed_post_count"), F.lit(0.5), F.lit(False)).alias("sentence")))
 
 
 @query("latest_rows", f"WITH {_JOINED} SELECT {_STAMP.format('hour')} AS timestamp, sentiment_index FROM joined ORDER BY hour DESC LIMIT 2")

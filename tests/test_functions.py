@@ -131,3 +131,18 @@ def test_identity(spark):
     rows = [("", "", None, True), ("005930", "", None, False), ("KOSPI200", "", None, True), ("005930", "", "Index ", True), ("KOSPI", "", "stock", False), ("9", "코스피", "other", True)]
     d = spark.createDataFrame(rows, "i string, s string, a string, want boolean")
     assert all(r[0] == r[1] for r in d.select(bars.is_index(F.col("i"), F.col("s"), F.col("a")), "want").collect())
+
+
+def test_interpretation_prints_halves_and_keeps_every_hour(spark, sf):
+    from pulseloom.plans.catalog import QUERIES, joined
+
+    values = [k / 100 for k in range(10_001)]
+    sentence = labels.interpretation(F.col("v"), F.lit(1), F.lit(1), F.lit(0.5), F.lit(False))
+    rows = spark.createDataFrame([(v,) for v in values], "v double").select("v", sentence.alias("s")).collect()
+    assert len(rows) == len(values) and all(f"는 {r.v:.1f}로 " in r.s for r in rows)
+    d = sf.replace("sf0.001", "sf0.01")
+    index = [r.sentiment_index for r in joined(spark, d).select("sentiment_index").collect()]
+    sentences = [r.sentence for r in QUERIES["interpretation"](spark, d).collect()]
+    assert len(sentences) == len(index)
+    shown = sorted(s.split("는 ")[1].split("로 ")[0] for s in sentences if s.startswith("현재"))
+    assert shown == sorted(f"{i:.1f}" for i in index if i is not None)
