@@ -10,7 +10,7 @@ The benchmark is the query set: its size is summed first, and it is sent to the
 ``block_bytes``; documents stream past each block and are never shuffled.
 
 Defined cases: null and empty texts match nothing, items without words take no part; repeated rows come out once each; equal
-coverage goes to the smallest item_id; empty tables give no rows or no matches.
+coverage goes to the smallest item_id (null last); items without an id count, all as one null id; empty tables give no rows or no matches.
 """
 
 from __future__ import annotations
@@ -107,7 +107,7 @@ class Index:
     def __init__(self, items: list[tuple[int, str]], min_match: int = MIN_MATCH):
         self.min_match = min_match
         self.vocabulary: dict[str, int] = {}
-        self.items: list[tuple[int, np.ndarray]] = []
+        self.items: list[tuple[int | None, np.ndarray]] = []
         seeds: dict[int, dict[int, list[int]]] = {}
         for item_id, text in items:
             ids = np.array([self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words(text)], np.int64)
@@ -148,12 +148,12 @@ class Index:
 
 
 def blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES, min_match: int = MIN_MATCH) -> Iterator[Index]:
-    """The benchmark as indexes of bounded size, by the hash of the item's id."""
-    b = benchmark.filter("item_id is not null and text is not null").select("item_id", F.col("text").cast("string").alias("text"))
+    """The benchmark as indexes of bounded size, by the hash of the item."""
+    b = benchmark.filter("text is not null").select("item_id", F.col("text").cast("string").alias("text"))
     total = int(b.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
     n = -(-total // max(1, block_bytes // 2))
     for k in range(n):
-        rows = b.filter(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k).collect()
+        rows = b.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).collect()
         yield Index([(r[0], r[1]) for r in rows], min_match)
 
 
@@ -169,9 +169,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, threshold: float = THRE
             for b in slices(batches, "text"):
                 items, best, most = (b.column(k).to_pylist() for k in (1, 2, 3))
                 for i, got in enumerate(index.coverage(b.column(4).to_pylist())):
-                    items[i] = sorted({*items[i], *(k for k, c in got.items() if c >= threshold)})
+                    items[i] = sorted({*items[i], *(k for k, c in got.items() if c >= threshold)}, key=lambda k: (k is None, k or 0))
                     for k, c in got.items():
-                        if c > most[i] or c == most[i] and (best[i] is None or k < best[i]):
+                        if c > most[i] or c == most[i] and k is not None and (best[i] is None or k < best[i]):
                             best[i], most[i] = k, c
                 cols = [b.column(0), pa.array(items, pa.list_(pa.int64())), pa.array(best, pa.int64()), pa.array(most, pa.float64()), b.column(4)]
                 yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "items", "item_id", "coverage", "text"])

@@ -457,6 +457,19 @@ def test_contamination(spark):
     assert contamination(d, b.limit(0)).filter("contaminated").count() == 0 and contamination(d.limit(0), b).count() == 0
 
 
+def test_contamination_by_items_without_id(spark):
+    from pulseloom.llm.decontaminate import contamination, decontaminate
+
+    rng = random.Random(16)
+    a, b, c = (words(rng, 30, 3000) for _ in range(3))
+    items = spark.createDataFrame([(None, a), (None, b), (7, c), (8, a)], "item_id long, text string")
+    d = docs(spark, b, f"{b} {c}", a, words(rng, 40), c)
+    for block in (16 << 20, 300):
+        got = sorted((r.doc_id, r.contaminated, r.n_items, r.item_id, r["items"]) for r in contamination(d, items, block_bytes=block).collect())
+        assert got == [(0, True, 1, None, [None]), (1, True, 2, 7, [7, None]), (2, True, 2, 8, [8, None]), (3, False, 0, None, []), (4, True, 1, 7, [7])]
+        assert [r.doc_id for r in decontaminate(d, items, block_bytes=block).collect()] == [3]
+
+
 # ---------------------------------------------------------------- mixing
 
 
