@@ -1,8 +1,8 @@
-"""Exact-substring deduplication by blockwise suffix sorting with a difference cover.
+"""Repeated-substring deduplication by window fingerprints with a difference cover.
 
 A byte goes if some string of ``length`` bytes that covers it also starts anywhere else in
-the corpus. Suffixes are sorted one bucket at a time, and a difference cover keeps
-that small:
+the corpus. Fingerprints of fixed windows stand in for sorted suffixes (no suffix is ordered, and ties are
+not verified on bytes); they are grouped one bucket at a time, and a difference cover keeps that small:
 
 1. The texts are hashed to *parts* (one copy of each distinct text, with the count of
    copies seen, so that a text copied a million times is worked on once).
@@ -10,8 +10,8 @@ that small:
    their first ``length - PERIOD + 1`` bytes. Equal strings of ``length`` bytes, wherever
    they start, have a cover sample at the same offset below ``PERIOD``, so their
    samples tie. The names go to suffix buckets; each bucket is sorted on its own, and the
-   ranks that come back to a part say which samples tie with another suffix.
-3. Only suffixes with a tied sample ahead can be in a long tie; they alone are sorted, by
+   bits that come back to a part say which samples tie with another suffix.
+3. Only suffixes with a tied sample ahead can be in a long tie; they alone are named, by
    their first ``length`` bytes, again bucket by bucket.
 4. Ties of that depth are the repeated strings; each part marks the bytes they cover.
 
