@@ -76,3 +76,12 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     """Drop columns whose names (in any case) an operator is about to add."""
     low = {n.lower() for n in names}
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in low])
+
+
+def unused(df: DataFrame, stem: str) -> str:
+    """A column name that ``df`` has in no spelling, for a column that an operator adds for a while."""
+    taken = {c.lower() for c in df.columns}
+    name = f"_{stem}"
+    while name.lower() in taken:
+        name += "_"
+    return name

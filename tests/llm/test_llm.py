@@ -424,19 +424,25 @@ def plain_tiles(doc, item, low):
 
 
 def test_tiles():
-    from pulseloom.llm.decontaminate import tiles
+    from pulseloom.llm import decontaminate
 
     rng = random.Random(12)
-    for _ in range(150):
-        item = [rng.randrange(9) for _ in range(rng.randrange(1, 30))]
-        doc = [rng.randrange(9) for _ in range(rng.randrange(40))]
-        for _ in range(rng.randrange(3)):
-            a = rng.randrange(len(item))
-            doc[len(doc) // 2 : len(doc) // 2] = item[a : a + rng.randrange(12)]
-        got = tiles(np.array(doc, np.int64), np.array(item, np.int64), 3)
-        assert all(doc[i : i + k] == item[j : j + k] for k, i, j in got)
-        # ties between equally long matches may be taken in another order
-        assert abs(sum(k for k, _, _ in got) - plain_tiles(doc, item, 3)) <= 3
+    pairs = decontaminate._PAIRS
+    try:
+        for n in range(4000):
+            v = rng.choice((2, 3, 5, 9))
+            item = [rng.randrange(v) for _ in range(rng.randrange(1, 26))]
+            doc = [rng.randrange(v) for _ in range(rng.randrange(30))]
+            for _ in range(rng.randrange(3)):
+                a, at = rng.randrange(len(item)), rng.randrange(len(doc) + 1)
+                doc[at:at] = item[a : a + rng.randrange(12)]
+            decontaminate._PAIRS = (1, 9, pairs)[n % 3]
+            got = decontaminate.tiles(np.array(doc, np.int64), np.array(item, np.int64), 3)
+            assert all(doc[i : i + k] == item[j : j + k] for k, i, j in got)
+            assert sum(k for k, _, _ in got) == plain_tiles(doc, item, 3)
+    finally:
+        decontaminate._PAIRS = pairs
+    assert decontaminate.tiles(np.zeros(300_000, np.int64), np.zeros(30, np.int64)) == [(30, 0, 0)]
 
 
 def test_contamination(spark):
