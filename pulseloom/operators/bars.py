@@ -46,7 +46,7 @@ def hourly_from_rows(rows: DataFrame, own_names: tuple[str, ...] = (), market: s
     """Hourly bars of prints and bars in input order, and the buckets turned down as other instruments.
 
     ``rows``: kind (tick or candle), ts, instrument_id, symbol, price, open, high, low, close, asset_type and the input order
-    (file, pos). Keys are (instrument or else symbol, ts): the last row stays and bars go before prints. A bucket with any bar ignores its
+    (file, pos). The result is in no order: writers sort. Keys are (instrument or else symbol, ts): the last row stays and bars go before prints. A bucket with any bar ignores its
     prints; open and close follow the input order, not time.
     """
     ranked = rows.withColumns({"key": F.when(F.coalesce(F.col("instrument_id"), F.lit("")) != "", F.col("instrument_id")).otherwise(F.col("symbol")), "rank": (F.col("kind") == "candle").cast("int")})
@@ -69,7 +69,7 @@ def hourly_from_rows(rows: DataFrame, own_names: tuple[str, ...] = (), market: s
         change_rate(F.col("open"), F.col("close")).alias("change_rate"), F.lit(source).alias("source"), F.lit("").alias("provider"), F.lit("index").alias("asset_type"),
         (observed_at if observed_at is not None else iso(F.to_timestamp_ntz(F.lit("1970-01-01 00:00:00")))).alias("observed_at"), F.lit(data_mode).alias("data_mode"), F.lit(False).alias("is_partial"),
     )
-    return bars.orderBy("instrument_id", "symbol", "timestamp"), b.filter("not accepted").select("instrument_id", "symbol", "hour")
+    return bars, b.filter("not accepted").select("instrument_id", "symbol", "hour")
 
 
 def hourly_ohlc(candles: DataFrame, keys: list[str], ts: str = "ts", order: tuple[str, ...] = (), digits: int = 4, session: bool = True) -> DataFrame:

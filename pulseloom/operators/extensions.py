@@ -14,11 +14,11 @@ def ext_attention(series: DataFrame, ts: str, volume: str) -> DataFrame:
     return s.join(F.broadcast(base), ["_h", "_d"]).withColumn("attention", F.bround(F.try_divide(volume, "_mean"), 4)).drop("_h", "_d", "_mean")
 
 
-def ext_disagreement(index: DataFrame) -> DataFrame:
+def ext_disagreement(index: DataFrame, digits: int = 4) -> DataFrame:
     """Entropy of the direction shares, 0 to 1."""
     shares = ["positive_ratio", "negative_ratio", "neutral_ratio"]
     term = sum((F.when(F.col(c) > 0, -F.col(c) * F.log(c)).otherwise(0.0) for c in shares), F.lit(0.0))
-    return index.withColumn("disagreement", F.bround(term / F.log(F.lit(3.0)), 4))
+    return index.withColumn("disagreement", F.bround(term / F.log(F.lit(3.0)), digits))
 
 
 def ext_engagement(views: Column, likes: Column, comments: Column, cap: float = 10.0) -> Column:
@@ -57,10 +57,20 @@ def ext_mask_personal(text: Column) -> Column:
 
 
 def ext_as_of(left: DataFrame, right: DataFrame, by: list[str], ts: str, value: str, out: str) -> DataFrame:
-    """The latest ``value`` of ``right`` at or before each row of ``left``: union and one window per key."""
-    both = left.withColumns({"_v": F.lit(None).cast(right.schema[value].dataType), "_r": F.lit(1)}).unionByName(right.select(*by, ts, F.col(value).alias("_v"), F.lit(0).alias("_r")), allowMissingColumns=True)
-    w = Window.partitionBy(*by).orderBy(ts, "_r").rowsBetween(Window.unboundedPreceding, 0)
-    return both.withColumn(out, F.last("_v", ignorenulls=True).over(w)).filter("_r = 1").drop("_v", "_r")
+    """The latest ``value`` of ``right`` at or before each row of ``left``: a union and one window per key and day.
+
+    So that no task holds a key's whole series, a day starts from the last value of the days before, which comes from a table of a row per key and day.
+    """
+    day = F.to_date(F.col(ts))
+    r = right.select(*by, F.col(ts), F.struct(F.col(value).alias("v")).alias("_v"), F.lit(0).alias("_r"), day.alias("_day"))
+    both = left.withColumns({"_v": F.lit(None).cast(r.schema["_v"].dataType), "_r": F.lit(1), "_day": day}).unionByName(r, allowMissingColumns=True)
+    w = Window.partitionBy(*by, "_day").orderBy(ts, "_r").rowsBetween(Window.unboundedPreceding, 0)
+    ends = both.groupBy(*by, "_day").agg(F.max_by("_v", F.when(F.col("_r") == 0, F.col(ts))).alias("_end"))
+    ends = ends.withColumn("_carry", F.last("_end", ignorenulls=True).over(Window.partitionBy(*by).orderBy("_day").rowsBetween(Window.unboundedPreceding, -1))).drop("_end")
+    own = both.withColumn("_own", F.last("_v", ignorenulls=True).over(w)).filter("_r = 1")
+    named = ends.select(*[F.col(c).alias(f"_by_{c}") for c in by], F.col("_day").alias("_on"), "_carry")
+    met = own.join(named, [F.col("_day") == F.col("_on"), *(F.col(c).eqNullSafe(F.col(f"_by_{c}")) for c in by)], "left")
+    return met.withColumn(out, F.coalesce("_own", "_carry").getField("v")).drop("_v", "_r", "_day", "_own", "_on", "_carry", *(f"_by_{c}" for c in by))
 
 
 def ext_retain(rows: DataFrame, seen: str, kind: str, as_of: Column, days: dict[str, int]) -> DataFrame:
@@ -97,3 +107,65 @@ def ext_quality_ratios(posts: DataFrame, content: str, confidence: str, author:
     one = total.crossJoin(F.broadcast(distinct)).crossJoin(F.broadcast(most))
     n = F.col("posts")
     return one.select("posts", F.bround(1 - F.try_divide("kinds", n), 6).alias("duplicate_share"), F.bround(F.try_divide("weak", n), 6).alias("low_confidence_share"), F.bround(F.try_divide("most", n), 6).alias("max_contribution"))
+
+
+def ext_velocity(series: DataFrame, ts: str, value: str, minutes: tuple[int, ...] = (15, 60, 1440)) -> DataFrame:
+    """Change against the value exactly that many minutes before, NULL if there is none: equality joins."""
+    out = series
+    for m in minutes:
+        before = series.select((F.col(ts) + F.make_interval(mins=F.lit(m))).alias(ts), F.col(value).alias("_before"))
+        out = out.join(before, ts, "left").withColumn(f"velocity_{m}m", F.bround(F.col(value) - F.col("_before"), 2)).drop("_before")
+    return out
+
+
+def ext_market_divergence(index: Column, change_rate: Column, full_move: float = 5.0) -> Column:
+    """Sentiment from -1 to 1 less the market's move from -1 to 1; ``full_move`` per cent count as 1. An observation, no signal."""
+    return F.bround((index - 50) / 50 - F.greatest(F.lit(-1.0), F.least(F.lit(1.0), change_rate / full_move)), 4)
+
+
+def ext_author_weight(posts: DataFrame, author: str, most: int) -> DataFrame:
+    """Weight of each post so that no author counts for more than ``most`` posts."""
+    n = posts.groupBy(author).agg(F.count(F.lit(1)).alias("_n"))
+    return posts.join(n, author).withColumn("weight", F.when(F.col("_n") > most, F.lit(float(most)) / F.col("_n")).otherwise(1.0)).drop("_n")
+
+
+def ext_review_queue(scored: DataFrame, confidence: str, low: float = 0.5) -> tuple[DataFrame, DataFrame]:
+    """(to review, accepted): rows of low or missing confidence are for people to look at."""
+    sure = F.coalesce(F.col(confidence) >= low, F.lit(False))
+    return scored.filter(~sure), scored.filter(sure)
+
+
+# Kinds of events and the fields that all of them carry.
+EVENT_TYPES = (
+    "source.post.discovered", "source.post.fetched", "source.post.changed", "source.post.deleted", "content.normalized", "content.analysis.completed", "content.analysis.rejected", "index.window.calculated", "index.window.invalidated",
+    "retention.raw.expired",
+)
+EVENT_FIELDS = ("event_id", "occurred_at", "producer", "producer_version", "correlation_id", "source_id", "payload_schema_version")
+
+
+def _first_broken(rules: list[tuple[str, Column]]) -> Column:
+    return F.coalesce(*[F.when(~F.coalesce(ok, F.lit(False)), name) for name, ok in rules])
+
+
+def ext_event_log(events: DataFrame) -> DataFrame:
+    """Adds ``reject_reason``: NULL, or the first field that breaks the log's contract."""
+    return events.withColumn("reject_reason", _first_broken([("event_type", F.col("event_type").isin(*EVENT_TYPES)), *((f, F.col(f).isNotNull()) for f in EVENT_FIELDS)]))
+
+
+# Fields of a label and what they may hold.
+LABEL_VALUES = {
+    "relevance": ("relevant", "irrelevant", "uncertain"),
+    "stance": ("strong_bearish", "bearish", "neutral", "bullish", "strong_bullish", "unclear"),
+    "emotion": ("fear", "greed", "anxiety", "anger", "euphoria", "resignation", "relief", "none", "unclear"),
+    "action_intent": ("buy", "add", "hold", "wait", "sell", "cut_loss", "short", "avoid", "none", "unclear"),
+    "time_horizon": ("intraday", "next_session", "short_term", "mid_term", "long_term", "unspecified"),
+    "expression_type": ("fact", "opinion", "question", "joke", "sarcasm", "quote", "mixed"),
+    "sarcasm": ("yes", "no", "uncertain"),
+    "confidence": ("high", "medium", "low"),
+}
+
+
+def ext_label_contract(labels: DataFrame) -> DataFrame:
+    """Adds ``reject_reason``: NULL, or the first field whose value the labelling guide does not know; targets and notes must be there."""
+    rules = [(k, F.col(k).isin(*v)) for k, v in LABEL_VALUES.items()]
+    return labels.withColumn("reject_reason", _first_broken([*rules, ("targets", F.col("targets").isNotNull()), ("notes", F.col("notes").isNotNull())]))

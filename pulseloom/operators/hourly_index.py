@@ -45,7 +45,8 @@ def join_market(bars: DataFrame, index: DataFrame, order: list[str], base_partit
     if index_order:
         kept = [c for c in index.columns if c != "hour"]
         index = index.groupBy("hour").agg(F.max_by(F.struct(*kept), index_order).alias("_r")).select("hour", "_r.*")
-    first = bars.agg(F.min_by("close", F.struct(*order)).alias("_base"))
+    # the anchor reads all columns, so that what is shuffled below it is shuffled once for both uses
+    first = bars.agg(F.min_by(F.struct(*bars.columns), F.struct(*order)).getField("close").alias("_base"))
     base = F.when(F.col("_base") == 0, 1.0).otherwise(F.col("_base"))
     i = index.select("hour", *[F.col(c).alias(f"_{c}") for c in ("sentiment_index", "has_sentiment", "post_count", "comment_count", "analyzed_post_count", "confidence")])
     j = bars.crossJoin(F.broadcast(first)).join(i, "hour", "left")

@@ -5,7 +5,8 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from .components import components
 
 # What marks a notice or an advertisement in a lower-cased title.
 NOTICE = ("공지", "notice", "광고", "ad ")
@@ -32,39 +33,29 @@ def greedy_dedup(posts: DataFrame, order: str = "pos", keys: tuple[str, ...] = (
     """First come, first kept over three keys; adds ``dropped_by`` (NULL: kept).
 
     Only kept rows register their keys, so a row's fate depends on all rows before it that share a key, directly or in a chain. Rows are
-    therefore grouped by connected keys and each group is walked in order; different groups never meet. A group is read by one task: it
-    is the chain of posts tied by id, URL or hash. An empty URL or hash registers nothing. ``order`` must be unique.
+    therefore grouped by connected keys (star contraction, rounds by the logarithm of the longest chain) and each group is walked in order; different
+    groups never meet. A group, of which only order and keys are sent, is read by one task: it is the chain of posts tied by id, URL or hash. A NULL key,
+    or an empty URL or hash, registers nothing; rows without any key are kept and go to no group. ``order`` must be unique.
     """
     nodes = [F.when(F.col(k).isNotNull() & ((F.lit(i) == 0) | (F.col(k) != "")), F.concat_ws(":", F.lit(str(i)), F.col(k))) for i, k in enumerate(keys)]
-    rows = posts.withColumn("_keys", F.array_compact(F.array(*nodes)))
-    group = rows.withColumn("_root", F.coalesce(F.array_min("_keys"), F.lit("")))
-    label = group.select(F.explode("_keys").alias("k"), F.col("_root").alias("r")).groupBy("k").agg(F.min("r").alias("r"))
-    # settle the labels: a key takes the least label among the rows that hold it
-    while True:
-        joined = rows.select(F.col(order).alias("i"), F.explode("_keys").alias("k")).join(label, "k")
-        least = joined.groupBy("i").agg(F.min("r").alias("m"))
-        nxt = joined.join(least, "i").groupBy("k").agg(F.min("m").alias("r"))
-        nxt = nxt.checkpoint() if posts.sparkSession.sparkContext.getCheckpointDir() else nxt.persist()
-        if not nxt.join(label.withColumnRenamed("r", "o"), "k").filter("r <> o").limit(1).count():
-            label = nxt
-            break
-        label = nxt
-    named = rows.withColumn("_first", F.element_at("_keys", 1)).join(label.withColumnRenamed("k", "_first"), "_first", "left")
-    schema = T.StructType([*posts.schema.fields, T.StructField("dropped_by", T.StringType())])
-
-    names = [*posts.columns, "dropped_by"]
+    rows = posts.select(order, *keys, F.array_compact(F.array(*nodes)).alias("_keys")).filter(F.size("_keys") > 0)
+    rows = rows.withColumn("_first", F.element_at("_keys", 1))
+    roots = components(rows.select(F.col("_first").alias("u"), F.explode(F.slice("_keys", 2, len(keys))).alias("v")))
+    grouped = rows.join(roots, F.col("_first") == F.col("node"), "left").select(order, *keys, F.coalesce("root", "_first").alias("_root"))
+    schema = f"`{order}` {posts.schema[order].dataType.simpleString()}, dropped_by string"
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
         seen: dict[str, set] = {k: set() for k in keys}
         why = []
         pdf = pdf.sort_values(order, kind="stable")
         for row in pdf[list(keys)].itertuples(index=False):
-            hit = next((k for k, v in zip(keys, row, strict=True) if (v or k == keys[0]) and v in seen[k]), None)
+            own = [(k, v) for k, v in zip(keys, row, strict=True) if isinstance(v, str) and (v or k == keys[0])]
+            hit = next((k for k, v in own if v in seen[k]), None)
             why.append(hit)
             if hit is None:
-                for k, v in zip(keys, row, strict=True):
+                for k, v in own:
                     seen[k].add(v)
-        return pdf.assign(dropped_by=why)[names]
-
-    return named.drop("_keys", "_first").groupBy("r").applyInPandas(walk, schema)
+        return pd.DataFrame({order: pdf[order], "dropped_by": why})
 
+    fates = grouped.groupBy("_root").applyInPandas(walk, schema).filter("dropped_by is not null")
+    return posts.join(fates, order, "left")

@@ -61,6 +61,11 @@ def place(rows: DataFrame, ts: str, out: str = "place") -> DataFrame:
     return d.withColumn("_own", F.row_number().over(w) - 1).join(days, "_day").withColumn(out, (F.col("_ahead") + F.col("_own")).cast("long")).drop("_day", "_own", "_ahead")
 
 
+def any_sentiment(rows: DataFrame) -> DataFrame:
+    """(has_sentiment, hours): whether any row of the series has sentiment, and how many rows it has."""
+    return rows.agg(F.coalesce(F.bool_or("has_sentiment"), F.lit(False)).alias("has_sentiment"), F.count(F.lit(1)).alias("hours"))
+
+
 def latest(rows: DataFrame, ts: str, n: int = 1) -> DataFrame:
     return rows.orderBy(F.col(ts).desc()).limit(n)
 

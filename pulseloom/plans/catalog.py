@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import labels, parse, sentiment, text, timefn
 from ..operators import bars, extensions, hourly_index, incremental, posts, series, validate
+from ..shared import materialize
 from ..sources import html as html_source
 from ..sources import posts as post_source
 
@@ -92,7 +93,7 @@ _JOINED = f"""{_INDEX}, {_BARS}, joined AS (
   SELECT b.hour, b.close, round_even(b.close / (SELECT CASE WHEN arg_min(close, hour) = 0 THEN 1.0 ELSE arg_min(close, hour) END FROM bars) * 100.0, 2) AS market_normalized, b.change_rate AS market_change_rate,
     CASE WHEN i.has_sentiment THEN i.sentiment_index END AS sentiment_index, coalesce(i.has_sentiment, false) AS has_sentiment, coalesce(i.post_count, 0) AS post_count,
     CASE WHEN i.has_sentiment THEN i.confidence ELSE 0.0 END AS confidence, coalesce(i.comment_count, 0) AS comment_count, coalesce(i.analyzed_post_count, 0) AS analyzed_post_count
-  FROM bars b LEFT JOIN idx i ON b.hour = i.hour AND i.hour >= (SELECT min(hour) + INTERVAL 6 HOUR FROM idx))"""
+  FROM bars b LEFT JOIN idx i ON b.hour = i.hour)"""
 
 
 def _shown(df: DataFrame) -> DataFrame:
@@ -180,12 +181,14 @@ def q_replaced(spark: SparkSession, d: str) -> DataFrame:
 
 
 def joined(spark: SparkSession, d: str) -> DataFrame:
-    """Bars joined to an index that starts six hours late, so that all three cases occur."""
-    index = event_index(spark, d)
-    start = index.agg((F.min("hour") + F.make_interval(hours=F.lit(6))).alias("_from"))
-    late = index.crossJoin(F.broadcast(start)).filter("hour >= _from").drop("_from")
+    """All bars joined to the whole index."""
     b = tick_bars(spark, d).select("hour", "close", "change_rate")
-    return hourly_index.join_market(b, late, ["hour"])
+    return hourly_index.join_market(b, event_index(spark, d), ["hour"])
+
+
+def settled(spark: SparkSession, d: str) -> DataFrame:
+    """The same, a row an hour, written once: anchors and neighbours are taken from it again and again."""
+    return materialize(joined(spark, d))
 
 
 @query("market_sentiment_join", f"WITH {_JOINED} SELECT {_STAMP.format('hour')} AS timestamp, * EXCLUDE (hour) FROM joined")
@@ -212,7 +215,7 @@ for _p, _h in series.PERIODS.items():
 SELECT {_STAMP.format('hour')} AS timestamp, x, sentiment_index, market_change_rate FROM f WHERE sentiment_index IS NOT NULL AND market_change_rate <> 0 AND (CASE WHEN sentiment_index >= 50 THEN 1 ELSE -1 END) <> sign(market_change_rate)""",
 )
 def q_divergence(spark: SparkSession, d: str) -> DataFrame:
-    f = series.period_filter(joined(spark, d), F.col("hour"), "7d")
+    f = series.period_filter(settled(spark, d), F.col("hour"), "7d")
     return _shown(series.divergence(f, "hour").select("hour", "x", "sentiment_index", "market_change_rate"))
 
 
@@ -222,7 +225,7 @@ def q_divergence(spark: SparkSession, d: str) -> DataFrame:
 SELECT {_STAMP.format('hour')} AS timestamp, floor((a - b) * 10 + 0.5) / 10 AS change FROM w""",
 )
 def q_lag(spark: SparkSession, d: str) -> DataFrame:
-    return _shown(series.change(joined(spark, d).select("hour", "sentiment_index"), "hour", "sentiment_index").select("hour", "change"))
+    return _shown(series.change(settled(spark, d).select("hour", "sentiment_index"), "hour", "sentiment_index").select("hour", "change"))
 
 
 @query(
@@ -231,7 +234,7 @@ def q_lag(spark: SparkSession, d: str) -> DataFrame:
 SELECT strftime(hour, '%Y-%m-%dT%H:%M') AS label, sentiment_index, floor(market_normalized / (SELECT arg_min(market_normalized, hour) FROM f) * 10000 + 0.5) / 100 AS market_value FROM f""",
 )
 def q_chart(spark: SparkSession, d: str) -> DataFrame:
-    j = joined(spark, d).withColumn("timestamp", stamp(F.col("hour")))
+    j = settled(spark, d).withColumn("timestamp", stamp(F.col("hour")))
     return series.chart_series(j, F.col("hour"), "24h", order=["hour"]).select("label", "sentiment_index", "market_value")
 
 
@@ -320,7 +323,7 @@ def q_normalize(spark: SparkSession, d: str) -> DataFrame:
     return t(spark, d, "events").select("event_id", timefn.iso(timefn.kst(s)).alias("timestamp"))
 
 
-_CLOSED = ", ".join(f"DATE '{x}'" for x in timefn.CLOSED)
+_CLOSED = "DATE '2026-01-01', DATE '2026-02-16', DATE '2026-02-17', DATE '2026-02-18', DATE '2026-03-02', DATE '2026-05-01', DATE '2026-05-05', DATE '2026-05-25', DATE '2026-06-03', DATE '2026-06-06', DATE '2026-07-17', DATE '2026-08-15', DATE '2026-08-17', DATE '2026-09-24', DATE '2026-09-25', DATE '2026-09-26', DATE '2026-10-05', DATE '2026-10-09', DATE '2026-12-25', DATE '2026-12-31'"
 
 
 @query("trading_days", f"SELECT CAST(d AS DATE) AS day FROM range(DATE '2026-01-01', DATE '2027-01-01', INTERVAL 1 DAY) r(d) WHERE isodow(d) < 6 AND CAST(d AS DATE) NOT IN ({_CLOSED})")
@@ -338,7 +341,7 @@ def q_session_filter(spark: SparkSession, d: str) -> DataFrame:
     return e.select("event_id", stamp(timefn.session_bucket(ts)).alias("bucket"), timefn.is_partial(ts).alias("is_partial"), timefn.in_closing_auction(ts).alias("auction"))
 
 
-_NAMES = " OR ".join(f"contains(identity, '{n}')" for n in bars.INDEX_NAMES)
+_NAMES = "contains(identity, 'KOSPI') OR contains(identity, 'KS11') OR contains(identity, 'KOSPI COMPOSITE') OR contains(identity, 'KOSPI 200') OR contains(identity, 'KOSPI200') OR contains(identity, 'KOSPI INDEX') OR contains(identity, '코스피')"
 
 
 @query(
@@ -415,7 +418,7 @@ def q_titles(spark: SparkSession, d: str) -> DataFrame:
 
 @query("html_links")
 def q_links(spark: SparkSession, d: str) -> DataFrame:
-    return html_source._parse(t(spark, d, "pages").select("page_id", "html"), html_source.board_list, ["page_id"]).select("page_id", "pos", "url", "title")
+    return html_source.links(t(spark, d, "pages"), ("page_id",)).select("page_id", "pos", "url", "title")
 
 
 @query("greedy_dedup")
@@ -433,12 +436,6 @@ def q_status(spark: SparkSession, d: str) -> DataFrame:
     return t(spark, d, "pages").select("page_id", parse.http_status(s, F.col("html")).alias("status"))
 
 
-@query("pipeline_summary", f"WITH {_POSTS} SELECT count(*) AS posts, CAST(sum(comment_count) AS BIGINT) AS comments, round_even(sum(k)::DOUBLE / count(*), 4) AS mean_confidence, {_STAMP.format("date_trunc('second', min(ts))")} AS first_seen, {_STAMP.format("date_trunc('second', max(ts))")} AS last_seen FROM posts")
-def q_summary(spark: SparkSession, d: str) -> DataFrame:
-    p = event_posts(spark, d)
-    return p.agg(F.count(F.lit(1)).alias("posts"), F.sum("comment_count").alias("comments"), F.bround(F.sum("k") / F.count(F.lit(1)), 4).alias("mean_confidence"), stamp(F.date_trunc("SECOND", F.min("ts"))).alias("first_seen"), stamp(F.date_trunc("SECOND", F.max("ts"))).alias("last_seen"))
-
-
 @query("ext_macro_f1", """WITH p AS (SELECT quality AS t, toxic AS g FROM labels), k AS (SELECT t AS k FROM p UNION SELECT g FROM p), s AS (SELECT k, (SELECT count(*) FROM p WHERE t = k) AS pos, (SELECT count(*) FROM p WHERE t = k AND g = k) AS hit, (SELECT count(*) FROM p WHERE g = k) AS said FROM k)
 SELECT round_even(sum(hit)::DOUBLE / sum(pos), 6) AS accuracy, round_even(avg(CASE WHEN pos + said = 0 THEN 0.0::DOUBLE ELSE 2.0::DOUBLE * hit / (pos + said) END), 6) AS macro_f1 FROM s""")
 def q_f1(spark: SparkSession, d: str) -> DataFrame:
@@ -452,19 +449,9 @@ def q_forward(spark: SparkSession, d: str) -> DataFrame:
 
 @query("ext_as_of", f"WITH {_BARS} SELECT e.event_id, b.close AS last_close FROM events e ASOF LEFT JOIN bars b ON e.ts >= b.hour + INTERVAL 1 HOUR")
 def q_asof(spark: SparkSession, d: str) -> DataFrame:
-    # partitioned by day so that no task holds the series; the first hours of a day look back through the day before's close
     right = tick_bars(spark, d).select((F.col("hour") + F.make_interval(hours=F.lit(1))).alias("ts"), "close")
     left = t(spark, d, "events").select("event_id", ntz().alias("ts"))
-    day = F.to_date("ts")
-    carry = right.groupBy(day.alias("day")).agg(F.max_by("close", "ts").alias("c"))
-    from pyspark.sql import Window
-
-    days = left.select(day.alias("day")).distinct().join(carry, "day", "full").withColumn("close", F.last("c", ignorenulls=True).over(Window.orderBy("day").rowsBetween(Window.unboundedPreceding, -1)))
-    edges = days.filter("close is not null").select(F.col("day").cast("timestamp_ntz").alias("ts"), "day", "close")
-    # an edge never beats a bar at the same instant
-    edges = edges.join(right.select("ts"), "ts", "left_anti")
-    r = right.withColumn("day", day).unionByName(edges.select("ts", "close", "day"))
-    return extensions.ext_as_of(left.withColumn("day", day), r, ["day"], "ts", "close", "last_close").select("event_id", "last_close")
+    return extensions.ext_as_of(left, right, [], "ts", "close", "last_close").select("event_id", "last_close")
 
 
 @query(
@@ -505,7 +492,7 @@ def q_effective(spark: SparkSession, d: str) -> DataFrame:
 @query(
     "interpretation",
     f"""WITH {_JOINED} SELECT {_STAMP.format('hour')} AS timestamp, CASE WHEN sentiment_index IS NOT NULL THEN format('현재 심리지수는 {{:.1f}}로 {{}} 구간입니다. 오늘 분석 표본은 {{}}건, 평균 신뢰도는 50%입니다.', sentiment_index, CASE WHEN sentiment_index >= 75 THEN '매우 긍정' WHEN sentiment_index >= 60 THEN '긍정' WHEN sentiment_index > 40 THEN '중립' WHEN sentiment_index > 25 THEN '부정' ELSE '강한 부정' END, analyzed_post_count)
-  WHEN post_count > 0 THEN post_count::VARCHAR || '개의 게시글이 수집되었으나, 아직 심리 분석 결과가 없습니다. 분석이 완료되면 여기에 해석이 표시됩니다.' ELSE '아직 심리 데이터가 없습니다. 파이프라인이 데이터를 생성하면 여기에 해석이 표시됩니다.' END AS sentence FROM joined WHERE coalesce(round_even(sentiment_index * 100, 0) % 10 <> 5, true)""",
+  WHEN post_count > 0 THEN post_count::VARCHAR || '개의 게시글이 수집되었으나, 아직 심리 분석 결과가 없습니다. 분석이 완료되면 여기에 해석이 표시됩니다.' ELSE '아직 심리 데이터가 없습니다. 파이프라인이 데이터를 생성하면 여기에 해석이 표시됩니다.' END AS sentence FROM joined""",
 )
 def q_interpretation(spark: SparkSession, d: str) -> DataFrame:
     i = F.col("sentiment_index")
@@ -521,3 +508,6 @@ def q_latest(spark: SparkSession, d: str) -> DataFrame:
 def q_quality(spark: SparkSession, d: str) -> DataFrame:
     p = t(spark, d, "documents").select(F.md5("text").alias("h"), F.when(F.col("n_chars") < 100, 0.1).otherwise(0.9).alias("c"), "source")
     return extensions.ext_quality_ratios(p, "h", "c", "source")
+
+
+from . import records  # noqa: E402, F401  registers the queries over record sources

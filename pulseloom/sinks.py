@@ -92,10 +92,23 @@ def dashboard_payload(joined: list[dict], overnight: dict | None = None, summary
     return {"joined": joined, "overnight": UNAVAILABLE if overnight is None else overnight, "summary": s | (summary or {})}
 
 
-def run_metadata(counters: dict, series: DataFrame, requested: tuple[str, str], overlap_hours: int, effective_from: str, existing_latest: str = "", warnings: tuple[str, ...] = (), years: tuple[int, ...] = (2026,)) -> dict:
-    """Metadata of a collection run, free of secrets."""
-    r = series.agg(F.count(F.lit(1)).alias("n"), F.min("timestamp").alias("a"), F.max("timestamp").alias("b"), F.count_if("is_partial").alias("p")).first()
-    return {camel(k): v for k, v in counters.items()} | {
-        "requestedFrom": requested[0], "requestedTo": requested[1], "effectiveFrom": effective_from, "existingLatestTimestamp": existing_latest, "overlapHours": overlap_hours,
-        "records": r["n"], "firstTimestamp": r["a"], "lastTimestamp": r["b"], "partialRecords": r["p"], "supportedCalendarYears": list(years), "warnings": list(warnings),
+# The calendar and contract a run names in its metadata.
+IDENTITY = {"provider": "", "instrumentId": "001", "symbol": "KOSPI", "assetType": "index", "dataMode": "real"}
+
+
+def run_metadata(
+    counters: dict, series: DataFrame, requested: tuple[str, str], generated_at: str, provider: str, requests_made: int = 0, overlap_hours: int = 0, effective_from: str = "", existing_latest: str = "",
+    warnings: tuple[str, ...] = (), no_trading_days: bool = False, years: tuple[int, ...] = (2026,), versions: dict[str, str] | None = None,
+) -> dict:
+    """Metadata of a collection run: always the same 26 keys, free of secrets.
+
+    ``counters``: as ``broker_pages.run_counters`` gives them, with ``duplicates_removed`` of the merge. ``versions`` names
+    apiContractVersion, collectorVersion, calendarSource and calendarVersion.
+    """
+    r = series.agg(F.min("timestamp").alias("a"), F.max("timestamp").alias("b")).first()
+    named = dict.fromkeys(("apiContractVersion", "collectorVersion", "calendarSource", "calendarVersion"), "") | (versions or {})
+    return IDENTITY | {"provider": provider} | named | {
+        "requestedFrom": requested[0], "requestedTo": requested[1], "effectiveFrom": effective_from or r["a"] or requested[0], "effectiveTo": r["b"] or requested[1], "requestsMade": requests_made,
+        "recordsReceived": counters.get("received", 0), "recordsAccepted": counters.get("hourly_records", 0), "recordsRejected": counters.get("rejected", 0), "duplicatesRemoved": counters.get("duplicates_removed", 0), "partialBuckets": counters.get("partial_buckets", 0),
+        "latestTimestamp": r["b"] or "", "generatedAt": generated_at, "warnings": list(warnings), "overlapHours": overlap_hours, "existingLatestTimestamp": existing_latest, "supportedCalendarYears": list(years), "noTradingDays": no_trading_days,
     }

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.parse import nonnegative_number, price_magnitude
-from ..functions.timefn import bar_time, bar_time_status, is_partial
+from ..functions.timefn import bar_time, bar_time_status, in_session, is_partial
 from ..operators.bars import hourly_ohlc
 
 # The list of bars in a page and the keys of a bar.
@@ -40,12 +40,18 @@ def classify(rows: DataFrame, key: Column | None = None) -> DataFrame:
 
 
 def run_counters(classified: DataFrame) -> DataFrame:
-    """Counters of a run, in one aggregation."""
+    """Counters of a run, in one aggregation. Accepted rows out of session count as rejected too; ``hourly_records`` are the hours that come of the rest.
+
+    ``duplicates_removed`` is counted where stored and fresh records meet: ``operators.bars.merge_newest`` returns it.
+    """
     s = F.col("status")
+    session = F.coalesce(in_session(F.col("ts")), F.lit(False))
+    good = (s == "accepted") & session
     return classified.agg(
-        F.count(F.lit(1)).alias("received"), F.count_if(s == "accepted").alias("accepted"), F.count_if(s != "accepted").alias("rejected"),
+        F.count(F.lit(1)).alias("received"), F.count_if(s == "accepted").alias("accepted"), F.count_if((s != "accepted") | ~session).alias("rejected"),
         F.count_if(F.col("time_status") == "target").alias("target_date"), F.count_if(s == "other_date").alias("other_date"), F.count_if(s == "invalid_time").alias("invalid_time"), F.count_if(s == "invalid_price").alias("invalid_price"),
-        F.count_distinct(F.when((s == "accepted") & F.col("is_partial"), F.date_trunc("HOUR", "ts"))).alias("partial_buckets"),
+        F.count_if((s == "accepted") & ~session).alias("out_of_session"), F.count_distinct(F.when(good, F.date_trunc("HOUR", "ts"))).alias("hourly_records"),
+        F.count_distinct(F.when(good & F.col("is_partial"), F.date_trunc("HOUR", "ts"))).alias("partial_buckets"),
     )
 
 

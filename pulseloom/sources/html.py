@@ -1,6 +1,7 @@
 """Community pages to posts: a small element tree, read by class names, behind Arrow batches.
 
-HTML has no built-in reader; pages are parsed in ``mapInPandas``, a page a row, and only structs leave the worker.
+HTML has no built-in reader; pages are parsed in ``mapInArrow``, a page a row and a few megabytes at a time, and only structs leave the worker.
+A page that cannot be parsed fails alone: ``page_errors`` returns it with its reason.
 """
 
 from __future__ import annotations
@@ -11,10 +12,11 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..arrow import slices
 from ..functions.parse import canonical_url, document_id
 from ..functions.text import content_hash, normalize
 from ..functions.timefn import absolute_datetime
@@ -33,6 +35,7 @@ LIKES = ("recommend", "recommends", "like", "bd_vote", "recommend_cnt", "vote")
 COUNTS = ("comments-count", "comment-count", "cmt_count", "reply_cnt", "comment_cnt")
 DATES = ("date", "time", "regdate", "published")
 DELETED = r"삭제된\s*(?:게시|글)|존재하지\s*않는\s*게시|글이\s*없|글을\s*찾을\s*수\s*없"
+_ABSOLUTE = re.compile(r"\d{4}-\d{2}-\d{2}T\d{2}:\d{2}(:\d{2}(\.\d+)?)?(Z|[+-]\d{2}:?\d{2})", re.ASCII)
 
 
 @dataclass
@@ -49,14 +52,23 @@ class Node:
     def has(self, *names: str) -> bool:
         return any(n in self.cls for n in names)
 
-    def walk(self) -> Iterator[Node]:
-        for p in self.parts:
+    def leaves(self) -> Iterator[Node | str]:
+        """Elements and strings below, in document order; by a stack, so that markup may be nested as deeply as it likes."""
+        stack = [iter(self.parts)]
+        while stack:
+            p = next(stack[-1], None)
+            if p is None:
+                stack.pop()
+                continue
+            yield p
             if isinstance(p, Node):
-                yield p
-                yield from p.walk()
+                stack.append(iter(p.parts))
+
+    def walk(self) -> Iterator[Node]:
+        return (p for p in self.leaves() if isinstance(p, Node))
 
     def text(self) -> str:
-        return "".join(p if isinstance(p, str) else p.text() for p in self.parts)
+        return "".join(p for p in self.leaves() if isinstance(p, str))
 
     def up(self) -> Iterator[Node]:
         n = self.parent
@@ -146,7 +158,9 @@ def simple_post(html: str) -> list[dict]:
             p["comment_count"] = len(p["comments"])
         elif n.tag == "div" and n.has("body"):
             target = p["comments"][-1] if in_comment else p
-            target["body"] = f"{target['body']} {' '.join(x.strip() for x in _strings(n))}".strip()
+            target["body"] = f"{target['body']} {' '.join(x.strip() for x in n.leaves() if isinstance(x, str) and x.strip())}".strip()
+        elif n.tag == "span" and n.has("author") and in_comment and p["comments"]:
+            p["comments"][-1]["author"] = n.text().strip() or None
         elif n.tag == "h1" and n.has("title"):
             p["title"] = n.text().strip()
         elif n.tag == "span" and not in_comment:
@@ -159,15 +173,6 @@ def simple_post(html: str) -> list[dict]:
     return [p]
 
 
-def _strings(n: Node) -> Iterator[str]:
-    for part in n.parts:
-        if isinstance(part, str):
-            if part.strip():
-                yield part
-        else:
-            yield from _strings(part)
-
-
 def board_list(html: str) -> list[dict]:
     """Every link with text; document ids are resolved by columns afterwards. No counts on list pages."""
     return [_post(url=n.attrs["href"], title=t) for n in tree(html).walk() if n.tag == "a" and n.attrs.get("href") and (t := tidy(n.text()))]
@@ -208,9 +213,8 @@ def board_post(html: str) -> list[dict]:
         elif n.tag in ("span", "div", "em") and n.has(*LIKES):
             p["recommendations"] = v if (v := _number(n.text(), signed=True)) is not None else p["recommendations"]
         elif p["published_at"] is None and (n.tag == "time" or n.tag in ("span", "div", "em") and n.has(*DATES)):
-            p["published_at"] = n.attrs.get("datetime") or tidy(n.text())
-            if not re.match(r"\d{4}-\d{2}-\d{2}T", p["published_at"]):
-                p["published_at"] = None
+            # the attribute, or else the text; what names no zone is no date, and a later element may have one
+            p["published_at"] = next((x for x in (n.attrs.get("datetime", "").strip(), tidy(n.text())) if _ABSOLUTE.fullmatch(x)), None)
     p["comments"] = list(seen.values())
     p["comment_count"] = p["comment_count"] or len(seen)
     return [p]
@@ -234,35 +238,63 @@ def _depth(n: Node) -> int:
     return int(n.has("reply") or any(u.has("reply_list") for u in n.up()))
 
 
+_COMMENT_TYPE = pa.struct([("id", pa.string()), ("parent_id", pa.string()), ("depth", pa.int32()), ("body", pa.string()), ("author", pa.string()), ("published_at", pa.string()), ("recommendations", pa.int64()), ("deleted", pa.bool_())])
+_POST_FIELDS = [*((n, pa.string()) for n in ("post_id", "url", "title", "body", "published_at", "first_seen_at")), *((n, pa.int64()) for n in ("views", "recommendations", "comment_count")), ("deleted", pa.bool_()), ("comments", pa.list_(_COMMENT_TYPE))]
+
+
 def _parse(pages: DataFrame, parser: Callable[[str], list[dict]], keep: list[str]) -> DataFrame:
-    """One row per post of each page, with the page's ``keep`` columns and the post's place ``pos``."""
+    """One row per post of each page, with the page's ``keep`` columns, the post's place ``pos`` and ``error`` (NULL, or why the page gave no post)."""
+    fields = [*_POST_FIELDS, ("error", pa.string())]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, "html"):
+            at, pos, rows = [], [], []
+            for i, page in enumerate(b.column(b.schema.get_field_index("html")).to_pylist()):
+                try:
+                    found = [p | {"error": None} for p in parser(page)]
+                except Exception as e:  # whatever a page does, it does to itself
+                    found = [_post(error=f"{type(e).__name__}: {e}"[:200])]
+                at += [i] * len(found)
+                pos += range(len(found))
+                rows += found
+            kept = [b.column(b.schema.get_field_index(c)).take(pa.array(at, pa.int64())) for c in keep]
+            made = [pa.array([r[n] for r in rows], t) for n, t in fields]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(pos, pa.int64()), *made], names=[*keep, "pos", *(n for n, _ in fields)])
+
+    kept = "".join(f"`{c}` {pages.schema[c].dataType.simpleString()}, " for c in keep)
+    return pages.select(*keep, F.col("html").cast("string").alias("html")).mapInArrow(run, f"{kept}pos long, {POST}, error string")
+
+
+def _good(parsed: DataFrame) -> DataFrame:
+    return parsed.filter("error is null").drop("error")
+
+
+def page_errors(pages: DataFrame, layout: str = "simple", detail: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+    """The pages that cannot be parsed: ``keep`` columns and ``error``."""
+    parser = {("simple", False): simple_list, ("simple", True): simple_post, ("board", False): board_list, ("board", True): board_post}[layout, detail]
+    return _parse(pages, parser, list(keep)).filter("error is not null").select(*keep, "error")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [x.split(" ")[0] for x in re.split(r", (?=\w+ )", POST)]
-        for b in batches:
-            kept = b[keep].itertuples(index=False) if keep else [()] * len(b)
-            rows = [(*own, i, *(p[c] for c in names)) for own, html in zip(kept, b["html"], strict=True) for i, p in enumerate(parser(html))]
-            yield pd.DataFrame(rows, columns=[*keep, "pos", *names])
 
-    kept = ", ".join(f"`{c}` {pages.schema[c].dataType.simpleString()}" for c in keep)
-    return pages.mapInPandas(run, f"{kept}{', ' if keep else ''}pos long, {POST}")
+def links(pages: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Every link of a page that has text."""
+    return _good(_parse(pages, board_list, list(keep)))
 
 
 def parse_lists(pages: DataFrame, layout: str = "simple", site: str = "", keep: tuple[str, ...] = ()) -> DataFrame:
     """Stubs of list pages (column html). Board links need a document id of six or more digits."""
     if layout == "simple":
-        return _parse(pages, simple_list, list(keep))
-    p = _parse(pages, board_list, list(keep))
+        return _good(_parse(pages, simple_list, list(keep)))
+    p = links(pages, keep)
     return p.withColumn("post_id", document_id(F.col("url"))).filter("post_id is not null").withColumn("url", canonical_url(F.col("url"), site))
 
 
 def parse_posts(pages: DataFrame, layout: str = "simple", site: str = "", keep: tuple[str, ...] = (), post_id: str = "post_id", first_seen=None) -> DataFrame:
     """Posts of detail pages. Board pages carry no id: it comes from the column ``post_id``, and pages without one go."""
     if layout == "simple":
-        out = _parse(pages, simple_post, list(keep))
+        out = _good(_parse(pages, simple_post, list(keep)))
     else:
         named = pages.withColumn("_pid", F.col(post_id).cast("string")).filter("_pid <> ''")
-        out = _parse(named, board_post, [*(c for c in keep if c != "post_id"), "_pid"]).withColumn("post_id", F.col("_pid")).drop("_pid")
+        out = _good(_parse(named, board_post, [*(c for c in keep if c != "post_id"), "_pid"])).withColumn("post_id", F.col("_pid")).drop("_pid")
         out = out.withColumns({"url": canonical_url(F.col("url"), site), "published_at": absolute_datetime(F.col("published_at"))})
         gone = normalize(F.concat_ws(" ", "title", "body")).rlike("(?U)" + DELETED)
         out = out.withColumn("deleted", gone).filter(F.col("deleted") | evidence(F.col("title"), F.col("body"), F.col("comments")))

@@ -103,16 +103,21 @@ def resolve(rows: DataFrame) -> DataFrame:
     return d.filter(F.col("ts").isNotNull() & F.when(bar, whole).otherwise(F.col("price").isNotNull()))
 
 
-def read_strict(spark: SparkSession, path: str, provider: str) -> tuple[DataFrame, DataFrame]:
-    """(records, classified) of a strict JSON-lines file: validated, the last row of (instrument, time) kept, in time order."""
+def strict_records(rows: DataFrame, provider: str) -> tuple[DataFrame, DataFrame]:
+    """(records, classified) of raw rows (file, pos, raw): validated, and of each (instrument, time) the last row kept."""
     from ..operators.validate import strict_rows
 
-    raw = read_file(spark, path).withColumn("kind", is_candle(F.col("raw")))
-    classified = strict_rows(raw, provider)
+    classified = strict_rows(rows.withColumn("kind", is_candle(F.col("raw"))), provider)
     good = classified.filter("reject_reason is null")
     kept = [c for c in good.columns if c not in ("instrument_id", "timestamp")]
     last = good.groupBy("instrument_id", "timestamp").agg(F.max_by(F.struct(*kept), F.struct((~F.col("kind")).cast("int").alias("k"), "file", "pos")).alias("r"))
-    return last.select("instrument_id", "timestamp", "r.*").drop("kind", "file", "pos", "reject_reason").orderBy("timestamp"), classified
+    return last.select("instrument_id", "timestamp", "r.*").drop("kind", "file", "pos", "reject_reason"), classified
+
+
+def read_strict(spark: SparkSession, path: str, provider: str) -> tuple[DataFrame, DataFrame]:
+    """``strict_records`` of a strict JSON-lines file, in time order."""
+    records, classified = strict_records(read_file(spark, path), provider)
+    return records.orderBy("timestamp"), classified
 
 
 # Keys a stored hourly record must have.
@@ -120,9 +125,13 @@ REQUIRED = ("timestamp", "market", "instrumentId", "symbol", "assetType", "open"
 
 
 def load_existing(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(records with ``seq``, rejected lines) of an hourly JSON-lines file. NULL in a required number rejects the line."""
-    rows = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\r?\n")).alias("seq", "line")).filter("trim(line) <> ''")
-    rows = rows.withColumn("raw", F.from_json("line", _MAP))
+    """(records with ``seq``, rejected lines) of an hourly JSON-lines file."""
+    return existing_records(spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\r?\n")).alias("seq", "line")))
+
+
+def existing_records(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The same of lines (seq, line). Blank lines count for nothing; NULL in a required number rejects the line."""
+    rows = lines.filter("trim(line) <> ''").withColumn("raw", F.from_json("line", _MAP))
     ok = F.col("raw").isNotNull()
     for k in REQUIRED:
         ok = ok & F.map_contains_key("raw", F.lit(k))

@@ -13,8 +13,12 @@ _LINE = "source string, dataMode string, sourcePostId string, canonicalUrl strin
 
 def load_live_posts(spark: SparkSession, path: str, source: str, data_mode: str = "real") -> DataFrame:
     """Posts of a JSON-lines file. A missing file, a damaged line or one of another source or mode fails the load, with its number."""
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\r?\n")).alias("pos", "line")).filter("trim(line) <> ''")
-    d = lines.withColumn("p", F.from_json("line", _LINE, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})).withColumn("m", F.from_json("line", "map<string,string>"))
+    return live_posts(spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\r?\n")).alias("pos", "line")), source, data_mode)
+
+
+def live_posts(lines: DataFrame, source: str, data_mode: str = "real") -> DataFrame:
+    """The same of lines (pos, line); blank lines count for nothing."""
+    d = lines.filter("trim(line) <> ''").withColumn("p", F.from_json("line", _LINE, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})).withColumn("m", F.from_json("line", "map<string,string>"))
     why = F.when(F.col("m").isNull(), "is not valid JSON").when(~F.col("p.source").eqNullSafe(source), f"source must be {source}").when(~F.col("p.dataMode").eqNullSafe(data_mode), f"dataMode must be {data_mode}")
     bad = d.withColumn("why", why).filter("why is not null").orderBy("pos").select("pos", "why").first()
     if bad:

@@ -164,6 +164,13 @@ def test_selection_and_greedy_dedup(spark):
                 s.add(v)
     got = posts.greedy_dedup(spark.createDataFrame(rows, "pos long, post_id string, url string, content_hash string"))
     assert {r.pos: r.dropped_by for r in got.collect()} == want
+    # rows without keys, NULL ids, and a chain as long as the table
+    bare = [(i, None, "", None) for i in range(5)] + [(10, None, "u", None), (11, None, "u", ""), (12, "", "", None), (13, "", "v", None)]
+    got = posts.greedy_dedup(spark.createDataFrame(bare, "pos long, post_id string, url string, content_hash string"))
+    assert {r.pos: r.dropped_by for r in got.collect() if r.dropped_by} == {11: "url", 13: "post_id"}
+    chain = spark.createDataFrame([(i, f"p{i}", f"u{i // 2}", f"h{(i + 1) // 2}") for i in range(40)], "pos long, post_id string, url string, content_hash string")
+    kept = [r.pos for r in posts.greedy_dedup(chain).filter("dropped_by is null").orderBy("pos").collect()]
+    assert kept == list(range(0, 40, 2))
 
 
 def test_extensions(spark):
