@@ -2,48 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Text bytes that a Python worker unpacks at a time.
-SLICE_BYTES = 4 << 20
+from ..arrow import slices
+from ..shared import materialize, shared_dir
+
+__all__ = ["fold", "materialize", "partitions", "shared_dir", "slices", "table", "unused", "without"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Only where the session names none (as in tests) a temporary folder is set.
-    """
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        current = spark.sparkContext.getCheckpointDir()
-        if current:
-            return current.rsplit("/", 1)[0]
-        where = "file://" + tempfile.mkdtemp(prefix="pulseloom-")
-        spark.sparkContext.setCheckpointDir(where)
-    return where
-
-
-def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` once as a table in the shared folder and read it back.
-
-    Cuts the lineage, so that a lost executor costs a reread and not a recomputation.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
@@ -54,24 +25,6 @@ def fold(doc_id: Column | str, n: int) -> Column:
     return F.crc32(F.coalesce(c.cast("string"), F.lit("")).cast("binary")) % n
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cut Arrow batches so that each holds about ``limit`` bytes of ``column`` (one row at least)."""
-    import numpy as np
-    import pyarrow.compute as pc
-
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        col = batch.column(batch.schema.get_field_index(column))
-        size = np.cumsum(pc.fill_null(pc.binary_length(col), 0).to_numpy(zero_copy_only=False).astype(np.int64))
-        at = 0
-        while at < batch.num_rows:
-            before = int(size[at - 1]) if at else 0
-            upto = max(at + 1, int(np.searchsorted(size, before + limit, side="right")))
-            yield batch.slice(at, upto - at)
-            at = upto
-
-
 def without(df: DataFrame, *names: str) -> DataFrame:
     """Drop columns whose names (in any case) an operator is about to add."""
     low = {n.lower() for n in names}

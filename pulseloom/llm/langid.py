@@ -5,11 +5,12 @@ one backwards; from both states every byte gets a probability of each language,
 the text is the document's. The network is trained in numpy, by backpropagation
 through time over the same windows, on the driver.
 
-Training uses up to ``per_lang`` documents of each language and ``windows`` windows of each, drawn at
-fixed random places from the first ``max_chars`` characters; prediction takes whole texts.
+Training uses the whole texts of up to ``per_lang`` documents of each language, ``max_docs`` in all (languages take turns), that have at most
+``text_bytes`` each and ``sample_bytes`` in all; each step draws documents, and of each a window. Prediction takes whole texts.
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0; without training
-rows all texts are ``und``; repeated rows come out once each; an empty table gives no rows.
+rows all texts are ``und``; languages that are equally likely go to the first by code point; repeated rows come out once each; an empty table gives no rows;
+other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from .common import fold, slices
 
 FOLDS, HELD_OUT = 4, 2
 WINDOW, HIDDEN, EMBED = 64, 8, 8
-PER_LANG, WINDOWS, MAX_CHARS, MAX_DOCS = 150, 8, 20_000, 4000
+PER_LANG, MAX_DOCS, TEXT_BYTES, SAMPLE_BYTES = 150, 4000, 1 << 20, 32 << 20
 ROUNDS, BATCH, RATE = 160, 256, 0.02
 _BLOCK = 2048
 UNKNOWN = "und"
@@ -95,14 +96,16 @@ class Network:
             grad["embed"] += into @ self.w[f"{d}x"].T
         return loss, grad
 
-    def train(self, x: np.ndarray, y: np.ndarray, rounds: int = ROUNDS, batch: int = BATCH, rate: float = RATE, seed: int = 11) -> float:
+    def train(self, x: np.ndarray, y: np.ndarray, count: np.ndarray, rounds: int = ROUNDS, batch: int = BATCH, rate: float = RATE, seed: int = 11) -> float:
+        """x: windows, document by document; y: the documents' languages; count: their numbers of windows."""
         rng = np.random.default_rng(seed)
+        first = np.cumsum(count) - count
         m = {k: np.zeros_like(v) for k, v in self.w.items()}
         v = {k: np.zeros_like(a) for k, a in self.w.items()}
         loss = 0.0
         for i in range(1, rounds + 1):
-            pick = rng.integers(0, len(x), min(batch, len(x)))
-            loss, grad = self.gradients(x[pick], y[pick])
+            doc = rng.integers(0, len(count), min(batch, len(x)))
+            loss, grad = self.gradients(x[first[doc] + rng.integers(0, count[doc])], y[doc])
             norm = np.sqrt(sum((g * g).sum() for g in grad.values()))
             step = rate * (1 - 0.9 * i / rounds)
             for k, g in grad.items():
@@ -166,22 +169,15 @@ class Reader:
 
 
 class Model:
-    def __init__(self, rows: list[tuple[str, str]], per_doc: int = WINDOWS, rounds: int = ROUNDS):
+    def __init__(self, rows: list[tuple[str, str]], rounds: int = ROUNDS):
+        rows = [r for r in rows if r[1]]
         self.langs = sorted({r[0] for r in rows})
-        rng = np.random.default_rng(3)
-        xs, ys = [], []
-        for lang, text in rows:
-            data = text.encode()
-            for at in rng.integers(0, max(1, len(data) - WINDOW + 1), min(per_doc, -(-len(data) // WINDOW))).tolist():
-                xs.append(np.frombuffer(data[at : at + WINDOW].ljust(WINDOW), np.uint8))
-                ys.append(self.langs.index(lang))
         self.reader = None
-        if xs:
+        if rows:
+            cut = [windows(text.encode())[0] for _, text in rows]
             net = Network(len(self.langs))
-            net.train(np.stack(xs), np.array(ys), rounds)
+            net.train(np.concatenate(cut), np.array([self.langs.index(lang) for lang, _ in rows]), np.array([len(x) for x in cut]), rounds)
             self.reader = Reader(net)
-        else:
-            self.langs = []
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         lang, score = [UNKNOWN] * len(texts), [0.0] * len(texts)
@@ -201,13 +197,16 @@ class Model:
         return lang, score
 
 
-def fit_languages(docs: DataFrame, per_lang: int = PER_LANG, per_doc: int = WINDOWS, max_chars: int = MAX_CHARS, rounds: int = ROUNDS) -> Model:
-    known = docs.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & (fold("doc_id", FOLDS) != HELD_OUT)).select("doc_id", "lang")
-    w = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    few = known.withColumn("nth", F.row_number().over(w)).filter(F.col("nth") <= per_lang).orderBy("nth", "lang").limit(MAX_DOCS).select("doc_id").distinct()
-    texts = docs.filter(F.col("lang").isNotNull()).select("doc_id", F.col("lang").cast("string").alias("lang"), F.substring("text", 1, max_chars).alias("text"))
-    rows = texts.join(F.broadcast(few), "doc_id").filter("text is not null").orderBy(F.xxhash64("doc_id"), "doc_id", "lang", "text").limit(2 * MAX_DOCS).select("lang", "text").collect()
-    return Model([(r["lang"], r["text"]) for r in rows], per_doc, rounds)
+def fit_languages(docs: DataFrame, per_lang: int = PER_LANG, max_docs: int = MAX_DOCS, text_bytes: int = TEXT_BYTES, sample_bytes: int = SAMPLE_BYTES, rounds: int = ROUNDS) -> Model:
+    known = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+    known = known.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (fold("doc_id", FOLDS) != HELD_OUT) & (F.octet_length("text") <= text_bytes))
+    hashed = F.xxhash64("doc_id")
+    w = Window.partitionBy("lang").orderBy(hashed, "doc_id")
+    few = known.select("doc_id", "lang").withColumn("nth", F.row_number().over(w)).filter(F.col("nth") <= per_lang).orderBy("nth", "lang").limit(max_docs).select("doc_id").distinct()
+    rows = known.join(F.broadcast(few), "doc_id").orderBy(hashed, "doc_id", "lang", "text").limit(2 * max_docs)
+    drawn = Window.orderBy(hashed, "doc_id", "lang", "text").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("bytes", F.sum(F.octet_length("text")).over(drawn)).filter(F.col("bytes") <= sample_bytes).orderBy("bytes").select("lang", "text").collect()
+    return Model([(r["lang"], r["text"]) for r in rows], rounds)
 
 
 def languages(docs: DataFrame, model: Model) -> DataFrame:

@@ -8,12 +8,13 @@ text, and a logistic curve fitted to the documents' labels turns that into a sco
 Labels are of documents, so lines start with their document's label; twice, the field is
 refitted with the lines of bad documents that it finds good relabelled as good.
 
-Fitting uses up to ``per_class`` labelled documents of either class, the first
-``max_chars`` characters of each; scoring takes whole texts, however long.
+Fitting uses the whole texts of up to ``per_class`` labelled documents of either class (at most ``class_bytes``); chains
+are cut into segments of 256 lines for fitting only. Scoring takes whole texts, however long: their lines are measured some at a time, and
+three numbers a line are kept for the chain.
 
 Defined cases: null and empty texts are one empty line; without labels of both classes every score is
-the share of label 1 (or 0.5); repeated rows come out once each; other columns are kept or
-ignored as the caller asks.
+the share of label 1 (or 0.5); repeated rows come out once each; an empty table gives no rows; other columns are kept or
+ignored as the caller asks, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,9 +29,9 @@ from pyspark.sql import functions as F
 
 from . import crf
 from .common import fold, slices
-from .labelled import FOLDS, sample
+from .labelled import CLASS_BYTES, FOLDS, sample, segments
 
-PER_CLASS, MAX_CHARS = 2000, 20_000
+PER_CLASS = 2000
 THRESHOLD = 0.3
 
 _CLASS = np.full(256, 5, np.int64)
@@ -41,16 +42,12 @@ _CLASS[ord("0") : ord("9") + 1] = 2
 _CLASS[[9, 11, 12, 13, 32]] = 3
 _CLASS[[ord(c) for c in ".,;:'\"()-"]] = 4
 _OWN = 11
+#: Lines that are measured at a time, and lines of a chain in fitting.
+_LINES, _SEGMENT = 1 << 15, 256
 
 
-def line_features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(features by line, lines by document, line lengths in bytes)."""
-    lines: list[str] = []
-    count = np.empty(len(texts), np.int64)
-    for i, t in enumerate(texts):
-        own = (t or "").split("\n")
-        count[i] = len(own)
-        lines += own
+def own_features(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(features of each line by itself, line lengths in bytes)."""
     raw = [x.encode() for x in lines]
     size = np.array([len(x) for x in raw], np.int64)
     data = np.frombuffer(b"".join(raw), np.uint8)
@@ -76,13 +73,34 @@ def line_features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.n
     own[:, 8] = np.minimum(inked / nw, 20) / 10
     own[:, 9] = np.log1p(words[:, 0]) / 4
     own[:, 10] = kinds[:, 3] / n
+    return own, size
+
+
+def split_lines(texts: list[str | None]) -> tuple[list[str], np.ndarray]:
+    """All lines, and their number by text."""
+    lines: list[str] = []
+    count = np.empty(len(texts), np.int64)
+    for i, t in enumerate(texts):
+        own = (t or "").split("\n")
+        count[i] = len(own)
+        lines += own
+    return lines, count
+
+
+def beside(values: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The values of the lines before and after; at a text's ends the line's own."""
     first = np.cumsum(count) - count
-    before = np.roll(own, 1, axis=0)
-    before[first] = own[first]
-    after = np.roll(own, -1, axis=0)
     last = first + count - 1
-    after[last] = own[last]
-    return np.concatenate([own, before, after, np.ones((len(raw), 1))], axis=1), count, size
+    before, after = np.roll(values, 1, axis=0), np.roll(values, -1, axis=0)
+    before[first], after[last] = values[first], values[last]
+    return before, after
+
+
+def line_features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(features by line with its neighbours' and a constant, lines by document, line lengths in bytes), for fitting."""
+    lines, count = split_lines(texts)
+    own, size = own_features(lines)
+    return np.concatenate([own, *beside(own, count), np.ones((len(own), 1))], axis=1), count, size
 
 
 class Model:
@@ -104,17 +122,31 @@ class Model:
         labels = doc.copy()
         for again in range(3):
             if again:
-                labels = np.where((doc == 0) & (self.lines(z, count) > 0.5), 1, doc)
+                labels = np.where((doc == 0) & (self.lines(z @ self.weights, count) > 0.5), 1, doc)
                 if len(set(labels.tolist())) < 2:
                     labels = doc.copy()
-            self.weights, self.trans = crf.fit(lambda w: z @ w, lambda g: z.T @ g, z.shape[1], labels, count, rounds=60)
-        share = self.shares(self.lines(z, count), count, size)
+            self.weights, self.trans = crf.fit(lambda w: z @ w, lambda g: z.T @ g, z.shape[1], labels, segments(count, _SEGMENT), rounds=60)
+        share = self.shares(self.lines(z @ self.weights, count), count, size)
         rates = np.bincount(y, minlength=2) / len(y)
         wanted = np.array([1 - self.base, self.base])
         self.curve = crf.logistic(share, y, (wanted / rates)[y])
 
-    def lines(self, z: np.ndarray, count: np.ndarray) -> np.ndarray:
-        return crf.marginals(z @ self.weights, count, self.trans)
+    def lines(self, unary: np.ndarray, count: np.ndarray) -> np.ndarray:
+        return crf.marginals(unary, count, self.trans)
+
+    def unary(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(score of label 1 over label 0 by line, lines by document, line lengths in bytes): of each line only what it says of itself and of the lines beside it is kept."""
+        lines, count = split_lines(texts)
+        w = self.weights / self.scale
+        parts = np.stack([w[:_OWN], w[_OWN : 2 * _OWN], w[2 * _OWN : 3 * _OWN]], axis=1)
+        says, size = np.empty((len(lines), 3)), np.empty(len(lines), np.int64)
+        for k in range(0, len(lines), _LINES):
+            own, size[k : k + _LINES] = own_features(lines[k : k + _LINES])
+            says[k : k + _LINES] = own @ parts
+        del lines
+        # a line speaks of the one after it as its "before", and of the one before it as its "after"
+        before, after = beside(says[:, 1], count)[0], beside(says[:, 2], count)[1]
+        return says[:, 0] + before + after + self.weights[-1] - self.mean[:-1] @ w[:-1], count, size
 
     @staticmethod
     def shares(p: np.ndarray, count: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -131,13 +163,13 @@ class Model:
             return np.zeros(0)
         if self.weights is None:
             return np.full(len(texts), self.base)
-        x, count, size = line_features(texts)
-        share = self.shares(self.lines((x - self.mean) / self.scale, count), count, size)
+        unary, count, size = self.unary(texts)
+        share = self.shares(self.lines(unary, count), count, size)
         return 1 / (1 + np.exp(-np.clip(np.column_stack([share, np.ones(len(share))]) @ self.curve, -30, 30)))
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, max_chars: int = MAX_CHARS) -> Model:
-    return Model(*sample(docs, labels, "quality", per_class, max_chars))
+def fit_quality(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, class_bytes: int = CLASS_BYTES) -> Model:
+    return Model(*sample(docs, labels, "quality", per_class, class_bytes))
 
 
 def _score(model, at: int, keep):

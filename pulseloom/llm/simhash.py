@@ -23,8 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.components import components
 from .common import materialize, slices
-from .components import components
 
 SEED = 42
 _CHUNK = 1 << 15

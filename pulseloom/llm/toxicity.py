@@ -7,11 +7,13 @@ lower-cased words, with their neighbours' evidence as features, is fitted to tho
 forward-backward aggregate to a document's score (a logistic curve over the expected number
 of toxic tokens, their density and the highest marginal), and runs of tokens above one half are the offending offsets.
 
-Fitting uses up to ``per_class`` labelled documents of either class, the first ``max_chars``
-characters of each; scoring takes whole texts, however long.
+Fitting uses the whole texts of up to ``per_class`` labelled documents of either class (at most ``class_bytes``), and
+of their traits the ``traits_kept`` that speak loudest; chains are cut into segments of 256 words for fitting only. Scoring takes whole
+texts, however long: one is read some words at a time, and only numbers are kept of them.
 
+Words are found in the text as it is and lower-cased one by one, so offsets are those of the text, whatever its letters become.
 Defined cases: null and empty texts have no token and score as a text without toxic tokens; without labels of both
-classes every score is the share of label 1 (or 0.5); repeated rows come out once each.
+classes every score is the share of label 1 (or 0.5); repeated rows come out once each; an empty table gives no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ import re
 from array import array
 from collections import Counter
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -29,13 +32,25 @@ from pyspark.sql import functions as F
 
 from . import crf
 from .common import fold, slices
-from .labelled import FOLDS, sample
+from .labelled import CLASS_BYTES, FOLDS, sample, segments
 
-PER_CLASS, MAX_CHARS = 2000, 20_000
+PER_CLASS = 2000
 THRESHOLD = 0.5
 _WORD = re.compile(r"[^\W\d_]+")
 _CACHE = 200_000
 _SEGMENT = 256
+#: Words of a text that are held at a time.
+_WORDS = 1 << 16
+
+
+def words(text: str | None) -> Iterator[list[str]]:
+    """The words of a text, some at a time."""
+    if len(text or "") < 1 << 20:
+        yield _WORD.findall(text or "")
+        return
+    found = (m[0] for m in _WORD.finditer(text))
+    while some := list(islice(found, _WORDS)):
+        yield some
 
 
 def traits(word: str) -> list[str]:
@@ -66,7 +81,7 @@ class Model:
         for label in (1, 0):
             for k, t in rows:
                 if k == label:
-                    own = {f for w in set(_WORD.findall(t.lower())) for f in traits(w)}
+                    own = {f for w in {w.lower() for some in words(t) for w in some} for f in traits(w)}
                     seen[label].update(own if label else own & seen[1].keys())
             if label:
                 for f in [f for f, c in seen[1].items() if c < min_docs]:
@@ -80,21 +95,19 @@ class Model:
         self.lexicon = {f: i for i, (_, f) in enumerate(sorted(found)[:traits_kept])}
         size = len(self.lexicon)
         # sparse evidence: positions and traits that fire there
-        pos, trait, lengths, sizes, at = array("q"), array("q"), [], [], 0
+        pos, trait, sizes, at = array("q"), array("q"), [], 0
         labels = array("b")
         for label, t in rows:
-            words = _WORD.findall(t.lower())
-            for w in words:
-                own = [self.lexicon[f] for f in traits(w) if f in self.lexicon]
+            before = at
+            for w in (w for some in words(t) for w in some):
+                own = [self.lexicon[f] for f in traits(w.lower()) if f in self.lexicon]
                 pos.extend([at] * len(own))
                 trait.extend(own)
                 labels.append(int(bool(own) and label == 1))
                 at += 1
-            whole, rest = divmod(len(words), _SEGMENT)
-            lengths += [_SEGMENT] * whole + [rest] * bool(rest)
-            sizes.append(len(words))
+            sizes.append(at - before)
         pos, trait = np.array(pos, np.int64), np.array(trait, np.int64)
-        labels, lengths = np.array(labels, np.int64), np.array(lengths, np.int64)
+        labels, lengths = np.array(labels, np.int64), segments(np.array(sizes, np.int64), _SEGMENT)
         hit = np.zeros(at)
         hit[pos] = 1
         edge = np.zeros(at, bool)
@@ -134,28 +147,28 @@ class Model:
             most[some] = np.maximum.reduceat(p, first)
         return np.column_stack([np.log1p(sums), np.log1p(100 * sums / (lengths + 10)), most])
 
-    def evidence(self, docs: list[list[str]], cache: dict[str, float]) -> tuple[np.ndarray, np.ndarray]:
-        """Scores of all tokens of the documents, NaN-free, and the documents' lengths."""
+    def evidence(self, texts: list[str | None], cache: dict[str, float]) -> tuple[np.ndarray, np.ndarray]:
+        """Scores of all tokens of the texts, NaN-free, and the texts' lengths in tokens."""
         get, weight = cache.get, self.weight
-        lengths = np.array([len(d) for d in docs], np.int64)
-        scores = np.zeros(int(lengths.sum()))
-        at = 0
-        for words in docs:
-            own = [get(w) for w in words]
-            if None in own:
-                for i, v in enumerate(own):
-                    if v is None:
-                        w = words[i]
-                        v = sum(weight.get(f, 0.0) for f in traits(w))
-                        if len(cache) < _CACHE:
-                            cache[w] = v
-                        own[i] = v
-            scores[at : at + len(own)] = own
-            at += len(own)
-        return scores, lengths
-
-    def tokens(self, docs: list[list[str]], cache: dict[str, float]) -> tuple[np.ndarray, np.ndarray]:
-        own, lengths = self.evidence(docs, cache)
+        scores, lengths = array("d"), []
+        for t in texts:
+            before = len(scores)
+            for some in words(t):
+                own = [get(w) for w in some]
+                if None in own:
+                    for i, v in enumerate(own):
+                        if v is None:
+                            w = some[i]
+                            v = sum(weight.get(f, 0.0) for f in traits(w.lower()))
+                            if len(cache) < _CACHE:
+                                cache[w] = v
+                            own[i] = v
+                scores.extend(own)
+            lengths.append(len(scores) - before)
+        return np.array(scores), np.array(lengths, np.int64)
+
+    def tokens(self, texts: list[str | None], cache: dict[str, float]) -> tuple[np.ndarray, np.ndarray]:
+        own, lengths = self.evidence(texts, cache)
         hit = (own != 0).astype(float)
         first = (np.cumsum(lengths) - lengths)[lengths > 0]
         before, after = np.roll(hit, 1), np.roll(hit, -1)
@@ -167,33 +180,28 @@ class Model:
         """Scores, and the offending spans (code points, end exclusive)."""
         if self.lexicon is None:
             return np.full(len(texts), self.base), [[] for _ in texts]
-        docs = [_WORD.findall((t or "").lower()) for t in texts]
-        p, lengths = self.tokens(docs, cache)
-        x = np.column_stack([self.document(p, lengths), np.ones(len(docs))])
+        p, lengths = self.tokens(texts, cache)
+        x = np.column_stack([self.document(p, lengths), np.ones(len(texts))])
         s = 1 / (1 + np.exp(-np.clip(x @ self.curve, -30, 30)))
         spans: list[list[tuple[int, int]]] = []
-        bad = p > 0.5
         start = np.cumsum(lengths) - lengths
-        any_bad = np.zeros(len(docs), bool)
-        np.logical_or.at(any_bad, np.repeat(np.arange(len(docs)), lengths)[bad], True)
         for i, t in enumerate(texts):
+            bad = p[start[i] : start[i] + lengths[i]] > 0.5
             own: list[tuple[int, int]] = []
-            if any_bad[i]:
-                flags = bad[start[i] : start[i] + lengths[i]].tolist()
-                low = (t or "").lower()
-                if len(low) != len(t or ""):  # lower-casing changed offsets: find the words in the text itself
-                    low = t or ""
+            if bad.any():
                 on = False
-                for m, flag in zip(_WORD.finditer(low), flags, strict=False):
-                    if flag:
-                        own = [*own[:-1], (own[-1][0], m.end())] if on else [*own, m.span()]
+                for m, flag in zip(_WORD.finditer(t), bad.tolist(), strict=True):
+                    if flag and on:
+                        own[-1] = (own[-1][0], m.end())
+                    elif flag:
+                        own.append(m.span())
                     on = flag
             spans.append(own)
         return s, spans
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, max_chars: int = MAX_CHARS) -> Model:
-    return Model(*sample(docs, labels, "toxic", per_class, max_chars))
+def fit_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, class_bytes: int = CLASS_BYTES) -> Model:
+    return Model(*sample(docs, labels, "toxic", per_class, class_bytes))
 
 
 def toxicity_scores(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
