@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 from ..arrow import slices
 from ..shared import materialize, shared_dir
 
-__all__ = ["fold", "materialize", "partitions", "shared_dir", "slices", "table", "unused", "without"]
+#: Estimated bytes up to which a table is sent to every task; a larger one is joined by shuffling both sides.
+BROADCAST_BYTES = 64 << 20
+
+__all__ = ["fold", "materialize", "partitions", "shared_dir", "slices", "small", "table", "text_of", "unused", "without"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,3 +41,13 @@ def unused(df: DataFrame, stem: str) -> str:
     while name.lower() in taken:
         name += "_"
     return name
+
+
+def text_of(column: str = "text") -> Column:
+    """The text as a string that Python can read: bytes that are no UTF-8 become U+FFFD."""
+    return F.make_valid_utf8(F.col(column).cast("string"))
+
+
+def small(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """``df``, marked for broadcast if its counted rows of ``row_bytes`` each fit the limit; ``df`` should be written out already."""
+    return F.broadcast(df) if df.count() * row_bytes <= limit else df
