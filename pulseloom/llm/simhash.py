@@ -11,7 +11,8 @@ reached. Links and components are between fingerprints; documents join at the en
 
 Defined cases: a null text is empty and has fingerprint zero; zero fingerprints link like any
 other; repeated rows come out once each; a null id counts in no minimum, and a component
-without ids has a null ``component_id``; other columns are ignored.
+without ids has a null ``component_id``; very long texts are hashed whole, some shingles at a time; an empty table gives no rows; other columns are ignored, or
+kept (``drop_near_duplicates``), whatever their names.
 """
 
 from __future__ import annotations
@@ -24,10 +25,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import components
-from .common import materialize, slices
+from .common import materialize, slices, small, text_of, unused
 
 SEED = 42
 _CHUNK = 1 << 15
+#: Members of a bucket from which on it is split.
+_CROWD = 4096
 
 
 def fingerprint(text: str | None, words: int = 3) -> int:
@@ -64,7 +67,7 @@ def _fingerprints(words: int):
 
 def fingerprints(docs: DataFrame, text: str = "text", id_col: str = "doc_id", words: int = 3) -> DataFrame:
     """(doc_id, fp): the fingerprint as a signed long."""
-    d = docs.select(F.col(id_col).alias("doc_id"), F.col(text).cast("string").alias("text"))
+    d = docs.select(F.col(id_col).alias("doc_id"), text_of(text).alias("text"))
     return d.mapInArrow(_fingerprints(words), f"doc_id {d.schema['doc_id'].dataType.simpleString()}, fp long")
 
 
@@ -85,6 +88,18 @@ def _link(max_bits: int):
                     left = left[~near]
         return edges
 
+    def parted(members: np.ndarray) -> Iterator[np.ndarray]:
+        """A crowded bucket in parts that agree on a byte: up to three differing bits leave one of any four bytes as it is. The half that differs more is split."""
+        if len(members) <= _CROWD:
+            yield members
+            return
+        octets = members.view(np.uint8).reshape(-1, 8).T
+        for byte in max(octets[:4], octets[4:], key=lambda half: sum(np.count_nonzero(np.bincount(x)) for x in half)):
+            order = np.argsort(byte, kind="stable")
+            for part in np.split(members[order], np.flatnonzero(np.diff(byte[order])) + 1):
+                if len(part) > 1:
+                    yield part
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest_k, rest_f = np.zeros(0, np.int64), np.zeros(0, np.uint64)
         for batch in batches:
@@ -106,10 +121,11 @@ def _link(max_bits: int):
         a.append(f[two][ok])
         b.append(f[two + 1][ok])
         for s, n in zip(first[sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
-            if e := forest(f[s : s + n]):
-                e = np.array(e, np.uint64)
-                a.append(e[:, 0])
-                b.append(e[:, 1])
+            for members in parted(f[s : s + n]):
+                if e := forest(members):
+                    e = np.array(e, np.uint64)
+                    a.append(e[:, 0])
+                    b.append(e[:, 1])
         a, b = (np.concatenate(x).view(np.int64) for x in (a, b))
         if len(a):
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["u", "v"])
@@ -148,25 +164,31 @@ def simhash_components(docs: DataFrame, text: str = "text", id_col: str = "doc_i
 
 def row_keys(docs: DataFrame) -> DataFrame:
     """(key, text): keys order the rows by doc_id (null last) and the hash of the text."""
-    text = F.col("text").cast("string")
-    return docs.select(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", F.xxhash64(text).alias("hash")).alias("key"), text.alias("text"))
-
-
-def keep_rows(docs: DataFrame, rows: DataFrame, kept: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose (doc_id, hash) is in ``kept``, once each; ``rows`` has those of all."""
-    text = F.col("text").cast("string")
-    here = [F.col("_id").eqNullSafe(F.col("doc_id")), F.col("_hash") == F.xxhash64(text)]
-    named = kept.select(F.col("doc_id").alias("_id"), F.col("hash").alias("_hash"))
-    out = docs.join(named, here, "left_semi")
-    # a kept row may itself be there several times
-    if rows.groupBy("doc_id", "hash").count().filter("count > 1").join(named, F.expr("_id <=> doc_id and _hash = hash")).limit(1).count():
-        out = out.withColumn("_hash", F.xxhash64(text)).dropDuplicates(["doc_id", "_hash"]).drop("_hash")
-    return out
+    return docs.select(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", F.xxhash64(text_of()).alias("hash")).alias("key"), text_of().alias("text"))
+
+
+def keep_least(docs: DataFrame, grouped: DataFrame) -> DataFrame:
+    """The rows of ``docs`` with the least key of their group, once each, with all their columns; ``grouped`` has (key, root) of all rows.
+
+    Keys alone are shuffled. Those that go, and those that are there several times, are broadcast if their counted rows are few, so that texts stay where they are.
+    """
+    grouped = materialize(grouped.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n")))
+    least = grouped.groupBy("root").agg(F.min("key").alias("least"), F.count(F.lit(1)).alias("keys")).filter("keys > 1")
+    key, hashed, repeat = (unused(docs, x) for x in ("id", "hash", "repeat"))
+    met = grouped.join(least, "root", "left")
+    gone = F.coalesce(F.col("key") != F.col("least"), F.lit(False))
+    marked = materialize(met.filter(gone | (F.col("n") > 1)).select(F.col("key.doc_id").alias(key), F.col("key.hash").alias(hashed), (~gone).alias(repeat)))
+    here = F.col("doc_id").eqNullSafe(F.col(key)) & (F.xxhash64(text_of()) == F.col(hashed))
+    plain = docs.join(small(marked, 48), here, "left_anti")
+    again = marked.filter(repeat)
+    if not again.limit(1).count():
+        return plain
+    # a kept row that is there several times comes out once
+    several = docs.join(small(again, 48), here).drop(repeat).dropDuplicates([key, hashed]).drop(key, hashed)
+    return plain.unionByName(several)
 
 
 def drop_near_duplicates(docs: DataFrame, words: int = 3, max_bits: int = 3) -> DataFrame:
     """One document of each component, with all its columns: that of the smallest doc_id (null last)."""
     prints = materialize(fingerprints(row_keys(docs), "text", "key", words))
-    first = prints.groupBy("fp").agg(F.min("doc_id").alias("key")).join(_roots(prints, max_bits), "fp")
-    kept = materialize(first.groupBy("root").agg(F.min("key").alias("key")).select("key.doc_id", "key.hash"))
-    return keep_rows(docs, prints.select("doc_id.*"), kept)
+    return keep_least(docs, prints.join(_roots(prints, max_bits), "fp").select(F.col("doc_id").alias("key"), "root"))
