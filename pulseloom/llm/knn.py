@@ -9,14 +9,18 @@ per query group (the queries of neighbouring cells): a cell goes to a group only
 query of the group needs it. Cells and groups are cut into blocks of bounded size, so a cell that holds a third of
 all rows is solved in many tasks; each block keeps its k best per query, and a last ranking merges them.
 
-Every vector with finite components is indexed, scores are exact 64-bit integers, ties go to the smaller id. Defined
-cases: null vectors, and those with null or non-finite components (or integers beyond 64 bits), take no part; vectors pair with those of their own
-length only; empty vectors score 0 with one another; repeated ids are rows of their own (a query meets every row with another id); an empty table
-gives no rows.
+The number of pivots follows the square root of the number of rows, between fixed bounds; they are taken from a sample of bounded size.
+
+Every vector with finite components is indexed, scores are exact integers, ties go to the smaller id. Defined
+cases: null vectors, and those with null or non-finite components, take no part, nor do those whose integers are beyond 64 bits (which no score of 64 bits can
+tell apart); scores beyond 64 bits rank by their exact values and are returned as the nearest 64-bit integer; vectors pair with those of their own
+length only; empty vectors score 0 with one another; repeated ids are rows of their own (a query meets every row with another id); rows without an id take no part; an empty table
+gives no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,10 +30,13 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
-K, PIVOTS = 5, 64
+K = 5
+#: Least and most pivots; candidates for a pivot.
+PIVOTS, SAMPLE = (16, 1024), 8
 #: Rows of a block of candidates, and of queries.
 BLOCK, QUERY_BLOCK = 8192, 8192
 _SLACK = 1e-6
+_LOW = (1 << 63) - 1
 
 
 def integer_vectors(vectors: DataFrame, id_col: str = "vec_id", vector: str = "embedding", scale: int = 256) -> DataFrame:
@@ -60,7 +67,7 @@ def _assign(pivots: np.ndarray, dim: int):
 
 
 def _needed(queries: DataFrame, pivots: np.ndarray, summary: dict[int, tuple[float, list[tuple[float, int]]]], dim: int, k: int) -> list[tuple[int, int]]:
-    """(group, cell) pairs: the cells that some query of the group needs; at most PIVOTS squared."""
+    """(group, cell) pairs: the cells that some query of the group needs; at most the square of the pivots."""
     cells = np.array(sorted(summary))
     far = np.array([summary[c][0] for c in cells])
     near = [(i, d, x) for i, c in enumerate(cells) for d, x in summary[c][1]]
@@ -101,7 +108,7 @@ def _groups(pivots: np.ndarray, asked: dict[int, int]) -> dict[int, int]:
 
 def _solve(dim: int, k: int):
     def run(key: tuple[pa.Scalar, ...], queries: pa.Table, rows: pa.Table) -> pa.Table:
-        out_q, out_v, out_s = [], [], []
+        out_q, out_v, out_s, out_h = [], [], [], []
         if queries.num_rows and rows.num_rows:
             qid, rid = queries.column("q_id").to_numpy(), rows.column("id").to_numpy()
             r = _matrix(rows.column("v").combine_chunks(), dim)
@@ -130,21 +137,26 @@ def _solve(dim: int, k: int):
                         best = sorted(np.flatnonzero(other).tolist(), key=lambda j: (-own[j], rid[j]))[:k]
                     out_q += [int(q)] * len(best)
                     out_v += [int(rid[j]) for j in best]
-                    out_s += [int(own[j]) for j in best]
-        return pa.table({"query_id": pa.array(out_q, pa.int64()), "vec_id": pa.array(out_v, pa.int64()), "score": pa.array(out_s, pa.int64())})
+                    # the bits above 63, and those below, so that products of any size are ranked
+                    whole_scores = [int(own[j]) for j in best]
+                    out_h += [x >> 63 for x in whole_scores]
+                    out_s += [x & _LOW for x in whole_scores]
+        return pa.table({"query_id": pa.array(out_q, pa.int64()), "vec_id": pa.array(out_v, pa.int64()), "high": pa.array(out_h, pa.int64()), "low": pa.array(out_s, pa.int64())})
 
     return run
 
 
-def top_k(vectors: DataFrame, is_query, k: int = K, pivots: int = PIVOTS) -> DataFrame:
+def top_k(vectors: DataFrame, is_query, k: int = K, pivots: int | None = None) -> DataFrame:
     """(query_id, rank, vec_id, score) for the rows of ``vectors`` (id, v) that ``is_query`` selects, against all rows."""
     spark = vectors.sparkSession
     vectors = materialize(vectors.withColumn("dim", F.size("v")))
     every = None
-    for (dim,) in sorted(vectors.select("dim").distinct().collect()):
+    for dim, rows_in in sorted(map(tuple, vectors.groupBy("dim").count().collect())):
         own = vectors.filter(F.col("dim") == dim).select("id", "v")
         # a bounded, reproducible choice of pivots, of distinct vectors
-        chosen = own.groupBy("v").agg(F.min("id").alias("id")).orderBy(F.xxhash64("id"), "id").limit(pivots).select("v").collect()
+        n_pivots = pivots or max(PIVOTS[0], min(PIVOTS[1], math.isqrt(rows_in) // 2))
+        drawn = own.orderBy(F.xxhash64("id"), "id", "v").limit(SAMPLE * n_pivots)
+        chosen = drawn.groupBy("v").agg(F.min("id").alias("id")).orderBy(F.xxhash64("id"), "id").limit(n_pivots).select("v").collect()
         p = np.array([list(r[0]) for r in chosen], np.float64).reshape(len(chosen), dim)
         placed = materialize(own.mapInArrow(_assign(p, dim), "id long, v array<bigint>, cell int, dist double"))
         # one row an id: with k + 1 ids, k are left whichever the query's is
@@ -170,9 +182,11 @@ def top_k(vectors: DataFrame, is_query, k: int = K, pivots: int = PIVOTS) -> Dat
         renamed = [F.col(c).alias(f"q_{c}") for c in ("id", "v", "grp", "cell", "qblock")]
         asked = asked.select(*renamed, F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1)).alias("q_block"))
         by = ["grp", "cell", "block", "qblock"]
-        solved = asked.groupBy(*[f"q_{c}" for c in by]).cogroup(rows.groupBy(*by)).applyInArrow(_solve(dim, k), "query_id long, vec_id long, score long")
+        solved = asked.groupBy(*[f"q_{c}" for c in by]).cogroup(rows.groupBy(*by)).applyInArrow(_solve(dim, k), "query_id long, vec_id long, high long, low long")
         every = solved if every is None else every.unionByName(solved)
     if every is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return every.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    best = Window.partitionBy("query_id").orderBy(F.col("high").desc(), F.col("low").desc(), "vec_id")
+    least = F.lit(-_LOW - 1)
+    score = F.when(F.col("high") == 0, F.col("low")).when(F.col("high") == -1, F.col("low").bitwiseOR(least)).when(F.col("high") > 0, F.lit(_LOW)).otherwise(least)
+    return every.withColumn("score", score).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
