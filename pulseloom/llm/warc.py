@@ -6,10 +6,11 @@ of tasks that succeeded is kept; a file of a lost attempt is never referred to.
 ``min_revisit`` bytes or more that occur again become revisit records of the one with the smallest page_id.
 
 Reading: the selected index rows are dealt by ranges of (file, offset) and sorted; neighbours at most ``gap`` bytes
-apart are read as one range of up to ``span`` bytes, and the records are cut out of it.
+apart are read as one range of up to ``span`` bytes, and the records are cut out of it, some megabytes of unpacked payload at a time.
 
 Archives are reached through the file system of the folder's URI. Defined cases: a null payload is empty; a null page_id comes last, and is
-smallest only among nulls; repeated rows with the smallest page_id are all responses; empty tables give an empty index.
+smallest only among nulls; repeated rows with the smallest page_id are all responses; a very long payload is one record, held alone; empty tables give an empty index;
+other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, partitions, shared_dir, slices
+from .common import materialize, partitions, shared_dir, slices, small
 
 MIN_REVISIT = 100
 ROTATE = 1 << 30
@@ -86,8 +87,9 @@ def write_archives(pages: DataFrame, folder: str, payload: str = "html", min_rev
     p = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), data.alias("payload"))
     digest = F.sha2("payload", 256)
     first = p.filter(F.length("payload") >= min_revisit).select(digest.alias("digest"), "page_id")
-    first = materialize(first.groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n"))).filter("n > 1").drop("n")
-    # payloads that occur once need no partner: only the repeated digests are joined
+    first = materialize(first.groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"))
+    # payloads that occur once need no partner: the repeated digests go to the payloads if they are few, else both are shuffled
+    first = small(first, 96)
     met = p.withColumn("digest", digest).join(first, "digest", "left")
     revisit = F.col("first").isNotNull() & (F.col("page_id").isNull() | (F.col("page_id") > F.col("first")))
     met = met.select("page_id", "url", "payload", "digest", F.when(revisit, F.col("first")).alias("refers_to"), F.coalesce(revisit, F.lit(False)).alias("revisit"))
@@ -152,8 +154,15 @@ def read_archives(index: DataFrame, folder: str, gap: int = GAP, span: int = SPA
                         source.close()
                     name, source = file, system.open_input_file(f"{base}/{file}")
                 data = source.read_at(end - start, start)
-                found = [parse(zlib.decompress(data[rows[i][1] - start : rows[i][1] - start + rows[i][2]], 31)) for i in own]
-                yield pa.RecordBatch.from_pylist(found, schema=_PAGE)
+                found, held = [], 0
+                for i in own:
+                    found.append(parse(zlib.decompress(data[rows[i][1] - start : rows[i][1] - start + rows[i][2]], 31)))
+                    held += len(found[-1]["payload"] or b"")
+                    if held >= span:
+                        yield pa.RecordBatch.from_pylist(found, schema=_PAGE)
+                        found, held = [], 0
+                if found:
+                    yield pa.RecordBatch.from_pylist(found, schema=_PAGE)
         if source is not None:
             source.close()
 
