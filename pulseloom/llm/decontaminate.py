@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, slices, unused
+from .common import materialize, slices, text_of, unused
 
 WORD = re.compile(r"[^\W_]+")
 MIN_MATCH, THRESHOLD = 5, 0.8
@@ -239,7 +239,7 @@ def _met(docs: DataFrame, items: DataFrame, min_match: int) -> DataFrame:
 
 def _benchmark(benchmark: DataFrame, block_bytes: int) -> tuple[Index | None, DataFrame]:
     """The benchmark as one index if its texts fit ``block_bytes``, and as a table."""
-    b = benchmark.filter("text is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
+    b = benchmark.filter("text is not null").select(F.col("item_id").cast("long").alias("item_id"), text_of().alias("text"))
     total = int(b.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
     return (Index([(r[0], r[1]) for r in b.collect()]) if total <= block_bytes else None), b
 
@@ -251,7 +251,7 @@ def _numbered(df: DataFrame, name: str) -> DataFrame:
 
 def contamination(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Per document: contaminated, n_items (contained), item_id and coverage of the best-covered item, items (all contained)."""
-    d = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    d = docs.select("doc_id", text_of().alias("text"))
     kind = d.schema["doc_id"].dataType.simpleString()
     index, b = _benchmark(benchmark, block_bytes)
     if index is None:
@@ -281,17 +281,19 @@ def contamination(docs: DataFrame, benchmark: DataFrame, threshold: float = THRE
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The documents that contain no benchmark item, with all their columns."""
+    at = next(i for i, c in enumerate(docs.columns) if c.lower() == "text")
+    text = docs.columns[at]
+    docs = docs.withColumn(text, text_of(text))
     index, b = _benchmark(benchmark, block_bytes)
     if index is None:
         row = unused(docs, "row")
         rows, items = _numbered(docs, row), _numbered(b, "item")
-        met = _met(rows.select(F.col(row).alias("row"), F.col("text").cast("string").alias("text")), items.select("item", "text"), MIN_MATCH)
+        met = _met(rows.select(F.col(row).alias("row"), text_of().alias("text")), items.select("item", "text"), MIN_MATCH)
         bad = met.filter(F.col("covered") >= threshold).select(F.col("row").alias(row)).distinct()
         return rows.join(bad, row, "left_anti").drop(row)
-    at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "text"):
+        for b in slices(batches, text):
             got = index.coverage(b.column(at).to_pylist())
             yield b.filter(pa.array([all(c < threshold for c in g.values()) for g in got], pa.bool_()))
 

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fold
+from .common import fold, text_of
 
 #: Folds of five: rows of fold 0 are held out.
 FOLDS = 5
@@ -30,7 +30,7 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, class
     for y in (0, 1):
         part = known.filter(F.col("y") == y).orderBy(rank, "doc_id").limit(per_class)
         few = part if few is None else few.unionByName(part)
-    texts = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).filter(F.octet_length("text") <= text_bytes)
+    texts = docs.select("doc_id", F.coalesce(text_of(), F.lit("")).alias("text")).filter(F.octet_length("text") <= text_bytes)
     rows = texts.join(F.broadcast(few), "doc_id").orderBy(rank, "doc_id", "text").limit(2 * per_class)
     drawn = Window.partitionBy("y").orderBy(rank, "doc_id", "text").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("bytes", F.sum(F.octet_length("text")).over(drawn)).filter(F.col("bytes") <= class_bytes).orderBy(rank, "doc_id", "text").select("y", "text")

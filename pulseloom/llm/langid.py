@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fold, slices
+from .common import fold, slices, text_of
 
 FOLDS, HELD_OUT = 4, 2
 WINDOW, HIDDEN, EMBED = 64, 8, 8
@@ -198,7 +198,7 @@ class Model:
 
 
 def fit_languages(docs: DataFrame, per_lang: int = PER_LANG, max_docs: int = MAX_DOCS, text_bytes: int = TEXT_BYTES, sample_bytes: int = SAMPLE_BYTES, rounds: int = ROUNDS) -> Model:
-    known = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+    known = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), text_of().alias("text"))
     known = known.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (fold("doc_id", FOLDS) != HELD_OUT) & (F.octet_length("text") <= text_bytes))
     hashed = F.xxhash64("doc_id")
     w = Window.partitionBy("lang").orderBy(hashed, "doc_id")
@@ -211,7 +211,7 @@ def fit_languages(docs: DataFrame, per_lang: int = PER_LANG, max_docs: int = MAX
 
 def languages(docs: DataFrame, model: Model) -> DataFrame:
     """Per document: doc_id, held_out, lang_pred and score."""
-    d = docs.select("doc_id", (fold("doc_id", FOLDS) == HELD_OUT).alias("held_out"), F.col("text").cast("string").alias("text"))
+    d = docs.select("doc_id", (fold("doc_id", FOLDS) == HELD_OUT).alias("held_out"), text_of().alias("text"))
     kind = d.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import crf
-from .common import fold, slices
+from .common import fold, slices, text_of
 from .labelled import CLASS_BYTES, FOLDS, sample, segments
 
 PER_CLASS = 2000
@@ -172,9 +172,9 @@ def fit_quality(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS,
     return Model(*sample(docs, labels, "quality", per_class, class_bytes))
 
 
-def _score(model, at: int, keep):
+def _score(model, at: int, keep, name: str = "text"):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "text"):
+        for b in slices(batches, name):
             yield from keep(b, model.score(b.column(at).to_pylist()))
 
     return run
@@ -182,7 +182,7 @@ def _score(model, at: int, keep):
 
 def quality_scores(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """Per document: doc_id, held_out, score and predicted."""
-    d = docs.select("doc_id", (fold("doc_id", FOLDS) == 0).alias("held_out"), F.col("text").cast("string").alias("text"))
+    d = docs.select("doc_id", (fold("doc_id", FOLDS) == 0).alias("held_out"), text_of().alias("text"))
 
     def keep(b: pa.RecordBatch, s: np.ndarray) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
@@ -193,9 +193,10 @@ def quality_scores(docs: DataFrame, model: Model, threshold: float = THRESHOLD)
 
 def quality_filter(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """The documents that score ``threshold`` or more, with all their columns."""
-    at = docs.columns.index("text")
+    at = next(i for i, c in enumerate(docs.columns) if c.lower() == "text")
+    docs = docs.withColumn(docs.columns[at], text_of(docs.columns[at]))
 
     def keep(b: pa.RecordBatch, s: np.ndarray) -> Iterator[pa.RecordBatch]:
         yield b.filter(pa.array(s >= threshold))
 
-    return docs.mapInArrow(_score(model, at, keep), docs.schema)
+    return docs.mapInArrow(_score(model, at, keep, docs.columns[at]), docs.schema)

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import crf
-from .common import fold, slices
+from .common import fold, slices, text_of
 from .labelled import CLASS_BYTES, FOLDS, sample, segments
 
 PER_CLASS = 2000
@@ -206,7 +206,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS,
 
 def toxicity_scores(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """Per document: doc_id, held_out, score, predicted and spans (start:end, comma-joined)."""
-    d = docs.select("doc_id", (fold("doc_id", FOLDS) == 0).alias("held_out"), F.col("text").cast("string").alias("text"))
+    d = docs.select("doc_id", (fold("doc_id", FOLDS) == 0).alias("held_out"), text_of().alias("text"))
     kind = d.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
