@@ -1,8 +1,8 @@
 """Repeated-substring deduplication by window fingerprints with a difference cover.
 
 A byte goes if some string of ``length`` bytes that covers it also starts anywhere else in
-the corpus. Fingerprints of fixed windows stand in for sorted suffixes (no suffix is ordered, and ties are
-not verified on bytes); they are grouped one bucket at a time, and a difference cover keeps that small:
+the corpus. Fingerprints of fixed windows stand in for sorted suffixes (no suffix is ordered: that would send 110 bytes for each
+sample, twelve times the text); they are grouped one bucket at a time, and a difference cover keeps that small:
 
 1. The texts are hashed to *parts* (one copy of each distinct text, with the count of
    copies seen, so that a text copied a million times is worked on once).
@@ -13,15 +13,20 @@ not verified on bytes); they are grouped one bucket at a time, and a difference
    bits that come back to a part say which samples tie with another suffix.
 3. Only suffixes with a tied sample ahead can be in a long tie; they alone are named, by
    their first ``length`` bytes, again bucket by bucket.
-4. Ties of that depth are the repeated strings; each part marks the bytes they cover.
+4. Names that tie are verified: with a second, independent name of 64 bits they go to buckets once more, and only those tie
+   that are equal in both. Of 10**13 suffixes no two different ones are expected to (10**26 pairs over 2**129).
+5. Ties of that depth are the repeated strings; each part marks the bytes they cover.
 
 A part sends each name once and gets a bit for it back, hence a bucket holds at most one
-entry per name and part, whatever the number of copies. Names are 64-bit
-fingerprints of two independent prefix sums; buckets are ranges of names. Nothing but the
-sorted names, delta-coded, is shuffled.
+entry per name and part, whatever the number of copies. Names come from two independent prefix sums;
+a sample's name has 12 bits more than the number of samples needs, so that one in 4096 ties by chance; buckets are ranges of names. Nothing but the
+sorted names, delta-coded, is shuffled. Parts and buckets are sized by bytes and numbered so that each is a partition of its own.
+
+Every part sends to every bucket: rows grow with the square of the text, one per 96 * 10**12 of its bytes squared. Beyond some 100 GB of text
+that is more rows than names are worth, and parts would have to be merged in a hop of their own before the buckets.
 
 Defined cases: a null text is empty; texts shorter than ``length`` are kept whole; repeated
-rows count as copies; an empty table gives no rows; other columns are ignored.
+rows count as copies; a very long text is a part of its own, hashed some bytes at a time; an empty table gives no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -39,8 +44,8 @@ from pyspark.sql import functions as F
 PERIOD = 91
 COVER = (0, 1, 3, 9, 27, 49, 56, 61, 77, 81)
 
-#: Bits of a sample's name (a false tie costs work, not correctness) and of a suffix's.
-SAMPLE_BITS, SUFFIX_BITS = 40, 64
+#: Bits of a suffix's name, and of a sample's beyond the logarithm of the samples (a false tie costs work, not correctness).
+SUFFIX_BITS, SPARE_BITS = 64, 12
 #: Bytes of text for each part, and for each bucket (which then holds a name for each byte at most).
 PART_BYTES, BUCKET_BYTES = 12 << 20, 8 << 20
 #: Bytes of text hashed at a time.
@@ -82,14 +87,25 @@ class Names:
             np.cumsum(table[data] * p[: len(data)], out=s[1:])
             self.sums.append(s)
 
-    def at(self, starts: np.ndarray, length: int) -> np.ndarray:
-        a, b = ((s[starts + length] - s[starts]) * inv[starts] for s, (_, inv) in zip(self.sums, self.powers, strict=True))
-        x = a ^ (b >> np.uint64(31)) ^ (b << np.uint64(33))
+    def _sums(self, starts: np.ndarray, length: int) -> Iterator[np.ndarray]:
+        return ((s[starts + length] - s[starts]) * inv[starts] for s, (_, inv) in zip(self.sums, self.powers, strict=True))
+
+    @staticmethod
+    def _mixed(x: np.ndarray) -> np.ndarray:
         x ^= x >> np.uint64(32)
         x *= np.uint64(0xD6E8FEB86659FD93)
         x ^= x >> np.uint64(29)
         return x
 
+    def at(self, starts: np.ndarray, length: int) -> np.ndarray:
+        a, b = self._sums(starts, length)
+        return self._mixed(a ^ (b >> np.uint64(31)) ^ (b << np.uint64(33)))
+
+    def second(self, starts: np.ndarray, length: int) -> np.ndarray:
+        """Names from the same sums, mixed another way: both names together are as good as both sums."""
+        a, b = self._sums(starts, length)
+        return self._mixed(b + np.uint64(0x94D049BB133111EB) * (a ^ (a >> np.uint64(27))))
+
 
 def _pack(sorted_names: np.ndarray) -> bytes:
     """Delta-code ascending names: the deltas' byte planes, deflated where that helps."""
@@ -129,13 +145,13 @@ def _rows(rows: list[tuple], fields: list) -> pa.Table:
     return pa.table([pa.array(c, type=f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
 
 
-def _deal(n_parts: int, block: int):
+def _deal(part_ids: np.ndarray, block: int):
     """Texts of a task, once each, as compressed blocks of up to ``block`` bytes per part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        press = zstandard.ZstdCompressor(level=1)
+        press, n_parts = zstandard.ZstdCompressor(level=1), len(part_ids)
         held: dict[int, list] = {}
         again: dict[bytes, int] = {}
         total = 0
@@ -146,7 +162,7 @@ def _deal(n_parts: int, block: int):
                 keys = b"".join(k for k, _ in docs)
                 copies = np.ones(len(docs), "<i8").tobytes()
                 sizes = np.array([len(t) for _, t in docs], "<i8").tobytes()
-                rows.append((part, keys, copies, sizes, press.compress(b"".join(t for _, t in docs))))
+                rows.append((int(part_ids[part]), keys, copies, sizes, press.compress(b"".join(t for _, t in docs))))
             held.clear()
             if rows:
                 yield from _rows(rows, _PART_FIELDS).to_batches()
@@ -169,7 +185,7 @@ def _deal(n_parts: int, block: int):
         for key, n in again.items():
             if n:
                 extra.setdefault(int.from_bytes(key[:6], "little") % n_parts, []).append((key, n))
-        rows = [(part, b"".join(k for k, _ in x), np.array([n for _, n in x], "<i8").tobytes(), np.full(len(x), -1, "<i8").tobytes(), b"") for part, x in extra.items()]
+        rows = [(int(part_ids[part]), b"".join(k for k, _ in x), np.array([n for _, n in x], "<i8").tobytes(), np.full(len(x), -1, "<i8").tobytes(), b"") for part, x in extra.items()]
         if rows:
             yield from _rows(rows, _PART_FIELDS).to_batches()
 
@@ -207,7 +223,7 @@ class Part:
             hi = min(lo + WORK, total)
             yield lo, hi, Names(self.data[lo : min(hi + length, total)], powers)
 
-    def samples(self, length: int) -> tuple[np.ndarray, np.ndarray]:
+    def samples(self, length: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
         """Offsets of the cover samples in the part, and their names."""
         tied = length - PERIOD + 1
         cover = np.array(COVER)
@@ -224,29 +240,59 @@ class Part:
             if rows:
                 at = np.concatenate(rows)
                 where.append(at)
-                what.append(names.at(at - lo, tied) >> np.uint64(64 - SAMPLE_BITS))
+                what.append(names.at(at - lo, tied) >> np.uint64(64 - bits))
         return np.concatenate(where), np.concatenate(what)
 
-    def suffixes(self, runs: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-        """Offsets in the runs (start, end pairs) and the names of the strings that start there."""
-        where, what = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    def suffixes(self, runs: np.ndarray, length: int, both: bool = False) -> tuple[np.ndarray, ...]:
+        """Offsets in the runs (start, end pairs) and the names (with ``both``, also the second ones) of the strings that start there."""
+        where, what, more = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
         for lo, hi, names in self.chunks(length):
             i, j = int(np.searchsorted(runs[:, 1], lo, side="right")), int(np.searchsorted(runs[:, 0], hi))
             if i < j:
-                first, last = np.maximum(runs[i:j, 0], lo), np.minimum(runs[i:j, 1], hi)
-                n = last - first
-                at = np.repeat(first - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(int(n.sum()))
+                at = _expanded(np.stack([np.maximum(runs[i:j, 0], lo), np.minimum(runs[i:j, 1], hi)], axis=1))
                 where.append(at)
                 what.append(names.at(at - lo, length))
-        return np.concatenate(where), np.concatenate(what)
+                if both:
+                    more.append(names.second(at - lo, length))
+        return (np.concatenate(where), np.concatenate(what), *([np.concatenate(more)] if both else []))
+
+
+def _expanded(runs: np.ndarray) -> np.ndarray:
+    """All offsets in the runs."""
+    n = runs[:, 1] - runs[:, 0]
+    return np.repeat(runs[:, 0] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+
 
+def _edges(u: np.ndarray, bits: int, buckets: np.ndarray) -> list[tuple[int, int, int]]:
+    """(bucket, from, to) of ascending names: a bucket is a range of names."""
+    at = np.searchsorted(u >> np.uint64(bits - 32), [(b << 32) // len(buckets) for b in range(len(buckets) + 1)]).tolist()
+    return [(int(b), i, j) for b, i, j in zip(buckets.tolist(), at[:-1], at[1:], strict=True) if i < j]
 
-def _to_buckets(part: int, names: np.ndarray, bits: int, n_buckets: int) -> list[tuple]:
-    """Each distinct name once, in rows of one bucket: a range of names."""
+
+def _to_buckets(part: int, names: np.ndarray, bits: int, buckets: np.ndarray) -> list[tuple]:
+    """Each distinct name once, in rows of one bucket."""
     u = np.unique(names)
-    shift = np.uint64(bits - 32)
-    edges = np.searchsorted((u >> shift).astype(np.uint64), [(b << 32) // n_buckets for b in range(n_buckets + 1)])
-    return [(b, part, _pack(u[i:j])) for b, (i, j) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if i < j]
+    return [(b, part, _pack(u[i:j])) for b, i, j in _edges(u, bits, buckets)]
+
+
+def _pairs(first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(first, second, count, place of each) of the distinct pairs, ascending."""
+    order = np.lexsort((second, first))
+    a, b = first[order], second[order]
+    new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]) if len(a) else np.zeros(0, bool)
+    at = np.flatnonzero(new)
+    place = np.empty(len(a), np.int64)
+    place[order] = np.cumsum(new) - 1
+    return a[at], b[at], np.diff(np.append(at, len(a))), place
+
+
+def _pairs_to_buckets(part: int, first: np.ndarray, second: np.ndarray, buckets: np.ndarray) -> list[tuple]:
+    a, b, _, _ = _pairs(first, second)
+    rows = []
+    for k, i, j in _edges(a, SUFFIX_BITS, buckets):
+        packed = _pack(a[i:j])
+        rows.append((k, part, len(packed).to_bytes(8, "little") + packed + b[i:j].astype("<u8").tobytes()))
+    return rows
 
 
 def _sorted_bucket(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
@@ -262,22 +308,64 @@ def _sorted_bucket(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     return _rows([(bucket, p, np.packbits(_among(n, tied)).tobytes()) for p, n in zip(parts, names, strict=True)], _NAME_FIELDS)
 
 
+def _verified_bucket(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+    """The same for pairs of names: a bit for each pair that another part has."""
+    bucket = key[0].as_py()
+    if bucket < 0:
+        return table
+    first, second = [], []
+    for blob in table.column("blob").to_pylist():
+        n = int.from_bytes(blob[:8], "little")
+        first.append(_unpack(blob[8 : 8 + n]))
+        second.append(np.frombuffer(blob[8 + n :], "<u8"))
+    ends = np.cumsum([len(x) for x in first])
+    a, b = np.concatenate(first), np.concatenate(second)
+    del first, second
+    order = np.lexsort((b, a))
+    same = (a[order[1:]] == a[order[:-1]]) & (b[order[1:]] == b[order[:-1]])
+    tied = np.zeros(len(a), bool)
+    tied[order[1:][same]] = True
+    tied[order[:-1][same]] = True
+    parts = table.column("part").to_pylist()
+    return _rows([(bucket, p, np.packbits(x).tobytes()) for p, x in zip(parts, np.split(tied, ends[:-1]), strict=True)], _NAME_FIELDS)
+
+
 def _among(names: np.ndarray, ascending: np.ndarray) -> np.ndarray:
     if not len(ascending):
         return np.zeros(len(names), bool)
     return ascending[np.minimum(np.searchsorted(ascending, names), len(ascending) - 1)] == names
 
 
-def _ties(names: np.ndarray, bits: int, n_buckets: int, answers: dict[int, bytes]) -> np.ndarray:
-    """For each name whether it occurs elsewhere: in this part, or by a bucket's answer."""
+def _elsewhere(u: np.ndarray, bits: int, buckets: np.ndarray, answers: dict[int, bytes]) -> np.ndarray:
+    """For each distinct name of a part, whether another part has it, by the buckets' answers."""
+    tied = np.zeros(len(u), bool)
+    for b, i, j in _edges(u, bits, buckets):
+        tied[i:j] = np.unpackbits(np.frombuffer(answers[b], np.uint8), count=j - i).astype(bool)
+    return tied
+
+
+def _ties(names: np.ndarray, bits: int, buckets: np.ndarray, answers: dict[int, bytes]) -> np.ndarray:
+    """For each name whether it occurs elsewhere: in this part, or in another."""
     u, n = np.unique(names, return_counts=True)
-    shift = np.uint64(bits - 32)
-    edges = np.searchsorted(u >> shift, [(b << 32) // n_buckets for b in range(n_buckets + 1)])
-    tied = n > 1
-    for b, (i, j) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
-        if i < j:
-            tied[i:j] |= np.unpackbits(np.frombuffer(answers[b], np.uint8), count=j - i).astype(bool)
-    return _among(names, u[tied])
+    return _among(names, u[(n > 1) | _elsewhere(u, bits, buckets, answers)])
+
+
+def _partition_ids(n: int) -> np.ndarray:
+    """n numbers that Spark's hash partitioning (Murmur3 of an integer, seed 42) deals to n partitions, one each."""
+    most = 16 * n + 64
+    while True:
+        x = np.arange(most, dtype=np.uint32)
+        rotl = lambda v, r: (v << np.uint32(r)) | (v >> np.uint32(32 - r))
+        h = np.uint32(42) ^ (rotl(x * np.uint32(0xCC9E2D51), 15) * np.uint32(0x1B873593))
+        h = rotl(h, 13) * np.uint32(5) + np.uint32(0xE6546B64)
+        h ^= np.uint32(4)
+        h = (h ^ (h >> np.uint32(16))) * np.uint32(0x85EBCA6B)
+        h = (h ^ (h >> np.uint32(13))) * np.uint32(0xC2B2AE35)
+        h ^= h >> np.uint32(16)
+        slots, first = np.unique(h.view(np.int32).astype(np.int64) % n, return_index=True)
+        if len(slots) == n:
+            return first.astype(np.int64)
+        most *= 2
 
 
 def _merged(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -294,32 +382,50 @@ def repeated_bytes(docs: DataFrame, length: int = 200, text: str = "text", id_co
     raw = F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary")
     # tasks are sized by bytes: what a part or a bucket holds does not depend on the cluster
     total = int(docs.agg(F.sum(F.length(raw).cast("long"))).first()[0] or 0)
-    n_parts = max(1, -(-total // part_bytes))
-    n_buckets = max(1, -(-total // bucket_bytes))
-    dealt = docs.select(raw.alias("raw")).filter(F.length("raw") >= length).mapInArrow(_deal(n_parts, 16 << 20), _PART_SQL)
+    n_parts, n_buckets = max(1, -(-total // part_bytes)), max(1, -(-total // bucket_bytes))
+    part_ids, buckets = _partition_ids(n_parts), _partition_ids(n_buckets)
+    bits = min(64, max(33, (total * len(COVER) // PERIOD).bit_length() + SPARE_BITS))
+    dealt = docs.select(raw.alias("raw")).filter(F.length("raw") >= length).mapInArrow(_deal(part_ids, 16 << 20), _PART_SQL)
     parts = dealt.repartition(n_parts, "part")
 
     def named(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
-        return _rows(_to_buckets(key[0].as_py(), Part(t).samples(length)[1], SAMPLE_BITS, n_buckets), _NAME_FIELDS)
+        return _rows(_to_buckets(key[0].as_py(), Part(t).samples(length, bits)[1], bits, buckets), _NAME_FIELDS)
+
+    def answered(answers: pa.Table) -> dict[int, bytes]:
+        return dict(zip(answers.column("bucket").to_pylist(), answers.column("blob").to_pylist(), strict=True))
+
+    def note(part: int, runs: np.ndarray) -> tuple:
+        """A row that passes the buckets by, back to its part."""
+        return (-1 - part, part, zlib.compress(runs.astype("<i8").tobytes(), 1))
+
+    def noted(part: int, got: dict[int, bytes]) -> np.ndarray:
+        return np.frombuffer(zlib.decompress(got.pop(-1 - part)), "<i8").reshape(-1, 2)
 
     def candidates(key: tuple[pa.Scalar, ...], t: pa.Table, answers: pa.Table) -> pa.Table:
         part, p = key[0].as_py(), Part(t)
-        where, names = p.samples(length)
-        at = np.sort(where[_ties(names, SAMPLE_BITS, n_buckets, dict(zip(answers.column("bucket").to_pylist(), answers.column("blob").to_pylist(), strict=True)))])
+        where, names = p.samples(length, bits)
+        at = np.sort(where[_ties(names, bits, buckets, answered(answers))])
         doc = np.searchsorted(p.starts, at, side="right") - 1
         first = np.maximum(at - PERIOD + 1, p.starts[doc])
         last = np.minimum(at, p.starts[doc + 1] - length)
         ok = first <= last
         runs = _merged(first[ok], last[ok] + 1)
-        rows = _to_buckets(part, p.suffixes(runs, length)[1], SUFFIX_BITS, n_buckets)
-        return _rows([*rows, (-1 - part, part, zlib.compress(runs.astype("<i8").tobytes(), 1))], _NAME_FIELDS)
+        return _rows([*_to_buckets(part, p.suffixes(runs, length)[1], SUFFIX_BITS, buckets), note(part, runs)], _NAME_FIELDS)
+
+    def verify(key: tuple[pa.Scalar, ...], t: pa.Table, answers: pa.Table) -> pa.Table:
+        part, p, got = key[0].as_py(), Part(t), answered(answers)
+        where, names = p.suffixes(noted(part, got), length)
+        at = np.sort(where[_ties(names, SUFFIX_BITS, buckets, got)])
+        del where, names
+        runs = _merged(at, at + 1)
+        _, first, second = p.suffixes(runs, length, both=True)
+        return _rows([*_pairs_to_buckets(part, first, second, buckets), note(part, runs)], _NAME_FIELDS)
 
     def cut(key: tuple[pa.Scalar, ...], t: pa.Table, answers: pa.Table) -> pa.Table:
-        p = Part(t)
-        got = dict(zip(answers.column("bucket").to_pylist(), answers.column("blob").to_pylist(), strict=True))
-        runs = np.frombuffer(zlib.decompress(got.pop(-1 - key[0].as_py())), "<i8").reshape(-1, 2)
-        where, names = p.suffixes(runs, length)
-        starts = where[_ties(names, SUFFIX_BITS, n_buckets, got)] if len(where) else where
+        p, got = Part(t), answered(answers)
+        where, first, second = p.suffixes(noted(key[0].as_py(), got), length, both=True)
+        u, _, n, place = _pairs(first, second)
+        starts = np.sort(where[((n > 1) | _elsewhere(u, SUFFIX_BITS, buckets, got))[place]])
         holes = _merged(starts, starts + length)
         # runs of neighbouring documents may touch: cut them at the documents' ends
         doc = np.searchsorted(p.starts, holes[:, 0], side="right") - 1
@@ -347,23 +453,19 @@ def repeated_bytes(docs: DataFrame, length: int = 200, text: str = "text", id_co
             rows.append((k, sum(e - s for s, e in mine), len(mine), digest.hexdigest()))
         return _rows(rows, [("key", pa.binary()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
 
-    by_bucket = parts.groupBy("part").applyInArrow(named, _NAME_SQL)
-    ranks = by_bucket.groupBy("bucket").applyInArrow(_sorted_bucket, _NAME_SQL)
-    long_ties = parts.groupBy("part").cogroup(ranks.groupBy("part")).applyInArrow(candidates, _NAME_SQL)
-    settled = long_ties.groupBy("bucket").applyInArrow(_sorted_bucket, _NAME_SQL)
-    result = parts.groupBy("part").cogroup(settled.groupBy("part")).applyInArrow(cut, "key binary, n_removed long, n_spans long, kept_sha256 string")
-
-    size = F.length("raw").cast("long")
-    rows = docs.select(F.col(id_col).alias("doc_id"), raw.alias("raw")).select(
-        "doc_id",
-        size.alias("n_bytes"),
-        F.when(size >= length, F.unhex(F.md5("raw"))).alias("key"),
-        F.when(size < length, F.sha2("raw", 256)).alias("short_sha"),
-    )
-    return rows.join(result, "key", "left").select(
-        "doc_id",
-        "n_bytes",
-        F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"),
-        F.coalesce("n_spans", F.lit(0).cast("long")).alias("n_spans"),
-        F.coalesce("kept_sha256", "short_sha").alias("kept_sha256"),
-    )
+    def asked(rows: DataFrame, solve) -> DataFrame:
+        """The buckets' answers, back by part."""
+        return rows.repartition(n_buckets, "bucket").groupBy("bucket").applyInArrow(solve, _NAME_SQL).groupBy("part")
+
+    by_part = parts.groupBy("part")
+    samples = asked(by_part.applyInArrow(named, _NAME_SQL), _sorted_bucket)
+    suffixes = asked(by_part.cogroup(samples).applyInArrow(candidates, _NAME_SQL), _sorted_bucket)
+    verified = asked(by_part.cogroup(suffixes).applyInArrow(verify, _NAME_SQL), _verified_bucket)
+    result = by_part.cogroup(verified).applyInArrow(cut, "key binary, n_removed long, n_spans long, kept_sha256 string")
+
+    size, zero = F.length("raw").cast("long"), F.lit(0).cast("long")
+    rows = docs.select(F.col(id_col).alias("doc_id"), raw.alias("raw"))
+    # short texts stay as they are, and out of the join
+    short = rows.filter(size < length).select("doc_id", size.alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), F.sha2("raw", 256).alias("kept_sha256"))
+    met = rows.filter(size >= length).select("doc_id", size.alias("n_bytes"), F.unhex(F.md5("raw")).alias("key")).join(result, "key")
+    return met.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").unionByName(short)

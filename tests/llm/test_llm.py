@@ -69,10 +69,23 @@ def test_repeated_bytes(spark):
         for suffix_dedup.WORK in (work, 97):
             p = suffix_dedup.Part(table)
             runs = np.array([[p.starts[d], p.starts[d + 1] - 199] for d in range(len(rows)) if p.sizes[d] >= 200])
-            seen.append([x.tolist() for x in (*p.samples(200), *p.suffixes(runs, 200))])
+            seen.append([x.tolist() for x in (*p.samples(200, 40), *p.suffixes(runs, 200, both=True))])
     finally:
         suffix_dedup.WORK = work
     assert seen[0] == seen[1]
+    # a number for each partition, and every one filled
+    for n in (1, 7, 64):
+        hashed = spark.createDataFrame([(int(i),) for i in suffix_dedup._partition_ids(n)], "i int").repartition(n, "i").select(F.spark_partition_id().alias("p")).distinct()
+        assert hashed.count() == n
+    # names that tie by chance: the second ones tell the strings apart
+    at = suffix_dedup.Names.at
+    try:
+        suffix_dedup.Names.at = lambda self, starts, length: at(self, starts, length) & np.uint64(0xFFFF)
+        first, second = (x.tolist() for x in p.suffixes(runs, 200, both=True)[1:])
+        strings = {(a, b): bytes(p.data[k : k + 200]) for a, b, k in zip(first, second, p.suffixes(runs, 200)[0].tolist(), strict=True)}
+        assert len(set(first)) < len(set(strings.values())) == len(strings)
+    finally:
+        suffix_dedup.Names.at = at
     twice = docs(spark, texts[1], texts[1], ids=[5, 5])
     assert [r.n_removed for r in repeated_bytes(twice).collect()] == [w[1] for w in removed([texts[1]] * 2)]
     assert repeated_bytes(d.limit(0)).count() == 0
