@@ -43,7 +43,7 @@ def integer_vectors(vectors: DataFrame, id_col: str = "vec_id", vector: str = "e
     """(id, v array<long>) of the rows that take part."""
     v = F.col(vector)
     ok = v.isNotNull() & F.forall(v, lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False)))
-    return vectors.filter(ok).select(F.col(id_col).cast("long").alias("id"), F.transform(v, lambda x: F.floor(x.cast("double") * scale).try_cast("long")).alias("v")).filter("id is not null and forall(v, x -> x is not null)")
+    return vectors.filter(ok).select(F.col(id_col).cast("long").alias("id"), F.transform(v, lambda x: F.when(F.abs(x.cast("double") * scale) < float(1 << 63), F.floor(x.cast("double") * scale))).alias("v")).filter("id is not null and forall(v, x -> x is not null)")
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
