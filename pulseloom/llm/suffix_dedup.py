@@ -13,13 +13,13 @@ sample, twelve times the text); they are grouped one bucket at a time, and a dif
    bits that come back to a part say which samples tie with another suffix.
 3. Only suffixes with a tied sample ahead can be in a long tie; they alone are named, by
    their first ``length`` bytes, again bucket by bucket.
-4. Names that tie are verified: with a second, independent name of 64 bits they go to buckets once more, and only those tie
-   that are equal in both. Of 10**13 suffixes no two different ones are expected to (10**26 pairs over 2**129).
+4. Names that tie are verified: their 64 bits and a second, independent name of 32 go to buckets once more, and only those tie
+   that are equal in both. Of 10**13 suffixes no two different ones are expected to (10**26 / 2**97 pairs, or 0.0006).
 5. Ties of that depth are the repeated strings; each part marks the bytes they cover.
 
 A part sends each name once and gets a bit for it back, hence a bucket holds at most one
 entry per name and part, whatever the number of copies. Names come from two independent prefix sums;
-a sample's name has 12 bits more than the number of samples needs, so that one in 4096 ties by chance; buckets are ranges of names. Nothing but the
+before they are verified, names have 12 bits more than their number needs, so that one in 4096 ties by chance; buckets are ranges of names. Nothing but the
 sorted names, delta-coded, is shuffled. Parts and buckets are sized by bytes and numbered so that each is a partition of its own.
 
 Every part sends to every bucket: rows grow with the square of the text, one per 96 * 10**12 of its bytes squared. Beyond some 100 GB of text
@@ -44,8 +44,8 @@ from pyspark.sql import functions as F
 PERIOD = 91
 COVER = (0, 1, 3, 9, 27, 49, 56, 61, 77, 81)
 
-#: Bits of a suffix's name, and of a sample's beyond the logarithm of the samples (a false tie costs work, not correctness).
-SUFFIX_BITS, SPARE_BITS = 64, 12
+#: Bits of a name when it is verified, and before that beyond the logarithm of the names (a false tie costs work, not correctness).
+WHOLE_BITS, SPARE_BITS = 64, 12
 #: Bytes of text for each part, and for each bucket (which then holds a name for each byte at most).
 PART_BYTES, BUCKET_BYTES = 12 << 20, 8 << 20
 #: Bytes of text hashed at a time.
@@ -104,7 +104,7 @@ class Names:
     def second(self, starts: np.ndarray, length: int) -> np.ndarray:
         """Names from the same sums, mixed another way: both names together are as good as both sums."""
         a, b = self._sums(starts, length)
-        return self._mixed(b + np.uint64(0x94D049BB133111EB) * (a ^ (a >> np.uint64(27))))
+        return self._mixed(b + np.uint64(0x94D049BB133111EB) * (a ^ (a >> np.uint64(27)))) >> np.uint64(32)
 
 
 def _pack(sorted_names: np.ndarray) -> bytes:
@@ -289,9 +289,9 @@ def _pairs(first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarra
 def _pairs_to_buckets(part: int, first: np.ndarray, second: np.ndarray, buckets: np.ndarray) -> list[tuple]:
     a, b, _, _ = _pairs(first, second)
     rows = []
-    for k, i, j in _edges(a, SUFFIX_BITS, buckets):
+    for k, i, j in _edges(a, WHOLE_BITS, buckets):
         packed = _pack(a[i:j])
-        rows.append((k, part, len(packed).to_bytes(8, "little") + packed + b[i:j].astype("<u8").tobytes()))
+        rows.append((k, part, len(packed).to_bytes(8, "little") + packed + b[i:j].astype("<u4").tobytes()))
     return rows
 
 
@@ -317,7 +317,7 @@ def _verified_bucket(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     for blob in table.column("blob").to_pylist():
         n = int.from_bytes(blob[:8], "little")
         first.append(_unpack(blob[8 : 8 + n]))
-        second.append(np.frombuffer(blob[8 + n :], "<u8"))
+        second.append(np.frombuffer(blob[8 + n :], "<u4"))
     ends = np.cumsum([len(x) for x in first])
     a, b = np.concatenate(first), np.concatenate(second)
     del first, second
@@ -384,7 +384,9 @@ def repeated_bytes(docs: DataFrame, length: int = 200, text: str = "text", id_co
     total = int(docs.agg(F.sum(F.length(raw).cast("long"))).first()[0] or 0)
     n_parts, n_buckets = max(1, -(-total // part_bytes)), max(1, -(-total // bucket_bytes))
     part_ids, buckets = _partition_ids(n_parts), _partition_ids(n_buckets)
-    bits = min(64, max(33, (total * len(COVER) // PERIOD).bit_length() + SPARE_BITS))
+    width = lambda names: min(WHOLE_BITS, max(33, names.bit_length() + SPARE_BITS))
+    bits, long_bits = width(total * len(COVER) // PERIOD), width(total)
+    cut_off = np.uint64(WHOLE_BITS - long_bits)
     dealt = docs.select(raw.alias("raw")).filter(F.length("raw") >= length).mapInArrow(_deal(part_ids, 16 << 20), _PART_SQL)
     parts = dealt.repartition(n_parts, "part")
 
@@ -410,12 +412,12 @@ def repeated_bytes(docs: DataFrame, length: int = 200, text: str = "text", id_co
         last = np.minimum(at, p.starts[doc + 1] - length)
         ok = first <= last
         runs = _merged(first[ok], last[ok] + 1)
-        return _rows([*_to_buckets(part, p.suffixes(runs, length)[1], SUFFIX_BITS, buckets), note(part, runs)], _NAME_FIELDS)
+        return _rows([*_to_buckets(part, p.suffixes(runs, length)[1] >> cut_off, long_bits, buckets), note(part, runs)], _NAME_FIELDS)
 
     def verify(key: tuple[pa.Scalar, ...], t: pa.Table, answers: pa.Table) -> pa.Table:
         part, p, got = key[0].as_py(), Part(t), answered(answers)
         where, names = p.suffixes(noted(part, got), length)
-        at = np.sort(where[_ties(names, SUFFIX_BITS, buckets, got)])
+        at = np.sort(where[_ties(names >> cut_off, long_bits, buckets, got)])
         del where, names
         runs = _merged(at, at + 1)
         _, first, second = p.suffixes(runs, length, both=True)
@@ -425,7 +427,7 @@ def repeated_bytes(docs: DataFrame, length: int = 200, text: str = "text", id_co
         p, got = Part(t), answered(answers)
         where, first, second = p.suffixes(noted(key[0].as_py(), got), length, both=True)
         u, _, n, place = _pairs(first, second)
-        starts = np.sort(where[((n > 1) | _elsewhere(u, SUFFIX_BITS, buckets, got))[place]])
+        starts = np.sort(where[((n > 1) | _elsewhere(u, WHOLE_BITS, buckets, got))[place]])
         holes = _merged(starts, starts + length)
         # runs of neighbouring documents may touch: cut them at the documents' ends
         doc = np.searchsorted(p.starts, holes[:, 0], side="right") - 1
