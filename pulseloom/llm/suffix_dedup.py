@@ -87,8 +87,12 @@ class Names:
             np.cumsum(table[data] * p[: len(data)], out=s[1:])
             self.sums.append(s)
 
-    def _sums(self, starts: np.ndarray, length: int) -> Iterator[np.ndarray]:
-        return ((s[starts + length] - s[starts]) * inv[starts] for s, (_, inv) in zip(self.sums, self.powers, strict=True))
+    def _sums(self, starts: np.ndarray, length: int) -> list[np.ndarray]:
+        m = int(starts[-1]) + 1 if len(starts) else 0
+        if 4 * len(starts) < m:
+            return [(s[starts + length] - s[starts]) * inv[starts] for s, (_, inv) in zip(self.sums, self.powers, strict=True)]
+        # most offsets are asked for: go over all of them in a row
+        return [((s[length : m + length] - s[:m]) * inv[:m])[starts] for s, (_, inv) in zip(self.sums, self.powers, strict=True)]
 
     @staticmethod
     def _mixed(x: np.ndarray) -> np.ndarray:
@@ -98,12 +102,16 @@ class Names:
         return x
 
     def at(self, starts: np.ndarray, length: int) -> np.ndarray:
+        """Names of the strings that start at ascending offsets."""
         a, b = self._sums(starts, length)
         return self._mixed(a ^ (b >> np.uint64(31)) ^ (b << np.uint64(33)))
 
-    def second(self, starts: np.ndarray, length: int) -> np.ndarray:
-        """Names from the same sums, mixed another way: both names together are as good as both sums."""
+    def both(self, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+        """The same and second names from the same sums, mixed another way: together they are as good as both sums."""
         a, b = self._sums(starts, length)
+        return self._mixed(a ^ (b >> np.uint64(31)) ^ (b << np.uint64(33))), self._other(a, b)
+
+    def _other(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return self._mixed(b + np.uint64(0x94D049BB133111EB) * (a ^ (a >> np.uint64(27)))) >> np.uint64(32)
 
 
@@ -251,9 +259,12 @@ class Part:
             if i < j:
                 at = _expanded(np.stack([np.maximum(runs[i:j, 0], lo), np.minimum(runs[i:j, 1], hi)], axis=1))
                 where.append(at)
-                what.append(names.at(at - lo, length))
                 if both:
-                    more.append(names.second(at - lo, length))
+                    first, second = names.both(at - lo, length)
+                    more.append(second)
+                else:
+                    first = names.at(at - lo, length)
+                what.append(first)
         return (np.concatenate(where), np.concatenate(what), *([np.concatenate(more)] if both else []))
 
 
@@ -275,15 +286,23 @@ def _to_buckets(part: int, names: np.ndarray, bits: int, buckets: np.ndarray) ->
     return [(b, part, _pack(u[i:j])) for b, i, j in _edges(u, bits, buckets)]
 
 
+def _in_order(first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order of the pairs, where in that order a pair differs from the one before)."""
+    order = np.argsort(first)
+    a, b = first[order], second[order]
+    if ((a[1:] == a[:-1]) & (b[1:] != b[:-1])).any():  # names that tie by chance: rare
+        order = np.lexsort((second, first))
+        a, b = first[order], second[order]
+    return order, np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])[: len(a)]
+
+
 def _pairs(first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(first, second, count, place of each) of the distinct pairs, ascending."""
-    order = np.lexsort((second, first))
-    a, b = first[order], second[order]
-    new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]) if len(a) else np.zeros(0, bool)
+    order, new = _in_order(first, second)
     at = np.flatnonzero(new)
-    place = np.empty(len(a), np.int64)
+    place = np.empty(len(first), np.int64)
     place[order] = np.cumsum(new) - 1
-    return a[at], b[at], np.diff(np.append(at, len(a))), place
+    return first[order[at]], second[order[at]], np.diff(np.append(at, len(first))), place
 
 
 def _pairs_to_buckets(part: int, first: np.ndarray, second: np.ndarray, buckets: np.ndarray) -> list[tuple]:
@@ -321,11 +340,10 @@ def _verified_bucket(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     ends = np.cumsum([len(x) for x in first])
     a, b = np.concatenate(first), np.concatenate(second)
     del first, second
-    order = np.lexsort((b, a))
-    same = (a[order[1:]] == a[order[:-1]]) & (b[order[1:]] == b[order[:-1]])
-    tied = np.zeros(len(a), bool)
-    tied[order[1:][same]] = True
-    tied[order[:-1][same]] = True
+    order, new = _in_order(a, b)
+    del a, b
+    tied = np.empty(len(order), bool)
+    tied[order] = ~(new & np.append(new[1:], True))
     parts = table.column("part").to_pylist()
     return _rows([(bucket, p, np.packbits(x).tobytes()) for p, x in zip(parts, np.split(tied, ends[:-1]), strict=True)], _NAME_FIELDS)
 
@@ -346,8 +364,14 @@ def _elsewhere(u: np.ndarray, bits: int, buckets: np.ndarray, answers: dict[int,
 
 def _ties(names: np.ndarray, bits: int, buckets: np.ndarray, answers: dict[int, bytes]) -> np.ndarray:
     """For each name whether it occurs elsewhere: in this part, or in another."""
-    u, n = np.unique(names, return_counts=True)
-    return _among(names, u[(n > 1) | _elsewhere(u, bits, buckets, answers)])
+    order = np.argsort(names)
+    ordered = names[order]
+    new = np.concatenate([[True], ordered[1:] != ordered[:-1]])[: len(names)]
+    at = np.flatnonzero(new)
+    tied = (np.diff(np.append(at, len(names))) > 1) | _elsewhere(ordered[at], bits, buckets, answers)
+    out = np.empty(len(names), bool)
+    out[order] = tied[np.cumsum(new) - 1]
+    return out
 
 
 def _partition_ids(n: int) -> np.ndarray:
@@ -416,12 +440,11 @@ def repeated_bytes(docs: DataFrame, length: int = 200, text: str = "text", id_co
 
     def verify(key: tuple[pa.Scalar, ...], t: pa.Table, answers: pa.Table) -> pa.Table:
         part, p, got = key[0].as_py(), Part(t), answered(answers)
-        where, names = p.suffixes(noted(part, got), length)
-        at = np.sort(where[_ties(names >> cut_off, long_bits, buckets, got)])
-        del where, names
-        runs = _merged(at, at + 1)
-        _, first, second = p.suffixes(runs, length, both=True)
-        return _rows([*_pairs_to_buckets(part, first, second, buckets), note(part, runs)], _NAME_FIELDS)
+        where, first, second = p.suffixes(noted(part, got), length, both=True)
+        tied = _ties(first >> cut_off, long_bits, buckets, got)
+        at, first, second = where[tied], first[tied], second[tied]
+        del where, tied
+        return _rows([*_pairs_to_buckets(part, first, second, buckets), note(part, _merged(at, at + 1))], _NAME_FIELDS)
 
     def cut(key: tuple[pa.Scalar, ...], t: pa.Table, answers: pa.Table) -> pa.Table:
         p, got = Part(t), answered(answers)

@@ -78,14 +78,17 @@ def test_repeated_bytes(spark):
         hashed = spark.createDataFrame([(int(i),) for i in suffix_dedup._partition_ids(n)], "i int").repartition(n, "i").select(F.spark_partition_id().alias("p")).distinct()
         assert hashed.count() == n
     # names that tie by chance: the second ones tell the strings apart
-    at = suffix_dedup.Names.at
+    both = suffix_dedup.Names.both
     try:
-        suffix_dedup.Names.at = lambda self, starts, length: at(self, starts, length) & np.uint64(0xFFFF)
+        suffix_dedup.Names.both = lambda self, starts, length: (lambda x: (x[0] & np.uint64(0xFFF), x[1]))(both(self, starts, length))
         first, second = (x.tolist() for x in p.suffixes(runs, 200, both=True)[1:])
         strings = {(a, b): bytes(p.data[k : k + 200]) for a, b, k in zip(first, second, p.suffixes(runs, 200)[0].tolist(), strict=True)}
         assert len(set(first)) < len(set(strings.values())) == len(strings)
+        a, b, n, place = suffix_dedup._pairs(np.array(first, np.uint64), np.array(second, np.uint64))
+        assert collections.Counter(zip(first, second, strict=True)) == dict(zip(zip(a.tolist(), b.tolist(), strict=True), n.tolist(), strict=True))
+        assert [(a[i], b[i]) for i in place] == list(zip(first, second, strict=True))
     finally:
-        suffix_dedup.Names.at = at
+        suffix_dedup.Names.both = both
     twice = docs(spark, texts[1], texts[1], ids=[5, 5])
     assert [r.n_removed for r in repeated_bytes(twice).collect()] == [w[1] for w in removed([texts[1]] * 2)]
     assert repeated_bytes(d.limit(0)).count() == 0
