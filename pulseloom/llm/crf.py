@@ -67,6 +67,21 @@ def marginals(unary: np.ndarray, lengths: np.ndarray, trans: np.ndarray, pairs:
     return p, expected
 
 
+#: Positions that are worked on at a time, whole chains of them.
+_POSITIONS = 1 << 20
+
+
+def batches(lengths: np.ndarray) -> list[tuple[int, int, np.ndarray]]:
+    """(from, to, lengths) of runs of chains of some positions each."""
+    ends = np.cumsum(lengths)
+    out, chain, at = [], 0, 0
+    while chain < len(lengths):
+        upto = max(chain + 1, int(np.searchsorted(ends, at + _POSITIONS, side="right")))
+        out.append((at, int(ends[upto - 1]), lengths[chain:upto]))
+        chain, at = upto, int(ends[upto - 1])
+    return out
+
+
 class Adam:
     def __init__(self, size: int, rate: float):
         self.m, self.v, self.t, self.rate = np.zeros(size), np.zeros(size), 0, rate
@@ -91,8 +106,12 @@ def fit(unary_of, back_of, n_weights: int, labels: np.ndarray, lengths: np.ndarr
     seen = np.bincount(2 * labels[i] + labels[i + 1], minlength=4).astype(float) if len(i) else np.zeros(4)
     up, up_t = Adam(n_weights, rate), Adam(4, rate)
     n = max(1, len(labels))
+    parts = batches(lengths)
     for _ in range(rounds):
-        p, expected = marginals(unary_of(w), lengths, trans, pairs=True)
+        p, expected = unary_of(w), np.zeros(4)
+        for a, b, some in parts:
+            p[a:b], e = marginals(p[a:b], some, trans, pairs=True)
+            expected += e
         w = w + up.step(back_of(labels - p) / n - ridge * w)
         trans = trans + up_t.step((seen - expected) / n - ridge * trans)
     return w, trans

@@ -51,8 +51,9 @@ def own_features(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     raw = [x.encode() for x in lines]
     size = np.array([len(x) for x in raw], np.int64)
     data = np.frombuffer(b"".join(raw), np.uint8)
-    row = np.repeat(np.arange(len(raw)), size)
-    kinds = np.bincount(row * 6 + _CLASS[data], minlength=6 * len(raw)).reshape(-1, 6).astype(float)
+    row = np.repeat(np.arange(len(raw)) * 6, size)
+    row += _CLASS[data]
+    kinds = np.bincount(row, minlength=6 * len(raw)).reshape(-1, 6).astype(float)
     del row
     words = np.empty((len(raw), 3))
     for i, x in enumerate(lines):
@@ -99,8 +100,12 @@ def beside(values: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarra
 def line_features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(features by line with its neighbours' and a constant, lines by document, line lengths in bytes), for fitting."""
     lines, count = split_lines(texts)
-    own, size = own_features(lines)
-    return np.concatenate([own, *beside(own, count), np.ones((len(own), 1))], axis=1), count, size
+    x, size = np.ones((len(lines), 3 * _OWN + 1)), np.empty(len(lines), np.int64)
+    for k in range(0, len(lines), _LINES):
+        x[k : k + _LINES, :_OWN], size[k : k + _LINES] = own_features(lines[k : k + _LINES])
+    for j in range(_OWN):
+        x[:, _OWN + j], x[:, 2 * _OWN + j] = beside(x[:, j], count)
+    return x, count, size
 
 
 class Model:
@@ -117,7 +122,9 @@ class Model:
         self.mean, self.scale = x.mean(0), x.std(0)
         self.mean[-1], self.scale[-1] = 0, 1
         self.scale[self.scale < 1e-6] = 1
-        z = (x - self.mean) / self.scale
+        x -= self.mean
+        x /= self.scale
+        z = x
         doc = np.repeat(y, count)
         labels = doc.copy()
         for again in range(3):

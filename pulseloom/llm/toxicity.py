@@ -124,7 +124,9 @@ class Model:
 
         self.w, self.trans = crf.fit(unary, back, size + 3, labels, lengths, rounds=60, rate=0.25, ridge=1e-7)
         by_doc = np.array(sizes, np.int64)
-        p = crf.marginals(unary(self.w), by_doc, self.trans)
+        p = unary(self.w)
+        for a, b, some in crf.batches(by_doc):
+            p[a:b] = crf.marginals(p[a:b], some, self.trans)
         x = self.document(p, by_doc)
         rates = np.bincount(y, minlength=2) / len(y)
         wanted = np.array([1 - self.base, self.base])
