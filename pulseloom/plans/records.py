@@ -15,7 +15,7 @@ from ..sources import broker_pages, market_files
 from ..sources import posts as post_source
 from ..streaming import hourly as streams
 from . import pipeline
-from .catalog import _BARS, _INDEX, _JOINED, _POSTS, _STAMP, _shown, event_index, event_posts, event_ticks, joined, ntz, query, settled, stamp, t, tick_bars
+from .catalog import _INDEX, _JOINED, _POSTS, _STAMP, _shown, event_index, event_posts, event_ticks, joined, ntz, query, settled, stamp, t, tick_bars
 
 
 def _text(c: Column, pattern: str = "yyyy-MM-dd'T'HH:mm:ss") -> Column:
