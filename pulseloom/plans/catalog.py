@@ -248,12 +248,8 @@ def q_labels(spark: SparkSession, d: str) -> DataFrame:
     return _shown(j.select("hour", labels.sentiment_label(F.col("sentiment_index")).alias("label"), labels.sentiment_class(F.col("sentiment_index")).alias("class")))
 
 
-def _hits(words: tuple[str, ...]) -> str:
-    return " + ".join(f"contains(low, '{w}')::INT" for w in words)
-
-
-_SENT = f"""c AS (SELECT doc_id, text, lower(text) AS low FROM documents),
-h AS (SELECT doc_id, low, ('0x' || substr(md5(text), 1, 8))::BIGINT AS h, {_hits(LEXICON.positive)} AS p, {_hits(LEXICON.negative)} AS n, {_hits(LEXICON.neutral)} AS u FROM c),
+_SENT = """c AS (SELECT doc_id, text, lower(text) AS low FROM documents),
+h AS (SELECT doc_id, low, ('0x' || substr(md5(text), 1, 8))::BIGINT AS h, contains(low, 'the ')::INT + contains(low, 'ion')::INT + contains(low, 'bull')::INT AS p, contains(low, 'ing')::INT + contains(low, 'der ')::INT + contains(low, 'short')::INT + contains(low, 'ing')::INT AS n, contains(low, 'que')::INT + contains(low, 'neutral')::INT AS u FROM c),
 k AS (SELECT *, p + n + u AS total, CASE WHEN p + n + u = 0 THEN 'unrelated' WHEN p > n AND p > u THEN 'positive' WHEN n > p AND n > u THEN 'negative' WHEN p > 0 AND n > 0 THEN 'mixed' ELSE 'neutral' END AS direction FROM h),
 s AS (SELECT *, CASE WHEN total = 0 THEN 0.0::DOUBLE ELSE round_even(greatest(-1.0::DOUBLE, least(1.0::DOUBLE, (CASE direction WHEN 'positive' THEN p::DOUBLE / total WHEN 'negative' THEN -(n::DOUBLE / total) WHEN 'mixed' THEN (p - n)::DOUBLE / total ELSE 0.0::DOUBLE END) + ((h % 100)::DOUBLE / 1000.0::DOUBLE - 0.05::DOUBLE))), 4) END AS score FROM k)"""
 
@@ -405,18 +401,31 @@ def q_plan(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([(incremental.effective_from("2024-01-01", "2026-12-31", latest),)], "effective_from string")
 
 
-@query("topk_select", "SELECT page_id, post_id, title FROM (SELECT page_id, page_id::VARCHAR AS post_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title FROM pages) WHERE title <> '' AND NOT contains(lower(title), 'notice') AND NOT contains(lower(title), 'ad ') AND NOT contains(title, '공지') AND NOT contains(title, '광고') ORDER BY page_id LIMIT 5")
+_LISTED = """listed AS (SELECT page_id, page_id::VARCHAR AS post_id, trim(replace(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&quot;', '"'), '&amp;', '&')) AS title FROM pages)"""
+
+
+def listed(spark: SparkSession, d: str) -> DataFrame:
+    """Pages as entries of plain list pages, read by the parser; entries without a title go."""
+    title = F.regexp_extract("html", "<title>([^<]*)</title>", 1)
+    entry = F.concat(F.lit('<li><a class="post-link" data-id="'), "page_id", F.lit('" href="/p/'), "page_id", F.lit('">'), title, F.lit("</a></li>"))
+    return html_source.parse_lists(t(spark, d, "pages").select("page_id", entry.alias("html")), keep=("page_id",))
+
+
+@query("topk_select", f"WITH {_LISTED} SELECT page_id, post_id, title FROM listed WHERE title <> '' AND NOT contains(lower(title), 'notice') AND NOT contains(lower(title), 'ad ') AND NOT contains(title, '공지') AND NOT contains(title, '광고') ORDER BY page_id LIMIT 5")
 def q_topk(spark: SparkSession, d: str) -> DataFrame:
-    p = t(spark, d, "pages").select("page_id", F.col("page_id").cast("string").alias("post_id"), F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"))
-    return posts.select_posts(p, 5, "page_id")
+    return posts.select_posts(listed(spark, d), 5, "page_id").select("page_id", "post_id", "title")
 
 
-@query("html_titles", "SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title FROM pages")
+@query("html_titles", f"WITH {_LISTED} SELECT page_id, title FROM listed WHERE title <> ''")
 def q_titles(spark: SparkSession, d: str) -> DataFrame:
-    return t(spark, d, "pages").select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"))
+    return listed(spark, d).select("page_id", "title")
 
 
-@query("html_links")
+@query(
+    "html_links",
+    r"""WITH l AS (SELECT page_id, regexp_extract_all(html, '<a href="[^"]+">[^<]+</a>') AS found FROM pages), x AS (SELECT page_id, unnest(found) AS a, unnest(range(len(found))) AS pos FROM l)
+SELECT page_id, pos, regexp_extract(a, '"([^"]*)"', 1) AS url, regexp_extract(a, '>([^<]*)<', 1) AS title FROM x""",
+)
 def q_links(spark: SparkSession, d: str) -> DataFrame:
     return html_source.links(t(spark, d, "pages"), ("page_id",)).select("page_id", "pos", "url", "title")
 

@@ -9,9 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import labels, sentiment, sql, timefn
+from ..functions import labels, parse, sentiment, sql, timefn
 from ..operators import extensions, series, validate
-from ..sources import broker_pages, market_files
+from ..sources import broker_pages, html, market_files
 from ..sources import posts as post_source
 from ..streaming import hourly as streams
 from . import pipeline
@@ -203,6 +203,77 @@ def q_sample_posts(spark: SparkSession, d: str) -> DataFrame:
     return post_source.sample_posts(spark, "2026-04-14T12:00:00+09:00").select("post_id", "title", "first_seen_at", "views", "comment_count")
 
 
+# ---------------------------------------------------------------- web pages
+
+
+@query(
+    "html_list",
+    f"""SELECT event_id::VARCHAR AS post_id, '/p/' || event_id AS url, event_type AS title, user_id * 1000 AS views, event_id % 7 AS recommendations, user_id % 5 AS comment_count, {_STAMP.format("date_trunc('second', ts)")} AS published_at FROM events WHERE event_id % 10 <> 9""",
+)
+def q_html_list(spark: SparkSession, d: str) -> DataFrame:
+    """Plain list pages of ten entries, the last of them without a title."""
+    e, k = _events(spark, d), F.col("event_id")
+    entry = F.concat(
+        F.lit('<li><a class="post-link" data-id="'), k, F.lit('" href="/p/'), k, F.lit('">'), F.when(k % 10 == 9, " ").otherwise(F.col("event_type")), F.lit('</a> <span class="views">'), F.format_number(F.col("user_id") * 1000, 0),
+        F.lit(' views</span><span class="recommends">'), k % 7, F.lit('</span><span class="comments-count">['), F.col("user_id") % 5, F.lit(']</span><time class="published" datetime="'), stamp(F.date_trunc("SECOND", "ts")), F.lit('">today</time></li>'),
+    )
+    pages = e.groupBy(F.floor(k / 10).alias("page")).agg(F.concat(F.lit("<ul>"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(k, entry.alias("entry")))), lambda x: x["entry"]), "\n"), F.lit("</ul>")).alias("html"))
+    return html.parse_lists(pages).select("post_id", "url", "title", "views", "recommendations", "comment_count", "published_at")
+
+
+@query(
+    "html_posts",
+    """SELECT conv_id, 'Talk ' || conv_id AS title, md5(coalesce(max(text) FILTER (turn = 0), '')) AS body, conv_id * 1000 AS views, conv_id % 7 AS recommendations, greatest(count(*) FILTER (turn > 0), CASE WHEN count(*) FILTER (turn > 0) = 0 THEN 3 ELSE 0 END) AS comment_count,
+  md5(coalesce(string_agg('reader:' || coalesce(text, ''), '|' ORDER BY turn, text) FILTER (turn > 0), '')) AS comments FROM conversations GROUP BY conv_id""",
+)
+def q_html_posts(spark: SparkSession, d: str) -> DataFrame:
+    """Conversations as plain detail pages that declare three comments, whatever they hold."""
+    th, k = post_source.threads(t(spark, d, "conversations")), F.col("conv_id")
+    comment = lambda c: F.concat(F.lit('<div class="comment"><span class="author"> reader </span><div class="body">'), parse.html_escape(c), F.lit("</div></div>"))
+    page = F.concat(
+        F.lit('<!DOCTYPE html><html><body><article class="post"><h1 class="title">Talk '), k, F.lit('</h1><div class="body">'), parse.html_escape(F.col("body")), F.lit('</div><span class="views">'), F.format_number(k * 1000, 0),
+        F.lit('</span><span class="recommends">'), k % 7, F.lit('</span><span class="comments-count">3</span>'), F.array_join(F.transform("comments", comment), ""), F.lit("</article></body></html>"),
+    )
+    p = html.parse_posts(th.select("conv_id", page.alias("html")), keep=("conv_id",))
+    said = F.array_join(F.transform("comments", lambda c: F.concat_ws(":", c["author"], c["body"])), "|")
+    return p.select("conv_id", "title", F.md5("body").alias("body"), "views", "recommendations", "comment_count", F.md5(said).alias("comments"))
+
+
+@query(
+    "board_list",
+    """SELECT page_id, 'Page ' || page_id AS title, CASE WHEN page_id % 4 = 1 THEN (200000 + page_id)::VARCHAR ELSE (1000000 + page_id)::VARCHAR END AS post_id,
+  CASE WHEN page_id % 4 = 1 THEN 'https://site.example/' || (200000 + page_id) ELSE 'https://site.example/index.php?document_srl=' || (1000000 + page_id) END AS url FROM pages WHERE page_id % 5 <> 0""",
+)
+def q_board_list(spark: SparkSession, d: str) -> DataFrame:
+    """Links of a board: with a document id as a parameter, in the path, or (every fifth) without one."""
+    k = F.col("page_id")
+    href = F.when(k % 5 == 0, "/about").when(k % 4 == 1, F.concat(F.lit("/"), k + 200000, F.lit("#c"))).otherwise(F.concat(F.lit("/index.php?page=2&amp;document_srl="), k + 1000000, F.lit("&amp;x=1#top")))
+    page = F.concat(F.lit('<div><a href="'), href, F.lit('">  Page\n<b>'), k, F.lit('</b></a><a href="/9999999"> </a></div>'))
+    return html.parse_lists(t(spark, d, "pages").select("page_id", page.alias("html")), "board", "https://site.example", ("page_id",)).select("page_id", "title", "post_id", "url")
+
+
+@query(
+    "board_posts",
+    f"""WITH e AS (SELECT *, event_id % 11 = 0 AS gone FROM events WHERE event_id % 11 = 0 OR event_id % 13 <> 0)
+SELECT event_id::VARCHAR AS post_id, gone AS deleted, CASE WHEN gone THEN '' ELSE 'https://site.example/' || (8800000 + event_id) END AS url, CASE WHEN gone THEN '삭제된 게시물입니다' ELSE event_type || ' & co' END AS title, CASE WHEN gone THEN '' ELSE props END AS body,
+  CASE WHEN gone THEN 0 ELSE user_id * 1000 END AS views, CASE WHEN gone THEN 0 ELSE -(event_id % 5) END AS recommendations, CASE WHEN gone THEN 0 WHEN event_id % 4 = 0 THEN 1 ELSE event_id % 4 END AS comment_count,
+  CASE WHEN NOT gone AND event_id % 3 < 2 THEN {_STAMP.format("date_trunc('second', ts)")} END AS published_at FROM e""",
+)
+def q_board_posts(spark: SparkSession, d: str) -> DataFrame:
+    """Detail pages of a board: some deleted, some without anything, times in the attribute, in the text or without a zone."""
+    e, k = _events(spark, d), F.col("event_id")
+    at, naive = stamp(F.date_trunc("SECOND", "ts")), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")
+    comment = F.when(k % 4 == 0, '<div class="cmt_list"><div class="cmt_item"><div class="cmt_content">so it is</div></div></div>').otherwise(F.concat(F.lit('<span class="comment_cnt">'), k % 4, F.lit("</span>")))
+    page = F.concat(
+        F.lit('<html><head><meta property="og:url" content="/'), k + 8800000, F.lit('?x=1"></head><body><article class="bd_doc"><h1 class="title"> '), F.col("event_type"), F.lit(' &amp; co</h1><div class="rd_body"><p>'), parse.html_escape(F.col("props")),
+        F.lit('</p></div><span class="view_cnt">'), F.format_number(F.col("user_id") * 1000, 0), F.lit('</span><span class="recommend_cnt">'), -(k % 5), F.lit('</span><time datetime="'), F.when(k % 3 == 0, at).otherwise(naive), F.lit('">'),
+        F.when(k % 3 == 1, at).otherwise("3분 전"), F.lit("</time>"), comment, F.lit("</article></body></html>"),
+    )
+    page = F.when(k % 11 == 0, '<h1 class="title">삭제된 게시물입니다</h1><time>3분 전</time>').when(k % 13 == 0, "<div></div>").otherwise(page)
+    p = html.parse_posts(e.select(k.cast("string").alias("post_id"), page.alias("html")), "board", "https://site.example")
+    return p.select("post_id", "deleted", "url", "title", "body", "views", "recommendations", "comment_count", "published_at")
+
+
 # ---------------------------------------------------------------- broker pages
 
 
