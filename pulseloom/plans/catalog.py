@@ -401,7 +401,7 @@ def q_plan(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([(incremental.effective_from("2024-01-01", "2026-12-31", latest),)], "effective_from string")
 
 
-_LISTED = """listed AS (SELECT page_id, page_id::VARCHAR AS post_id, trim(replace(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&quot;', '"'), '&amp;', '&')) AS title FROM pages)"""
+_LISTED = """listed AS (SELECT page_id, page_id::VARCHAR AS post_id, trim(regexp_replace(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&quot;', '"'), '&amp;?', '&', 'g')) AS title FROM pages)"""
 
 
 def listed(spark: SparkSession, d: str) -> DataFrame:
