@@ -426,6 +426,28 @@ def test_similar_texts(spark, sf):
 # ---------------------------------------------------------------- classifiers
 
 
+def test_similar_texts_of_large_groups(spark):
+    """Chains and clusters that share bands but not a neighbour: whatever the chunks, the classes are those of all pairs."""
+    from pulseloom.llm.similar import drop_similar
+
+    rng = random.Random(5)
+    texts = []
+    for _ in range(3):
+        base = words(rng, 150, 9000).split()
+        for step in range(25):  # each text is like the one before, the last ones are unlike the first
+            if step % 9 != 8:
+                base[rng.randrange(150)] = f"new{step}"
+            else:
+                for at in rng.sample(range(150), 6):
+                    base[at] = f"far{step}"
+            texts.append(" ".join(base))
+    rng.shuffle(texts)
+    want = firsts(dict(enumerate(texts)))
+    assert 3 < len(want) < 40
+    for size in (1 << 20, 9000, 2500):
+        assert sorted(r.doc_id for r in drop_similar(docs(spark, *texts), group_bytes=size).collect()) == want
+
+
 def test_crf_against_enumeration():
     from itertools import product
 
