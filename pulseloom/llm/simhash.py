@@ -174,6 +174,7 @@ def keep_least(docs: DataFrame, grouped: DataFrame) -> DataFrame:
     """
     grouped = materialize(grouped.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n")))
     least = grouped.groupBy("root").agg(F.min("key").alias("least"), F.count(F.lit(1)).alias("keys")).filter("keys > 1")
+    least = small(materialize(least), 96)  # a large group's keys then stay where they are
     key, hashed, repeat = (unused(docs, x) for x in ("id", "hash", "repeat"))
     met = grouped.join(least, "root", "left")
     gone = F.coalesce(F.col("key") != F.col("least"), F.lit(False))
