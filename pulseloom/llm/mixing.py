@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, small
 
 WORD = r"[^\x20\x09-\x0D]+"
 GOLDEN = 0.6180339887498949
@@ -113,6 +113,7 @@ def mix(docs: DataFrame, text: str = "text", id_col: str = "doc_id", source: str
     uses = dealt.groupBy("skey", "block").agg(F.count(F.lit(1)).alias("times"))
     ends = dealt.groupBy("skey").agg(F.max("reach").alias("reach"))
     targets = targets.join(ends, "skey", "left").withColumns({"reach": F.coalesce("reach", F.lit(0)), "goal": goal})
+    targets = small(materialize(targets), 96)  # a row per source; a source's documents then stay where they are
     placed = stream_positions(sizes)
     end = F.col("start") + F.col("size")
     whole = placed.filter("size > 0").withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / size), F.floor((end - 1) / size))))
