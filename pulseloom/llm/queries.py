@@ -73,6 +73,12 @@ def op10_toxicity_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_scores(docs, fit_toxicity(docs, table(spark, sf_dir, "labels")))
 
 
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .runs import run_digests
+
+    return run_digests(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_secret_ownership": op2_secret_ownership,
@@ -84,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_string_tiling": op8_string_tiling,
     "op9_source_mixing": op9_source_mixing,
     "op10_toxicity_crf": op10_toxicity_crf,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 #: DuckDB SQL for the queries that SQL can express; the others are tested against brute force.
