@@ -23,7 +23,9 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -49,6 +51,12 @@ def _entropy(s: str) -> float:
     return -sum(n / len(s) * math.log2(n / len(s)) for n in map(s.count, set(s)))
 
 
+def _meets(starts: list[int], ends: list[int], start: int, end: int) -> bool:
+    """Whether a span overlaps one of those that begin at ``starts`` (sorted) and of which the first i + 1 end by ``ends[i]``."""
+    i = bisect_left(starts, end)
+    return i > 0 and ends[i - 1] > start
+
+
 def candidates(text: str) -> list[tuple[int, int, int, str]]:
     """(start, kind, end, value) in code points, by start and kind; opaque tokens do not overlap the base kinds."""
     found = []
@@ -59,9 +67,10 @@ def candidates(text: str) -> list[tuple[int, int, int, str]]:
         found += [(m.start(), 1, m.end(), m[0]) for m in ACCESS.finditer(text) if len(m[0]) >= MIN_ACCESS]
     found += [(m.start(), 2, m.end(), m[0]) for m in HEX.finditer(text)]
     base = sorted(found)
+    starts, ends = [c[0] for c in base], list(accumulate((c[2] for c in base), max))
     for m in OPAQUE.finditer(text):
         v = m[0]
-        if any(c.isupper() for c in v) and any(c.islower() for c in v) and any(c.isdigit() for c in v) and _entropy(v) >= MIN_ENTROPY and not any(s < m.end() and m.start() < e for s, _, e, _ in base):
+        if any(c.isupper() for c in v) and any(c.islower() for c in v) and any(c.isdigit() for c in v) and _entropy(v) >= MIN_ENTROPY and not _meets(starts, ends, m.start(), m.end()):
             found.append((m.start(), 3, m.end(), v))
     return sorted(found)
 

@@ -116,6 +116,32 @@ def test_secrets(spark):
     assert secrets(d.limit(0)).count() == 0 and redact(d.limit(0)).count() == 0
 
 
+def test_secrets_of_a_long_text_take_linear_time():
+    import time
+
+    from pulseloom.llm.secrets import candidates
+
+    unit = "token=abcdef012345 Zq9Xw8Ev7Cr6Bt5Ny4Mu3Iq2 0123456789abcdef01234567 x{}yA1b2C3d4E5f6G7h8J9k0L "
+    text = "".join(unit.format(i) for i in range(20_000_000 // len(unit)))
+    began = time.perf_counter()
+    found = candidates(text)
+    assert time.perf_counter() - began < 60
+    assert collections.Counter(k for _, k, _, _ in found) == {k: 20_000_000 // len(unit) * (2 if k == 3 else 1) for k in (0, 2, 3)}
+
+
+def test_ownership_decides(spark):
+    """A value of three owners, or of six repositories of one owner, is an example; one of two owners looks live."""
+    from pulseloom.llm.secrets import redact, secrets
+
+    three, six, two = "0123456789abcdef00000003", "0123456789abcdef00000006", "0123456789abcdef00000002"
+    rows = [(three, f"o{i}/r") for i in range(3)] + [(six, f"o/r{i}") for i in range(6)] + [(two, f"p{i % 2}/r{i % 4}") for i in range(8)]
+    d = docs(spark, *[f"key {v}" for v, _ in rows], sources=[s for _, s in rows])
+    got = secrets(d).collect()
+    assert {(r.most_owners, r.most_repositories, r.n_live, r.n_example) for r in got} == {(3, 3, 0, 1), (1, 6, 0, 1), (2, 4, 1, 0)}
+    kept = {r.text for r in redact(d).collect()}
+    assert kept == {f"key {three}", f"key {six}", "key <secret>"}
+
+
 def plain_secrets(text):
     """The base spans by the rules, one match at a time, and whole opaque tokens."""
     t, out = text or "", []
@@ -704,23 +730,72 @@ def test_mix(spark):
     block = -(-sum(size) // 500)
     assert all(abs(by[s] - target[s]) <= 4 * block for s in order)
     assert collections.Counter(map(tuple, mix(d, slots=500).collect())) == collections.Counter(map(tuple, got))
+    assert any(r.first_slot for r in got) and all((r.first_slot is None) == (r.taken == 0) for r in got)
+    long = docs(spark, "w " * 200_000, *texts[:20], sources=["x", *sources[:20]])
+    assert sum(r.taken for r in mix(long, slots=64).collect()) >= 200_000
     twice = d.unionByName(d)
     assert mix(twice).count() == 2 * len(texts) and mix(d.limit(0)).count() == 0 and mix(d.filter("text is null")).first().taken == 0
 
 
-def test_mix_meets_targets_of_small_sources(spark):
-    from pulseloom.llm.mixing import mix
+def walked(sizes, starts, sources, targets, slots, ratio, max_repeats=3):
+    """Words that each document gives and its first slot, by walking over the slots, and the words of each source slot by slot."""
+    goal = {s: t["goal"] for s, t in targets.items()}
+    seats = []
+    for i in range(min(slots, sum(sizes))):
+        u = i * ratio % 1
+        seats += [s for s, t in targets.items() if t["goal"] > 0 and t["lo"] <= u < t["hi"]]
+    seats += [s for s in sorted(targets) if goal[s] > 0 and s not in seats]
+    n = collections.Counter(seats)
+    stream = {s: [i for i in sorted((i for i in range(len(sizes)) if sources[i] == s), key=lambda i: starts[i]) for _ in range(sizes[i])] for s in targets}
+    rank, taken, first, order = collections.Counter(), [0] * len(sizes), [None] * len(sizes), []
+    for slot, s in enumerate(seats):
+        r = rank[s]
+        rank[s] += 1
+        block = [stream[s][w % len(stream[s])] for w in range(r * goal[s] // n[s], (r + 1) * goal[s] // n[s])]
+        order.append((s, len(block)))
+        for i in block:
+            taken[i] += 1
+            first[i] = slot if first[i] is None else first[i]
+    return taken, first, order
+
+
+def test_mix_by_walking_over_slots(spark):
+    from pulseloom.llm import mixing
 
     rng = random.Random(15)
-    rows = [("big", 3000) for _ in range(20)] + [(f"s{i:02}", rng.randrange(1, 30)) for i in range(40) for _ in range(2)]
+    rows = [("big", 300) for _ in range(20)] + [(f"s{i:02}", rng.randrange(0, 30)) for i in range(30) for _ in range(2)] + [("s05", 900), (None, 40), ("none", 0)]
     d = docs(spark, *["w " * n for _, n in rows], sources=[s for s, _ in rows])
-    for slots in (7, 50, 1 << 17):
-        by, target = collections.Counter(), {}
-        for r in mix(d, slots=slots).collect():
-            assert 0 <= r.taken <= 3 * r.size
-            by[r.source] += r.taken
-            target[r.source] = r.target
-        assert by == {s: math.floor(t + 0.5) for s, t in target.items()}
+    keys = ["n" if s is None else f"s{s}" for s, _ in rows]
+    sizes = spark.createDataFrame([(i, s, k, n) for i, (k, (s, n)) in enumerate(zip(keys, rows, strict=True))], "doc_id long, source string, skey string, size long")
+    targets = {r.skey: r.asDict() for r in mixing.source_targets(sizes).collect()}
+    starts = {r.doc_id: r.start for r in mixing.stream_positions(sizes).collect()}
+    seen = []
+    for slots, ratio in ((7, mixing.GOLDEN), (200, mixing.GOLDEN), (1 << 17, mixing.GOLDEN), (200, 0.1), (200, 2**0.5 - 1)):
+        taken, first, order = walked([n for _, n in rows], starts, keys, targets, slots, ratio)
+        got = {r.doc_id: r for r in mixing.mix(d, slots=slots, ratio=ratio).collect()}
+        assert [got[i].taken for i in range(len(rows))] == taken and [got[i].first_slot for i in range(len(rows))] == first
+        by = collections.Counter()
+        for r in got.values():
+            by["n" if r.source is None else f"s{r.source}"] += r.taken
+        assert all(by[k] == t["goal"] for k, t in targets.items())
+        seen.append(tuple(first))
+    assert len(set(seen)) == len(seen)
+    # every stretch from the first slot on holds each source in its share
+    total = sum(n for _, n in rows)
+    slots = 2000
+    plan = sorted((r.slot, r.skey) for r in mixing.schedule(mixing.source_targets(sizes), total, slots).collect())
+    count, share = collections.Counter(), {k: t["target"] / total for k, t in targets.items()}
+    for slot, k in plan[:slots]:
+        count[k] += 1
+        assert all(abs(count[s] - share[s] * (slot + 1)) <= 2 + 0.6 * math.log(slot + 1) for s in share)
+    # the stretches of each slot, in order
+    pieces = mixing.pieces(d, slots=50).filter("words > 0").collect()
+    assert all(0 <= p.first and p.first + p.words <= p.size for p in pieces)
+    per_slot = collections.Counter()
+    for p in pieces:
+        per_slot[p.slot] += p.words
+    order = walked([n for _, n in rows], starts, keys, targets, 50, mixing.GOLDEN)[2]
+    assert [per_slot[i] for i in range(len(order))] == [n for _, n in order]
 
 
 # ---------------------------------------------------------------- registered queries
