@@ -12,8 +12,8 @@ all rows is solved in many tasks; each block keeps its k best per query, and a l
 The number of pivots follows the square root of the number of rows, between fixed bounds; they are taken from a sample of bounded size.
 
 Every vector with finite components is indexed, scores are exact integers, ties go to the smaller id. Defined
-cases: null vectors, and those with null or non-finite components, take no part, nor do those whose integers are beyond 64 bits (which no score of 64 bits can
-tell apart); scores beyond 64 bits rank by their exact values and are returned as the nearest 64-bit integer; vectors pair with those of their own
+cases: null vectors, and those with null or non-finite components, take no part (nor do double components beyond 2**400, which no 32-bit float reaches); integers of
+any size are kept as doubles, which hold them exactly; scores beyond 64 bits rank by their exact values and are returned as the nearest 64-bit integer; vectors pair with those of their own
 length only; empty vectors score 0 with one another; repeated ids are rows of their own (a query meets every row with another id); rows without an id take no part; an empty table
 gives no rows; other columns are ignored, whatever their names.
 """
@@ -36,14 +36,28 @@ PIVOTS, SAMPLE = (16, 1024), 8
 #: Rows of a block of candidates, and of queries.
 BLOCK, QUERY_BLOCK = 8192, 8192
 _SLACK = 1e-6
-_LOW = (1 << 63) - 1
+#: Rounding of a product against the product of the norms.
+_ROUNDING = 1e-12
+_GREATEST, _HUGE = (1 << 63) - 1, 2.0**400
 
 
 def integer_vectors(vectors: DataFrame, id_col: str = "vec_id", vector: str = "embedding", scale: int = 256) -> DataFrame:
-    """(id, v array<long>) of the rows that take part."""
+    """(id, v array<double>) of the rows that take part; the components are whole numbers."""
     v = F.col(vector)
-    ok = v.isNotNull() & F.forall(v, lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False)))
-    return vectors.filter(ok).select(F.col(id_col).cast("long").alias("id"), F.transform(v, lambda x: F.when(F.abs(x.cast("double") * scale) < float(1 << 63), F.floor(x.cast("double") * scale))).alias("v")).filter("id is not null and forall(v, x -> x is not null)")
+    ok = v.isNotNull() & F.forall(v, lambda x: F.coalesce(~F.isnan(x) & (F.abs(x.cast("double")) < _HUGE), F.lit(False)))
+
+    def whole(x):
+        y = x.cast("double") * scale
+        return F.when(F.abs(y) < float(1 << 62), F.floor(y).cast("double")).otherwise(y)  # beyond 2**53 every double is whole
+
+    return vectors.filter(ok).select(F.col(id_col).cast("long").alias("id"), F.transform(v, whole).alias("v")).filter("id is not null")
+
+
+def _rank_key(score: int) -> bytes:
+    """Bytes that sort as the integers do."""
+    n = (abs(score).bit_length() + 7) // 8
+    body = abs(score).to_bytes(n, "big")
+    return bytes([128 + n]) + body if score >= 0 else bytes([127 - n]) + bytes(255 - x for x in body)
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
@@ -70,6 +84,7 @@ def _needed(queries: DataFrame, pivots: np.ndarray, summary: dict[int, tuple[flo
     """(group, cell) pairs: the cells that some query of the group needs; at most the square of the pivots."""
     cells = np.array(sorted(summary))
     far = np.array([summary[c][0] for c in cells])
+    norm = np.sqrt((pivots[cells] ** 2).sum(1))
     near = [(i, d, x) for i, c in enumerate(cells) for d, x in summary[c][1]]
     at, gap, ids = np.array([i for i, _, _ in near]), np.array([d for _, d, _ in near]), np.array([x for _, _, x in near], np.int64)
 
@@ -81,12 +96,13 @@ def _needed(queries: DataFrame, pivots: np.ndarray, summary: dict[int, tuple[flo
                 q = _matrix(part.column(1), dim)
                 size = np.sqrt((q * q).sum(1))[:, None]
                 dot = q @ pivots[cells].T
-                low = dot[:, at] - size * gap
+                blur = _ROUNDING * size * norm
+                low = (dot - blur)[:, at] - size * gap * (1 + _ROUNDING)
                 # rows of the query's own id are no neighbours, however many there are
                 low[part.column(0).to_numpy()[:, None] == ids] = -np.inf
                 floor = np.partition(low, low.shape[1] - k, axis=1)[:, low.shape[1] - k] if low.shape[1] >= k else np.full(len(q), -np.inf)
                 high = dot + size * far
-                slack = _SLACK * (np.abs(high) + size * far + 1)
+                slack = _SLACK * (np.abs(high) + size * far + 1) + blur
                 for i, j in zip(*np.nonzero(high + slack >= floor[:, None]), strict=True):
                     found.add((int(part.column(2)[int(i)].as_py()), int(cells[j])))
         rows = sorted(found)
@@ -108,7 +124,7 @@ def _groups(pivots: np.ndarray, asked: dict[int, int]) -> dict[int, int]:
 
 def _solve(dim: int, k: int):
     def run(key: tuple[pa.Scalar, ...], queries: pa.Table, rows: pa.Table) -> pa.Table:
-        out_q, out_v, out_s, out_h = [], [], [], []
+        out_q, out_v, out_s, out_k = [], [], [], []
         if queries.num_rows and rows.num_rows:
             qid, rid = queries.column("q_id").to_numpy(), rows.column("id").to_numpy()
             r = _matrix(rows.column("v").combine_chunks(), dim)
@@ -117,8 +133,7 @@ def _solve(dim: int, k: int):
             q_all = _matrix(queries.column("q_v").combine_chunks(), dim)
             exact = dim * (np.abs(r).max(initial=0) or 1) * (np.abs(q_all).max(initial=0) or 1) < 2**53
             if not exact:
-                whole = np.array(rows.column("v").to_pylist(), object).reshape(len(rid), dim)[order]
-                q_whole = np.array(queries.column("q_v").to_pylist(), object).reshape(len(qid), dim)
+                whole, q_whole = (np.array([int(x) for x in m.ravel().tolist()], object).reshape(m.shape) for m in (r, q_all))
             for s in range(0, len(qid), 256):
                 score = q_all[s : s + 256] @ r.T if exact else np.array(q_whole[s : s + 256] @ whole.T, object)
                 for i, q in enumerate(qid[s : s + 256]):
@@ -137,11 +152,11 @@ def _solve(dim: int, k: int):
                         best = sorted(np.flatnonzero(other).tolist(), key=lambda j: (-own[j], rid[j]))[:k]
                     out_q += [int(q)] * len(best)
                     out_v += [int(rid[j]) for j in best]
-                    # the bits above 63, and those below, so that products of any size are ranked
-                    whole_scores = [int(own[j]) for j in best]
-                    out_h += [x >> 63 for x in whole_scores]
-                    out_s += [x & _LOW for x in whole_scores]
-        return pa.table({"query_id": pa.array(out_q, pa.int64()), "vec_id": pa.array(out_v, pa.int64()), "high": pa.array(out_h, pa.int64()), "low": pa.array(out_s, pa.int64())})
+                    for j in best:
+                        score_j = int(own[j])
+                        out_s.append(max(-_GREATEST - 1, min(_GREATEST, score_j)))
+                        out_k.append(_rank_key(score_j))
+        return pa.table({"query_id": pa.array(out_q, pa.int64()), "vec_id": pa.array(out_v, pa.int64()), "score": pa.array(out_s, pa.int64()), "key": pa.array(out_k, pa.binary())})
 
     return run
 
@@ -158,7 +173,7 @@ def top_k(vectors: DataFrame, is_query, k: int = K, pivots: int | None = None) -
         drawn = own.orderBy(F.xxhash64("id"), "id", "v").limit(SAMPLE * n_pivots)
         chosen = drawn.groupBy("v").agg(F.min("id").alias("id")).orderBy(F.xxhash64("id"), "id").limit(n_pivots).select("v").collect()
         p = np.array([list(r[0]) for r in chosen], np.float64).reshape(len(chosen), dim)
-        placed = materialize(own.mapInArrow(_assign(p, dim), "id long, v array<bigint>, cell int, dist double"))
+        placed = materialize(own.mapInArrow(_assign(p, dim), "id long, v array<double>, cell int, dist double"))
         # one row an id: with k + 1 ids, k are left whichever the query's is
         w = Window.partitionBy("cell").orderBy("dist", "id")
         nearest = placed.groupBy("cell", "id").agg(F.min("dist").alias("dist")).withColumn("r", F.row_number().over(w)).filter(F.col("r") <= k + 1)
@@ -182,11 +197,9 @@ def top_k(vectors: DataFrame, is_query, k: int = K, pivots: int | None = None) -
         renamed = [F.col(c).alias(f"q_{c}") for c in ("id", "v", "grp", "cell", "qblock")]
         asked = asked.select(*renamed, F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1)).alias("q_block"))
         by = ["grp", "cell", "block", "qblock"]
-        solved = asked.groupBy(*[f"q_{c}" for c in by]).cogroup(rows.groupBy(*by)).applyInArrow(_solve(dim, k), "query_id long, vec_id long, high long, low long")
+        solved = asked.groupBy(*[f"q_{c}" for c in by]).cogroup(rows.groupBy(*by)).applyInArrow(_solve(dim, k), "query_id long, vec_id long, score long, key binary")
         every = solved if every is None else every.unionByName(solved)
     if every is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    best = Window.partitionBy("query_id").orderBy(F.col("high").desc(), F.col("low").desc(), "vec_id")
-    least = F.lit(-_LOW - 1)
-    score = F.when(F.col("high") == 0, F.col("low")).when(F.col("high") == -1, F.col("low").bitwiseOR(least)).when(F.col("high") > 0, F.lit(_LOW)).otherwise(least)
-    return every.withColumn("score", score).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    best = Window.partitionBy("query_id").orderBy(F.col("key").desc(), "vec_id")
+    return every.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
