@@ -8,7 +8,8 @@ text, and a logistic curve fitted to the documents' labels turns that into a sco
 Labels are of documents, so lines start with their document's label; twice, the field is
 refitted with the lines of bad documents that it finds good relabelled as good.
 
-Fitting uses the whole texts of up to ``per_class`` labelled documents of either class (at most ``class_bytes``); chains
+Fitting uses the whole texts of up to ``per_class`` labelled documents of either class (at most ``class_bytes``, and at most ``class_lines`` lines, for what the driver holds goes by lines;
+a text of more lines than that is not drawn); chains
 are cut into segments of 256 lines for fitting only. Scoring takes whole texts, however long: their lines are measured some at a time, and
 three numbers a line are kept for the chain.
 
@@ -32,6 +33,8 @@ from .common import fold, slices, text_of
 from .labelled import CLASS_BYTES, FOLDS, sample, segments
 
 PER_CLASS = 2000
+#: Lines of a class's texts that are fitted.
+CLASS_LINES = 1 << 17
 THRESHOLD = 0.3
 
 _CLASS = np.full(256, 5, np.int64)
@@ -108,10 +111,23 @@ def line_features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.n
     return x, count, size
 
 
+def within_lines(rows: list[tuple[int, str]], most: int) -> list[tuple[int, str]]:
+    """The (label, text) rows, in their order, whose texts fit into ``most`` lines of their label."""
+    left: dict[int, int] = {}
+    out = []
+    for y, text in rows:
+        n = text.count("\n") + 1
+        if n <= left.setdefault(y, most):
+            left[y] -= n
+            out.append((y, text))
+    return out
+
+
 class Model:
     """Fitted weights: of lines (mean, scale, weights, transitions) and of the document's curve."""
 
-    def __init__(self, rows: list[tuple[int, str]], counts: dict[int, int]):
+    def __init__(self, rows: list[tuple[int, str]], counts: dict[int, int], class_lines: int = CLASS_LINES):
+        rows = within_lines(rows, class_lines)
         total = sum(counts.values())
         self.base = counts.get(1, 0) / total if total else 0.5
         self.weights = None
@@ -175,8 +191,8 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(np.column_stack([share, np.ones(len(share))]) @ self.curve, -30, 30)))
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, class_bytes: int = CLASS_BYTES) -> Model:
-    return Model(*sample(docs, labels, "quality", per_class, class_bytes))
+def fit_quality(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, class_bytes: int = CLASS_BYTES, class_lines: int = CLASS_LINES) -> Model:
+    return Model(*sample(docs, labels, "quality", per_class, class_bytes), class_lines)
 
 
 def _score(model, at: int, keep, name: str = "text"):

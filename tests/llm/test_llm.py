@@ -5,7 +5,10 @@ import hashlib
 import math
 import random
 import re
+import subprocess
+import sys
 import zlib
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -322,10 +325,36 @@ def test_top_k_beyond_64_bits(spark):
     rows = [(0, [1e10, 3.0]), (1, [2e10, 1.0]), (2, [2e10, 5.0]), (3, [-2e10, 1.0]), (4, [5.0, 1.0]), (4, [5.0, 1.0]), (5, [1e38, 0.0]), (6, [1e10, 0.0])]
     d = spark.createDataFrame([(i, v) for i, v in rows], "vec_id long, embedding array<double>")
     got = [(r["rank"], r.vec_id, r.score) for r in knn.top_k(knn.integer_vectors(d), F.col("id") == 0).orderBy("rank").collect()]
-    whole = {i: [math.floor(256 * x) for x in v] for i, v in rows if i != 5}
-    exact = sorted(((-sum(a * b for a, b in zip(whole[0], whole[i], strict=True)), i) for i, _ in rows if i not in (0, 5)))[:5]
+    assert got == exact_top(rows, 0)
+
+
+def exact_top(rows, query, k=5):
+    """By Python's integers."""
+    whole = [(i, [int(Fraction(x) * 256 // 1) for x in v]) for i, v in rows]
+    own = next(v for i, v in whole if i == query)
+    best = sorted((-sum(a * b for a, b in zip(own, v, strict=True)), i) for i, v in whole if i != query)[:k]
     low, high = -(1 << 63), (1 << 63) - 1
-    assert got == [(k + 1, i, max(low, min(high, -s))) for k, (s, i) in enumerate(exact)]
+    return [(n + 1, i, max(low, min(high, -s))) for n, (s, i) in enumerate(best)]
+
+
+def test_top_k_of_large_components(spark):
+    from pulseloom.llm import knn
+
+    rows = [(0, [1.0, 0.0]), (1, [1.0, 1e17]), (2, [0.5, 0.0])]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [(r["rank"], r.vec_id, r.score) for r in knn.top_k(knn.integer_vectors(d), F.col("id") == 0).orderBy("rank").collect()]
+    assert got == exact_top(rows, 0) == [(1, 1, 65536), (2, 2, 32768)]
+    rng = random.Random(16)
+    scales = [1.0, 1e8, 1e17, 1e20, 3e38]
+    rows = [(i, [float(np.float32(rng.uniform(-1, 1) * rng.choice(scales))) for _ in range(3)]) for i in range(200)]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    for pivots in (4, 16):
+        got = collections.defaultdict(list)
+        for r in knn.top_k(knn.integer_vectors(d), F.col("id") % 20 == 0, pivots=pivots).collect():
+            got[r.query_id].append((r["rank"], r.vec_id, r.score))
+        assert {q: sorted(v) for q, v in got.items()} == {q: exact_top(rows, q) for q in range(0, 200, 20)}
+    keys = sorted([0, 1, -1, 255, 256, -255, -256, 1 << 63, -(1 << 63), 1 << 800, -(1 << 800)])
+    assert sorted(keys, key=knn._rank_key) == keys
 
 
 # ---------------------------------------------------------------- SimHash
@@ -549,6 +578,23 @@ def test_quality(spark):
     assert quality_scores(d, none).first().score == 0.5 and quality_scores(d.limit(0), none).count() == 0
 
 
+def test_quality_fit_is_bounded_by_lines():
+    """32 MB of one-byte lines, in long and in short texts: the driver stays far below its memory."""
+    program = """
+import resource, time
+from pulseloom.llm import quality
+rows = [(y, c * (1 << 19)) for y, c in ((0, "!\\n"), (1, "a\\n")) for _ in range(8)] + [(y, c * 4096) for y, c in ((0, "!\\n"), (1, "a\\n")) for _ in range(1000)]
+kept = quality.within_lines(rows, quality.CLASS_LINES)
+assert len(kept) == 2 * (quality.CLASS_LINES // 4097) and all(len(t) == 8192 for _, t in kept)
+m = quality.Model(rows, {0: 1008, 1: 1008})
+assert m.weights is not None and m.score(["!\\n" * 9])[0] < 0.3 < m.score(["a\\n" * 9])[0]
+print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024)
+"""
+    done = subprocess.run([sys.executable, "-c", program], capture_output=True, text=True, timeout=300)
+    assert done.returncode == 0, done.stderr
+    assert int(done.stdout) < 1000
+
+
 def test_toxicity(spark):
     from pulseloom.llm.toxicity import fit_toxicity, toxicity_scores, traits
 
