@@ -124,9 +124,9 @@ def ext_market_divergence(index: Column, change_rate: Column, full_move: float =
 
 
 def ext_author_weight(posts: DataFrame, author: str, most: int) -> DataFrame:
-    """Weight of each post so that no author counts for more than ``most`` posts."""
-    n = posts.groupBy(author).agg(F.count(F.lit(1)).alias("_n"))
-    return posts.join(n, author).withColumn("weight", F.when(F.col("_n") > most, F.lit(float(most)) / F.col("_n")).otherwise(1.0)).drop("_n")
+    """Weight of each post so that no author counts for more than ``most`` posts; a post without an author counts fully."""
+    n = posts.filter(F.col(author).isNotNull()).groupBy(author).agg(F.count(F.lit(1)).alias("_n"))
+    return posts.join(n, author, "left").withColumn("weight", F.when(F.col("_n") > most, F.lit(float(most)) / F.col("_n")).otherwise(1.0)).drop("_n")
 
 
 def ext_review_queue(scored: DataFrame, confidence: str, low: float = 0.5) -> tuple[DataFrame, DataFrame]:

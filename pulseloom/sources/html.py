@@ -1,4 +1,4 @@
-"""Community pages to posts: a small element tree, read by class names, behind Arrow batches.
+"""Community pages to posts: elements in document order, read by class names, behind Arrow batches.
 
 HTML has no built-in reader; pages are parsed in ``mapInArrow``, a page a row and a few megabytes at a time, and only structs leave the worker.
 A page that cannot be parsed fails alone: ``page_errors`` returns it with its reason.
@@ -8,9 +8,10 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
 from html.parser import HTMLParser
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -34,75 +35,77 @@ VIEWS = ("views", "read", "view_cnt", "bd_view", "read_cnt", "bd_cnt")
 LIKES = ("recommend", "recommends", "like", "bd_vote", "recommend_cnt", "vote")
 COUNTS = ("comments-count", "comment-count", "cmt_count", "reply_cnt", "comment_cnt")
 DATES = ("date", "time", "regdate", "published")
+_SIMPLE_COUNTS = (("views", "views"), ("recommends", "recommendations"), ("comments-count", "comment_count"))
 DELETED = r"삭제된\s*(?:게시|글)|존재하지\s*않는\s*게시|글이\s*없|글을\s*찾을\s*수\s*없"
+#: Characters of a count, a time or a name, at most.
+_SHORT = 256
 _ABSOLUTE = re.compile(r"\d{4}-\d{2}-\d{2}T\d{2}:\d{2}(:\d{2}(\.\d+)?)?(Z|[+-]\d{2}:?\d{2})", re.ASCII)
 
 
-@dataclass
-class Node:
-    tag: str
-    attrs: dict[str, str] = field(default_factory=dict)
-    parts: list[Node | str] = field(default_factory=list)
-    parent: Node | None = None
+class Page(HTMLParser):
+    """A page as arrays, elements in document order: ``end`` is the element after an element's last inner one, ``lo`` and ``hi`` bound its strings.
 
-    @property
-    def cls(self) -> str:
-        return self.attrs.get("class", "")
+    What an element takes from those around it is carried from parent to child in one pass, so that the work is linear however deep the markup is. A link closes an open link.
+    """
 
-    def has(self, *names: str) -> bool:
-        return any(n in self.cls for n in names)
-
-    def leaves(self) -> Iterator[Node | str]:
-        """Elements and strings below, in document order; by a stack, so that markup may be nested as deeply as it likes."""
-        stack = [iter(self.parts)]
-        while stack:
-            p = next(stack[-1], None)
-            if p is None:
-                stack.pop()
-                continue
-            yield p
-            if isinstance(p, Node):
-                stack.append(iter(p.parts))
-
-    def walk(self) -> Iterator[Node]:
-        return (p for p in self.leaves() if isinstance(p, Node))
-
-    def text(self) -> str:
-        return "".join(p for p in self.leaves() if isinstance(p, str))
-
-    def up(self) -> Iterator[Node]:
-        n = self.parent
-        while n is not None:
-            yield n
-            n = n.parent
-
-
-class _Builder(HTMLParser):
-    def __init__(self) -> None:
+    def __init__(self, html: str) -> None:
         super().__init__(convert_charrefs=True)
-        self.root = self.at = Node("")
+        self.tags, self.attrs, self.parent, self.lo, self.hi, self.end = [""], [{}], [-1], [0], [0], [0]
+        self.strings: list[str] = []
+        self.holder: list[int] = []
+        self._open, self._count = [0], Counter()
+        self.feed(html or "")
+        self.close()
+        while self._open:
+            self._pop()
+        self._chars = [0, *accumulate(map(len, self.strings))]
+        self._inked = [0, *accumulate(bool(tidy(x)) for x in self.strings)]
+
+    def _pop(self) -> str:
+        i = self._open.pop()
+        self.hi[i], self.end[i] = len(self.strings), len(self.tags)
+        self._count[self.tags[i]] -= 1
+        return self.tags[i]
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        n = Node(tag, {k.lower(): v or "" for k, v in attrs}, parent=self.at)
-        self.at.parts.append(n)
+        if tag == "a":
+            self.handle_endtag("a")
+        i = len(self.tags)
+        for column, value in ((self.tags, tag), (self.attrs, {k.lower(): v or "" for k, v in attrs}), (self.parent, self._open[-1]), (self.lo, len(self.strings)), (self.hi, len(self.strings)), (self.end, i + 1)):
+            column.append(value)
         if tag not in _VOID:
-            self.at = n
+            self._open.append(i)
+            self._count[tag] += 1
 
     def handle_endtag(self, tag: str) -> None:
-        for n in (self.at, *self.at.up()):
-            if n.tag == tag and n.parent is not None:
-                self.at = n.parent
-                return
+        if self._count[tag] > 0:
+            while self._pop() != tag:
+                pass
 
     def handle_data(self, data: str) -> None:
-        self.at.parts.append(data)
+        self.strings.append(data)
+        self.holder.append(self._open[-1])
+
+    def has(self, i: int, *names: str) -> bool:
+        cls = self.attrs[i].get("class", "")
+        return any(n in cls for n in names)
 
+    def text(self, i: int) -> str:
+        return "".join(self.strings[self.lo[i] : self.hi[i]])
 
-def tree(html: str) -> Node:
-    b = _Builder()
-    b.feed(html or "")
-    b.close()
-    return b.root
+    def short(self, i: int) -> str:
+        """The text of an element that should hold a number or a time; too long a one is neither."""
+        return self.text(i) if self._chars[self.hi[i]] - self._chars[self.lo[i]] <= _SHORT else ""
+
+    def blank(self, i: int) -> bool:
+        return self._inked[self.hi[i]] == self._inked[self.lo[i]]
+
+    def carried(self, first, step) -> list:
+        """A value for each element: ``first`` for the page, ``step(value of the parent, element)`` below."""
+        out = [first] * len(self.tags)
+        for i in range(1, len(self.tags)):
+            out[i] = step(out[self.parent[i]], i)
+        return out
 
 
 def tidy(text: str) -> str:
@@ -111,13 +114,14 @@ def tidy(text: str) -> str:
 
 def _number(text: str, signed: bool = False) -> int | None:
     bare = re.sub(r"[,\s]|[가-힣]+", "", text)
-    if not re.fullmatch(r"[+-]?\d+", bare, re.ASCII):
+    if not re.fullmatch(r"[+-]?\d{1,18}", bare, re.ASCII):
         return None
     return int(bare) if signed or int(bare) >= 0 else None
 
 
 def _digits(text: str) -> int:
-    return int(re.sub(r"\D", "", text) or 0)
+    bare = re.sub(r"\D", "", text)
+    return int(bare) if 0 < len(bare) <= 18 else 0
 
 
 def _post(**values) -> dict:
@@ -131,113 +135,151 @@ def _comment(**values) -> dict:
 
 def simple_list(html: str) -> list[dict]:
     """Stubs of a plain list page: each ``a.post-link`` with the counts and time that follow it."""
-    out: list[dict] = []
-    for n in tree(html).walk():
-        if n.tag == "a" and n.has("post-link"):
-            out.append(_post(post_id=n.attrs.get("data-id", ""), url=n.attrs.get("href", ""), title=n.text().strip()))
-        elif out and n.tag == "span":
-            for names, key in ((("views",), "views"), (("recommends",), "recommendations"), (("comments-count",), "comment_count")):
-                if n.has(*names):
-                    out[-1][key] = _digits(n.text())
+    page, out = Page(html), []
+    for i, tag in enumerate(page.tags):
+        if tag == "a" and page.has(i, "post-link"):
+            out.append(_post(post_id=page.attrs[i].get("data-id", ""), url=page.attrs[i].get("href", ""), title=page.text(i).strip()))
+        elif out and tag == "span":
+            for name, key in _SIMPLE_COUNTS:
+                if page.has(i, name):
+                    out[-1][key] = _digits(page.short(i))
                     break
-        elif out and n.tag == "time" and n.has("published") and n.attrs.get("datetime"):
-            out[-1]["published_at"] = n.attrs["datetime"]
+        elif out and tag == "time" and page.has(i, "published") and page.attrs[i].get("datetime"):
+            out[-1]["published_at"] = page.attrs[i]["datetime"]
     return [p for p in out if p["title"]]
 
 
 def simple_post(html: str) -> list[dict]:
-    """The first ``article.post``; an empty post if there is none. Comments found replace the declared number."""
-    article = next((n for n in tree(html).walk() if n.tag == "article" and n.has("post")), None)
-    p = _post()
+    """The first ``article.post``; an empty post if there is none. Comments found replace the declared number.
+
+    A string belongs to the innermost comment around it, or else to the post, and to its body if it stands in a ``div.body`` of that comment or post.
+    """
+    page, p = Page(html), _post()
+    article = next((i for i, tag in enumerate(page.tags) if tag == "article" and page.has(i, "post")), None)
     if article is None:
         return [p]
-    for n in article.walk():
-        in_comment = next((u for u in n.up() if u.tag == "div" and u.has("comment")), None)
-        if n.tag == "div" and n.has("comment") and not n.has("body"):
-            p["comments"].append(_comment())
-            p["comment_count"] = len(p["comments"])
-        elif n.tag == "div" and n.has("body"):
-            target = p["comments"][-1] if in_comment else p
-            target["body"] = f"{target['body']} {' '.join(x.strip() for x in n.leaves() if isinstance(x, str) and x.strip())}".strip()
-        elif n.tag == "span" and n.has("author") and in_comment and p["comments"]:
-            p["comments"][-1]["author"] = n.text().strip() or None
-        elif n.tag == "h1" and n.has("title"):
-            p["title"] = n.text().strip()
-        elif n.tag == "span" and not in_comment:
-            for name, key in (("views", "views"), ("recommends", "recommendations"), ("comments-count", "comment_count")):
-                if n.has(name):
-                    p[key] = _digits(n.text())
+    tags, last = page.tags, page.end[article]
+    # of each element: whether a comment is around it, which one it belongs to, and whether it stands in a body
+    is_comment = [tag == "div" and page.has(i, "comment") for i, tag in enumerate(tags)]
+    number: dict[int, int] = {}
+
+    def step(above: tuple, i: int) -> tuple:
+        around, own, body = above
+        around = around or is_comment[page.parent[i]]
+        if article < i < last and tags[i] == "div":
+            if is_comment[i] and not page.has(i, "body"):
+                number[i] = len(p["comments"])
+                p["comments"].append(_comment())
+                return around, number[i], False
+            if page.has(i, "body"):
+                # as it has always been: a body in what only looks like a comment goes to the latest one
+                return around, own if own is not None or not around or not p["comments"] else len(p["comments"]) - 1, True
+        return around, own, body
+
+    state = page.carried((False, None, False), step)
+    said: dict[int | None, list[str]] = {}
+    for k in range(page.lo[article], page.hi[article]):
+        _, own, body = state[page.holder[k]]
+        if body and (word := page.strings[k].strip()):
+            said.setdefault(own, []).append(word)
+    for own, parts in said.items():
+        (p if own is None else p["comments"][own])["body"] = " ".join(parts)
+    latest, heading = -1, None
+    for i in range(article + 1, last):
+        tag, around = tags[i], state[i][0]
+        latest = number.get(i, latest)
+        if i in number:
+            p["comment_count"] = latest + 1
+        elif tag == "span" and page.has(i, "author") and around and latest >= 0:
+            p["comments"][latest]["author"] = page.short(i).strip() or None
+        elif tag == "h1" and page.has(i, "title"):
+            heading = i
+        elif tag == "span" and not around:
+            for name, key in _SIMPLE_COUNTS:
+                if page.has(i, name):
+                    p[key] = _digits(page.short(i))
                     break
-        elif n.tag == "time" and n.has("published") and n.attrs.get("datetime"):
-            p["published_at"] = n.attrs["datetime"]
+        elif tag == "time" and page.has(i, "published") and page.attrs[i].get("datetime"):
+            p["published_at"] = page.attrs[i]["datetime"]
+    p["title"] = page.text(heading).strip() if heading else ""
     return [p]
 
 
 def board_list(html: str) -> list[dict]:
     """Every link with text; document ids are resolved by columns afterwards. No counts on list pages."""
-    return [_post(url=n.attrs["href"], title=t) for n in tree(html).walk() if n.tag == "a" and n.attrs.get("href") and (t := tidy(n.text()))]
+    page = Page(html)
+    return [_post(url=page.attrs[i]["href"], title=t) for i, tag in enumerate(page.tags) if tag == "a" and page.attrs[i].get("href") and (t := tidy(page.text(i)))]
 
 
 def board_post(html: str) -> list[dict]:
-    """A detail page of the board layout."""
-    root = tree(html)
-    p = _post()
-    nodes = list(root.walk())
-    for n in nodes:
-        name = (n.attrs.get("property") or n.attrs.get("name") or "").lower() if n.tag == "meta" else ""
+    """A detail page of the board layout. A comment's body is the first body element of its own; comments inside it keep their words to themselves."""
+    page, p = Page(html), _post()
+    tags, attrs, has, every = page.tags, page.attrs, page.has, range(1, len(page.tags))
+    for i in every:
+        name = (attrs[i].get("property") or attrs[i].get("name") or "").lower() if tags[i] == "meta" else ""
         if name == "og:title" and not p["title"]:
-            p["title"] = tidy(n.attrs.get("content", ""))
+            p["title"] = tidy(attrs[i].get("content", ""))
         elif name == "og:url" and not p["url"]:
-            p["url"] = n.attrs.get("content", "")
-
-    def comment_of(n: Node) -> Node | None:
-        return next((u for u in (n, *n.up()) if _is_comment(u)), None)
-
-    seen: dict[int, dict] = {}
-    for n in nodes:
-        own = comment_of(n)
-        if own is not None:
-            if id(own) not in seen and n.tag in ("div", "p", "span") and n is not own and n.has(*COMMENT_BODY):
-                seen[id(own)] = _comment(id=_comment_id(own), depth=_depth(own), body=tidy(n.text()))
+            p["url"] = attrs[i].get("content", "")
+    lists = page.carried(0, lambda n, i: n + (tags[page.parent[i]] == "ul"))
+    replies = page.carried(False, lambda r, i: r or has(page.parent[i], "reply_list"))
+    own = page.carried(0, lambda c, i: i if _is_comment(page, i) else c)  # 0: no comment
+    later = len(tags)
+    inner = [False] * len(tags)  # whether a body lies within
+    for i in reversed(every):
+        inner[i] = later < page.end[i]
+        if tags[i] in ("div", "section") and has(i, *BODY):
+            later = i
+    chosen: dict[int, int] = {}  # of a comment, its body
+    comments: dict[int, dict] = {}
+    for i in every:
+        tag, c = tags[i], own[i]
+        if c:
+            if c not in chosen and tag in ("div", "p", "span") and i != c and has(i, *COMMENT_BODY):
+                chosen[c] = i
+                depth = max(0, lists[c] - 1) if tags[c] == "li" else int(has(c, "reply") or replies[c])
+                comments[c] = _comment(id=_comment_id(attrs[c]), depth=depth)
             continue
-        if n.tag in ("h1", "h2", "div") and n.has(*TITLE) and not p["title"]:
-            p["title"] = tidy(n.text())
-        elif n.tag in ("div", "section", "article") and n.has(*BODY):
-            inner = any(x.tag in ("div", "section") and x.has(*BODY) for x in n.walk())
-            if not p["body"] and not inner:
-                p["body"] = tidy(n.text())
-        elif n.tag in ("span", "div", "em") and n.has(*COUNTS):
-            p["comment_count"] = v if (v := _number(n.text())) is not None else p["comment_count"]
-        elif n.tag in ("span", "div", "em") and n.has(*VIEWS):
-            p["views"] = v if (v := _number(n.text())) is not None else p["views"]
-        elif n.tag in ("span", "div", "em") and n.has(*LIKES):
-            p["recommendations"] = v if (v := _number(n.text(), signed=True)) is not None else p["recommendations"]
-        elif p["published_at"] is None and (n.tag == "time" or n.tag in ("span", "div", "em") and n.has(*DATES)):
+        if tag in ("h1", "h2", "div") and has(i, *TITLE) and not p["title"]:
+            p["title"] = "" if page.blank(i) else tidy(page.text(i))
+        elif tag in ("div", "section", "article") and has(i, *BODY):
+            if not p["body"] and not inner[i] and not page.blank(i):
+                p["body"] = tidy(page.text(i))
+        elif tag in ("span", "div", "em") and has(i, *COUNTS):
+            p["comment_count"] = v if (v := _number(page.short(i))) is not None else p["comment_count"]
+        elif tag in ("span", "div", "em") and has(i, *VIEWS):
+            p["views"] = v if (v := _number(page.short(i))) is not None else p["views"]
+        elif tag in ("span", "div", "em") and has(i, *LIKES):
+            p["recommendations"] = v if (v := _number(page.short(i), signed=True)) is not None else p["recommendations"]
+        elif p["published_at"] is None and (tag == "time" or tag in ("span", "div", "em") and has(i, *DATES)):
             # the attribute, or else the text; what names no zone is no date, and a later element may have one
-            p["published_at"] = next((x for x in (n.attrs.get("datetime", "").strip(), tidy(n.text())) if _ABSOLUTE.fullmatch(x)), None)
-    p["comments"] = list(seen.values())
-    p["comment_count"] = p["comment_count"] or len(seen)
+            p["published_at"] = next((x for x in (attrs[i].get("datetime", "").strip(), tidy(page.short(i))) if _ABSOLUTE.fullmatch(x)), None)
+    within = page.carried(False, lambda w, i: i == chosen.get(own[i]) or w and own[i] == own[page.parent[i]])
+    said: dict[int, list[str]] = {c: [] for c in comments}
+    for text, i in zip(page.strings, page.holder, strict=True):
+        if own[i] and within[i]:
+            said[own[i]].append(text)
+    for c, parts in said.items():
+        comments[c]["body"] = tidy("".join(parts))
+    p["comments"] = list(comments.values())
+    p["comment_count"] = p["comment_count"] or len(comments)
     return [p]
 
 
-def _is_comment(n: Node) -> bool:
-    return n.tag == "li" and n.has("fdb_itm") or n.tag == "div" and (n.has("cmt_item") or n.has("comment") and not n.has(*COMMENT_BODY, *COUNTS, "comment_list"))
+def _is_comment(page: Page, i: int) -> bool:
+    tag = page.tags[i]
+    return tag == "li" and page.has(i, "fdb_itm") or tag == "div" and (page.has(i, "cmt_item") or page.has(i, "comment") and not page.has(i, *COMMENT_BODY, *COUNTS, "comment_list"))
 
 
-def _comment_id(n: Node) -> str | None:
-    for text in (n.attrs.get("id", "").removeprefix("comment_") if n.attrs.get("id", "").startswith("comment_") else "", n.attrs.get("data-comment_srl", "")):
+def _comment_id(attrs: dict[str, str]) -> str | None:
+    own = attrs.get("id", "")
+    for text in (own.removeprefix("comment_") if own.startswith("comment_") else "", attrs.get("data-comment_srl", "")):
         if digits := re.sub(r"\D", "", text):
             return digits
-    m = re.search(r"comment[-_](\d+)", n.cls)
+    m = re.search(r"comment[-_](\d+)", attrs.get("class", ""))
     return m[1] if m else None
 
 
-def _depth(n: Node) -> int:
-    if n.tag == "li":
-        return max(0, sum(u.tag == "ul" for u in n.up()) - 1)
-    return int(n.has("reply") or any(u.has("reply_list") for u in n.up()))
-
-
 _COMMENT_TYPE = pa.struct([("id", pa.string()), ("parent_id", pa.string()), ("depth", pa.int32()), ("body", pa.string()), ("author", pa.string()), ("published_at", pa.string()), ("recommendations", pa.int64()), ("deleted", pa.bool_())])
 _POST_FIELDS = [*((n, pa.string()) for n in ("post_id", "url", "title", "body", "published_at", "first_seen_at")), *((n, pa.int64()) for n in ("views", "recommendations", "comment_count")), ("deleted", pa.bool_()), ("comments", pa.list_(_COMMENT_TYPE))]
 

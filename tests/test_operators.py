@@ -181,6 +181,12 @@ def test_extensions(spark):
     assert (r.accuracy, r.macro_f1) == (0.75, round((2 / 3 + 0.8) / 2, 6))
 
 
+def test_author_weight_keeps_every_post(spark):
+    d = spark.createDataFrame([("a",), ("a",), ("a",), ("b",), (None,)], "who string")
+    got = sorted((r.who or "", r.weight) for r in extensions.ext_author_weight(d, "who", 2).collect())
+    assert got == [("", 1.0), ("a", 2 / 3), ("a", 2 / 3), ("a", 2 / 3), ("b", 1.0)]
+
+
 def test_documented_extensions(spark):
     import hashlib
     import hmac
