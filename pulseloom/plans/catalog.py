@@ -430,7 +430,14 @@ def q_links(spark: SparkSession, d: str) -> DataFrame:
     return html_source.links(t(spark, d, "pages"), ("page_id",)).select("page_id", "pos", "url", "title")
 
 
-@query("greedy_dedup")
+@query(
+    "greedy_dedup",
+    """WITH RECURSIVE p AS (SELECT row_number() OVER (ORDER BY doc_id) AS i, doc_id AS pos, 'i' || ((doc_id % 97) * 1000 + (doc_id // 3) % 10) AS a, 'u/' || (doc_id // 2) AS b, 'h' || md5(text) AS c FROM documents),
+w AS (SELECT 0::BIGINT AS i, NULL::BIGINT AS pos, NULL::VARCHAR AS dropped_by, []::VARCHAR[] AS seen
+  UNION ALL SELECT p.i, p.pos, CASE WHEN list_contains(seen, a) THEN 'post_id' WHEN list_contains(seen, b) THEN 'url' WHEN list_contains(seen, c) THEN 'content_hash' END,
+    CASE WHEN list_contains(seen, a) OR list_contains(seen, b) OR coalesce(list_contains(seen, c), false) THEN seen ELSE list_concat(seen, [a, b, c]) END FROM w JOIN p ON p.i = w.i + 1)
+SELECT pos, dropped_by FROM w WHERE i > 0""",
+)
 def q_greedy(spark: SparkSession, d: str) -> DataFrame:
     p = t(spark, d, "documents").select(F.col("doc_id").alias("pos"), (F.col("doc_id") % 97 * 1000 + F.floor(F.col("doc_id") / 3) % 10).cast("string").alias("post_id"), F.concat(F.lit("/"), (F.col("doc_id") / 2).cast("long")).alias("url"), F.md5("text").alias("content_hash"))
     return posts.greedy_dedup(p).select("pos", "dropped_by")

@@ -162,8 +162,9 @@ def test_selection_and_greedy_dedup(spark):
         if hit is None:
             for s, v in zip(seen, (a, b, c), strict=True):
                 s.add(v)
-    got = posts.greedy_dedup(spark.createDataFrame(rows, "pos long, post_id string, url string, content_hash string"))
-    assert {r.pos: r.dropped_by for r in got.collect()} == want
+    for range_rows in (200_000, 7):
+        got = posts.greedy_dedup(spark.createDataFrame(rows, "pos long, post_id string, url string, content_hash string"), range_rows=range_rows)
+        assert {r.pos: r.dropped_by for r in got.collect()} == want
     # rows without keys, NULL ids, and a chain as long as the table
     bare = [(i, None, "", None) for i in range(5)] + [(10, None, "u", None), (11, None, "u", ""), (12, "", "", None), (13, "", "v", None)]
     got = posts.greedy_dedup(spark.createDataFrame(bare, "pos long, post_id string, url string, content_hash string"))
@@ -173,6 +174,20 @@ def test_selection_and_greedy_dedup(spark):
     assert kept == list(range(0, 40, 2))
 
 
+def test_greedy_dedup_of_a_long_chain_and_a_hot_key(spark):
+    n = 100_000
+    row = F.col("id")
+    chain = spark.range(n).select(row.alias("pos"), F.concat(F.lit("p"), row).alias("post_id"), F.concat(F.lit("u"), F.floor(row / 2)).alias("url"), F.concat(F.lit("h"), F.floor((row + 1) / 2)).alias("content_hash"))
+    got = posts.greedy_dedup(chain, range_rows=30_000)
+    assert got.groupBy(F.col("pos") % 2, "dropped_by").count().orderBy("dropped_by").collect() == [(0, None, n // 2), (1, "url", n // 2)]
+    plan = got._jdf.queryExecution().toString()
+    assert "InPandas" not in plan and "Cartesian" not in plan and "NestedLoop" not in plan
+    # a third of all rows share a hash, their first row has a key of an earlier one
+    hot = spark.range(30_000).select(row.alias("pos"), F.concat(F.lit("p"), F.when(row == 3, 1).otherwise(row)).alias("post_id"), F.lit("").alias("url"), F.when(row % 3 == 0, "same").alias("content_hash"))
+    got = posts.greedy_dedup(hot.filter("pos > 0"), range_rows=5_000).filter("dropped_by is not null")
+    assert got.groupBy("dropped_by").agg(F.count("*"), F.min("pos")).orderBy("dropped_by").collect() == [("content_hash", 9_997, 9), ("post_id", 1, 3)]
+
+
 def test_extensions(spark):
     d = spark.createDataFrame([("mail a.b@c.de tel 010-1234-5678",)], "v string")
     assert d.select(extensions.ext_mask_personal(F.col("v"))).first()[0] == "mail <email> tel <phone>"
