@@ -526,4 +526,4 @@ def q_quality(spark: SparkSession, d: str) -> DataFrame:
     return extensions.ext_quality_ratios(p, "h", "c", "source")
 
 
-from . import records  # noqa: E402, F401  registers the queries over record sources
+from . import flows, records  # noqa: E402, F401  register the queries over record sources and whole flows

@@ -26,53 +26,80 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p, jvm
 
 
-def _swap(spark: SparkSession, staged: str, target: str) -> None:
-    """Rename over the target through the target's file system; the old file goes only once the new one is complete."""
-    fs, src, jvm = _fs(spark, staged)
-    dst = jvm.org.apache.hadoop.fs.Path(target)
-    fs.mkdirs(dst.getParent())
-    old = jvm.org.apache.hadoop.fs.Path(f"{target}.{uuid.uuid4().hex}.old")
-    had = fs.exists(dst)
-    if had:
-        fs.rename(dst, old)
-    if not fs.rename(src, dst):
-        if had:
-            fs.rename(old, dst)
-        raise OSError(f"cannot move {staged} to {target}")
-    if had:
-        fs.delete(old, True)
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, p, _ = _fs(spark, path)
+    return fs.exists(p)
 
 
-def write_jsonl(df: DataFrame, target: str, order: list[str], single_file: bool = True) -> None:
-    """JSON lines in order, NULL fields kept. One file for the hourly series, whose size is bounded by time; else a folder of ordered files."""
+def commit(spark: SparkSession, moves: list[tuple[str, str]]) -> None:
+    """Move every (staged, target), all or none: if one fails, the targets before it get their old files back and what is staged goes."""
+    done: list[tuple[str, str | None]] = []
+    try:
+        for staged, target in moves:
+            fs, dst, jvm = _fs(spark, target)
+            old = f"{target}.{uuid.uuid4().hex}.old" if fs.exists(dst) else None
+            fs.mkdirs(dst.getParent())
+            if old and not fs.rename(dst, jvm.org.apache.hadoop.fs.Path(old)):
+                raise OSError(f"cannot set {target} aside")
+            done.append((target, old))
+            if not fs.rename(jvm.org.apache.hadoop.fs.Path(staged), dst):
+                raise OSError(f"cannot move {staged} to {target}")
+    except Exception:
+        for target, old in reversed(done):
+            fs, dst, jvm = _fs(spark, target)
+            fs.delete(dst, True)
+            if old:
+                fs.rename(jvm.org.apache.hadoop.fs.Path(old), dst)
+        for staged, _ in moves:
+            fs, src, _ = _fs(spark, staged)
+            fs.delete(src, True)
+        raise
+    for _, old in done:
+        if old:
+            fs, path, _ = _fs(spark, old)
+            fs.delete(path, True)
+
+
+def stage_jsonl(df: DataFrame, target: str, order: list[str], single_file: bool = True) -> str:
+    """Write JSON lines in order, NULL fields kept, beside the target and return where: one file for the hourly series, whose size is bounded by time; else a folder of ordered files."""
     spark = df.sparkSession
     stage = f"{target}.{uuid.uuid4().hex}.tmp"
-    ordered = df.coalesce(1).sortWithinPartitions(*order) if single_file else df.orderBy(*order)
-    ordered.write.option("ignoreNullFields", "false").json(stage)
-    fs, folder, jvm = _fs(spark, stage)
+    if not single_file:
+        df.orderBy(*order).write.option("ignoreNullFields", "false").json(stage)
+        return stage
+    folder = f"{stage}.parts"
+    df.coalesce(1).sortWithinPartitions(*order).write.option("ignoreNullFields", "false").json(folder)
+    fs, path, jvm = _fs(spark, folder)
     try:
-        if not single_file:
-            _swap(spark, stage, target)
-            return
-        parts = [str(s.getPath()) for s in fs.listStatus(folder) if s.getPath().getName().startswith("part-")]
-        if parts:
-            _swap(spark, parts[0], target)
-        else:
-            write_text(spark, "", target)
+        parts = [s.getPath() for s in fs.listStatus(path) if s.getPath().getName().startswith("part-")]
+        if not parts:
+            return stage_text(spark, "", target)
+        if not fs.rename(parts[0], jvm.org.apache.hadoop.fs.Path(stage)):
+            raise OSError(f"cannot move {parts[0]} to {stage}")
     finally:
-        if fs.exists(folder):
-            fs.delete(folder, True)
+        fs.delete(path, True)
+    return stage
 
 
-def write_text(spark: SparkSession, text: str, target: str) -> None:
-    fs, path, jvm = _fs(spark, f"{target}.{uuid.uuid4().hex}.tmp")
+def write_jsonl(df: DataFrame, target: str, order: list[str], single_file: bool = True) -> None:
+    """JSON lines as ``stage_jsonl`` writes them, moved over the target at once."""
+    commit(df.sparkSession, [(stage_jsonl(df, target, order, single_file), target)])
+
+
+def stage_text(spark: SparkSession, text: str, target: str) -> str:
+    stage = f"{target}.{uuid.uuid4().hex}.tmp"
+    fs, path, _ = _fs(spark, stage)
     fs.mkdirs(path.getParent())
     out = fs.create(path, True)
     try:
         out.write(bytearray(text.encode()))
     finally:
         out.close()
-    _swap(spark, path.toString(), target)
+    return stage
+
+
+def write_text(spark: SparkSession, text: str, target: str) -> None:
+    commit(spark, [(stage_text(spark, text, target), target)])
 
 
 def write_json(spark: SparkSession, payload: dict, target: str) -> None:
