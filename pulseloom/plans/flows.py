@@ -5,8 +5,6 @@ As in ``records``, inputs are rendered from the driver's tables. Days of ``event
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +14,7 @@ from ..schemas import HOURLY_BAR
 from ..shared import shared_dir
 from ..sinks import to_contract, write_jsonl, write_text
 from ..sources import broker_pages
+from ..streaming import upsert
 from .catalog import _STAMP, query, t
 from .collector import Run, collect_run
 
@@ -113,3 +112,57 @@ def q_collector_metadata(spark: SparkSession, d: str) -> DataFrame:
     m = spark.read.text(f"{_collected(spark, d)}/meta.json", wholetext=True).select(F.from_json("value", schema).alias("m"), F.json_object_keys("value").alias("keys"))
     m = m.filter(F.size("keys") == 26).select("m.*")
     return m.withColumns({"warnings": F.array_join("warnings", "|"), "supportedCalendarYears": F.array_join("supportedCalendarYears", ",")})
+
+
+# ---------------------------------------------------------------- streams
+
+
+def _arrivals(spark: SparkSession, d: str, beyond: bool = True, files: int = 4) -> tuple[DataFrame, str]:
+    """The events as a stream of that many files in order of their ids; some come 3 hours late and, ``beyond`` the overlap, some 20."""
+    e = t(spark, d, "events")
+    k = F.col("event_id")
+    back = F.when((k % 10 == 0) & F.lit(beyond), 20).when(k % 4 == 0, 3).otherwise(0)
+    ts = F.col("ts").cast("timestamp_ntz") - F.make_interval(hours=back)
+    rows = e.select(F.col("event_type").alias("instrument_id"), ts.alias("ts"), (k * 7919 % 1000).alias("observed_at"), k.alias("seq"), F.col("value").alias("price"), "user_id")
+    n = e.agg(F.max("event_id") + 1).first()[0] or 0
+    folder = f"{shared_dir(spark)}/stream-{spark._jvm.java.util.UUID.randomUUID()}"
+    for i in range(files):
+        rows.filter((k >= n * i // files) & (k < n * (i + 1) // files)).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in"), folder
+
+
+_ARRIVALS = """a AS (SELECT event_type AS instrument_id, ts - INTERVAL 1 HOUR * (CASE WHEN event_id % 10 = 0 THEN 20 WHEN event_id % 4 = 0 THEN 3 ELSE 0 END) AS ts, event_id * 7919 % 1000 AS observed_at, event_id AS seq, value AS price, user_id,
+  (SELECT count(*) FROM range(1, 4) r(i) WHERE event_id >= (SELECT max(event_id) + 1 FROM events) * i // 4) AS batch FROM events),
+m AS (SELECT batch, max(epoch_ms(max(ts))) OVER (ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - 8 * 3600000 AS mark FROM a GROUP BY batch),
+x AS (SELECT a.*, coalesce(epoch_ms(ts) < mark, false) AS late, date_trunc('hour', ts) AS hour FROM a JOIN m USING (batch)),
+finish AS (SELECT max(epoch_ms(ts)) - 8 * 3600000 AS mark FROM a)"""
+
+
+@query(
+    "ext_stream_upsert",
+    f"""WITH {_ARRIVALS}, w AS (SELECT *, observed_at > max(observed_at) OVER (PARTITION BY instrument_id, hour, late ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS won FROM x)
+SELECT instrument_id, {_STAMP.format('hour')} AS timestamp, arg_min(observed_at, (-observed_at, seq)) FILTER (NOT late) AS observed_at, arg_min(seq, (-observed_at, seq)) FILTER (NOT late) AS seq, arg_min(price, (-observed_at, seq)) FILTER (NOT late) AS price,
+  CASE WHEN count(*) FILTER (NOT late) > 0 THEN count(*) FILTER (NOT late AND won) END AS replaced, CASE WHEN count(*) FILTER (NOT late) > 0 THEN epoch_ms(hour) + 3600000 <= (SELECT mark FROM finish) END AS closed, count(*) FILTER (late) AS late FROM w GROUP BY instrument_id, hour""",
+)
+def q_stream_upsert(spark: SparkSession, d: str) -> DataFrame:
+    """The stream's files one by one through the state of each bar, into a table."""
+    rows, folder = _arrivals(spark, d)
+    upsert.run_stream(upsert.ext_stream_upsert(rows), f"{folder}/out", f"{folder}/checkpoint")
+    u = upsert.upserted(spark, f"{folder}/out")
+    return u.select("instrument_id", timefn.iso(F.col("hour").cast("timestamp_ntz")).alias("timestamp"), "observed_at", "seq", "price", "replaced", "closed", "late")
+
+
+@query(
+    "ext_stream_sessions",
+    """WITH a AS (SELECT user_id, ts - INTERVAL 1 HOUR * (CASE WHEN event_id % 4 = 0 THEN 3 ELSE 0 END) AS ts FROM events),
+g AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 12 HOUR THEN 0 ELSE 1 END AS first FROM a),
+s AS (SELECT *, sum(first) OVER (PARTITION BY user_id ORDER BY ts, first DESC ROWS UNBOUNDED PRECEDING) AS n FROM g),
+one AS (SELECT user_id, min(ts) AS a, max(ts) + INTERVAL 12 HOUR AS z, count(*) AS posts FROM s GROUP BY user_id, n)
+SELECT user_id, strftime(a, '%Y-%m-%dT%H:%M:%S.%f') AS start, strftime(z, '%Y-%m-%dT%H:%M:%S.%f') AS end, posts FROM one WHERE epoch_ms(z) <= (SELECT epoch_ms(max(ts)) - 8 * 3600000 FROM a)""",
+)
+def q_stream_sessions(spark: SparkSession, d: str) -> DataFrame:
+    """Posts of one user with pauses under half a day, in the stream's files one by one; sessions still open at the end stay in the state."""
+    rows, folder = _arrivals(spark, d, beyond=False)
+    upsert.run_stream(upsert.ext_stream_sessions(rows, "user_id", "12 hours"), f"{folder}/out", f"{folder}/checkpoint", mode="append")
+    shown = lambda c: F.date_format(F.col(c).cast("timestamp_ntz"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias(c)
+    return spark.read.parquet(f"{folder}/out").select("user_id", shown("start"), shown("end"), "posts")
