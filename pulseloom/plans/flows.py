@@ -9,11 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import timefn
-from ..operators import bars
+from ..operators import bars, intervals
 from ..schemas import HOURLY_BAR
 from ..shared import shared_dir
 from ..sinks import to_contract, write_jsonl, write_text
-from ..sources import broker_pages
+from ..sources import broker_pages, pagination
 from ..streaming import upsert
 from .catalog import _STAMP, query, t
 from .collector import Run, collect_run
@@ -166,3 +166,103 @@ def q_stream_sessions(spark: SparkSession, d: str) -> DataFrame:
     upsert.run_stream(upsert.ext_stream_sessions(rows, "user_id", "12 hours"), f"{folder}/out", f"{folder}/checkpoint", mode="append")
     shown = lambda c: F.date_format(F.col(c).cast("timestamp_ntz"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias(c)
     return spark.read.parquet(f"{folder}/out").select("user_id", shown("start"), shown("end"), "posts")
+
+
+# ---------------------------------------------------------------- range joins and forward values
+
+
+@query(
+    "ext_within_before",
+    "WITH b AS (SELECT DISTINCT event_type AS kind, date_trunc('hour', ts) AS hour FROM events) SELECT strftime(b.hour, '%Y-%m-%dT%H:%M:%S+09:00') AS timestamp, b.kind, e.event_id FROM b JOIN events e ON e.event_type = b.kind AND e.ts >= b.hour - INTERVAL 90 MINUTE AND e.ts < b.hour",
+)
+def q_within_before(spark: SparkSession, d: str) -> DataFrame:
+    """Events within 90 minutes before an hour that has events of their kind."""
+    e = t(spark, d, "events").select("event_id", F.col("event_type").alias("kind"), F.col("ts").cast("timestamp_ntz").alias("ts"))
+    marks = e.select("kind", timefn.hour_of(F.col("ts")).alias("hour")).distinct()
+    return intervals.ext_within_before(e, marks, ["kind"], "ts", "hour", 90).select(timefn.iso(F.col("hour")).alias("timestamp"), "kind", "event_id")
+
+
+@query(
+    "ext_overlapping",
+    """WITH s AS (SELECT event_id, user_id, ts AS a, ts + INTERVAL 1 SECOND * (CASE WHEN event_id % 50 = 0 THEN 200000 WHEN event_id % 7 = 0 THEN 0 ELSE user_id * 60 + event_id % 600 END) AS z FROM events)
+SELECT x.user_id, x.event_id AS first_id, y.event_id AS second_id FROM s x JOIN s y ON x.user_id = y.user_id AND x.event_id < y.event_id AND x.a < y.z AND y.a < x.z AND x.a < x.z AND y.a < y.z""",
+)
+def q_overlapping(spark: SparkSession, d: str) -> DataFrame:
+    """Spans of one user, of seconds up to days, that overlap."""
+    k = F.col("event_id")
+    long = F.when(k % 50 == 0, 200_000).when(k % 7 == 0, 0).otherwise(F.col("user_id") * 60 + k % 600)
+    s = t(spark, d, "events").select(k, "user_id", F.col("ts").cast("timestamp_ntz").alias("a")).withColumn("z", F.col("a") + F.make_interval(secs=long))
+    named = [s.select("user_id", F.col("event_id").alias(f"{n}_id"), F.col("a").alias(f"{n}_a"), F.col("z").alias(f"{n}_z")) for n in ("first", "second")]
+    met = intervals.ext_overlapping(*named, ["user_id"], ("first_a", "first_z"), ("second_a", "second_z"))
+    return met.filter("first_id < second_id").select("user_id", "first_id", "second_id")
+
+
+_FORWARD = (5, 15, 30, 60)
+
+
+@query(
+    "ext_forward_value",
+    "WITH r AS (SELECT event_type AS kind, ts, min(value) AS v FROM events GROUP BY ALL), q AS (SELECT event_id, event_type AS kind, ts, m, ts + INTERVAL 1 MINUTE * m AS target FROM events, unnest([5, 15, 30, 60]) AS u(m)), a AS (SELECT q.event_id, q.m, CASE WHEN r.ts <= q.target + INTERVAL 45 MINUTE THEN r.v END AS v FROM q ASOF LEFT JOIN r ON q.kind = r.kind AND r.ts >= q.target) SELECT event_id, "
+    + ", ".join(f"max(v) FILTER (m = {m}) AS after_{m}m" for m in _FORWARD)
+    + " FROM a GROUP BY event_id",
+)
+def q_forward_value(spark: SparkSession, d: str) -> DataFrame:
+    """The first value of the same kind 5, 15, 30 and 60 minutes after each event, at most 45 minutes later than that."""
+    e = t(spark, d, "events").select("event_id", F.col("event_type").alias("kind"), F.col("ts").cast("timestamp_ntz").alias("ts"), "value")
+    return intervals.ext_forward_value(e.drop("value"), e, ["kind"], "ts", "value", _FORWARD, 45).drop("kind", "ts")
+
+
+@query(
+    "ext_next_session",
+    f"""WITH e AS (SELECT event_id, ts + INTERVAL {_SHIFT} DAY AS ts, value FROM events), days AS (SELECT day::DATE AS day FROM generate_series(DATE '2026-03-01', DATE '2026-06-30', INTERVAL 1 DAY) g(day) WHERE isodow(day) < 6 AND day::DATE NOT IN ({_CLOSED_SQL})),
+h AS (SELECT date_trunc('hour', ts) AS hour, min(value) AS low FROM e GROUP BY 1),
+p AS (SELECT event_id, ts, ts::DATE IN (SELECT day FROM days) AS trading, hour(ts) * 60 + minute(ts) AS m FROM e),
+s AS (SELECT event_id, CASE WHEN trading AND m >= 540 AND m < 930 THEN NULL WHEN trading AND m < 540 THEN ts::DATE ELSE (SELECT min(day) FROM days WHERE day > ts::DATE) END + INTERVAL 9 HOUR AS session FROM p)
+SELECT event_id, {_STAMP.format('session')} AS session_hour, low AS session_value FROM s LEFT JOIN h ON h.hour = s.session""",
+)
+def q_next_session(spark: SparkSession, d: str) -> DataFrame:
+    """The lowest value in the first hour of the next session after each event that is out of session."""
+    e = moved_events(spark, d).select("event_id", "ts", "value")
+    low = e.groupBy(timefn.hour_of(F.col("ts")).alias("hour")).agg(F.min("value").alias("low"))
+    n = intervals.ext_next_session(e.drop("value"), low, "ts", "hour", "low", "2026-03-31", "2026-05-31")
+    return n.select("event_id", timefn.iso(F.col("session_hour")).alias("session_hour"), "session_value")
+
+
+# ---------------------------------------------------------------- saved pagination
+
+_LIMIT = 35
+
+
+def _responses(spark: SparkSession, d: str) -> DataFrame:
+    """Forty events a request as linked pages: chains that end, come round, lose their key, lack a page or their first one, or never end; some pages are saved twice."""
+    e = t(spark, d, "events").select("event_id", (F.col("event_id") % 40).alias("i"), F.floor(F.col("event_id") / 40).alias("b"))
+    last, kind, k = F.col("i") == 5 + F.col("b") % 25, F.col("b") % 8, F.col("event_id")
+    following = F.when(last & (kind == 1), F.concat(F.lit("k"), F.col("b") * 40 + 3)).when(last & (kind == 2), " ").otherwise(F.concat(F.lit("k"), k + 1))
+    more = F.when(last & ~kind.isin(1, 2, 4), "N").otherwise(F.when(k % 3 == 0, "y").otherwise("Y"))
+    e = e.filter(~((kind == 3) & last) & ~((kind == 5) & (F.col("i") == 0)))
+    p = e.select(
+        F.concat(F.lit("r"), "b").alias("request"), F.when(F.col("i") > 0, F.concat(F.lit("k"), k)).alias("key"), F.create_map(F.lit("Cont-YN"), more, F.lit("next-key"), following).alias("headers"), F.concat(F.lit('{"id": '), k, F.lit("}")).alias("body"), k.alias("seq"),
+    )
+    twice = p.filter("seq % 9 = 0").withColumns({"headers": F.create_map(F.lit("Cont-YN"), F.lit("N")), "seq": F.col("seq") + 1_000_000_000})
+    return pagination.from_headers(p.unionByName(twice))
+
+
+_WALK = f"""e AS (SELECT event_id, event_id % 40 AS i, event_id // 40 AS b, event_id % 40 = 5 + (event_id // 40) % 25 AS last, (event_id // 40) % 8 AS kind FROM events),
+p AS (SELECT b, event_id, CASE WHEN i = 0 THEN '' ELSE 'k' || event_id END AS key, CASE WHEN last AND kind = 1 THEN 'k' || (b * 40 + 3) WHEN last AND kind = 2 THEN '' ELSE 'k' || (event_id + 1) END AS next, NOT (last AND kind NOT IN (1, 2, 4)) AS more FROM e WHERE NOT (kind = 3 AND last) AND NOT (kind = 5 AND i = 0)),
+w AS (SELECT b, 0 AS pos, event_id, next, more, [next] AS seen, CASE WHEN NOT more THEN 'complete' WHEN next = '' THEN 'empty_next_key' WHEN NOT EXISTS (SELECT 1 FROM p n WHERE n.b = p.b AND n.key = p.next) THEN 'missing_page' END AS outcome FROM p WHERE key = ''
+  UNION ALL SELECT w.b, w.pos + 1, p.event_id, p.next, p.more, list_append(w.seen, p.next), CASE WHEN NOT p.more THEN 'complete' WHEN p.next = '' THEN 'empty_next_key' WHEN list_contains(w.seen, p.next) THEN 'repeated_key' WHEN w.pos + 1 = {_LIMIT - 1} THEN 'over_limit'
+    WHEN q.key IS NULL THEN 'missing_page' END FROM w JOIN p ON p.b = w.b AND p.key = w.next LEFT JOIN p q ON q.b = p.b AND q.key = p.next WHERE w.outcome IS NULL)"""
+
+
+@query(
+    "page_faults",
+    f"WITH RECURSIVE {_WALK} SELECT 'r' || b AS request, max(outcome) AS reason, count(*) AS pages FROM w GROUP BY b HAVING max(outcome) <> 'complete' UNION ALL SELECT 'r' || b, 'missing_page', 0 FROM p GROUP BY b HAVING count(*) FILTER (key = '') = 0",
+)
+def q_page_faults(spark: SparkSession, d: str) -> DataFrame:
+    return pagination.faults(pagination.follow(_responses(spark, d), _LIMIT))
+
+
+@query("ordered_pages", f"WITH RECURSIVE {_WALK} SELECT 'r' || b AS request, pos::BIGINT AS page, event_id FROM w WHERE b IN (SELECT b FROM w WHERE outcome = 'complete')")
+def q_ordered_pages(spark: SparkSession, d: str) -> DataFrame:
+    r = _responses(spark, d)
+    return pagination.ordered_pages(r, pagination.follow(r, _LIMIT)).select("request", "page", F.get_json_object("body", "$.id").cast("long").alias("event_id"))
