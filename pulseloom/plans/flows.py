@@ -13,7 +13,7 @@ from ..operators import bars, intervals
 from ..schemas import HOURLY_BAR
 from ..shared import shared_dir
 from ..sinks import to_contract, write_jsonl, write_text
-from ..sources import broker_pages, pagination
+from ..sources import broker_pages, market_files, pagination
 from ..streaming import upsert
 from .catalog import _STAMP, query, t
 from .collector import Run, collect_run
@@ -266,3 +266,22 @@ def q_page_faults(spark: SparkSession, d: str) -> DataFrame:
 def q_ordered_pages(spark: SparkSession, d: str) -> DataFrame:
     r = _responses(spark, d)
     return pagination.ordered_pages(r, pagination.follow(r, _LIMIT)).select("request", "page", F.get_json_object("body", "$.id").cast("long").alias("event_id"))
+
+
+# ---------------------------------------------------------------- files of lines in splits
+
+
+@query("jsonl_splits", "SELECT row_number() OVER (ORDER BY event_id) - 1 AS pos, event_id, event_type AS kind, value FROM events")
+def q_jsonl_splits(spark: SparkSession, d: str) -> DataFrame:
+    """All events in one JSON-lines file, read in splits of 64 KB."""
+    target = f"{shared_dir(spark)}/lines-{spark._jvm.java.util.UUID.randomUUID()}.jsonl"
+    write_jsonl(t(spark, d, "events").select("event_id", F.col("event_type").alias("kind"), "value"), target, ["event_id"])
+    most = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(most)
+    spark.conf.set(most, "64k")
+    try:
+        rows = market_files.read_file(spark, target)
+    finally:
+        spark.conf.set(most, before)
+    g = lambda k: F.element_at("raw", F.lit(k))
+    return rows.select("pos", g("event_id").cast("long").alias("event_id"), g("kind").alias("kind"), g("value").cast("double").alias("value"))

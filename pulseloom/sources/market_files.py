@@ -1,7 +1,7 @@
 """Market files of any shape: JSON, JSONL and CSV with resolved aliases, and Parquet or tables.
 
-Files are read whole, so that rows keep their order (file, pos); that suits many small files. Large inputs come as tables
-with an order column of their own (``resolve``).
+Rows keep their order (file, pos). JSON lines are read split by split (``line_files``), however large a file is; a JSON document or a CSV file, whose quoted fields may hold
+line breaks, is read whole, which suits many small ones. Large inputs of those kinds come as tables with an order column of their own (``resolve``).
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.parse import first_field, is_candle, lenient_double
 from ..functions.timefn import iso, kst
+from .line_files import read_lines
 
 # Keys of a JSON object that may hold the rows, and aliases of fields in order of preference.
 LISTS = ("data", "candles", "ticks", "prices", "records")
@@ -30,9 +31,12 @@ FORMATS = ("json", "jsonl", "csv")
 _MAP = "map<string,string>"
 
 
+def _glob(suffix: str) -> str:
+    return "*.[" + "][".join(c.lower() + c.upper() for c in suffix) + "]"
+
+
 def _whole(spark: SparkSession, path: str, suffix: str) -> DataFrame:
-    glob = "*.[" + "][".join(c.lower() + c.upper() for c in suffix) + "]"
-    return spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text"))
+    return spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", _glob(suffix)).text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text"))
 
 
 def json_rows(files: DataFrame) -> DataFrame:
@@ -50,8 +54,13 @@ def json_rows(files: DataFrame) -> DataFrame:
 
 
 def jsonl_rows(files: DataFrame) -> DataFrame:
-    """Rows of JSON lines; blank and damaged lines and what is no object are skipped."""
-    return files.select("file", F.posexplode(F.split("text", "\r?\n")).alias("pos", "item")).select("file", F.col("pos").cast("long").alias("pos"), F.from_json(F.trim("item"), _MAP).alias("raw")).filter("raw is not null")
+    """Rows of JSON lines in texts (file, text); blank and damaged lines and what is no object are skipped."""
+    return line_rows(files.select("file", F.posexplode(F.split("text", "\r?\n")).alias("pos", "line")))
+
+
+def line_rows(lines: DataFrame) -> DataFrame:
+    """The same of numbered lines (file, pos, line)."""
+    return lines.select("file", F.col("pos").cast("long").alias("pos"), F.from_json(F.trim("line"), _MAP).alias("raw")).filter("raw is not null")
 
 
 def csv_rows(files: DataFrame) -> DataFrame:
@@ -74,6 +83,8 @@ _READERS = {"json": json_rows, "jsonl": jsonl_rows, "csv": csv_rows}
 def read_file(spark: SparkSession, path: str) -> DataFrame:
     """(file, pos, raw) of one file by its suffix; an unknown suffix gives no rows, a missing file is an error."""
     suffix = path.rsplit(".", 1)[-1].lower()
+    if suffix == "jsonl":
+        return line_rows(read_lines(spark, path))
     files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text"))
     if suffix == "parquet":
         raise ValueError("Parquet is a table: read it with spark.read.parquet and use resolve()")
@@ -84,7 +95,7 @@ def read_folder(spark: SparkSession, root: str) -> DataFrame:
     """(file, pos, raw) of all files below a folder; a missing folder is an error. (file, pos) is the input order."""
     out = None
     for suffix, reader in _READERS.items():
-        rows = reader(_whole(spark, root, suffix))
+        rows = line_rows(read_lines(spark, root, _glob(suffix))) if suffix == "jsonl" else reader(_whole(spark, root, suffix))
         out = rows if out is None else out.unionByName(rows)
     return out
 
@@ -126,7 +137,7 @@ REQUIRED = ("timestamp", "market", "instrumentId", "symbol", "assetType", "open"
 
 def load_existing(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(records with ``seq``, rejected lines) of an hourly JSON-lines file."""
-    return existing_records(spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\r?\n")).alias("seq", "line")))
+    return existing_records(read_lines(spark, path).select(F.col("pos").alias("seq"), "line"))
 
 
 def existing_records(lines: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 
 from ..functions.timefn import iso, kst
 from ..schemas import COMMENT
+from .line_files import read_lines
 
 _LINE = "source string, dataMode string, sourcePostId string, canonicalUrl string, title string, body string, publishedAt string, firstSeenAt string, viewCount bigint, recommendationCount bigint, commentCount bigint, deleted boolean, comments array<struct<body:string,publishedAt:string,recommendationCount:bigint>>"
 
 
 def load_live_posts(spark: SparkSession, path: str, source: str, data_mode: str = "real") -> DataFrame:
     """Posts of a JSON-lines file. A missing file, a damaged line or one of another source or mode fails the load, with its number."""
-    return live_posts(spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\r?\n")).alias("pos", "line")), source, data_mode)
+    return live_posts(read_lines(spark, path).select("pos", "line"), source, data_mode)
 
 
 def live_posts(lines: DataFrame, source: str, data_mode: str = "real") -> DataFrame:
