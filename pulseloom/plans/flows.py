@@ -5,17 +5,17 @@ As in ``records``, inputs are rendered from the driver's tables. Days of ``event
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import timefn
-from ..operators import bars, intervals
+from ..functions import provider, timefn
+from ..operators import bars, decay, intervals, sketches
 from ..schemas import HOURLY_BAR
 from ..shared import shared_dir
-from ..sinks import to_contract, write_jsonl, write_text
+from ..sinks import merge_days, to_contract, write_jsonl, write_text
 from ..sources import broker_pages, market_files, pagination
 from ..streaming import upsert
-from .catalog import _STAMP, query, t
+from .catalog import _POSTS, _STAMP, event_posts, query, t
 from .collector import Run, collect_run
 
 #: Days from the events' first day to the first day of the calendar's April.
@@ -285,3 +285,74 @@ def q_jsonl_splits(spark: SparkSession, d: str) -> DataFrame:
         spark.conf.set(most, before)
     g = lambda k: F.element_at("raw", F.lit(k))
     return rows.select("pos", g("event_id").cast("long").alias("event_id"), g("kind").alias("kind"), g("value").cast("double").alias("value"))
+
+
+# ---------------------------------------------------------------- a table merged day by day
+
+
+@query(
+    "merged_days",
+    """WITH b AS (SELECT event_type AS kind, strftime(ts, '%Y-%m-%dT%H:%M') AS minute, value, event_id AS seq, '2026-01-0' || (event_id % 7 + 1) || ' 00:00:00' AS observed_at, ts::DATE AS day, 0 AS side FROM events WHERE event_id % 2 = 0
+  UNION ALL SELECT event_type, strftime(ts, '%Y-%m-%dT%H:%M'), value + 1, event_id, '2026-01-0' || (event_id % 5 + 2) || ' 00:00:00', ts::DATE, 1 FROM events WHERE day(ts) % 3 = 0)
+SELECT kind, minute, value, seq, observed_at, day::VARCHAR AS day FROM b QUALIFY row_number() OVER (PARTITION BY kind, minute ORDER BY observed_at DESC, side, observed_at, seq, value) = 1""",
+)
+def q_merged_days(spark: SparkSession, d: str) -> DataFrame:
+    """Half of the events as a stored table, then all events of every third day merged into it."""
+    target = f"{shared_dir(spark)}/days-{spark._jvm.java.util.UUID.randomUUID()}"
+    e = t(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    k = F.col("event_id")
+
+    def rows(x: DataFrame, value: Column, observed: Column) -> DataFrame:
+        at = F.concat(F.lit("2026-01-0"), observed, F.lit(" 00:00:00"))
+        return x.select(F.col("event_type").alias("kind"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm").alias("minute"), at.alias("observed_at"), k.alias("seq"), value.alias("value"), F.to_date("ts").alias("day"))
+
+    for part in (rows(e.filter(k % 2 == 0), F.col("value"), k % 7 + 1), rows(e.filter(F.dayofmonth("ts") % 3 == 0), F.col("value") + 1, k % 5 + 2)):
+        merge_days(spark, target, part, ["kind", "minute"], "day", ["minute", "kind"])
+    return spark.read.parquet(target).select("kind", "minute", "value", "seq", "observed_at", F.col("day").cast("string").alias("day"))
+
+
+# ---------------------------------------------------------------- decay, sketches, providers
+
+
+@query(
+    "ext_decayed_index",
+    f"""WITH {_POSTS}, h AS (SELECT date_trunc('hour', ts) AS hour, count(*) FILTER (direction <> 'unrelated') AS n, coalesce(sum(CASE direction WHEN 'positive' THEN 1.0::DOUBLE WHEN 'negative' THEN -1.0::DOUBLE WHEN 'unrelated' THEN NULL ELSE 0.0::DOUBLE END), 0) AS total FROM posts GROUP BY 1)
+SELECT {_STAMP.format('a.hour')} AS timestamp, round(sum(b.total * pow(0.5, epoch(a.hour - b.hour) / 43200.0)), 6) AS decayed_total, round(sum(b.n * pow(0.5, epoch(a.hour - b.hour) / 43200.0)), 6) AS decayed_n FROM h a JOIN h b ON b.hour <= a.hour GROUP BY a.hour""",
+)
+def q_decayed_index(spark: SparkSession, d: str) -> DataFrame:
+    """Sums of an hourly index, each post's weight halved every twelve hours."""
+    p = event_posts(spark, d)
+    score = F.when(F.col("direction") == "positive", 1.0).when(F.col("direction") == "negative", -1.0).otherwise(0.0)
+    h = p.groupBy(timefn.hour_of(F.col("ts")).alias("hour")).agg(F.count_if(F.col("direction") != "unrelated").alias("n"), F.sum(score).alias("total"))
+    s = decay.ext_decayed_sums(h, [], "hour", ["total", "n"], 12.0)
+    return s.select(timefn.iso(F.col("hour")).alias("timestamp"), F.round("decayed_total", 6).alias("decayed_total"), F.round("decayed_n", 6).alias("decayed_n"))
+
+
+@query("ext_sketches", "SELECT ts::DATE::VARCHAR AS day, count(DISTINCT event_id // 3) AS items, true AS near, true AS same FROM events GROUP BY ts::DATE")
+def q_sketches(spark: SparkSession, d: str) -> DataFrame:
+    """Days merged from hourly sketches against exact counts, and against days merged from hours of single kinds of events."""
+    e = t(spark, d, "events").select(F.col("ts").cast("timestamp_ntz").alias("ts"), F.floor(F.col("event_id") / 3).alias("item"), "event_type")
+    hourly = sketches.ext_sketches(e, [F.date_trunc("HOUR", "ts").alias("hour"), "event_type"], "item")
+    day = F.to_date("hour").alias("day")
+    merged = sketches.ext_merge_sketches(hourly, [day])
+    twice = sketches.ext_merge_sketches(sketches.ext_merge_sketches(hourly, ["event_type", day]), ["day"])
+    exact = e.groupBy(F.to_date("ts").alias("day")).agg(F.count_distinct("item").alias("items"))
+    met = exact.join(merged.select("day", sketches.ext_estimate().alias("one")), "day").join(twice.select("day", sketches.ext_estimate().alias("two")), "day")
+    near = F.abs(F.col("one") - F.col("items")) <= F.col("items") * sketches.error_bound() + 1
+    return met.select(F.col("day").cast("string").alias("day"), "items", near.alias("near"), (F.col("one") == F.col("two")).alias("same"))
+
+
+@query(
+    "ext_provider_labels",
+    """WITH r AS (SELECT CASE WHEN doc_id % 31 = 0 THEN 'provider:ConnectionError' WHEN doc_id % 23 = 0 THEN 'no_label' WHEN doc_id % 19 = 0 THEN 'stance' WHEN doc_id % 17 = 0 THEN 'notes' END AS reason FROM documents)
+SELECT coalesce(reason, 'valid') AS outcome, count(*) AS n, round_even(count(*)::DOUBLE / (SELECT count(*) FROM r), 6) AS share FROM r GROUP BY reason""",
+)
+def q_provider_labels(spark: SparkSession, d: str) -> DataFrame:
+    """All documents through a provider that fails, stays silent or answers wrongly on some; shares of outcomes."""
+    k = F.col("doc_id")
+    mark = F.when(k % 31 == 0, "!poison").when(k % 23 == 0, "!silent").when(k % 19 == 0, "!odd").when(k % 17 == 0, "!bare").when(k % 7 == 0, "!later").otherwise("")
+    docs = t(spark, d, "documents").select("doc_id", F.concat(F.coalesce("text", F.lit("")), mark).alias("text"))
+    labelled = provider.ext_provider_labels(docs, "rehearsal", provider.Rehearsal, pause=0.001)
+    by = labelled.groupBy(F.coalesce("reject_reason", F.lit("valid")).alias("outcome")).agg(F.count(F.lit(1)).alias("n"))
+    total = by.agg(F.sum("n").alias("_all"))
+    return by.crossJoin(F.broadcast(total)).select("outcome", "n", F.bround(F.col("n") / F.col("_all"), 6).alias("share"))

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .schemas import camel
+from .shared import materialize
 
 METHODOLOGY = "hourly-index-v1"
 UNAVAILABLE = {"status": "unavailable", "reason": "real_session_data_not_available"}
@@ -102,6 +103,33 @@ def write_text(spark: SparkSession, text: str, target: str) -> None:
     commit(spark, [(stage_text(spark, text, target), target)])
 
 
+def merge_days(spark: SparkSession, target: str, fresh: DataFrame, keys: list[str], day: str, order: list[str], observed: str = "observed_at") -> list:
+    """Merge rows into the table at ``target``, partitioned by ``day``; of each key the newest observed row stays, at a tie the stored one. Returns the days that were rewritten.
+
+    Only stored days that ``fresh`` names are read, and of these only the ones where a fresh row won are written again (dynamic partition overwrite, each replaced at once); all others keep
+    their files. A day's files are ranges of ``order`` and sorted inside, so a large day is several tasks' work. A key stands in one day; of fresh rows with one
+    key and one time of observation the least row counts; a time that is none is older than all.
+    """
+    columns = [c for c in fresh.columns if c != day]
+    days = materialize(fresh.select(day).distinct())
+    if exists(spark, target):
+        stored = spark.read.parquet(target).select(*columns, day)
+    else:
+        stored = fresh.limit(0)
+    touched = stored.join(F.broadcast(days), day, "left_semi")  # a row per date
+    both = touched.withColumn("_new", F.lit(0)).unionByName(fresh.withColumn("_new", F.lit(1)))
+    kept = [c for c in columns if c not in keys]
+    newest = F.min_by(F.struct(*kept, "_new"), F.struct(F.coalesce(-F.unix_micros(F.col(observed).try_cast("timestamp")), F.lit((1 << 63) - 1)).alias("t"), "_new", F.struct(*kept).alias("r")))
+    merged = materialize(both.groupBy(day, *keys).agg(newest.alias("_r")).select(day, *keys, "_r.*"))
+    changed = [r[0] for r in merged.filter("_new = 1").select(day).distinct().orderBy(day).collect()]
+    if changed:
+        n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        out = merged.join(F.broadcast(spark.createDataFrame([(x,) for x in changed], merged.select(day).schema)), day, "left_semi").select(*columns, day)
+        out = out.repartitionByRange(n, day, *order).sortWithinPartitions(day, *order)
+        out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(day).parquet(target)
+    return changed
+
+
 def write_json(spark: SparkSession, payload: dict, target: str) -> None:
     write_text(spark, json.dumps(payload, ensure_ascii=False, indent=2), target)
 
