@@ -12,15 +12,38 @@ CHANGE = "지난 1시간 "
 DASH = "–"
 
 
+# Bounds of the labels and classes; a band holds its own bound or begins above it.
+LABEL_BANDS = ((">=", 75, LABELS[0]), (">=", 60, LABELS[1]), (">", 40, LABELS[2]), (">", 25, LABELS[3]))
+CLASS_BANDS = ((">=", 60, "up"), (">", 40, "flat"))
+
+
+def banded_sql(name: str, bands: tuple[tuple[str, int, str], ...], rest: str, missing: str) -> str:
+    """The band of a number as an SQL expression."""
+    arms = "".join(f" WHEN {name} {sign} {bound} THEN '{label}'" for sign, bound, label in bands)
+    return f"CASE WHEN {name} IS NULL THEN '{missing}'{arms} ELSE '{rest}' END"
+
+
+def label_sql(name: str) -> str:
+    return banded_sql(name, LABEL_BANDS, LABELS[4], NO_DATA)
+
+
+def class_sql(name: str) -> str:
+    return banded_sql(name, CLASS_BANDS, "down", "flat")
+
+
+def _banded(index: Column, bands: tuple[tuple[str, int, str], ...], rest: str, missing: str) -> Column:
+    out = F.when(index.isNull(), missing)
+    for sign, bound, label in bands:
+        out = out.when(index >= bound if sign == ">=" else index > bound, label)
+    return out.otherwise(rest)
+
+
 def sentiment_label(index: Column) -> Column:
-    return (
-        F.when(index.isNull(), NO_DATA).when(index >= 75, LABELS[0]).when(index >= 60, LABELS[1])
-        .when(index > 40, LABELS[2]).when(index > 25, LABELS[3]).otherwise(LABELS[4])
-    )
+    return _banded(index, LABEL_BANDS, LABELS[4], NO_DATA)
 
 
 def sentiment_class(index: Column) -> Column:
-    return F.when(index >= 60, "up").when(index <= 40, "down").otherwise("flat")
+    return _banded(index, CLASS_BANDS, "down", "flat")
 
 
 def js_round(value: Column, digits: int = 0) -> Column:

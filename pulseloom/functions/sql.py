@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
-from .labels import LABELS, NO_DATA
+from .labels import class_sql, label_sql
 
 _FUNCTIONS = {
-    "sentiment_label(i DOUBLE)": ("STRING", f"CASE WHEN i IS NULL THEN '{NO_DATA}' WHEN i >= 75 THEN '{LABELS[0]}' WHEN i >= 60 THEN '{LABELS[1]}' WHEN i > 40 THEN '{LABELS[2]}' WHEN i > 25 THEN '{LABELS[3]}' ELSE '{LABELS[4]}' END"),
-    "sentiment_class(i DOUBLE)": ("STRING", "CASE WHEN i >= 60 THEN 'up' WHEN i <= 40 THEN 'down' ELSE 'flat' END"),
+    "sentiment_label(i DOUBLE)": ("STRING", label_sql("i")),
+    "sentiment_class(i DOUBLE)": ("STRING", class_sql("i")),
     "round_half_up(x DOUBLE, digits INT)": ("DOUBLE", "floor(x * pow(10, digits) + 0.5) / pow(10, digits)"),
 }
 

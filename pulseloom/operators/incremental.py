@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import date, datetime, timedelta
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.timefn import check_years, is_trading_day
@@ -40,6 +40,14 @@ def trading_days(spark: SparkSession, first: str, last: str) -> DataFrame:
     return days.filter(is_trading_day(F.col("day")))
 
 
+def trading_neighbours(spark: SparkSession, first: str, last: str, within: int = 31) -> DataFrame:
+    """(day, is_trading, previous_day, next_day): every date of the range and the trading days before and after it, looked for up to ``within`` days inside the range. A row per date."""
+    check_years(first, last)
+    days = spark.range(1).select(F.explode(F.sequence(F.lit(first).cast("date"), F.lit(last).cast("date"))).alias("day")).withColumn("is_trading", is_trading_day(F.col("day")))
+    w, trading = Window.orderBy("day"), F.when(F.col("is_trading"), F.col("day"))
+    return days.withColumns({"previous_day": F.max(trading).over(w.rowsBetween(-within, -1)), "next_day": F.min(trading).over(w.rowsBetween(1, within))})
+
+
 def previous_trading_day(spark: SparkSession, day: str, within: int = 31) -> str | None:
     d = date.fromisoformat(day)
     rows = spark.range(1, within + 1).select(F.date_sub(F.lit(d), F.col("id").cast("int")).alias("day")).filter(is_trading_day(F.col("day"))).agg(F.max("day")).first()

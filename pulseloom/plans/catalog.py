@@ -322,9 +322,17 @@ def q_normalize(spark: SparkSession, d: str) -> DataFrame:
 _CLOSED = "DATE '2026-01-01', DATE '2026-02-16', DATE '2026-02-17', DATE '2026-02-18', DATE '2026-03-02', DATE '2026-05-01', DATE '2026-05-05', DATE '2026-05-25', DATE '2026-06-03', DATE '2026-06-06', DATE '2026-07-17', DATE '2026-08-15', DATE '2026-08-17', DATE '2026-09-24', DATE '2026-09-25', DATE '2026-09-26', DATE '2026-10-05', DATE '2026-10-09', DATE '2026-12-25', DATE '2026-12-31'"
 
 
-@query("trading_days", f"SELECT CAST(d AS DATE) AS day FROM range(DATE '2026-01-01', DATE '2027-01-01', INTERVAL 1 DAY) r(d) WHERE isodow(d) < 6 AND CAST(d AS DATE) NOT IN ({_CLOSED})")
+@query(
+    "trading_days",
+    f"""WITH e AS (SELECT (ts + INTERVAL 822 DAY)::DATE AS day, count(*) AS events FROM events GROUP BY 1),
+c AS (SELECT CAST(d AS DATE) AS day FROM range(DATE '2026-01-01', DATE '2027-01-01', INTERVAL 1 DAY) r(d) WHERE isodow(d) < 6 AND CAST(d AS DATE) NOT IN ({_CLOSED}))
+SELECT day, events, day IN (SELECT day FROM c) AS is_trading, (SELECT max(day) FROM c WHERE c.day < e.day) AS previous_day, (SELECT min(day) FROM c WHERE c.day > e.day) AS next_day FROM e""",
+)
 def q_days(spark: SparkSession, d: str) -> DataFrame:
-    return incremental.trading_days(spark, "2026-01-01", "2026-12-31")
+    """Days of the events, moved into the calendar's year, with the trading days around them."""
+    day = F.to_date(ntz() + F.make_interval(days=F.lit(822)))
+    e = t(spark, d, "events").groupBy(day.alias("day")).agg(F.count(F.lit(1)).alias("events"))
+    return e.join(F.broadcast(incremental.trading_neighbours(spark, "2026-01-01", "2026-12-31")), "day", "left")
 
 
 _M = "(hour(ts) * 60 + minute(ts))"

@@ -28,16 +28,23 @@ def _json(**fields: Column) -> Column:
 
 
 def _by_day(rows: DataFrame, item: Column) -> DataFrame:
-    """(file, items): the texts of a day's rows in order of their ids."""
-    kept = rows.select(F.to_date("ts").cast("string").alias("file"), F.struct("event_id", item.alias("item")).alias("x"))
+    """(file, items): the texts of a day's rows in order of their ids, a file for each thousand ids, so that files stay small however many rows a day has."""
+    file = F.concat(F.to_date("ts").cast("string"), F.lit("-"), F.lpad(F.floor(F.col("event_id") / 1000).cast("string"), 9, "0"))
+    kept = rows.select(file.alias("file"), F.struct("event_id", item.alias("item")).alias("x"))
     return kept.groupBy("file").agg(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["item"]).alias("items"))
 
 
+def _last_hour(spark: SparkSession, d: str) -> str:
+    last = t(spark, d, "events").select(timefn.iso(timefn.hour_of(F.max(ntz()))).alias("hour")).first()["hour"]
+    return last or "1970-01-01T00:00:00+09:00"
+
+
 def _events(spark: SparkSession, d: str) -> DataFrame:
     return t(spark, d, "events").withColumn("ts", ntz())
 
 
-_POS = "row_number() OVER (PARTITION BY ts::DATE ORDER BY event_id) - 1"
+_FILE = "ts::DATE::VARCHAR || '-' || lpad((event_id // 1000)::VARCHAR, 9, '0')"
+_POS = "row_number() OVER (PARTITION BY ts::DATE, event_id // 1000 ORDER BY event_id) - 1"
 _SHOWN = "file, pos, kind, strftime(date_trunc('second', ts), '%Y-%m-%dT%H:%M:%S+09:00') AS timestamp, instrument_id, symbol, price, open, high, low, close, volume"
 
 
@@ -51,7 +58,7 @@ def _resolved(rows: DataFrame) -> DataFrame:
 
 @query(
     "market_json",
-    f"""SELECT ts::DATE::VARCHAR AS file, {_POS} AS pos, 'tick' AS kind, {_STAMP.format("date_trunc('second', ts)")} AS timestamp, event_type AS instrument_id, CASE WHEN event_id % 2 = 0 THEN event_type ELSE '' END AS symbol, value AS price,
+    f"""SELECT {_FILE} AS file, {_POS} AS pos, 'tick' AS kind, {_STAMP.format("date_trunc('second', ts)")} AS timestamp, event_type AS instrument_id, CASE WHEN event_id % 2 = 0 THEN event_type ELSE '' END AS symbol, value AS price,
   NULL::DOUBLE AS open, NULL::DOUBLE AS high, NULL::DOUBLE AS low, CASE WHEN event_id % 5 = 0 THEN NULL::DOUBLE END AS close, CASE WHEN event_id % 3 = 0 THEN user_id::DOUBLE END AS volume FROM events""",
 )
 def q_json(spark: SparkSession, d: str) -> DataFrame:
@@ -60,7 +67,7 @@ def q_json(spark: SparkSession, d: str) -> DataFrame:
     when = _text(F.col("ts"))
     item = _json(timestamp=F.when(~odd, when), 시간=F.when(odd, when), price=F.when(~odd, F.col("value")), 현재가=F.when(odd, F.col("value").cast("string")), symbol=F.when(~odd, F.col("event_type")), code=F.when(odd, F.col("event_type")), 거래량=F.when(F.col("event_id") % 3 == 0, F.col("user_id")))
     listed = F.concat(F.lit("["), F.array_join("items", ", "), F.lit("]"))
-    k = F.dayofmonth(F.col("file").cast("date")) % 4
+    k = F.dayofmonth(F.substring("file", 1, 10).cast("date")) % 4
     name = F.element_at(F.array(*[F.lit(x) for x in ("data", "ticks", "records")]), F.greatest(k, F.lit(1)))
     whole = F.when(k == 0, listed).otherwise(F.concat(F.lit('{"note": "day", "'), name, F.lit('": '), listed, F.lit("}")))
     return _resolved(market_files.json_rows(_by_day(e, item).select("file", whole.alias("text"))))
@@ -78,7 +85,7 @@ def _lines(spark: SparkSession, d: str) -> DataFrame:
     return market_files.jsonl_rows(_by_day(_events(spark, d), line).select("file", F.array_join("items", "\n").alias("text")))
 
 
-_LINES = f"""numbered AS (SELECT *, ts::DATE::VARCHAR AS file, {_POS} AS pos, event_id % 10 AS k FROM events),
+_LINES = f"""numbered AS (SELECT *, {_FILE} AS file, {_POS} AS pos, event_id % 10 AS k FROM events),
 l AS (SELECT file, pos, CASE k WHEN 3 THEN 'candle' ELSE 'tick' END AS kind, ts, event_type AS instrument_id, '' AS symbol, CASE WHEN k = 3 THEN value + 0.5::DOUBLE ELSE value END AS price, CASE k WHEN 3 THEN value END AS open, CASE k WHEN 3 THEN value + 1::DOUBLE END AS high,
   CASE k WHEN 3 THEN value - 1::DOUBLE END AS low, CASE WHEN k = 3 THEN value + 0.5::DOUBLE ELSE value END AS close, CASE k WHEN 3 THEN user_id::DOUBLE END AS volume FROM numbered WHERE k > 2)"""
 
@@ -90,7 +97,7 @@ def q_jsonl(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "market_csv",
-    f"""WITH l AS (SELECT ts::DATE::VARCHAR AS file, {_POS} AS pos, 'candle' AS kind, ts, event_type AS instrument_id, event_type || ', "x"' AS symbol, value AS price, NULL::DOUBLE AS open, NULL::DOUBLE AS high, NULL::DOUBLE AS low, value AS close, NULL::DOUBLE AS volume FROM events)
+    f"""WITH l AS (SELECT {_FILE} AS file, {_POS} AS pos, 'candle' AS kind, ts, event_type AS instrument_id, event_type || ', "x"' AS symbol, value AS price, NULL::DOUBLE AS open, NULL::DOUBLE AS high, NULL::DOUBLE AS low, value AS close, NULL::DOUBLE AS volume FROM events)
 SELECT {_SHOWN.replace("'candle'", "kind")} FROM (SELECT * REPLACE ('tick' AS kind) FROM l)""",
 )
 def q_csv(spark: SparkSession, d: str) -> DataFrame:
@@ -127,7 +134,7 @@ def _strict_rows(spark: SparkSession, d: str) -> DataFrame:
     return market_files.jsonl_rows(_by_day(_events(spark, d), item).select("file", F.array_join("items", "\n").alias("text")))
 
 
-_STRICT = f"""r AS (SELECT event_id, value AS v, user_id, ts::DATE::VARCHAR AS file, {_POS} AS pos, date_trunc('hour', ts) AS hour,
+_STRICT = f"""r AS (SELECT event_id, value AS v, user_id, {_FILE} AS file, {_POS} AS pos, date_trunc('hour', ts) AS hour,
   CASE WHEN event_id % 11 = 0 THEN 'provider' WHEN event_id % 29 = 0 THEN 'asset_type' WHEN event_id % 31 = 0 THEN 'data_mode' WHEN event_id % 13 = 0 THEN 'identity' WHEN event_id % 19 = 0 THEN 'timestamp' WHEN event_id % 17 = 0 THEN 'price' WHEN value < 5 THEN 'ohlc' END AS reject_reason FROM events)"""
 
 
@@ -168,10 +175,11 @@ def q_existing(spark: SparkSession, d: str) -> DataFrame:
 @query(
     "sample_market",
     """WITH s AS (SELECT i, CASE WHEN i % 2 = 0 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS sign FROM range(8) r(i)), c AS (SELECT i, sign, 3200.0::DOUBLE + sum(sign * (i * 0.5::DOUBLE + 2) - 3 * sign) OVER (ORDER BY i) AS c FROM s), p AS (SELECT i, c, c + 3 * sign AS o FROM c)
-SELECT strftime(TIMESTAMP '2026-04-14 12:00:00' - to_hours(7 - i), '%Y-%m-%dT%H:%M:%S+09:00') AS timestamp, round_even(o, 2) AS open, round_even(greatest(o, c) + 2, 2) AS high, round_even(least(o, c) - 2, 2) AS low, round_even(c, 2) AS close, round_even((c - o) / o * 100, 2) AS change_rate, 'sample' AS data_mode FROM p""",
+SELECT strftime((SELECT date_trunc('hour', max(ts)) FROM events) - to_hours(7 - i), '%Y-%m-%dT%H:%M:%S+09:00') AS timestamp, round_even(o, 2) AS open, round_even(greatest(o, c) + 2, 2) AS high, round_even(least(o, c) - 2, 2) AS low, round_even(c, 2) AS close, round_even((c - o) / o * 100, 2) AS change_rate, 'sample' AS data_mode FROM p""",
 )
 def q_sample_market(spark: SparkSession, d: str) -> DataFrame:
-    return market_files.sample_market(spark, "2026-04-14T12:00:00+09:00").select("timestamp", "open", "high", "low", "close", "change_rate", "data_mode")
+    """The sample series up to the last hour that has events."""
+    return market_files.sample_market(spark, _last_hour(spark, d)).select("timestamp", "open", "high", "low", "close", "change_rate", "data_mode")
 
 
 # ---------------------------------------------------------------- posts
@@ -196,11 +204,12 @@ def q_live(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "sample_posts",
-    """SELECT * FROM (VALUES ('sample-1', '코스피 오늘 급등 예상, 반도체 호재 쏟아진다', '2026-04-14T08:00:00+09:00', 100::BIGINT, 3::BIGINT), ('sample-2', '시장 폭락 공포 심화, 손절 가속', '2026-04-14T09:00:00+09:00', 150::BIGINT, 4::BIGINT), ('sample-3', '오늘 장세는 보합권, 관망이 답', '2026-04-14T10:00:00+09:00', 200::BIGINT, 5::BIGINT),
-  ('sample-4', '반도체 폭등! 상한가 러시', '2026-04-14T11:00:00+09:00', 250::BIGINT, 6::BIGINT), ('sample-5', '외인 대거 매도, 하락 압력 심하다', '2026-04-14T12:00:00+09:00', 300::BIGINT, 7::BIGINT)) v(post_id, title, first_seen_at, views, comment_count)""",
+    f"""SELECT post_id, title, {_STAMP.format("(SELECT date_trunc('hour', max(ts)) FROM events) - to_hours(hours)")} AS first_seen_at, views, comment_count FROM (VALUES ('sample-1', '코스피 오늘 급등 예상, 반도체 호재 쏟아진다', 4, 100::BIGINT, 3::BIGINT), ('sample-2', '시장 폭락 공포 심화, 손절 가속', 3, 150::BIGINT, 4::BIGINT),
+  ('sample-3', '오늘 장세는 보합권, 관망이 답', 2, 200::BIGINT, 5::BIGINT), ('sample-4', '반도체 폭등! 상한가 러시', 1, 250::BIGINT, 6::BIGINT), ('sample-5', '외인 대거 매도, 하락 압력 심하다', 0, 300::BIGINT, 7::BIGINT)) v(post_id, title, hours, views, comment_count)""",
 )
 def q_sample_posts(spark: SparkSession, d: str) -> DataFrame:
-    return post_source.sample_posts(spark, "2026-04-14T12:00:00+09:00").select("post_id", "title", "first_seen_at", "views", "comment_count")
+    """The sample posts, the newest at the last hour that has events."""
+    return post_source.sample_posts(spark, _last_hour(spark, d)).select("post_id", "title", "first_seen_at", "views", "comment_count")
 
 
 # ---------------------------------------------------------------- web pages
@@ -278,7 +287,7 @@ def q_board_posts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _pages(spark: SparkSession, d: str) -> DataFrame:
-    """Three pages a day of raw bars; some of another day, at no time or without a price."""
+    """Three pages of raw bars for a day's each thousand ids; some of another day, at no time or without a price."""
     e = _events(spark, d)
     v = F.round(F.col("value") * 100).cast("bigint").cast("string")
     signed = lambda s: F.concat(F.lit(s), v)
@@ -287,13 +296,13 @@ def _pages(spark: SparkSession, d: str) -> DataFrame:
         signed("-").alias("cur_prc"), F.when(F.col("event_id") % 5 != 0, F.col("user_id").cast("string")).alias("trde_qty"), F.when(F.col("event_id") % 11 == 0, "x").otherwise(at).alias("cntr_tm"), signed("+").alias("open_pric"), v.alias("high_pric"),
         F.when(F.col("event_id") % 13 == 0, "0").otherwise(signed("-")).alias("low_pric"), F.lit("999999").alias("acc_trde_qty"),
     )
-    p = e.select(F.date_format("ts", "yyyyMMdd").alias("day"), (F.col("event_id") % 3).cast("int").alias("page"), F.struct("event_id", row.alias("row")).alias("x"))
+    p = e.select(F.date_format("ts", "yyyyMMdd").alias("day"), (F.floor(F.col("event_id") / 1000) * 3 + F.col("event_id") % 3).cast("int").alias("page"), F.struct("event_id", row.alias("row")).alias("x"))
     p = p.groupBy("day", "page").agg(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["row"]).alias("inds_min_pole_qry"))
-    broken = p.select("day", F.lit(9).alias("page"), F.lit('{"inds_min_pole_qry": 3}').alias("body")).distinct()
+    broken = p.select("day", F.lit(-1).alias("page"), F.lit('{"inds_min_pole_qry": 3}').alias("body")).distinct()
     return p.select("day", "page", F.to_json(F.struct(F.lit(0).alias("return_code"), "inds_min_pole_qry")).alias("body")).unionByName(broken)
 
 
-_BROKER = """b AS (SELECT strftime(ts, '%Y%m%d') AS day, (event_id % 3)::INT AS page, row_number() OVER (PARTITION BY ts::DATE, event_id % 3 ORDER BY event_id) - 1 AS pos, date_trunc('second', ts) AS ts, round(value * 100)::BIGINT::DOUBLE AS v, CASE WHEN event_id % 5 <> 0 THEN user_id::DOUBLE END AS volume,
+_BROKER = """b AS (SELECT strftime(ts, '%Y%m%d') AS day, ((event_id // 1000) * 3 + event_id % 3)::INT AS page, row_number() OVER (PARTITION BY ts::DATE, event_id // 1000, event_id % 3 ORDER BY event_id) - 1 AS pos, date_trunc('second', ts) AS ts, round(value * 100)::BIGINT::DOUBLE AS v, CASE WHEN event_id % 5 <> 0 THEN user_id::DOUBLE END AS volume,
   CASE WHEN event_id % 11 = 0 THEN 'invalid_time' WHEN event_id % 7 = 0 THEN 'other_date' WHEN event_id % 13 = 0 OR round(value * 100) = 0 THEN 'invalid_price' ELSE 'accepted' END AS status, hour(ts) * 60 + minute(ts) BETWEEN 540 AND 929 AS session FROM events)"""
 
 
@@ -539,7 +548,7 @@ def q_stream_index(spark: SparkSession, d: str) -> DataFrame:
     return streams.ext_stream_index(p).select(F.date_format("hour", "yyyy-MM-dd HH:mm:ss").alias("hour"), "post_count", "analyzed_post_count", "sentiment_index")
 
 
-@query("ext_stream_bars", "SELECT event_type AS instrument_id, strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS hour, arg_min(value, ts) AS open, max(value) AS high, min(value) AS low, arg_max(value, ts) AS close FROM events GROUP BY event_type, date_trunc('hour', ts)")
+@query("ext_stream_bars", "SELECT event_type AS instrument_id, strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS hour, arg_min(value, (ts, event_id)) AS open, max(value) AS high, min(value) AS low, arg_max(value, (ts, event_id)) AS close FROM events GROUP BY event_type, date_trunc('hour', ts)")
 def q_stream_bars(spark: SparkSession, d: str) -> DataFrame:
     b = streams.ext_stream_bars(event_ticks(spark, d), ["instrument_id"])
     return b.select("instrument_id", F.date_format("hour", "yyyy-MM-dd HH:mm:ss").alias("hour"), "open", "high", "low", "close")

@@ -26,10 +26,11 @@ def ext_stream_index(posts: DataFrame, ts: str = "ts", late: str = "8 hours") ->
     )
 
 
-def ext_stream_bars(ticks: DataFrame, keys: list[str], ts: str = "ts", price: str = "price", late: str = "8 hours") -> DataFrame:
-    """Hourly open, high, low and close of prints, in time order."""
+def ext_stream_bars(ticks: DataFrame, keys: list[str], ts: str = "ts", price: str = "price", late: str = "8 hours", order: str = "pos") -> DataFrame:
+    """Hourly open, high, low and close of prints, in order of time and, at equal times, of ``order``."""
     t = ticks.withColumn("_t", F.col(ts).cast("timestamp")).withWatermark("_t", late)
-    g = t.groupBy(*keys, F.window("_t", "1 hour")).agg(F.min_by(price, "_t").alias("open"), F.max(price).alias("high"), F.min(price).alias("low"), F.max_by(price, "_t").alias("close"))
+    at = F.struct("_t", order)
+    g = t.groupBy(*keys, F.window("_t", "1 hour")).agg(F.min_by(price, at).alias("open"), F.max(price).alias("high"), F.min(price).alias("low"), F.max_by(price, at).alias("close"))
     return g.select(*keys, F.col("window.start").alias("hour"), "open", "high", "low", "close")
 
 
