@@ -23,17 +23,20 @@ def micros(ts: str) -> Column:
     return F.expr(f"timestampdiff(MICROSECOND, {_EPOCH}, CAST(`{ts}` AS TIMESTAMP_NTZ))")
 
 
-def _split_hot(left: DataFrame, right: DataFrame, on: list[str], hot_rows: int) -> tuple[DataFrame, DataFrame]:
-    """Adds ``_salt`` to both sides. The table of hot bins has at most a row for each ``hot_rows`` rows."""
-    hot = left.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > hot_rows)
+def split_hot(left: DataFrame, right: DataFrame, on: list[str], hot_rows: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides of an equality join on the columns ``on``, with a further one, ``_salt``: keys of more than ``hot_rows`` left rows are dealt to several parts, and their right rows copied to each.
+
+    The table of hot keys has at most a row for each ``hot_rows`` rows. NULL keys are never dealt.
+    """
+    hot = left.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")).filter((F.col("_n") > hot_rows) & ~F.expr(" or ".join(f"`{c}` is null" for c in on)))
     hot = hot.select(*[F.col(c).alias(f"_hot{i}") for i, c in enumerate(on)], F.ceil(F.col("_n") / hot_rows).cast("int").alias("_parts"))
 
     def met(side: DataFrame) -> DataFrame:
-        same = [F.col(c).eqNullSafe(F.col(f"_hot{i}")) for i, c in enumerate(on)]
+        same = [F.col(c) == F.col(f"_hot{i}") for i, c in enumerate(on)]
         return side.join(hot, same, "left").drop(*[f"_hot{i}" for i in range(len(on))])
 
     parts = F.coalesce("_parts", F.lit(1))
-    dealt = met(left).withColumn("_salt", F.pmod(F.xxhash64(*[c for c in left.columns if not c.startswith("_")]), parts).cast("int"))
+    dealt = met(left).withColumn("_salt", F.pmod(F.xxhash64(*left.columns), parts).cast("int"))
     copied = met(right).withColumn("_salt", F.explode(F.sequence(F.lit(0), parts - 1)))
     return dealt.drop("_parts"), copied.drop("_parts")
 
@@ -47,7 +50,7 @@ def ext_within_before(points: DataFrame, marks: DataFrame, by: list[str], ts: st
     p = points.withColumn("_t", micros(ts)).withColumn("_bin", F.expr(f"floor(_t / {width})"))
     m = marks.withColumn("_m", micros(mark)).withColumn("_first", F.expr(f"floor((_m - {width}) / {width})"))
     m = m.withColumn("_bin", F.explode(F.array(F.col("_first"), F.col("_first") + 1))).drop("_first")
-    p, m = _split_hot(p, m, [*by, "_bin"], hot_rows)
+    p, m = split_hot(p, m, [*by, "_bin"], hot_rows)
     met = p.join(m, [*by, "_bin", "_salt"]).filter((F.col("_t") >= F.col("_m") - width) & (F.col("_t") < F.col("_m")))
     return met.drop("_bin", "_salt", "_t", "_m")
 
@@ -76,7 +79,7 @@ def ext_overlapping(left: DataFrame, right: DataFrame, by: list[str], left_span:
 
     if not levels:
         levels = [0]
-    p, m = _split_hot(binned(lefts, "_a", "_az"), binned(rights, "_b", "_bz"), [*by, "_level", "_bin"], hot_rows)
+    p, m = split_hot(binned(lefts, "_a", "_az"), binned(rights, "_b", "_bz"), [*by, "_level", "_bin"], hot_rows)
     met = p.join(m, [*by, "_level", "_bin", "_salt"])
     later = F.expr(f"floor(greatest(_a, _b) / ({_BASE} * CAST(pow(2.0D, _level) AS BIGINT)))")
     met = met.filter((F.col("_a") < F.col("_bz")) & (F.col("_b") < F.col("_az")) & (F.greatest("_a_home", "_b_home") == F.col("_level")) & (F.col("_bin") == later))
