@@ -25,11 +25,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.intervals import split_hot
 from .common import materialize, slices, text_of, unused
 
 WORD = re.compile(r"[^\W_]+")
 MIN_MATCH, THRESHOLD = 5, 0.8
 BLOCK_BYTES = 16 << 20
+#: In the join on seeds: documents of one seed in a task, and items that a document is set against at a time.
+HOT_ROWS, ITEMS_PER_ROW = 1 << 20, 256
 _PAIRS = 1 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -203,10 +206,10 @@ def _word_ids(parts: list[str]) -> np.ndarray:
     return np.fromiter((xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) >> 1 for w in parts), np.int64, len(parts))
 
 
-def _met(docs: DataFrame, items: DataFrame, min_match: int) -> DataFrame:
+def _met(docs: DataFrame, items: DataFrame, min_match: int, hot_rows: int = HOT_ROWS, per_row: int = ITEMS_PER_ROW) -> DataFrame:
     """(row, item, covered) of all pairs of ``docs`` (row, text) and ``items`` (item, text) that share a seed.
 
-    An equality join on seeds, for benchmarks of any size. A text goes on only with pairs that meet. Words are compared by 63-bit hashes.
+    An equality join on seeds, for benchmarks of any size. Only texts that meet an item go on, once for each ``per_row`` of their items. Words are compared by 63-bit hashes.
     """
 
     def of_docs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -223,16 +226,27 @@ def _met(docs: DataFrame, items: DataFrame, min_match: int) -> DataFrame:
 
     wanted = items.mapInArrow(of_items, "item long, seeds array<bigint>").select("item", F.explode("seeds").alias("seed"))
     offered = docs.mapInArrow(of_docs, "row long, seeds array<bigint>").select("row", F.explode("seeds").alias("seed"))
-    pairs = offered.join(wanted, "seed").select("row", "item").distinct()
-    both = pairs.join(docs, "row").join(items.withColumnRenamed("text", "passage"), "item").select("row", "item", "text", "passage")
+    # a seed that a great share of the documents hold is dealt to several tasks
+    offered, wanted = split_hot(offered, wanted, ["seed"], hot_rows)
+    pairs = offered.join(wanted, ["seed", "_salt"]).select("row", "item").distinct()
+    # a document goes out once for each ``per_row`` of its items, with their passages beside it
+    lists = pairs.groupBy("row").agg(F.sort_array(F.collect_list("item")).alias("items"))
+    part = F.transform(F.sequence(F.lit(0), F.floor((F.size("items") - 1) / per_row).cast("int")), lambda k: F.slice("items", (k * per_row + 1).cast("int"), F.lit(per_row)))
+    chunks = lists.select("row", F.posexplode(part).alias("chunk", "items")).select("row", "chunk", F.explode("items").alias("item"))
+    passages = chunks.join(items.withColumnRenamed("text", "passage"), "item").groupBy("row", "chunk").agg(F.collect_list(F.struct("item", "passage")).alias("asked"))
+    both = docs.join(passages, "row").select("row", "text", "asked")
 
     def cover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
-            got = []
-            for t, p in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                ids = _word_ids(words(p))
-                got.append(sum(k for k, _, _ in tiles(_word_ids(words(t)), ids, min_match)) / len(ids))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(got, pa.float64())], names=["row", "item", "covered"])
+            rows, found, got = [], [], []
+            for r, t, asked in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                doc = _word_ids(words(t))
+                for x in asked:
+                    ids = _word_ids(words(x["passage"]))
+                    rows.append(r)
+                    found.append(x["item"])
+                    got.append(sum(k for k, _, _ in tiles(doc, ids, min_match)) / len(ids))
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(found, pa.int64()), pa.array(got, pa.float64())], names=["row", "item", "covered"])
 
     return both.mapInArrow(cover, "row long, item long, covered double")
 
@@ -271,7 +285,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, threshold: float = THRE
                     items.append(sorted((k for k, c in got.items() if c >= threshold), key=lambda k: (k is None, k or 0)))
                     c, k = min(((-c, (k is None, k)) for k, c in got.items()), default=(0.0, (True, None)))
                     best.append(k[1])
-                    most.append(-c)
+                    most.append(0.0 - c)
                 cols = [b.column(0), pa.array(items, pa.list_(pa.int64())), pa.array(best, pa.int64()), pa.array(most, pa.float64())]
                 yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "items", "item_id", "coverage"])
 

@@ -66,7 +66,7 @@ def test_repeated_bytes(spark):
     from pulseloom.llm import suffix_dedup
 
     rows = [(t or "").encode() for t in sorted(set(texts) - {None})]
-    table = suffix_dedup._rows([(0, b"".join(hashlib.md5(r).digest() for r in rows), np.ones(len(rows), "<i8").tobytes(), np.array([len(r) for r in rows], "<i8").tobytes(), __import__("zstandard").compress(b"".join(rows)))], suffix_dedup._PART_FIELDS)
+    table = suffix_dedup._rows([(0, b"".join(hashlib.sha256(r).digest()[:16] for r in rows), np.ones(len(rows), "<i8").tobytes(), np.array([len(r) for r in rows], "<i8").tobytes(), __import__("zstandard").compress(b"".join(rows)))], suffix_dedup._PART_FIELDS)
     work, seen = suffix_dedup.WORK, []
     try:
         for suffix_dedup.WORK in (work, 97):
@@ -728,6 +728,24 @@ def test_contamination(spark):
     assert contamination(d, b.limit(0)).filter("contaminated").count() == 0 and contamination(d.limit(0), b).count() == 0
 
 
+def test_contamination_joined_on_hot_seeds(spark):
+    """Documents and items that share boilerplate, and a very long text: the join on seeds gives what the index gives."""
+    from pulseloom.llm.decontaminate import MIN_MATCH, Index, _met, contamination
+
+    rng = random.Random(17)
+    plate = words(rng, 12, 3000)
+    items = [f"{words(rng, 9, 3000)} {plate}" for _ in range(15)]
+    texts = [f"{plate} {words(rng, 30)}" for _ in range(60)] + [" ".join([words(rng, 9000), *items[:3], words(rng, 9000)]), items[4], None, ""]
+    d, b = docs(spark, *texts), spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    want = {(i, k): c for i, got in enumerate(Index(list(enumerate(items))).coverage(texts)) for k, c in got.items()}
+    rows = d.select(F.col("doc_id").alias("row"), F.coalesce("text", F.lit("")).alias("text"))
+    for hot_rows, per_row in ((1 << 20, 256), (7, 4)):
+        met = _met(rows, b.withColumnRenamed("item_id", "item"), MIN_MATCH, hot_rows, per_row).collect()
+        assert {(r.row, r.item): r.covered for r in met} == want and len(met) == len(want) > 900
+    whole, joined = (sorted(map(str, contamination(d, b, block_bytes=n).collect())) for n in (16 << 20, 0))
+    assert whole == joined
+
+
 def test_contamination_by_items_without_id(spark):
     from pulseloom.llm.decontaminate import contamination, decontaminate
 
