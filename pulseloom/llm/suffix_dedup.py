@@ -26,7 +26,7 @@ Every part sends to every bucket: rows grow with the square of the text, one per
 that is more rows than names are worth, and parts would have to be merged in a hop of their own before the buckets.
 
 Defined cases: a null text is empty; texts shorter than ``length`` are kept whole; repeated
-rows count as copies; a very long text is a part of its own, hashed some bytes at a time; an empty table gives no rows; other columns are ignored, whatever their names.
+rows count as copies; texts are one text if the first 128 bits of their SHA-256 are equal; a very long text is a part of its own, hashed some bytes at a time; an empty table gives no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -40,6 +40,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialize, small
+
 #: A perfect difference set modulo 91.
 PERIOD = 91
 COVER = (0, 1, 3, 9, 27, 49, 56, 61, 77, 81)
@@ -178,7 +180,7 @@ def _deal(part_ids: np.ndarray, block: int):
         for batch in batches:
             for raw in batch.column(0):
                 text = raw.as_py()
-                key = hashlib.md5(text).digest()
+                key = hashlib.sha256(text).digest()[:16]
                 if key in again:
                     again[key] += 1
                     continue
@@ -492,5 +494,5 @@ def repeated_bytes(docs: DataFrame, length: int = 200, text: str = "text", id_co
     rows = docs.select(F.col(id_col).alias("doc_id"), raw.alias("raw"))
     # short texts stay as they are, and out of the join
     short = rows.filter(size < length).select("doc_id", size.alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), F.sha2("raw", 256).alias("kept_sha256"))
-    met = rows.filter(size >= length).select("doc_id", size.alias("n_bytes"), F.unhex(F.md5("raw")).alias("key")).join(result, "key")
+    met = rows.filter(size >= length).select("doc_id", size.alias("n_bytes"), F.unhex(F.substring(F.sha2("raw", 256), 1, 32)).alias("key")).join(small(materialize(result), 160), "key")
     return met.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").unionByName(short)
