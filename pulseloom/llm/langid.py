@@ -9,7 +9,7 @@ Training uses the whole texts of up to ``per_lang`` documents of each language,
 ``text_bytes`` each and ``sample_bytes`` in all; each step draws documents, and of each a window. Prediction takes whole texts.
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0; without training
-rows all texts are ``und``; languages that are equally likely go to the first by code point; repeated rows come out once each; an empty table gives no rows;
+rows all texts are ``und``; languages that are equally likely go to the first by code point; a very long text is read whole, window by window, some windows at a time; repeated rows come out once each; an empty table gives no rows;
 other columns are ignored, whatever their names.
 """
 

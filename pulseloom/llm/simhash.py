@@ -10,7 +10,7 @@ are alike share one fingerprint, and a bucket's members are taken off it as they
 reached. Links and components are between fingerprints; documents join at the end.
 
 Defined cases: a null text is empty and has fingerprint zero; zero fingerprints link like any
-other; repeated rows come out once each; a null id counts in no minimum, and a component
+other; a bit that exactly half of the hashes have is not set; of several links to one fingerprint any spans its component; repeated rows come out once each; a null id counts in no minimum, and a component
 without ids has a null ``component_id``; very long texts are hashed whole, some shingles at a time; an empty table gives no rows; other columns are ignored, or
 kept (``drop_near_duplicates``), whatever their names.
 """

@@ -239,6 +239,35 @@ def test_network_gradients():
         assert math.isclose((sides[0] - sides[1]) / 2e-5, grad[k][i], rel_tol=1e-3, abs_tol=1e-8)
 
 
+def test_pooled_language_by_windows():
+    """A document's probabilities are the mean over its bytes, window by window; equal ones go to the first language."""
+    from pulseloom.llm import langid
+
+    class Windows:
+        """Every byte votes for the language of its value modulo 3, half a vote for itself and the rest for the others."""
+
+        def sums(self, x, sizes):
+            out = np.zeros((len(x), 3))
+            for w, n, row in zip(x, sizes, out, strict=True):
+                for byte in np.asarray(w)[: int(n)]:
+                    row += 0.25
+                    row[int(byte) % 3] += 0.25
+            return out
+
+    model = langid.Model.__new__(langid.Model)
+    model.langs, model.reader = ["aa", "bb", "cc"], Windows()
+    rng = random.Random(18)
+    texts = [words(rng, n) for n in (1, 3, 40, 900)] + [None, "", "123 !", "é" * 65, "ab", "abc" * 50]
+    lang, score = model.predict(texts)
+    for t, k, v in zip(texts, lang, score, strict=True):
+        if not t or not any(c.isalpha() for c in t):
+            assert (k, v) == ("und", 0.0)
+            continue
+        votes = collections.Counter(int(b) % 3 for w in [t.encode()] for b in langid.windows(w)[0].reshape(-1)[: len(w)])
+        p = [0.25 + 0.25 * votes[i] / len(t.encode()) for i in range(3)]
+        assert math.isclose(v, max(p)) and k == ["aa", "bb", "cc"][p.index(max(p))]
+
+
 def test_languages(spark):
     from pulseloom.llm.langid import fit_languages, languages
 
@@ -566,13 +595,15 @@ def test_quality(spark):
             assert np.allclose(unary, (x - model.mean) / model.scale @ model.weights) and (again == count).all() and (sizes == size).all()
     finally:
         quality._LINES = most
-    at, n = int(count[:3].sum()), int(count[3])
-    u = unary[at : at + n]
-    weights = {y: math.exp(float(np.dot(u, y)) + sum(model.trans[2 * a + b] for a, b in zip(y, y[1:], strict=False))) for y in product((0, 1), repeat=n)}
-    p = np.array([sum(v for y, v in weights.items() if y[i]) / sum(weights.values()) for i in range(n)])
-    length = size[at : at + n] + 1.0
-    z = np.dot(model.curve, [np.dot(length, p) / length.sum(), np.dot(length, p < 0.5) / length.sum(), 1])
-    assert math.isclose(model.score(some)[3], 1 / (1 + math.exp(-z)), rel_tol=1e-6)
+    scores = model.score(some)
+    for k in range(4):
+        at, n = int(count[:k].sum()), int(count[k])
+        u = unary[at : at + n]
+        weights = {y: math.exp(float(np.dot(u, y)) + sum(model.trans[2 * a + b] for a, b in zip(y, y[1:], strict=False))) for y in product((0, 1), repeat=n)}
+        p = np.array([sum(v for y, v in weights.items() if y[i]) / sum(weights.values()) for i in range(n)])
+        length = size[at : at + n] + 1.0
+        z = np.dot(model.curve, [np.dot(length, p) / length.sum(), np.dot(length, p < 0.5) / length.sum(), 1])
+        assert math.isclose(scores[k], 1 / (1 + math.exp(-z)), rel_tol=1e-6)
     assert len(quality_scores(d.limit(4).unionByName(d.limit(4)), model).collect()) == 8
     none = fit_quality(d, labels.limit(0))
     assert quality_scores(d, none).first().score == 0.5 and quality_scores(d.limit(0), none).count() == 0
