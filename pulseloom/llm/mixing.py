@@ -37,9 +37,8 @@ def source_targets(sizes: DataFrame, max_repeats: int = 3) -> DataFrame:
     every = Window.partitionBy()
     order = Window.orderBy(cap / F.col("weight"), "skey")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
-    onward = order.rowsBetween(0, Window.unboundedFollowing)
     w = w.withColumns({"cap": cap.cast("double"), "total": F.sum("source_size").over(every).cast("double")})
-    w = w.withColumn("level", (F.col("total") - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("weight").over(onward))
+    w = w.withColumn("level", (F.col("total") - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / (F.sum("weight").over(every) - F.coalesce(F.sum("weight").over(before), F.lit(0))))
     w = w.withColumn("full", F.col("level") > F.col("cap") / F.col("weight"))
     taken = F.sum(F.when(F.col("full"), F.col("cap")).otherwise(0.0)).over(every)
     left = F.sum(F.when(F.col("full"), 0).otherwise(F.col("weight"))).over(every)
