@@ -97,12 +97,12 @@ def ext_forward_value(left: DataFrame, right: DataFrame, by: list[str], ts: str,
     known = right.filter(F.col(value).isNotNull()).groupBy(*by, F.col(ts).cast("timestamp_ntz").alias("_t")).agg(F.min(value).alias("_v"))
     known = known.withColumn("_v", F.struct(F.col("_t").alias("at"), F.col("_v").alias("v")))
     both = asked.withColumn("_v", F.lit(None).cast(known.schema["_v"].dataType)).unionByName(known, allowMissingColumns=True).withColumn("_day", F.to_date("_t"))
-    # a value at the very time counts: asked rows stand before it
-    w = Window.partitionBy(*by, "_day").orderBy("_t", F.col("_v").isNotNull()).rowsBetween(0, Window.unboundedFollowing)
+    # latest first, so that a running frame holds what comes later; a value at the very time stands before those who ask
+    w = Window.partitionBy(*by, "_day").orderBy(F.col("_t").desc(), F.col("_v").isNull()).rowsBetween(Window.unboundedPreceding, 0)
     days = both.groupBy(*by, "_day").agg(F.min(F.when(F.col("_v").isNotNull(), F.col("_v"))).alias("_start"))
-    after = Window.partitionBy(*by).orderBy("_day").rowsBetween(1, Window.unboundedFollowing)
-    carry = days.withColumn("_carry", F.first("_start", ignorenulls=True).over(after)).select(*[F.col(c).alias(f"_by_{c}") for c in by], F.col("_day").alias("_on"), "_carry")
-    own = both.withColumn("_own", F.first("_v", ignorenulls=True).over(w)).filter("_id is not null")
+    after = Window.partitionBy(*by).orderBy(F.col("_day").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    carry = days.withColumn("_carry", F.last("_start", ignorenulls=True).over(after)).select(*[F.col(c).alias(f"_by_{c}") for c in by], F.col("_day").alias("_on"), "_carry")
+    own = both.withColumn("_own", F.last("_v", ignorenulls=True).over(w)).filter("_id is not null")
     met = own.join(carry, [F.col("_day") == F.col("_on"), *(F.col(c).eqNullSafe(F.col(f"_by_{c}")) for c in by)], "left").withColumn("_hit", F.coalesce("_own", "_carry"))
     near = F.when(F.col("_hit.at") <= F.col("_t") + F.make_interval(mins=F.lit(tolerance)), F.col("_hit.v"))
     found = met.withColumn("_hit", near).groupBy("_id").agg(*[F.max(F.when(F.col("_m") == m, F.col("_hit"))).alias(f"after_{m}m") for m in minutes])
