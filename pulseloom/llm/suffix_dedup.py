@@ -494,5 +494,5 @@ def repeated_bytes(docs: DataFrame, length: int = 200, text: str = "text", id_co
     rows = docs.select(F.col(id_col).alias("doc_id"), raw.alias("raw"))
     # short texts stay as they are, and out of the join
     short = rows.filter(size < length).select("doc_id", size.alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), F.sha2("raw", 256).alias("kept_sha256"))
-    met = rows.filter(size >= length).select("doc_id", size.alias("n_bytes"), F.unhex(F.substring(F.sha2("raw", 256), 1, 32)).alias("key")).join(small(materialize(result), 160), "key")
+    met = rows.filter(size >= length).select("doc_id", size.alias("n_bytes"), F.unhex(F.substring(F.sha2("raw", 256), 1, 32)).alias("key")).join(small(materialize(result), 400), "key")
     return met.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").unionByName(short)
