@@ -10,9 +10,10 @@ terms are never asked for), so nothing is shuffled. Counts over all shards give
 
 * each posting list is cut into blocks. A dynamic program chooses the borders that minimise the sum over blocks of length times greatest impact (what the
   block's bound claims beyond the true impacts, up to a constant) plus a cost for each block, exactly, among all cuttings into blocks of up to 64 postings;
-* the pivot test of WAND is made for all documents at once: the bounds of the blocks that cover a document are summed, first the
-  documents of the highest bounds are scored, then all others whose bound reaches the k-th best score so far. Blocks without such a document are
-  skipped. A task keeps its k best from shard to shard, so that the test gets sharper.
+* some documents that the lists of the greatest bounds put first give a first k-th score. Lists stand by their bounds; the pivot is where their sum reaches that score, for a document that only lists before it hold cannot. So
+  candidates come from the lists from the pivot on alone, and of these only blocks are read that cover a document whose summed block bounds reach the k-th score. Then the lists before the pivot follow, a few at a time from the greatest bound down: a candidate stays while
+  what it has and the bounds of the blocks still unread that cover it reach the k-th score; only blocks with a candidate are read, or the list is searched for the candidates if they are few. This is done for all documents of a shard at once. A task keeps its
+  k best from shard to shard, so that the test gets sharper.
 
 Only documents whose bound is below the k-th score are left out, so the result is exact; equal scores go by ascending id. Queries are taken in blocks whose texts have
 ``query_bytes`` together (all of them at once in most cases), one pass over the documents for each.
@@ -44,7 +45,8 @@ MAX_BLOCK = 64
 #: A block costs as much as this many mean deviations of an impact.
 BLOCK_COST = 12
 _LISTS = 2048
-_FIRST = 64
+#: Documents that are looked at, and scored, for a first k-th score; lists before the pivot that are read at a time.
+_FIRST, _SCORED, _STEP = 64, 24, 2
 
 _TO_TERMS = bytes(32 if c < 0x30 or 0x3A <= c <= 0x40 or 0x5B <= c <= 0x60 or 0x7B <= c <= 0x7F else c + 32 if 0x41 <= c <= 0x5A else c for c in range(256))
 
@@ -192,48 +194,95 @@ class Blocks:
         self.begin = np.flatnonzero(block_starts(self.impacts, offsets))
         self.size = np.diff(self.begin, append=len(docs))
         self.top = np.maximum.reduceat(self.impacts, self.begin) if len(docs) else np.empty(0, np.int64)
-        self.first, self.last = self.docs[self.begin], self.docs[self.begin + self.size - 1]
+        self.last_at = self.begin + self.size - 1
+        self.first, self.last = self.docs[self.begin], self.docs[self.last_at]
+        self.read = 0  # postings looked at so far
         self.lists = np.searchsorted(self.begin, offsets)  # the blocks of each list
+        self.list_top = np.maximum.reduceat(self.top, self.lists[:-1]) if len(docs) else np.empty(0, np.int64)
         self.number = {t: i for i, t in enumerate(terms.tolist())}
 
     def best(self, query: list[tuple[int, int]], k: int, floor: int) -> tuple[np.ndarray, np.ndarray]:
-        """Documents (numbers in the shard) and scores, of at least the k best whose score reaches ``floor`` (1 at least); ties at the end are all in."""
+        """Documents (numbers in the shard) and scores: every one of the k best whose score reaches ``floor`` (1 at least), ties at the end all in."""
         here = [(self.number[t], w) for t, w in query if w > 0 and t in self.number]
+        none = np.empty(0, np.int64)
         if not here:
-            return np.empty(0, np.int64), np.empty(0, np.int64)
+            return none, none
         lists, weight = (np.array(x, np.int64) for x in zip(*here, strict=True))
+        most = weight * self.list_top[lists]
+        order = np.argsort(most, kind="stable")
+        lists, weight, most = lists[order], weight[order], most[order]
         count = self.lists[lists + 1] - self.lists[lists]
-        blocks = _ranges(self.lists[lists], count)
-        weight = np.repeat(weight, count)
+        ends = np.concatenate([[0], np.cumsum(count)])  # the blocks of the lists, in the order of their bounds
+        blocks, weights = _ranges(self.lists[lists], count), np.repeat(weight, count)
+        upto = np.cumsum(most)
+        floor = max(1, floor)
+
+        def score(a: int, z: int, live: np.ndarray, scores: np.ndarray) -> None:
+            wanted = np.flatnonzero(live)
+            for j in range(a, z):
+                self._add(int(lists[j]), int(weight[j]), wanted, live, scores)
+
+        def bound(a: int, z: int) -> np.ndarray:
+            return self._bound(blocks[ends[a] : ends[z]], weights[ends[a] : ends[z]])
+
+        # a first k-th score: of the documents that the lists of the greatest bounds put first
+        n, partial = len(lists), np.zeros(self.documents, np.int64)
+        head, everyone = n, np.ones(self.documents, bool)
+        while head and np.count_nonzero(partial) < min(_FIRST, self.documents):
+            head -= 1
+            score(head, head + 1, everyone, partial)
+        done = np.zeros(self.documents, bool)
+        few = max(k, _SCORED)
+        done[np.argpartition(partial, -few)[-few:] if self.documents > few else slice(None)] = True
+        exact = np.zeros(self.documents, np.int64)
+        score(0, n, done, exact)
+        floor = self._raised(floor, exact[done], k)
+        # the pivot: what only the lists before it hold cannot reach the k-th score
+        pivot = int(np.searchsorted(upto, floor))
+        rest = bound(0, pivot)
+        live = (rest + bound(pivot, n) >= floor) & ~done
+        partial = np.zeros(self.documents, np.int64)
+        score(pivot, n, live, partial)
+        live &= partial > 0
+        for z in range(pivot, 0, -_STEP):
+            live &= partial + rest >= floor
+            a = max(0, z - _STEP)
+            score(a, z, live, partial)
+            rest = bound(0, a)
+            floor = self._raised(floor, np.concatenate([exact[done], partial[live]]), k)
+        exact[live] = partial[live]
+        found = np.flatnonzero((live | done) & (exact >= floor))
+        return found, exact[found]
+
+    @staticmethod
+    def _raised(floor: int, scores: np.ndarray, k: int) -> int:
+        return max(floor, int(np.partition(scores, -k)[-k])) if len(scores) >= k else floor
+
+    def _bound(self, blocks: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        """For each document the sum of the bounds of the blocks that cover it."""
         change = np.zeros(self.documents + 1, np.int64)
         claim = weight * self.top[blocks]
         np.add.at(change, self.first[blocks], claim)
         np.subtract.at(change, self.last[blocks] + 1, claim)
-        bound = np.cumsum(change)[:-1]
-        scores = np.zeros(self.documents, np.int64)
-        done = np.zeros(self.documents, bool)
-        floor = max(1, floor)
-        first = np.argpartition(bound, -_FIRST)[-_FIRST:] if len(bound) > _FIRST else np.arange(len(bound))
-        live = np.zeros(self.documents, bool)
-        live[first] = True
-        for _ in range(2):
-            live &= (bound >= floor) & ~done
-            self._score(blocks, weight, live, scores)
-            done |= live
-            if done.sum() >= k:
-                floor = max(floor, int(np.partition(scores[done], -k)[-k]))
-            live[:] = True
-        found = np.flatnonzero(done & (scores >= floor))
-        return found, scores[found]
-
-    def _score(self, blocks: np.ndarray, weight: np.ndarray, live: np.ndarray, scores: np.ndarray) -> None:
+        return np.cumsum(change)[:-1]
+
+    def _add(self, number: int, weight: int, wanted: np.ndarray, live: np.ndarray, scores: np.ndarray) -> None:
+        """Add what one list gives to the wanted documents (numbers, and the same as marks): it is searched for few ones, else its blocks that cover one are read."""
+        blocks = np.arange(self.lists[number], self.lists[number + 1])
+        a, z = int(self.begin[blocks[0]]), int(self.last_at[blocks[-1]]) + 1
+        if len(wanted) * 4 < z - a:
+            docs = self.docs[a:z]
+            at = np.minimum(np.searchsorted(docs, wanted), z - a - 1)
+            hit = docs[at] == wanted
+            scores[wanted[hit]] += weight * self.impacts[a + at[hit]]
+            self.read += len(wanted)
+            return
         upto = np.concatenate([[0], np.cumsum(live)])
-        met = upto[self.last[blocks] + 1] > upto[self.first[blocks]]
-        blocks, weight = blocks[met], weight[met]
+        blocks = blocks[upto[self.last[blocks] + 1] > upto[self.first[blocks]]]
         at = _ranges(self.begin[blocks], self.size[blocks])
-        doc = self.docs[at]
-        kept = live[doc]
-        np.add.at(scores, doc[kept], np.repeat(weight, self.size[blocks])[kept] * self.impacts[at[kept]])
+        at = at[live[self.docs[at]]]
+        scores[self.docs[at]] += weight * self.impacts[at]
+        self.read += int(self.size[blocks].sum())
 
 
 # ---------------------------------------------------------------- search
