@@ -109,6 +109,18 @@ def ext_quality_ratios(posts: DataFrame, content: str, confidence: str, author:
     return one.select("posts", F.bround(1 - F.try_divide("kinds", n), 6).alias("duplicate_share"), F.bround(F.try_divide("weak", n), 6).alias("low_confidence_share"), F.bround(F.try_divide("most", n), 6).alias("max_contribution"))
 
 
+def ext_source_health(pages: DataFrame, parsed: DataFrame, key: str, source: str, seen: str, as_of: Column, stale_hours: float = 24.0) -> DataFrame:
+    """(source, pages, parse_success, freshness_hours, is_stale): how many pages of a source gave a record, and how long ago its newest page was seen.
+
+    ``parsed`` holds the keys of the pages that gave one, as often as they like; a source whose pages have no time has no freshness and counts as stale.
+    """
+    good = parsed.select(F.col(key).alias("_good")).filter("_good is not null").distinct()
+    met = pages.join(good, F.col(key) == F.col("_good"), "left")
+    age = (F.unix_micros(as_of.cast("timestamp")) - F.unix_micros(F.max(seen).cast("timestamp"))) / 3_600_000_000
+    g = met.groupBy(source).agg(F.count(F.lit(1)).alias("pages"), F.bround(F.count("_good") / F.count(F.lit(1)), 6).alias("parse_success"), F.bround(age, 4).alias("freshness_hours"))
+    return g.withColumn("is_stale", F.coalesce(F.col("freshness_hours") > stale_hours, F.lit(True)))
+
+
 def ext_velocity(series: DataFrame, ts: str, value: str, minutes: tuple[int, ...] = (15, 60, 1440)) -> DataFrame:
     """Change against the value exactly that many minutes before, NULL if there is none: equality joins."""
     out = series

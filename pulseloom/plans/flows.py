@@ -9,11 +9,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import provider, timefn
-from ..operators import bars, decay, intervals, sketches
+from ..operators import bars, decay, extensions, intervals, sketches
 from ..schemas import HOURLY_BAR
 from ..shared import shared_dir
 from ..sinks import merge_days, to_contract, write_jsonl, write_text
-from ..sources import broker_pages, market_files, pagination
+from ..sources import broker_pages, html, market_files, pagination
 from ..streaming import upsert
 from .catalog import _POSTS, _STAMP, event_posts, query, t
 from .collector import Run, collect_run
@@ -356,3 +356,48 @@ def q_provider_labels(spark: SparkSession, d: str) -> DataFrame:
     by = labelled.groupBy(F.coalesce("reject_reason", F.lit("valid")).alias("outcome")).agg(F.count(F.lit(1)).alias("n"))
     total = by.agg(F.sum("n").alias("_all"))
     return by.crossJoin(F.broadcast(total)).select("outcome", "n", F.bround(F.col("n") / F.col("_all"), 6).alias("share"))
+
+
+# ---------------------------------------------------------------- a folder of files, pseudonyms, health of sources
+
+
+@query("folder_rows", "SELECT event_id AS id, event_type AS instrument_id, strftime(date_trunc('second', ts), '%Y-%m-%dT%H:%M:%S+09:00') AS timestamp, value AS price FROM events")
+def q_folder_rows(spark: SparkSession, d: str) -> DataFrame:
+    """A folder with a JSON-lines file, CSV files and JSON documents of up to 1000 events, read together."""
+    folder = f"{shared_dir(spark)}/folder-{spark._jvm.java.util.UUID.randomUUID()}"
+    k = F.col("event_id")
+    e = t(spark, d, "events").select(k, F.date_format(F.col("ts").cast("timestamp_ntz"), "yyyy-MM-dd'T'HH:mm:ss").alias("time"), F.col("event_type").alias("code"), F.col("value").alias("price"), k.cast("string").alias("volume"))
+    write_jsonl(e.filter(k % 3 == 0).drop("event_id"), f"{folder}/a.jsonl", ["volume"])
+    e.filter(k % 3 == 1).drop("event_id").write.option("header", "true").csv(f"{folder}/b")
+    blocks = e.filter(k % 3 == 2).groupBy(F.floor(k / 3000).alias("block")).agg(F.collect_list(F.struct("time", "code", "price", "volume")).alias("data"))
+    blocks.write.partitionBy("block").json(f"{folder}/c")
+    r = market_files.resolve(market_files.read_folder(spark, folder))
+    return r.select(F.col("volume").cast("long").alias("id"), "instrument_id", timefn.iso(F.col("ts")).alias("timestamp"), "price")
+
+
+_SECRET = b"a key of our own"
+_PADS = [bytes(x ^ pad for x in _SECRET.ljust(64, b"\0")).hex() for pad in (0x36, 0x5C)]
+
+
+@query(
+    "ext_pseudonyms",
+    f"""SELECT event_id, sha256(unhex('{_PADS[1]}' || sha256(unhex('{_PADS[0]}' || hex(encode(event_type || user_id)))))) AS author FROM events""",
+)
+def q_pseudonyms(spark: SparkSession, d: str) -> DataFrame:
+    """Users of each source by keyed digests."""
+    e = t(spark, d, "events")
+    return e.select("event_id", extensions.ext_pseudonym(F.col("event_type"), F.col("user_id").cast("string"), _SECRET).alias("author"))
+
+
+@query(
+    "ext_source_health",
+    r"""WITH p AS (SELECT page_id, regexp_extract(url, '^https?://([^/]+)', 1) AS host, TIMESTAMP '2026-01-01' + INTERVAL 1 MINUTE * page_id AS seen, regexp_matches(html, '<a href="[^"]+">[^<]+</a>') AS good FROM pages)
+SELECT host, count(*) AS pages, round_even(count(*) FILTER (good)::DOUBLE / count(*), 6) AS parse_success, round_even(epoch(TIMESTAMP '2026-01-03' - max(seen)) / 3600.0::DOUBLE, 4) AS freshness_hours, epoch(TIMESTAMP '2026-01-03' - max(seen)) / 3600.0 > 45.0 AS is_stale FROM p GROUP BY host""",
+)
+def q_source_health(spark: SparkSession, d: str) -> DataFrame:
+    """Of each host the share of pages that have a link with text, and the age of its newest page."""
+    pages = t(spark, d, "pages")
+    seen = F.lit("2026-01-01").cast("timestamp_ntz") + F.make_interval(mins=F.col("page_id").cast("int"))
+    named = pages.select("page_id", F.regexp_extract("url", "^https?://([^/]+)", 1).alias("host"), seen.cast("timestamp").alias("seen"))
+    as_of = F.lit("2026-01-03").cast("timestamp_ntz").cast("timestamp")
+    return extensions.ext_source_health(named, html.links(pages, ("page_id",)), "page_id", "host", "seen", as_of, 45.0)
