@@ -106,13 +106,19 @@ def _padded(value: Column) -> Column:
     return value != F.regexp_replace(value, r"^(?U)\s+|(?U)\s+$", "")
 
 
+def _plain_time(text: Column) -> Column:
+    """The time of 14 digits, NULL if they are none; short, so that it may stand in a plan several times."""
+    cut = lambda i, n: F.substring(text, i, n)
+    dashed = F.concat(cut(1, 4), F.lit("-"), cut(5, 2), F.lit("-"), cut(7, 2), F.lit(" "), cut(9, 2), F.lit(":"), cut(11, 2), F.lit(":"), cut(13, 2))
+    return F.when(text.rlike(r"^\d{14}$"), dashed.try_cast("timestamp_ntz"))
+
+
 def bar_time_status(value: Column, day: Column) -> Column:
     """``target``, ``other_date`` or ``invalid`` for a broker's bar time against the day asked for (yyyyMMdd)."""
     text = value.cast("string")
-    full = kst(text)
     return (
         F.when(text.isNull() | ~text.rlike(r"^\d+$"), "invalid")
-        .when(F.length(text) == 14, F.when(full.isNull(), "invalid").when(F.substring(text, 1, 8) != day, "other_date").otherwise("target"))
+        .when(F.length(text) == 14, F.when(_plain_time(text).isNull(), "invalid").when(F.substring(text, 1, 8) != day, "other_date").otherwise("target"))
         .when(F.length(text).isin(4, 6), "target")
         .otherwise("invalid")
     )
@@ -122,8 +128,8 @@ def bar_time(value: Column, day: Column) -> Column:
     """The time of a broker's bar: 14 digits on the day asked for, or 6 or 4 digits of that day; never made up."""
     text = value.cast("string")
     n = F.length(text)
-    short = F.concat(day, F.when(n == 4, F.concat(text, F.lit("00"))).otherwise(text))
-    return F.when(text.rlike(r"^\d+$"), F.when((n == 14) & (F.substring(text, 1, 8) == day), kst(text)).when(n.isin(4, 6), kst(short)))
+    whole = F.when((n == 14) & (F.substring(text, 1, 8) == day), text).when(n == 6, F.concat(day, text)).when(n == 4, F.concat(day, text, F.lit("00")))
+    return _plain_time(whole)
 
 
 # Days on which the exchange is closed, for the years that are known.
