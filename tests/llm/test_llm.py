@@ -652,15 +652,15 @@ def test_toxicity(spark):
     # a document's score by enumeration of its chain
     from itertools import product
 
-    text = "baa vile bab bac grubby bad"
-    w = text.split()
-    own = [sum(model.weight.get(f, 0.0) for f in traits(x)) for x in w]
-    u = [own[i] + model.ahead * bool(i and own[i - 1]) + model.behind * bool(i + 1 < len(w) and own[i + 1]) + model.const for i in range(len(w))]
-    weights = {y: math.exp(sum(a * b for a, b in zip(u, y, strict=True)) + sum(model.trans[2 * a + b] for a, b in zip(y, y[1:], strict=False))) for y in product((0, 1), repeat=len(w))}
-    p = [sum(v for y, v in weights.items() if y[i]) / sum(weights.values()) for i in range(len(w))]
-    strong = sum(x for x in p if x > 0.3)
-    z = np.dot(model.curve, [math.log1p(strong), math.log1p(100 * strong / (len(w) + 10)), max(p), 1])
-    assert math.isclose(model.score([text], {})[0][0], 1 / (1 + math.exp(-z)), rel_tol=1e-6)
+    for text in ("baa vile bab bac grubby bad", "vile", "baa", "nasty\n\n\nbab  vile", "\n vile vile \t grubby baa baa nasty"):
+        w = text.split()
+        own = [sum(model.weight.get(f, 0.0) for f in traits(x)) for x in w]
+        u = [own[i] + model.ahead * bool(i and own[i - 1]) + model.behind * bool(i + 1 < len(w) and own[i + 1]) + model.const for i in range(len(w))]
+        weights = {y: math.exp(sum(a * b for a, b in zip(u, y, strict=True)) + sum(model.trans[2 * a + b] for a, b in zip(y, y[1:], strict=False))) for y in product((0, 1), repeat=len(w))}
+        p = [sum(v for y, v in weights.items() if y[i]) / sum(weights.values()) for i in range(len(w))]
+        strong = sum(x for x in p if x > 0.3)
+        z = np.dot(model.curve, [math.log1p(strong), math.log1p(100 * strong / (len(w) + 10)), max(p), 1])
+        assert math.isclose(model.score([text], {})[0][0], 1 / (1 + math.exp(-z)), rel_tol=1e-6)
     assert toxicity_scores(d.limit(0), model).count() == 0
     none = fit_toxicity(d, labels.limit(0))
     assert {(r.score, r.spans) for r in toxicity_scores(d, none).collect()} == {(0.5, "")}
