@@ -39,7 +39,7 @@ def _bodies(e: DataFrame) -> DataFrame:
     at = F.date_format(F.when(k % 7 == 0, F.col("ts") + F.make_interval(days=F.lit(1))).otherwise(F.col("ts")), "yyyyMMddHHmmss")
     row = F.struct(
         F.concat(F.lit("-"), v).alias("cur_prc"), F.when(k % 5 != 0, F.col("user_id").cast("string")).alias("trde_qty"), F.when(k % 11 == 0, "x").otherwise(at).alias("cntr_tm"), F.concat(F.lit("+"), v).alias("open_pric"), v.alias("high_pric"),
-        F.when(k % 13 == 0, "0").otherwise(v).alias("low_pric"),
+        F.when(k % 13 == 0, "0").otherwise(v).alias("low_pric"), F.date_format("ts", "SSSSSS").alias(broker_pages.FRACTION),
     )
     p = e.select(F.date_format("ts", "yyyyMMdd").alias("day"), (F.floor(k / 1000) * 3 + k % 3).cast("long").alias("page"), F.struct("event_id", row.alias("row")).alias("x"))
     p = p.groupBy("day", "page").agg(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["row"]).alias(broker_pages.TABLE))

@@ -84,3 +84,11 @@ def test_two_files_move_together(spark, tmp_path):
     folder = spark.range(5).select(F.col("id"))
     sinks.write_jsonl(folder, f"file://{tmp_path}/many", ["id"], single_file=False)
     assert sorted(json.loads(x)["id"] for p in (tmp_path / "many").glob("part-*") for x in p.read_text().splitlines()) == list(range(5))
+
+
+def test_bars_of_one_second_keep_their_order(spark, files):
+    """Microseconds decide between bars of one second, whatever pages they stand on; what is no fraction counts as none."""
+    late, early = bar("20260414090500", 650, cntr_us="900000"), bar("20260414090500", 640, open_pric="639", cntr_us="100000")
+    collect_run(spark, pages(spark, ("20260414", [late]), ("20260414", [early, bar("20260414090500", 645, open_pric="638", cntr_us="x")])), run(files, force=True))
+    (line,) = [json.loads(x) for x in files[0].read_text().splitlines()]
+    assert (line["open"], line["close"]) == (638.0, 650.0)
