@@ -34,6 +34,19 @@ def _by_day(rows: DataFrame, item: Column) -> DataFrame:
     return kept.groupBy("file").agg(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["item"]).alias("items"))
 
 
+def _in_pieces(rows: DataFrame, item: Column, head: Column, tail: Column, between: str) -> DataFrame:
+    """(file, part, text): a file a day in pieces, its head, then the texts of its rows in order of their ids, a piece for each thousand ids, then its tail. ``between`` rows a line ends."""
+    day, block = F.to_date("ts").cast("string").alias("file"), F.floor(F.col("event_id") / 1000)
+    parts = rows.select(day, block.alias("part"), F.struct("event_id", item.alias("item")).alias("x")).groupBy("file", "part")
+    parts = parts.agg(F.array_join(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["item"]), between).alias("text"))
+    days = rows.groupBy(day).agg(F.min(block).alias("least"), F.max(block).alias("most"))
+    ends = [days.select("file", at.alias("part"), text.alias("text")) for at, text in ((F.col("least") - 1, head), (F.col("most") + 1, tail))]
+    most = days.select(F.col("file").alias("_file"), "most")
+    same = F.col("file").eqNullSafe(F.col("_file"))
+    text = F.concat("text", F.when(F.col("part") < F.col("most"), between).otherwise(between.lstrip(",")))
+    return parts.join(F.broadcast(most), same).select("file", "part", text.alias("text")).unionByName(ends[0]).unionByName(ends[1])
+
+
 def _last_hour(spark: SparkSession, d: str) -> str:
     last = t(spark, d, "events").select(timefn.iso(timefn.hour_of(F.max(ntz()))).alias("hour")).first()["hour"]
     return last or "1970-01-01T00:00:00+09:00"
@@ -45,6 +58,8 @@ def _events(spark: SparkSession, d: str) -> DataFrame:
 
 _FILE = "ts::DATE::VARCHAR || '-' || lpad((event_id // 1000)::VARCHAR, 9, '0')"
 _POS = "row_number() OVER (PARTITION BY ts::DATE, event_id // 1000 ORDER BY event_id) - 1"
+_DAY_FILE = "ts::DATE::VARCHAR"
+_DAY_POS = "row_number() OVER (PARTITION BY ts::DATE ORDER BY event_id) - 1"
 _SHOWN = "file, pos, kind, strftime(date_trunc('second', ts), '%Y-%m-%dT%H:%M:%S+09:00') AS timestamp, instrument_id, symbol, price, open, high, low, close, volume"
 
 
@@ -97,15 +112,15 @@ def q_jsonl(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "market_csv",
-    f"""WITH l AS (SELECT {_FILE} AS file, {_POS} AS pos, 'candle' AS kind, ts, event_type AS instrument_id, event_type || ', "x"' AS symbol, value AS price, NULL::DOUBLE AS open, NULL::DOUBLE AS high, NULL::DOUBLE AS low, value AS close, NULL::DOUBLE AS volume FROM events)
+    f"""WITH l AS (SELECT {_DAY_FILE} AS file, {_DAY_POS} AS pos, 'candle' AS kind, ts, event_type AS instrument_id, event_type || ', "x"' AS symbol, value AS price, NULL::DOUBLE AS open, NULL::DOUBLE AS high, NULL::DOUBLE AS low, value AS close, NULL::DOUBLE AS volume FROM events)
 SELECT {_SHOWN.replace("'candle'", "kind")} FROM (SELECT * REPLACE ('tick' AS kind) FROM l)""",
 )
 def q_csv(spark: SparkSession, d: str) -> DataFrame:
     """A CSV file a day, with a byte-order mark, a header and quoted fields."""
     quoted = F.concat(F.lit('"'), F.col("event_type"), F.lit(', ""x"""'))
     line = F.concat_ws(",", _text(F.col("ts")), F.col("event_type"), quoted, F.col("value").cast("string"), F.lit("none"))
-    text = F.concat(F.lit("﻿일자,종목코드,name,종가,volume\r\n"), F.array_join("items", "\r\n"), F.lit("\r\n"))
-    return _resolved(market_files.csv_rows(_by_day(_events(spark, d), line).select("file", text.alias("text"))))
+    head = F.lit("﻿일자,종목코드,name,종가,volume\r\n")
+    return _resolved(market_files.csv_rows(_in_pieces(_events(spark, d), line, head, F.lit(""), "\r\n")))
 
 
 @query(

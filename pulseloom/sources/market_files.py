@@ -1,7 +1,8 @@
 """Market files of any shape: JSON, JSONL and CSV with resolved aliases, and Parquet or tables.
 
-Rows keep their order (file, pos). JSON lines are read split by split (``line_files``), however large a file is; a JSON document or a CSV file, whose quoted fields may hold
-line breaks, is read whole, which suits many small ones. Large inputs of those kinds come as tables with an order column of their own (``resolve``).
+Rows keep their order (file, pos). JSON lines and CSV files are read split by split (``line_files``), however large a file is; a JSON document that is read from a path comes whole.
+``json_rows`` and ``csv_rows`` take texts (file, text), or files in pieces (file, part, text) that are cut behind line feeds; tables of a row per piece tell how the pieces hang together,
+and no task holds more than a piece and what a quoted field or an item that goes on ties to it.
 """
 
 from __future__ import annotations
@@ -10,12 +11,14 @@ import csv
 import io
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..arrow import slices
 from ..functions.parse import first_field, is_candle, lenient_double
 from ..functions.timefn import iso, kst
+from ..shared import materialize
 from .line_files import read_lines
 
 # Keys of a JSON object that may hold the rows, and aliases of fields in order of preference.
@@ -29,6 +32,8 @@ SYMBOL = ("symbol", "종목명", "name", "shortName")
 ASSET = ("assetType", "asset_type", "securityType")
 FORMATS = ("json", "jsonl", "csv")
 _MAP = "map<string,string>"
+#: Lines of a file in a piece, and rows of a piece that a worker hands out at a time.
+PIECE_LINES, _ROWS = 1000, 4096
 
 
 def _glob(suffix: str) -> str:
@@ -63,18 +68,95 @@ def line_rows(lines: DataFrame) -> DataFrame:
     return lines.select("file", F.col("pos").cast("long").alias("pos"), F.from_json(F.trim("line"), _MAP).alias("raw")).filter("raw is not null")
 
 
-def csv_rows(files: DataFrame) -> DataFrame:
-    """Rows of CSV texts, each with a header of its own; a byte-order mark is dropped."""
+def _records(text: str | None) -> Iterator[list[str]]:
+    csv.field_size_limit((1 << 31) - 1)
+    return csv.reader(io.StringIO(text or "", newline=""))
+
+
+def _quoting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(file, part, plain, quoted): whether a quoted field is open behind a piece, if none was and if one was open before it."""
+
+    def left_open(text: str) -> bool:
+        last = None
+        for last in _records(text + "x"):
+            pass
+        return last != ["x"]  # an open field holds at least the line feed before it
+
+    for b in slices(batches):
+        texts = b.column(2).to_pylist()
+        ends = [(left_open(x), left_open('"' + x)) if x and '"' in x else (False, True) for x in texts]
+        plain, quoted = zip(*ends, strict=True)
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(plain, pa.bool_()), pa.array(quoted, pa.bool_())], names=["file", "part", "plain", "quoted"])
+
+
+def _counting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(file, part, records, header): how many records that are not empty a piece has, and its first record."""
+    for b in slices(batches):
+        counts, heads = [], []
+        for text in b.column(2).to_pylist():
+            n, head = 0, None
+            for r in _records(text):
+                head = r if head is None else head
+                n += bool(r)
+            counts.append(n)
+            heads.append(head)
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(counts, pa.int64()), pa.array(heads, pa.list_(pa.string()))], names=["file", "part", "records", "header"])
+
+
+def _parsing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(file, pos, raw) of pieces (file, text, before, header), some thousand rows at a time; without a header a piece begins with its own."""
+
+    def batch(file: list[str], pos: list[int], raw: list[dict]) -> pa.RecordBatch:
+        maps = pa.array([list(r.items()) for r in raw], pa.map_(pa.string(), pa.string()))
+        return pa.RecordBatch.from_arrays([pa.array(file, pa.string()), pa.array(pos, pa.int64()), maps], names=["file", "pos", "raw"])
+
+    for b in slices(batches):
+        for file, text, pos, header in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            at, raw = [], []
+            records = _records(text)
+            names = next(records, []) if header is None else header
+            for r in records:
+                if not r:
+                    continue
+                at.append(pos)
+                raw.append(dict(zip(names, r + [None] * (len(names) - len(r)), strict=False)))
+                pos += 1
+                if len(at) == _ROWS:
+                    yield batch([file] * len(at), at, raw)
+                    at, raw = [], []
+            if at:
+                yield batch([file] * len(at), at, raw)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for file, text in zip(b["file"], b["text"], strict=True):
-                for i, r in enumerate(csv.DictReader(io.StringIO((text or "").removeprefix("﻿"), newline=""))):
-                    rows.append((file, i, {k: v for k, v in r.items() if k is not None and not isinstance(v, list)}))
-            yield pd.DataFrame(rows, columns=["file", "pos", "raw"])
 
-    return files.select("file", "text").mapInPandas(run, f"file string, pos long, raw {_MAP}")
+def csv_rows(files: DataFrame) -> DataFrame:
+    """Rows of CSV texts, each with a header of its own; a byte-order mark is dropped."""
+    out = f"file string, pos long, raw {_MAP}"
+    bare = F.regexp_replace("text", "^\\uFEFF", "")
+    if "part" not in files.columns:
+        return files.select("file", bare.alias("text"), F.lit(0).cast("long").alias("before"), F.lit(None).cast("array<string>").alias("header")).mapInArrow(_parsing, out)
+    pieces = materialize(files.select("file", F.col("part").cast("long").alias("part"), "text"))
+    begins = pieces.groupBy(F.col("file").alias("_file")).agg(F.min("part").alias("_first"))
+    pieces = pieces.join(begins, F.col("file").eqNullSafe(F.col("_file"))).select("file", "part", F.when(F.col("part") == F.col("_first"), bare).otherwise(F.col("text")).alias("text"))
+    by = Window.partitionBy("file").orderBy("part")
+    upto, ahead = by.rowsBetween(Window.unboundedPreceding, 0), by.rowsBetween(Window.unboundedPreceding, -1)
+    ends = pieces.mapInArrow(_quoting, "file string, part long, plain boolean, quoted boolean")
+    # pieces after which a field is open or not, whatever was before, and how often the others turn that round
+    ends = ends.withColumn("turns", F.sum((F.col("plain") & ~F.col("quoted")).cast("long")).over(upto))
+    known = F.last(F.when(F.col("plain") == F.col("quoted"), F.struct(F.col("plain").cast("long").alias("open"), "turns")), ignorenulls=True).over(ahead)
+    turned = F.coalesce(F.max("turns").over(ahead), F.lit(0))
+    ends = ends.withColumn("known", known).withColumn("open", (F.coalesce("known.open", F.lit(0)) + turned - F.coalesce("known.turns", F.lit(0))) % 2)
+    # pieces with an open field before them join the last one without
+    ends = ends.withColumn("begin", F.last(F.when(F.col("open") == 0, F.col("part")), ignorenulls=True).over(upto))
+    ends = ends.select(F.col("file").alias("_file"), F.col("part").alias("_part"), "begin")
+    same = F.col("file").eqNullSafe(F.col("_file")) & (F.col("part") == F.col("_part"))
+    parts = F.transform(F.sort_array(F.collect_list(F.struct("part", "text"))), lambda x: x["text"])
+    tied = materialize(pieces.join(ends, same).groupBy("file", "begin").agg(F.array_join(parts, "").alias("text")).withColumnRenamed("begin", "part").select("file", "part", "text"))
+    counts = tied.mapInArrow(_counting, "file string, part long, records long, header array<string>")
+    every = by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    counts = counts.withColumns({"before": F.coalesce(F.sum("records").over(ahead), F.lit(0)), "own": F.min(F.when(F.col("header").isNotNull(), F.col("part"))).over(every), "header": F.first("header", ignorenulls=True).over(every)})
+    own = F.coalesce(F.col("part") == F.col("own"), F.lit(True))
+    counts = counts.select(F.col("file").alias("_file"), F.col("part").alias("_part"), F.when(own, F.lit(0)).otherwise(F.col("before") - (F.size("header") > 0).cast("long")).alias("before"), F.when(~own, F.col("header")).alias("header"))
+    return tied.join(counts, same).select("file", "text", "before", "header").mapInArrow(_parsing, out)
 
 
 _READERS = {"json": json_rows, "jsonl": jsonl_rows, "csv": csv_rows}

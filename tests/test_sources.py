@@ -187,3 +187,25 @@ def test_stream(spark, tmp_path):
     q.stop()
     got = [(r.post_count, r.sentiment_index) for r in spark.table("stream_index").orderBy("hour").collect()]
     assert got == [(2, 100.0), (1, 0.0)]
+
+
+def _cut(spark, texts, every):
+    """Files in pieces, cut behind each ``every``-th line feed."""
+    rows = []
+    for file, text in texts.items():
+        lines = text.split("\n")
+        lines = [x + "\n" for x in lines[:-1]] + [lines[-1]]
+        rows += [(file, i - 5, "".join(lines[i : i + every])) for i in range(0, len(lines), every)]
+    return spark.createDataFrame(rows, "file string, part int, text string").repartition(3)
+
+
+def _same_rows(read, spark, texts):
+    shown = lambda d: sorted((r.file, r.pos, sorted(r.raw.items())) for r in d.collect())
+    want = shown(read(spark.createDataFrame(list(texts.items()), "file string, text string")))
+    assert len(want) > 20 and all(shown(read(_cut(spark, texts, n))) == want for n in (1, 3))
+
+
+def test_csv_in_pieces(spark):
+    """A file in pieces has the rows of the whole file: quoted line feeds, odd quotes, blank lines, short and long records, a mark and a missing last line feed."""
+    body = 'a,"b\n""x"",\n\n",c\r\n\r\n1,2,3\n"q"r"s,5\n x"y,"z\n",9,10\n\n7\n"\n",",\n' * 3
+    _same_rows(market_files.csv_rows, spark, {"a": "﻿k,\"l\nl\",k\r\n" + body, "b": "k,l\n" + body + '"open\nto the end\n', "c": "\n" + body, "d": "", "e": "k\n" + body + "last"})
