@@ -42,12 +42,12 @@ def _number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([file, block, pa.array(number), b.column(2)], names=["file", "block", "n", "line"])
 
 
-def read_lines(spark: SparkSession, path: str | list[str], glob: str | None = None) -> DataFrame:
-    """(file, pos, line) of text files or folders: pos counts all lines of a file from 0; a carriage return at a line's end goes. A missing path is an error."""
+def read_lines(spark: SparkSession, path: str | list[str], glob: str | None = None, returns: bool = False) -> DataFrame:
+    """(file, pos, line) of text files or folders: pos counts all lines of a file from 0; a carriage return at a line's end goes, unless ``returns`` are kept. A missing path is an error."""
     reader = spark.read.option("lineSep", "\n").option("recursiveFileLookup", "true")
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    found = reader.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.regexp_replace("value", r"\r\z", "").alias("line"))
+    found = reader.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), (F.col("value") if returns else F.regexp_replace("value", r"\r\z", "")).alias("line"))
     rows = materialize(found.mapInArrow(_number, "file string, block long, n long, line string"))
     ahead = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     blocks = rows.groupBy("file", "block").agg((F.max("n") + 1).alias("lines")).select("file", "block", F.coalesce(F.sum("lines").over(ahead), F.lit(0)).alias("before"))

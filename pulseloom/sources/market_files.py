@@ -159,6 +159,14 @@ def csv_rows(files: DataFrame) -> DataFrame:
     return tied.join(counts, same).select("file", "text", "before", "header").mapInArrow(_parsing, out)
 
 
+def line_pieces(lines: DataFrame) -> DataFrame:
+    """Files in pieces (file, part, text) of numbered lines (file, pos, line). What follows a file's last line feed ends it, so that none is made up."""
+    parts = lines.groupBy("file", F.floor(F.col("pos") / PIECE_LINES).alias("part")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "\n").alias("text"))
+    last = lines.groupBy(F.col("file").alias("_file")).agg(F.floor(F.max("pos") / PIECE_LINES).alias("_last"))
+    feed = F.when(F.col("part") < F.col("_last"), "\n").otherwise("")
+    return parts.join(last, F.col("file") == F.col("_file")).select("file", "part", F.concat("text", feed).alias("text"))
+
+
 _READERS = {"json": json_rows, "jsonl": jsonl_rows, "csv": csv_rows}
 
 
@@ -167,6 +175,8 @@ def read_file(spark: SparkSession, path: str) -> DataFrame:
     suffix = path.rsplit(".", 1)[-1].lower()
     if suffix == "jsonl":
         return line_rows(read_lines(spark, path))
+    if suffix == "csv":
+        return csv_rows(line_pieces(read_lines(spark, path, returns=True)))
     files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text"))
     if suffix == "parquet":
         raise ValueError("Parquet is a table: read it with spark.read.parquet and use resolve()")
@@ -177,7 +187,11 @@ def read_folder(spark: SparkSession, root: str) -> DataFrame:
     """(file, pos, raw) of all files below a folder; a missing folder is an error. (file, pos) is the input order."""
     out = None
     for suffix, reader in _READERS.items():
-        rows = line_rows(read_lines(spark, root, _glob(suffix))) if suffix == "jsonl" else reader(_whole(spark, root, suffix))
+        if suffix == "json":
+            rows = reader(_whole(spark, root, suffix))
+        else:
+            lines = read_lines(spark, root, _glob(suffix), returns=suffix == "csv")
+            rows = line_rows(lines) if suffix == "jsonl" else reader(line_pieces(lines))
         out = rows if out is None else out.unionByName(rows)
     return out
 
