@@ -73,7 +73,7 @@ def _resolved(rows: DataFrame) -> DataFrame:
 
 @query(
     "market_json",
-    f"""SELECT {_FILE} AS file, {_POS} AS pos, 'tick' AS kind, {_STAMP.format("date_trunc('second', ts)")} AS timestamp, event_type AS instrument_id, CASE WHEN event_id % 2 = 0 THEN event_type ELSE '' END AS symbol, value AS price,
+    f"""SELECT {_DAY_FILE} AS file, {_DAY_POS} AS pos, 'tick' AS kind, {_STAMP.format("date_trunc('second', ts)")} AS timestamp, event_type AS instrument_id, CASE WHEN event_id % 2 = 0 THEN event_type ELSE '' END AS symbol, value AS price,
   NULL::DOUBLE AS open, NULL::DOUBLE AS high, NULL::DOUBLE AS low, CASE WHEN event_id % 5 = 0 THEN NULL::DOUBLE END AS close, CASE WHEN event_id % 3 = 0 THEN user_id::DOUBLE END AS volume FROM events""",
 )
 def q_json(spark: SparkSession, d: str) -> DataFrame:
@@ -81,11 +81,10 @@ def q_json(spark: SparkSession, d: str) -> DataFrame:
     e, odd = _events(spark, d), F.col("event_id") % 2 == 1
     when = _text(F.col("ts"))
     item = _json(timestamp=F.when(~odd, when), 시간=F.when(odd, when), price=F.when(~odd, F.col("value")), 현재가=F.when(odd, F.col("value").cast("string")), symbol=F.when(~odd, F.col("event_type")), code=F.when(odd, F.col("event_type")), 거래량=F.when(F.col("event_id") % 3 == 0, F.col("user_id")))
-    listed = F.concat(F.lit("["), F.array_join("items", ", "), F.lit("]"))
-    k = F.dayofmonth(F.substring("file", 1, 10).cast("date")) % 4
+    k = F.dayofmonth(F.col("file").cast("date")) % 4
     name = F.element_at(F.array(*[F.lit(x) for x in ("data", "ticks", "records")]), F.greatest(k, F.lit(1)))
-    whole = F.when(k == 0, listed).otherwise(F.concat(F.lit('{"note": "day", "'), name, F.lit('": '), listed, F.lit("}")))
-    return _resolved(market_files.json_rows(_by_day(e, item).select("file", whole.alias("text"))))
+    head = F.when(k == 0, "[\n").otherwise(F.concat(F.lit('{"note": "day", "'), name, F.lit('": [\n')))
+    return _resolved(market_files.json_rows(_in_pieces(e, item, head, F.when(k == 0, "]").otherwise("]}"), ",\n")))
 
 
 def _lines(spark: SparkSession, d: str) -> DataFrame:

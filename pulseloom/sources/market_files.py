@@ -9,10 +9,12 @@ from __future__ import annotations
 
 import csv
 import io
+import re
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..arrow import slices
@@ -34,6 +36,7 @@ FORMATS = ("json", "jsonl", "csv")
 _MAP = "map<string,string>"
 #: Lines of a file in a piece, and rows of a piece that a worker hands out at a time.
 PIECE_LINES, _ROWS = 1000, 4096
+_STRING = re.compile(r'"(?:[^"\\]|\\.)*"', re.DOTALL)
 
 
 def _glob(suffix: str) -> str:
@@ -44,18 +47,73 @@ def _whole(spark: SparkSession, path: str, suffix: str) -> DataFrame:
     return spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", _glob(suffix)).text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text"))
 
 
-def json_rows(files: DataFrame) -> DataFrame:
-    """Rows of JSON texts: a list, or an object's first listed list, or else the object itself; what is no object is skipped."""
-    text = F.trim(F.regexp_replace("text", "^\\uFEFF", ""))
-    d = files.withColumn("text", text).withColumn("top", F.from_json("text", _MAP))
+def _items(text: Column) -> Column:
+    """The items of a JSON text: a list's, or those of an object's first listed list, or else the text itself."""
+    top = F.from_json(text, _MAP)
     inner = None
     for k in LISTS:
-        v = F.element_at(F.col("top"), F.lit(k))
+        v = F.element_at(top, F.lit(k))
         hit = F.coalesce(F.ltrim(v).startswith("["), F.lit(False))
         inner = F.when(hit, v) if inner is None else inner.when(hit, v)
     listed = F.from_json(inner, "array<string>")
-    items = F.when(F.col("text").startswith("["), F.from_json("text", "array<string>")).when(F.size(listed) > 0, listed).otherwise(F.array("text"))
-    return d.select("file", F.posexplode(items).alias("pos", "item")).select("file", F.col("pos").cast("long").alias("pos"), F.from_json("item", _MAP).alias("raw")).filter("raw is not null")
+    return F.when(text.startswith("["), F.from_json(text, "array<string>")).when(F.size(listed) > 0, listed).otherwise(F.array(text))
+
+
+def json_rows(files: DataFrame) -> DataFrame:
+    """Rows of JSON texts: a list, or an object's first listed list, or else the object itself; what is no object is skipped."""
+    if "part" in files.columns:
+        return _json_pieces(files)
+    d = files.withColumn("text", F.trim(F.regexp_replace("text", "^\\uFEFF", "")))
+    return d.select("file", F.posexplode(_items(F.col("text"))).alias("pos", "item")).select("file", F.col("pos").cast("long").alias("pos"), F.from_json("item", _MAP).alias("raw")).filter("raw is not null")
+
+
+def _brackets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(file, part, change, low, first, last) of pieces: how the depth of brackets changes and how low it comes, and the first and last characters that are no blanks."""
+    for b in slices(batches):
+        rows = []
+        for text in b.column(2).to_pylist():
+            plain = (text or "").removeprefix("\ufeff").strip()
+            depth = low = 0
+            for c in re.findall(r"[\[\]{}]", _STRING.sub("", plain)):
+                depth += 1 if c in "[{" else -1
+                low = min(low, depth)
+            rows.append((depth, low, plain[:1] or None, plain[-1:] or None))
+        change, low, first, last = zip(*rows, strict=True)
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(change, pa.int64()), pa.array(low, pa.int64()), pa.array(first, pa.string()), pa.array(last, pa.string())], names=["file", "part", "change", "low", "first", "last"])
+
+
+def _json_pieces(files: DataFrame) -> DataFrame:
+    """``json_rows`` of files in pieces. Pieces that hold whole items of a list are parsed by themselves; in the document, which is then parsed, a string stands for each of them."""
+    pieces = materialize(files.select("file", F.col("part").cast("long").alias("part"), "text"))
+    whole = Window.partitionBy("file").orderBy("part")
+    ahead = whole.rowsBetween(Window.unboundedPreceding, -1)
+    marks = pieces.mapInArrow(_brackets, "file string, part long, change long, low long, first string, last string")
+    marks = marks.withColumns({"depth": F.coalesce(F.sum("change").over(ahead), F.lit(0)), "before": F.last("last", ignorenulls=True).over(ahead), "top": F.first("first", ignorenulls=True).over(whole.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))})
+    level = F.when(F.col("top") == "[", 1).when(F.col("top") == "{", 2)
+    # an object after a bracket or a comma is an item of a list: in an object a colon stands before it
+    within = (F.col("depth") == level) & (F.col("change") == 0) & (F.col("low") == 0) & (F.col("first") == "{") & F.col("before").isin("[", ",")
+    marks = marks.filter(within).select(F.col("file").alias("_file"), F.col("part").alias("_part"), F.lit(True).alias("within"))
+    body = F.regexp_replace("text", r"\s*(,?)\s*\z", "")
+    met = pieces.join(marks, F.col("file").eqNullSafe(F.col("_file")) & (F.col("part") == F.col("_part")), "left")
+    parsed = materialize(met.select("file", "part", "text", F.when(F.col("within"), F.from_json(F.concat(F.lit("["), body, F.lit("]")), "array<string>")).alias("items")))
+    mark = f"{uuid.uuid4().hex}:"
+    shown = F.when(F.col("items").isNotNull(), F.concat(F.lit(f'"{mark}'), F.col("part"), F.lit('"'), F.when(F.col("text").rlike(r",\s*\z"), ",").otherwise(""))).otherwise(F.col("text"))
+    document = parsed.groupBy("file").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("part", shown.alias("text")))), lambda x: x["text"]), "\n").alias("text"))
+    text = F.trim(F.regexp_replace("text", "^\\uFEFF", ""))
+    listed = document.withColumn("text", text).select("file", F.posexplode(_items(F.col("text"))).alias("at", "item"))
+    listed = materialize(listed.withColumn("_part", F.when(F.col("item").rlike(f"^{mark}-?\\d+$"), F.substring_index("item", ":", -1).cast("long"))))
+    # an object without a listed list is a row by itself, with all that it holds
+    itself = F.col("_part").isNull() & F.contains("item", F.lit(mark))
+    alone = listed.filter(itself).select(F.col("file").alias("_file"))
+    listed = listed.filter(~itself)
+    here = parsed.filter("items is not null").select(F.col("file").alias("_file"), F.col("part").alias("_part"), "items")
+    same = F.col("file").eqNullSafe(F.col("_file"))
+    counted = listed.join(here.select("_file", "_part", F.size("items").alias("n")), [same, listed["_part"] == here["_part"]], "left").select("file", "at", "item", listed["_part"], F.coalesce("n", F.lit(1)).alias("n"))
+    counted = counted.withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    rows = counted.join(here, [same, counted["_part"] == here["_part"]], "left").select("file", "before", F.posexplode(F.coalesce("items", F.array("item"))).alias("i", "item"))
+    rows = rows.select("file", (F.col("before") + F.col("i")).alias("pos"), F.from_json("item", _MAP).alias("raw")).filter("raw is not null")
+    texts = F.transform(F.sort_array(F.collect_list(F.struct("part", "text"))), lambda x: x["text"])
+    return rows.unionByName(json_rows(pieces.join(alone, same, "left_semi").groupBy("file").agg(F.array_join(texts, "").alias("text"))))
 
 
 def jsonl_rows(files: DataFrame) -> DataFrame:

@@ -209,3 +209,11 @@ def test_csv_in_pieces(spark):
     """A file in pieces has the rows of the whole file: quoted line feeds, odd quotes, blank lines, short and long records, a mark and a missing last line feed."""
     body = 'a,"b\n""x"",\n\n",c\r\n\r\n1,2,3\n"q"r"s,5\n x"y,"z\n",9,10\n\n7\n"\n",",\n' * 3
     _same_rows(market_files.csv_rows, spark, {"a": "﻿k,\"l\nl\",k\r\n" + body, "b": "k,l\n" + body + '"open\nto the end\n', "c": "\n" + body, "d": "", "e": "k\n" + body + "last"})
+
+
+def test_json_in_pieces(spark):
+    """A document in pieces has the rows of the whole one: lists under several names, items over lines, brackets in strings, objects that are no items, and damage."""
+    item = '{"a": 1, "b": "]},{[\\""},\n{"a": [1,\n{"c": 2}]},\n5, "s", {"a": null}\n,{"z": {"y":\n{"x": 1}\n}}'
+    listed = f"[\n{item},\n{item}\n]"
+    texts = {"a": listed, "b": f'{{"ticks": {listed},\n"data": [\n{item}\n], "n":\n{{"a": 2}}\n}}', "c": f'{{"k": {{"a": 1,\n"m":\n{{"a": 3}}\n}},\n"other": {listed}}}', "d": listed + "\n{", "e": f"[\n{item}\n{item}\n]", "f": f'﻿{{"prices": [], "records": {listed}}}', "g": "", "h": f"[\n{item},\n{{bad}},\n{item}]"}
+    _same_rows(market_files.json_rows, spark, texts)
