@@ -147,7 +147,7 @@ def links(prints: DataFrame, max_bits: int = 3) -> DataFrame:
     return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_link(max_bits), "u long, v long")
 
 
-def _roots(prints: DataFrame, max_bits: int) -> DataFrame:
+def roots(prints: DataFrame, max_bits: int) -> DataFrame:
     """(fp, root) for every distinct fingerprint: the least fingerprint (as a signed long) its links reach."""
     groups = components(links(prints, max_bits)).withColumnRenamed("node", "fp")
     return prints.select("fp").distinct().join(groups, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
@@ -156,7 +156,7 @@ def _roots(prints: DataFrame, max_bits: int) -> DataFrame:
 def simhash_components(docs: DataFrame, text: str = "text", id_col: str = "doc_id", words: int = 3, max_bits: int = 3) -> DataFrame:
     """Per document: fingerprint (16 hexadecimal digits) and the smallest doc_id its links reach."""
     prints = materialize(fingerprints(docs, text, id_col, words))
-    rooted = prints.groupBy("fp").agg(F.min("doc_id").alias("first")).join(_roots(prints, max_bits), "fp")
+    rooted = prints.groupBy("fp").agg(F.min("doc_id").alias("first")).join(roots(prints, max_bits), "fp")
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     by_print = rooted.join(least, "root").select("fp", "component_id")
     return prints.join(by_print, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -192,4 +192,4 @@ def keep_least(docs: DataFrame, grouped: DataFrame) -> DataFrame:
 def drop_near_duplicates(docs: DataFrame, words: int = 3, max_bits: int = 3) -> DataFrame:
     """One document of each component, with all its columns: that of the smallest doc_id (null last)."""
     prints = materialize(fingerprints(row_keys(docs), "text", "key", words))
-    return keep_least(docs, prints.join(_roots(prints, max_bits), "fp").select(F.col("doc_id").alias("key"), "root"))
+    return keep_least(docs, prints.join(roots(prints, max_bits), "fp").select(F.col("doc_id").alias("key"), "root"))

@@ -1,7 +1,8 @@
 """Near duplicates by exact Jaccard similarity of word shingles.
 
-Candidates are texts that share a band of minimum hashes: a pair of similarity s meets with
-probability 1 - (1 - s**ROWS)**BANDS, 0.99998 at 0.8 and more above. The texts of a band go to the
+Candidates are texts whose SimHash fingerprints link at three or fewer differing bits, as in
+``simhash``, and, as pairs at 0.8 are mostly further apart than that, texts that share a band of minimum hashes: a pair of similarity s meets with
+probability 1 - (1 - s**ROWS)**BANDS, 0.99998 at 0.8 and more above. The texts of a class of fingerprints or of a band go to the
 group named after the least of them, so that a text goes to as many groups as its bands have least
 texts (few, since copies share them) and groups do not chain. There all pairs are compared exactly on
 their shingle sets (equal 64-bit shingle hashes count as equal shingles), so that no pair is taken or
@@ -25,10 +26,12 @@ from pyspark.sql import functions as F
 
 from ..operators.components import components
 from .common import materialize, slices, small
-from .simhash import SEED, keep_least, row_keys
+from .simhash import SEED, fingerprint, keep_least, roots, row_keys
 
 WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 36, 6
+#: Bits in which the fingerprints of a link differ, at most.
+BITS = 3
 #: Text bytes of a group that a worker compares at a time.
 GROUP_BYTES = 16 << 20
 _CHUNK = 1 << 10
@@ -61,11 +64,12 @@ def _bands(words: int):
 
         a, b, mix = _hashes()
         for batch in slices(batches, "text"):
-            nodes, keys, sizes = [], [], []
+            nodes, keys, sizes, prints = [], [], [], []
             for t in batch.column(1).to_pylist():
                 parts = normal(t)
                 sizes.append(sum(map(len, parts)) + len(parts))
                 nodes.append(xxhash.xxh3_128_digest(b" ".join(parts), SEED))
+                prints.append(fingerprint(t))
                 h = (shingles(parts, words) >> np.uint64(32)).astype(np.uint32)[:, None]
                 least = np.full(len(a), 0xFFFFFFFF, np.uint32)
                 for k in range(0, len(h), _CHUNK):
@@ -73,7 +77,7 @@ def _bands(words: int):
                 keys.append((least.reshape(BANDS, ROWS) * mix).sum(1, dtype=np.uint64).view(np.int64))
             flat = pa.array(np.concatenate(keys))
             bands = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, BANDS, dtype=np.int32)), flat)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.binary()), pa.array(sizes, pa.int64()), bands], names=["key", "node", "size", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.binary()), pa.array(sizes, pa.int64()), pa.array(np.array(prints, np.uint64).view(np.int64)), bands], names=["key", "node", "size", "fp", "bands"])
 
     return run
 
@@ -111,6 +115,13 @@ def _verify(words: int, similarity: float):
     return run
 
 
+def simhash_groups(prints: DataFrame) -> DataFrame:
+    """(node, group) of the texts (node, fp) whose fingerprints' links reach another text; the group is the least hash of its nodes."""
+    met = materialize(prints.select("node", "fp").distinct().join(roots(prints, BITS), "fp").select("node", "root"))
+    shared = met.groupBy("root").agg(F.min(F.xxhash64("node")).alias("group"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    return met.join(small(materialize(shared), 24), "root").select("node", "group")
+
+
 def _compare(keyed: DataFrame, placed: DataFrame, repeated: bool, words: int, similarity: float) -> DataFrame:
     """Links between the texts of each task; ``placed`` has (key, node, task). Only texts of tasks leave their place."""
     parts = keyed.join(small(materialize(placed), 96), "key")
@@ -122,12 +133,12 @@ def _compare(keyed: DataFrame, placed: DataFrame, repeated: bool, words: int, si
 def drop_similar(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, group_bytes: int = GROUP_BYTES) -> DataFrame:
     """One document of each component of similar texts, with all its columns: that of the smallest doc_id (null last)."""
     keyed = row_keys(docs)
-    prints = materialize(keyed.mapInArrow(_bands(words), f"key {keyed.schema['key'].dataType.simpleString()}, node binary, size long, bands array<bigint>"))
+    prints = materialize(keyed.mapInArrow(_bands(words), f"key {keyed.schema['key'].dataType.simpleString()}, node binary, size long, fp long, bands array<bigint>"))
     name, group = F.xxhash64("node"), F.col("group")
     met = prints.groupBy("node").agg(F.first("bands").alias("bands")).select("node", F.explode("bands").alias("band"))
     # bands are counted before they are shuffled, and those of one text alone go
     shared = materialize(met.groupBy("band").agg(F.min(name).alias("group"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"))
-    group_of = met.join(small(shared, 24), "band").select("node", "group").distinct()
+    group_of = simhash_groups(prints).unionByName(met.join(small(shared, 24), "band").select("node", "group")).distinct()
     # one row stands for the rows of a text
     rows = prints.groupBy("node", "key").agg(F.max("size").alias("size"), F.count(F.lit(1)).alias("rows"))
     members = materialize(rows.groupBy("node").agg(F.min(F.struct("key", "rows", "size")).alias("x")).join(group_of, "node").select("node", "group", (name == group).alias("least"), "x.*"))

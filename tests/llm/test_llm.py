@@ -510,6 +510,18 @@ def test_similar_texts(spark, sf):
 # ---------------------------------------------------------------- classifiers
 
 
+def test_similar_texts_by_simhash(spark):
+    """Texts whose fingerprints link at three bits are candidates, through others too; a text alone is none."""
+    from pulseloom.llm.similar import simhash_groups
+
+    prints = {b"a": 0, b"b": 0b111, b"c": 0b111111, b"d": -1, b"e": -1, b"f": 0xFFFF0000}
+    rows = spark.createDataFrame([*prints.items(), (b"a", 0)], "node binary, fp long")
+    by = collections.defaultdict(set)
+    for r in simhash_groups(rows).collect():
+        by[r.group].add(bytes(r.node))
+    assert sorted(map(sorted, by.values())) == [[b"a", b"b", b"c"], [b"d", b"e"]]
+
+
 def test_similar_texts_of_large_groups(spark):
     """Chains and clusters that share bands but not a neighbour: whatever the chunks, the classes are those of all pairs."""
     from pulseloom.llm.similar import drop_similar
