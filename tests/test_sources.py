@@ -1,10 +1,12 @@
 import json
+import unicodedata
 from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from pulseloom import sinks
+from pulseloom.functions import text
 from pulseloom.operators.bars import hourly_from_rows
 from pulseloom.plans import pipeline
 from pulseloom.sources import broker_pages, html, market_files, posts
@@ -88,6 +90,21 @@ def test_html(spark):
     assert [(r.post_id, r.url) for r in links] == [("900000017", "https://s.example/hint-900000017"), ("880055380", "https://s.example/880055380"), ("880055381", "https://s.example/x?document_srl=880055381")]
 
 
+def test_html_one_worker_a_task(spark):
+    """What composes only once zero-width characters are gone is composed in the parser's worker, as in the columns of ``functions.text``."""
+    parts = "<h1 class='title'>cafe{0} {1}</h1><div class='rd_body'>e{0}\u0301 x</div><div class='cmt_item'><div class='xe_content'>o{0}\u0308</div></div>"
+    rows = [(str(i), parts.format(z, w)) for i, (z, w) in enumerate([("\u200b", "a"), ("\u200b", "삭\u200b\u1100제된 게시물"), ("", "삭제된 게시물"), ("\u200b", unicodedata.normalize("NFD", "삭제된 게시물"))])]
+    p = html.parse_posts(pages(spark, *rows), "board")
+    plan = p._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "EvalPython" not in plan
+    by_columns = text.content_hash(F.col("post_id"), F.col("title"), F.col("body"), F.expr("transform(comments, c -> c.body)"))
+    gone = text.normalize(F.concat_ws(" ", "title", "body")).rlike("(?U)" + html.DELETED)
+    got = p.orderBy("post_id").select("content_hash", by_columns.alias("want"), "deleted", gone.alias("gone"), "body").collect()
+    assert [r.content_hash for r in got] == [r.want for r in got] and len({r.want for r in got}) == 4
+    assert [r.deleted for r in got] == [r.gone for r in got] == [False, False, True, True]
+    assert [unicodedata.is_normalized("NFC", r.body) for r in got] == [False, False, True, False]
+
+
 def test_html_dates_and_depth(spark):
     def dated(*times):
         return "<h1 class='title'>t</h1>" + "".join(f"<time{f' datetime={a!r}' if a else ''}>{x}</time>" for a, x in times)
