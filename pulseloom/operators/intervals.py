@@ -11,10 +11,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.timefn import is_trading_day
+from ..shared import materialize
 
 HOT_ROWS = 1 << 20
+#: Rows of both sides up to which the spans of a key meet without bins: a row then meets no more than these.
+FEW_ROWS = 1024
 #: Length in microseconds of the shortest bins of ``ext_overlapping``; each further level doubles it.
 _BASE = 1 << 20
+#: Length of a bin of the column ``_level``.
+_WIDTH = f"({_BASE} * CAST(pow(2.0D, greatest(_level, 0)) AS BIGINT))"
+#: The level whose bins are longer than all representable time.
+_TOP = 44
 _EPOCH = "TIMESTAMP_NTZ'1970-01-01 00:00:00'"
 
 
@@ -23,17 +30,18 @@ def micros(ts: str) -> Column:
     return F.expr(f"timestampdiff(MICROSECOND, {_EPOCH}, CAST(`{ts}` AS TIMESTAMP_NTZ))")
 
 
-def split_hot(left: DataFrame, right: DataFrame, on: list[str], hot_rows: int) -> tuple[DataFrame, DataFrame]:
+def split_hot(left: DataFrame, right: DataFrame, on: list[str], hot_rows: int, suspected: str = "true") -> tuple[DataFrame, DataFrame]:
     """Both sides of an equality join on the columns ``on``, with a further one, ``_salt``: keys of more than ``hot_rows`` left rows are dealt to several parts, and their right rows copied to each.
 
-    The table of hot keys has at most a row for each ``hot_rows`` rows. NULL keys are never dealt.
+    The table of hot keys has at most a row for each ``hot_rows`` rows and is broadcast, so that no side is shuffled for it. NULL keys are never dealt.
+    ``suspected`` says which left rows need counting: all rows of any key that may be hot.
     """
-    hot = left.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")).filter((F.col("_n") > hot_rows) & ~F.expr(" or ".join(f"`{c}` is null" for c in on)))
+    hot = left.filter(suspected).groupBy(*on).agg(F.count(F.lit(1)).alias("_n")).filter((F.col("_n") > hot_rows) & ~F.expr(" or ".join(f"`{c}` is null" for c in on)))
     hot = hot.select(*[F.col(c).alias(f"_hot{i}") for i, c in enumerate(on)], F.ceil(F.col("_n") / hot_rows).cast("int").alias("_parts"))
 
     def met(side: DataFrame) -> DataFrame:
         same = [F.col(c) == F.col(f"_hot{i}") for i, c in enumerate(on)]
-        return side.join(hot, same, "left").drop(*[f"_hot{i}" for i in range(len(on))])
+        return side.join(F.broadcast(hot), same, "left").drop(*[f"_hot{i}" for i in range(len(on))])
 
     parts = F.coalesce("_parts", F.lit(1))
     dealt = met(left).withColumn("_salt", F.pmod(F.xxhash64(*left.columns), parts).cast("int"))
@@ -55,10 +63,11 @@ def ext_within_before(points: DataFrame, marks: DataFrame, by: list[str], ts: st
     return met.drop("_bin", "_salt", "_t", "_m")
 
 
-def ext_overlapping(left: DataFrame, right: DataFrame, by: list[str], left_span: tuple[str, str], right_span: tuple[str, str], hot_rows: int = HOT_ROWS) -> DataFrame:
+def ext_overlapping(left: DataFrame, right: DataFrame, by: list[str], left_span: tuple[str, str], right_span: tuple[str, str], hot_rows: int = HOT_ROWS, few_rows: int = FEW_ROWS) -> DataFrame:
     """Every (left, right) with equal keys whose spans [start, end) overlap. Columns of both sides, whose names must differ but for the keys.
 
-    Spans of all lengths meet on levels, whose bins double in length. A span is at home on the level where it touches two bins at most, and a guest on every higher level that occurs;
+    Keys of up to ``few_rows`` rows on both sides together need no bins: each of their spans is sent once. Spans of the others meet on levels, whose bins double in length.
+    A span is at home on the level where it touches two bins at most, and a guest on those higher levels that are a home to spans of its key on the other side;
     a pair counts on the higher one of its homes, in the bin of the later start. Empty and reversed spans, and rows with a null key or time, meet nothing.
     """
 
@@ -67,23 +76,26 @@ def ext_overlapping(left: DataFrame, right: DataFrame, by: list[str], left_span:
         return d.withColumn(f"{a}_home", F.greatest(F.lit(0), F.ceil(F.log2((F.col(z) - F.col(a)) / _BASE))).cast("int"))
 
     lefts, rights = levelled(left, left_span, "_a", "_az"), levelled(right, right_span, "_b", "_bz")
-    # at most 44 levels up to the length of all representable time
-    levels = sorted({r[0] for side, c in ((lefts, "_a_home"), (rights, "_b_home")) for r in side.select(c).distinct().collect()})
-
-    def binned(d: DataFrame, a: str, z: str) -> DataFrame:
-        on = F.array(*[F.lit(x) for x in levels])
-        d = d.withColumn("_level", F.explode(F.filter(on, lambda x: x >= F.col(f"{a}_home"))))
-        width = F.lit(_BASE) * F.pow(F.lit(2.0), F.col("_level")).cast("long")
-        d = d.withColumn("_w", width)
-        return d.withColumn("_bin", F.explode(F.sequence(F.expr(f"floor({a} / _w)"), F.expr(f"floor(({z} - 1) / _w)")))).drop("_w")
-
-    if not levels:
-        levels = [0]
-    p, m = split_hot(binned(lefts, "_a", "_az"), binned(rights, "_b", "_bz"), [*by, "_level", "_bin"], hot_rows)
+    # keys of many rows, at most one for each few_rows rows, with the homes of each side as bits; a key without rows on a side has NULL there, and no levels
+    homes = [d.select(*by, *[(F.expr(f"shiftleft(1L, {c})") if c == home else F.lit(None).cast("long")).alias(f"{c}s") for c in ("_a_home", "_b_home")]) for d, home in ((lefts, "_a_home"), (rights, "_b_home"))]
+    many = homes[0].unionByName(homes[1]).groupBy(*by).agg(F.bit_or("_a_homes").alias("_a_homes"), F.bit_or("_b_homes").alias("_b_homes"), F.count("_a_homes").alias("_rows"), F.count(F.lit(1)).alias("_n"))
+    many = materialize(many.filter(F.col("_n") > min(few_rows, hot_rows)).drop("_n"))
+    many = many.withColumnsRenamed({c: f"_many{i}" for i, c in enumerate(by)})
+
+    def binned(d: DataFrame, a: str, z: str, others: str) -> DataFrame:
+        d = d.join(many, [F.col(c) == F.col(f"_many{i}") for i, c in enumerate(by)], "left")
+        met = f"filter(sequence({a}_home, {_TOP}), x -> ({others} & if(x = {a}_home, shiftleft(1L, x + 1) - 1, shiftleft(1L, x))) <> 0)"
+        d = d.withColumn("_level", F.explode(F.expr(f"if(_rows is null, array(-1), {met})")))
+        bins = f"sequence(floor({a} / {_WIDTH}), floor(({z} - 1) / {_WIDTH}))"
+        d = d.withColumn("_bin", F.explode(F.expr(f"if(_level < 0, array(0L), {bins})")))
+        return d.drop(*[f"_many{i}" for i in range(len(by))], "_a_homes", "_b_homes")
+
+    p, m = binned(lefts, "_a", "_az", "_b_homes"), binned(rights, "_b", "_bz", "_a_homes").drop("_rows")
+    p, m = split_hot(p, m, [*by, "_level", "_bin"], hot_rows, f"_rows > {hot_rows}")
     met = p.join(m, [*by, "_level", "_bin", "_salt"])
-    later = F.expr(f"floor(greatest(_a, _b) / ({_BASE} * CAST(pow(2.0D, _level) AS BIGINT)))")
-    met = met.filter((F.col("_a") < F.col("_bz")) & (F.col("_b") < F.col("_az")) & (F.greatest("_a_home", "_b_home") == F.col("_level")) & (F.col("_bin") == later))
-    return met.drop("_level", "_bin", "_salt", "_a", "_az", "_b", "_bz", "_a_home", "_b_home")
+    once = F.expr(f"_level < 0 or greatest(_a_home, _b_home) = _level and _bin = floor(greatest(_a, _b) / {_WIDTH})")
+    met = met.filter((F.col("_a") < F.col("_bz")) & (F.col("_b") < F.col("_az")) & once)
+    return met.drop("_level", "_bin", "_salt", "_rows", "_a", "_az", "_b", "_bz", "_a_home", "_b_home")
 
 
 def ext_forward_value(left: DataFrame, right: DataFrame, by: list[str], ts: str, value: str, minutes: tuple[int, ...], tolerance: int) -> DataFrame:

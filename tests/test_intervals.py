@@ -50,6 +50,30 @@ def test_overlapping(spark, hot_rows):
     assert intervals.ext_overlapping(none, none.withColumnsRenamed({f"l_{c}": f"r_{c}" for c in ("id", "a", "z")}), ["k"], ("l_a", "l_z"), ("r_a", "r_z")).count() == 0
 
 
+def test_overlapping_sends_spans_once(spark, monkeypatch):
+    """Keys of few rows are sent without bins, those of many rows on levels that are a home on their other side only, and no side is shuffled for the table of hot bins."""
+    rng = random.Random(4)
+    lengths = {"few": (1, 60, 3600, 90_000), "many": (50, 60), "long": (200_000,), "alone": (1, 60, 3600, 90_000)}
+
+    def spans(keys, n):
+        return [(i, k, a := rng.randrange(0, 50_000), a + rng.choice(lengths[k])) for i, k in enumerate(k for k in keys for _ in range(n if k == "many" else 20))]
+
+    left, right = spans(("few", "many", "long", "alone"), 90), spans(("few", "many", "long"), 80)
+    sent = []
+    split = intervals.split_hot
+    monkeypatch.setattr(intervals, "split_hot", lambda p, m, *rest: sent.extend((p, m)) or split(p, m, *rest))
+    sides = [spark.createDataFrame([(i, k, seconds(a), seconds(z)) for i, k, a, z in s], SPAN.format(n)) for n, s in (("l", left), ("r", right))]
+    df = intervals.ext_overlapping(*sides, ["k"], ("l_a", "l_z"), ("r_a", "r_z"), few_rows=100)
+    assert sorted((r.l_id, r.r_id) for r in df.collect()) == sorted((x[0], y[0]) for x in left for y in right if x[1] == y[1] and x[2] < y[3] and y[2] < x[3])
+    for side, rows in zip(sent, (left, right), strict=True):
+        n = {r.k: r["count"] for r in side.groupBy("k").count().collect()}
+        assert n["few"] == n["long"] == 20 and n["many"] <= 2 * sum(r[1] == "many" for r in rows)
+    one_sided = intervals.ext_overlapping(*sides, ["k"], ("l_a", "l_z"), ("r_a", "r_z"), few_rows=5)
+    assert one_sided.count() == df.count() and sent[2].filter("k = 'alone'").count() == 0
+    hot = intervals.split_hot(*sides, ["k"], 10)[0]
+    assert "strategy=broadcast" in hot._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_forward_value(spark):
     rng = random.Random(3)
     right = [(rng.choice("ab"), rng.randrange(400_000), rng.choice([None, 1.0, 2.0, 3.0])) for _ in range(150)]
